@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import language, packing, pieces, quality, sharding
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op6_language_id": language.op6_language_id,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
