@@ -176,20 +176,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_languages: int = 64) -> By
     return fit(np.concatenate(data), np.concatenate(label), languages)
 
 
-def predict(docs: DataFrame, model: ByteNet | None, carry: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: ByteNet | None, carry: list[str], column: str = "text") -> DataFrame:
     """Adds lang_pred and score (the mean probability of that language) to the ``carry`` columns.
 
     ``und`` with score 0 where the text is null, empty, or holds no letter, or where nothing
     was learned.  Ties go to the language first in order of its name.
     """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in carry)), "lang_pred string, score double"])
+    own = column in carry  # then it need not be sent twice
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            texts = plain(table["__text"])
+            texts = plain(table[column if own else "__text"])
             for begin, end, block in blocks(texts):
                 letters = np.array([_LETTER.search(t) is not None for t in texts.slice(begin, end - begin).to_pylist()], bool)
                 if net is None:
@@ -202,7 +203,7 @@ def predict(docs: DataFrame, model: ByteNet | None, carry: list[str]) -> DataFra
                 part = table.slice(begin, end - begin)
                 yield from pa.table({c: part[c] for c in carry} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())}).to_batches()
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if own else [F.col(column).alias("__text")])).mapInArrow(run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,21 +215,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_score double, kept boolean"
 
 
-def score(docs: DataFrame, model: QualityModel, carry: list[str], threshold: float = KEEP) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, carry: list[str], threshold: float = KEEP, column: str = "text") -> DataFrame:
     """Adds the statistics, the probability and the verdict to the ``carry`` columns of ``docs``.
 
     A null text counts as empty (no words: base_failed).  Rows are never merged: equal rows
-    get equal verdicts, and an empty table gives an empty result.
+    get equal verdicts, and an empty table gives an empty result.  A carried column must not
+    have the name of an added one.
     """
     fields = [docs.schema[c] for c in carry]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), COLUMNS])
+    own = column in carry  # then it need not be sent twice
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for begin, end, block in blocks(table["__text"]):
+            for begin, end, block in blocks(table[column if own else "__text"]):
                 stats = base_statistics(block)
                 failed = base_failed(stats)
                 p = judge.probability(block)
@@ -239,7 +241,7 @@ def score(docs: DataFrame, model: QualityModel, carry: list[str], threshold: flo
                 columns |= {"base_failed": pa.array(failed), "quality_score": pa.array(p, pa.float64()), "kept": pa.array(~failed & (p >= threshold))}
                 yield from pa.table(columns).to_batches()
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if own else [F.col(column).alias("__text")])).mapInArrow(run, schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

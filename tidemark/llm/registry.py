@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, packing, pieces, quality, sharding
+from tidemark.llm import html, jaccard, language, lmscore, packing, pieces, private, quality, sharding, topk
 
 QUERIES = {
+    "op1_pseudonyms": private.op1_pseudonyms,
     "op2_packing": packing.op2_packing,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_lm_scoring": lmscore.op4_lm_scoring,
+    "op5_html_extraction": html.op5_html_extraction,
     "op6_language_id": language.op6_language_id,
+    "op7_exact_topk": topk.op7_exact_topk,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need a trained model, a tokeniser, a parser or checksums, which this SQL does not have.
+ORACLE_SQL: dict[str, str] = {"op7_exact_topk": topk.SQL}
