@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,9 +24,10 @@ from tidemark.llm.textblock import plain
 LENGTH = 1024
 #: Pieces in a group, as expected at most.
 GROUP = 4096
-MOST_CUTS = 500_000
+MOST_CUTS = 1_000_000
 _CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 END = b"\0\0\0\0"  # id 0 after each document
 
 
@@ -35,26 +37,33 @@ class CachedTokenizer:
     The byte-level pre-tokeniser never joins a character that is not white space with white
     space after it, so a text with no white space but blanks and line ends is cut before each
     run of those, and the tokens of the cuts are kept in a bounded table.  Texts with other
-    white space are tokenised whole.  Strings of special tokens get the ids that ``tokenizers``
-    gives them by default.
+    white space, or with a special token's string, are tokenised whole.  Such strings get the ids
+    that ``tokenizers`` gives them by default.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = self.cuts
         if len(cuts) >= MOST_CUTS:
             cuts.clear()
-        found = [None if _OTHER_SPACE.search(t) else _CUT.findall(t) for t in texts]
-        missing = list({c for x in found if x is not None for c in x if c not in cuts})
-        for begin in range(0, len(missing), 4096):
-            part = missing[begin : begin + 4096]
+        found = [None if _OTHER_SPACE.search(t) or any(s in t for s in self.special) else _CUT.findall(t) for t in texts]
+        # A letter or number is never joined with a mark after it either, so most new cuts are known stems and marks.
+        new = {c: len(c.rstrip(_MARKS)) for x in found if x is not None for c in x if c not in cuts}
+        split = {c: k for c, k in new.items() if 0 < k < len(c) and c[k - 1].isalnum()}
+        parts = [c for c in new if c not in split]
+        parts += {p for c, k in split.items() for p in (c[:k], c[k:]) if p not in cuts and p not in new}
+        for begin in range(0, len(parts), 4096):
+            part = parts[begin : begin + 4096]
             cuts.update(zip(part, self._ids(part), strict=True))
+        for c, k in sorted(split.items(), key=lambda x: len(x[0])):
+            cuts[c] = cuts[c[:k]] + cuts[c[k:]]
         whole = iter(self._ids([t for t, x in zip(texts, found, strict=True) if x is None]))
         return [next(whole) if x is None else b"".join(map(cuts.__getitem__, x)) for x in found]
 
