@@ -1,0 +1,391 @@
+"""The operators against brute force, round trips and held-out rows, with nulls, ties, repeats and empty tables."""
+
+import collections
+import hashlib
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import components, html, jaccard, language, lmscore, packing, pieces, private, quality, registry, shared, sharding, topk
+from tidemark.llm.textblock import blocks
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "ab cd. " * 20_000
+TRICKY = [None, "", " ", "\n\n", "x", "a\n a\na\n\na", "é ü ß " * 9, "one two three four five\none two three four five", "\tq  w \x0b e\r\n", "5 5 5 5 5 5 5 5 5 5 5", "#$% <b>|&amp;*", LONG]
+
+
+def doc(i, text, lang="en"):
+    return (i, text, lang, "s", len(text or ""))
+
+
+def prose(seed, words, rng_words=400):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) if rng.random() < 0.3 else f"w{rng.randint(0, rng_words)}" for _ in range(words))
+
+
+def frame(spark, rows, schema=DOC):
+    return spark.createDataFrame(rows, schema)
+
+
+# --- quality -------------------------------------------------------------------------------------
+
+
+def slow_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, copies = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            copies += line in seen
+            seen.add(line)
+    runs = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {k for i in range(len(words) - 4) if runs[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), copies, len(covered)
+
+
+def test_base_statistics_equal_brute_force():
+    texts = [*TRICKY, *(prose(k, 60, 8) + "\n" + prose(k, 30, 8) for k in range(30))]
+    for most in (64, 1 << 21):
+        got = []
+        for _, _, block in blocks(pa.array(texts, pa.string()), most):
+            stats = quality.base_statistics(block)
+            got += zip(*(stats[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)
+        assert got == [slow_statistics(t) for t in texts]
+
+
+def test_quality_learns_rejects_and_keeps(spark):
+    good = [prose(k, 80) for k in range(120)]
+    bad = [" ".join(f"{w}###" for w in prose(k, 80).split()) for k in range(120)]
+    rows = [doc(k, t) for k, t in enumerate(good + bad)] + [doc(900, None), doc(901, ""), doc(None, good[0]), doc(0, good[0])]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, int(k < 120), 0) for k in range(240) if k % 3] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score(docs, quality.train(docs, labels), ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    kept = {r["doc_id"]: r["kept"] for r in got if r["doc_id"] is not None}
+    assert np.mean([kept[k] for k in range(120)]) > 0.97 and np.mean([kept[k] for k in range(120, 240)]) < 0.1
+    assert not kept[900] and not kept[901]
+    none = quality.train(docs.limit(0), labels.limit(0))
+    assert quality.score(docs.limit(0), none, ["doc_id"]).count() == 0
+
+
+# --- language ------------------------------------------------------------------------------------
+
+
+def test_language_held_out_rows_and_letters(spark):
+    sound = {"aa": "bdgk", "bb": "mnrl", "cc": "éèüö"}
+    rng = random.Random(1)
+    rows = [doc(k, " ".join("".join(rng.choices(sound[la], k=4)) for _ in range(40)), la) for k, la in ((k, rng.choice(sorted(sound))) for k in range(500))]
+    rows += [doc(900, None, "aa"), doc(901, "12 34 !?", "bb"), doc(902, "", None)]
+    docs = frame(spark, rows)
+    got = language.predict(docs, language.train(docs, 60), ["doc_id", "lang"]).withColumn("held", language.held_out()).collect()
+    held = [r for r in got if r["held"] and r["doc_id"] < 900]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.95
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] >= 900)
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in language.predict(docs, language.train(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
+
+
+# --- near copies ---------------------------------------------------------------------------------
+
+LOWER = {ord(c): c.lower() for c in string.ascii_uppercase}
+
+
+def slow_set(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def slow_components(rows):
+    sets = [slow_set(r[1]) for r in rows]
+    home = list(range(len(rows)))
+
+    def find(k):
+        while home[k] != k:
+            k = home[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                home[find(i)] = find(j)
+    least = {}
+    for k, r in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), r[0]), r[0])
+    return {r[0]: (len(sets[k]), least[find(k)]) for k, r in enumerate(rows)}
+
+
+def edited(text, edits, seed):
+    rng = random.Random(seed)
+    words = text.split()
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = f"x{rng.randint(0, 10**6)}"
+    return " ".join(words)
+
+
+def test_jaccard_components_equal_brute_force(spark):
+    rows = [doc(k, t) for k, t in enumerate(TRICKY[1:])]
+    base = [prose(k, 90) for k in range(6)]
+    shared_passage = prose(99, 40)
+    texts = [edited(b, e % 9, 31 * k + e) for k, b in enumerate(base) for e in range(30)]
+    texts += [prose(500 + k, 60) + " " + shared_passage for k in range(90)]
+    texts += [base[0]] * 25 + [base[0].upper()] * 3 + ["one two", "ONE two", "one two three"] * 3
+    rows += [doc(100 + k, t) for k, t in enumerate(texts)]
+    random.Random(2).shuffle(rows)
+    got = jaccard.join(frame(spark, rows))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == slow_components(rows)
+
+
+def test_jaccard_keeps_rows_without_text_or_id(spark):
+    rows = [doc(None, "a b c d e f"), doc(7, "a b c d e f"), doc(3, None), doc(4, None), doc(7, "a b c d e f")]
+    got = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, rows)).collect())
+    assert got == [(-1, 2, None), (3, 0, 3), (4, 0, 4), (7, 2, 7), (7, 2, 7)]
+    assert jaccard.join(frame(spark, [])).count() == 0
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(5, 5)]
+    tables = shared.Tables(spark)
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), tables, "t").collect()}
+    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}}
+
+
+# --- personal data -------------------------------------------------------------------------------
+
+
+def test_pseudonyms_keep_format_link_values_and_come_back():
+    hide = private.Pseudonyms(b"key")
+    text = "Pay 4111 1111 1111 1111 or 4111111111111111, DE89 3704 0044 0532 0130 00, 123-45-6789, 1984-02-29, +1 (974) 555-3436, a.b12@mail3.example.com, 10.20.30.40, token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\"."
+    new, kinds = hide(text)
+    assert sorted(kinds) == sorted(["card", "card", "iban", "ssn", "date", "phone", "email", "ip", "secret"])
+    assert re.sub(r"[0-9A-Za-z.]", "", new) == re.sub(r"[0-9A-Za-z.]", "", text)
+    for value in ("4111 1111 1111 1111", "123-45-6789", "1984-02-29", "555-3436", "a.b12@", "10.20.30.40", "b44e15"):
+        assert value not in new
+    first, second = re.search(r"Pay ([\d ]{19}) or (\d{16})", new).groups()
+    assert first.replace(" ", "") == second and private.luhn(second) % 10 == 0
+    assert hide(text)[0] == new and private.Pseudonyms(b"other")(text)[0] != new
+    for _, pattern, pseudonym in private._FIND:
+        for m in pattern.finditer(text):
+            value = m["v"] if "v" in pattern.groupindex else m[0]
+            out = pseudonym(hide.feistel, value)
+            assert out is None or pseudonym(hide.feistel, out, back=True) == value
+
+
+def test_small_domains_are_permuted():
+    f = private.Feistel(b"k")
+    for size in (1, 7, 100, 365):
+        image = [f.below(x, size, "t") for x in range(size)]
+        assert sorted(image) == list(range(size)) and [f.below(y, size, "t", True) for y in image] == list(range(size))
+
+
+def test_what_is_not_valid_stays(spark):
+    clean = ["no numbers here", "version 3.0 of 1.2.3", "card 4111111111111112", "on 2021-02-30", "999.1.1.1 and 127.0.0.1", "12:30, 50 %, 1,000,000", None, "", LONG]
+    rows = [doc(k, t) for k, t in enumerate(clean)]
+    docs = frame(spark, rows).withColumn("n_private", F.lit("mine"))
+    got = private.pseudonymise(docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == clean and all(r["n_private"] == 0 for r in got)
+
+
+# --- language models -----------------------------------------------------------------------------
+
+
+def test_lm_score_prefers_what_is_like_the_target(spark):
+    rng = random.Random(4)
+    like = lambda v: " ".join(rng.choice(v) for _ in range(60))
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    rows = [doc(k, like(a)) for k in range(200)] + [doc(1000 + k, like(b)) for k in range(200)] + [doc(5000, None), doc(5001, " \n")]
+    docs = frame(spark, rows)
+    models = lmscore.train(docs, spark.createDataFrame([(k,) for k in range(0, 200, 3)], "doc_id long"))
+    got = {r["doc_id"]: r for r in lmscore.score(docs, models, ["doc_id"]).collect()}
+    assert max(got[k]["score"] for k in range(200)) < min(got[1000 + k]["score"] for k in range(200))
+    assert got[5000]["n_tokens"] == 0 and got[5000]["score"] is None and got[5001]["score"] is None
+    assert got[3]["n_tokens"] == 60
+    empty = lmscore.train(docs.limit(0), spark.createDataFrame([], "doc_id long"))
+    assert lmscore.score(docs.limit(0), empty, ["doc_id"]).count() == 0
+
+
+# --- pages ---------------------------------------------------------------------------------------
+
+PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body>
+<header><h1>Site</h1><nav><ul><li><a href=/>Home</a></li></ul></nav></header><!-- ad --><div class="cookie-notice">We use cookies, yes.</div>
+<div id="content"><h2>A title &amp; more</h2><p>First paragraph, of some length, with commas, and words enough to count.<p>Second<br>line with <b>bold</b> and <a href=x>link</a> text.
+<ul><li>one thing<li>another thing</ul><div class="ad">Buy now</div><form><input> send</form></div>
+<div id="comments"><p>Great post, really, thanks a lot for writing all of this, it helps.</p></div>
+<aside>More</aside><footer>&copy; us</footer><script>var x = "<p>no</p>";</script></body></html>"""
+
+
+def test_main_text_of_a_page():
+    want = ["A title & more", "First paragraph, of some length, with commas, and words enough to count.", "Second line with bold and link text.", "one thing", "another thing"]
+    assert html.extract(PAGE).split("\n\n") == want
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<"), (5, "u", "<nav><a>x</a></nav>"), (6, "u", "just text, no tags at all"), (7, "u", "<article><p>short"), (8, "u", "<div>" * 3000 + "deep text, far down"), (9, "u", "<p>cut &am")]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()
+    assert len(got) == len(rows)
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text[2] == text[3] == text[5] == "" and text[6] == "just text, no tags at all" and text[7] == "short"
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+# --- search --------------------------------------------------------------------------------------
+
+
+def test_topk_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 16)) * rng.lognormal(0, 1, (400, 1))
+    x[10:20] = x[9]
+    rows = [(k, [float(np.float32(v)) for v in x[k]]) for k in range(400)]
+    rows += [(1000, None), (1001, [1.0] * 15 + [None]), (1002, [float("nan")] * 16), (1003, [0.0] * 16), (1050, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ints = {k: [int(np.floor(256 * np.float64(np.float32(v)))) for v in e] for k, e in rows if e and all(v is not None and np.isfinite(v) for v in e)}
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (k for k in ints if k % 50 == 0):
+        scores = sorted(((-sum(a * b for a, b in zip(ints[q], e, strict=True)), k) for k, e in ints.items() if k != q))[:5]
+        assert got[q] == [(k, -s) for s, k in scores]
+    assert set(got) == {k for k in ints if k % 50 == 0}
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_topk_of_large_components_is_exact():
+    big = 2**30
+    a = np.array([[big, 1], [big, 0]], np.int64)
+    assert topk._products(a, np.array([big, 1], np.int64)).tolist() == [big * big + 1, big * big]
+
+
+# --- pieces --------------------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    signs = [*"aabcdeghint  \n\t.,!#é中ßЖ▁ 😀e<>01", "the", "ing", " the ", "▁▁", "<s>", "<0x0A>", "\r\n", "\x00", "ffi"]
+    texts = TRICKY + ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(400)] + ["a" * 90, " " * 40, "a \nb", "\n a", " a", "a "]
+    got = {r["doc_id"]: r for r in pieces.encode(frame(spark, [doc(k, t) for k, t in enumerate(texts)]), path, ["doc_id"]).collect()}
+    for k, t in enumerate(texts):
+        ids = sp.encode(t or "")
+        assert (got[k]["n_tokens"], got[k]["ids"], got[k]["decoded"]) == (len(ids), ",".join(map(str, ids)), sp.decode(ids) if ids else "")
+
+
+def test_piece_tables_stay_bounded(monkeypatch):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    monkeypatch.setattr(pieces, "MOST_CUTS", 50)
+    monkeypatch.setattr(pieces, "MOST_PAIRS", 50)
+    small = pieces.PieceEncoder(model)
+    text = prose(1, 300)
+    n, ids, back = small(text)
+    assert back == text and len(small.cuts) <= 50 and len(small.pairs) <= 50
+
+
+# --- packing -------------------------------------------------------------------------------------
+
+
+def test_packing_pieces_and_sequences(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = TRICKY + [prose(k, 20 + 37 * k) for k in range(40)] + ["don't  stop now!!! 3.5\t\n x", prose(3, 50), prose(3, 50), "<|endoftext|> a", "tab\there\n\n  two"]
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)] + [doc(None, "no id"), doc(None, "no id")])
+    got = packing.pack(docs, path, group=64).collect()
+    for k, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        own = sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["start"])
+        at = 0
+        for r in own:
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert sum(r["doc_id"] is None for r in got) == 2
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack(docs.limit(0), path).count() == 0
+
+
+def test_first_fit_decreasing_equals_the_plain_loop():
+    rng = random.Random(8)
+    sizes = sorted((rng.randint(1, 1024) for _ in range(500)), reverse=True)
+    room, want = [], []
+    for s in sizes:
+        k = next((k for k, r in enumerate(room) if r >= s), len(room))
+        if k == len(room):
+            room.append(1024)
+        want.append((k, 1024 - room[k]))
+        room[k] -= s
+    assert list(zip(*packing.first_fit_decreasing(sizes, 1024), strict=True)) == want
+
+
+# --- sharding ------------------------------------------------------------------------------------
+
+
+
+
+@pytest.mark.parametrize(("n", "shards"), [(1000, 40), (7, 40), (403, 13)])
+def test_sharding_balance_and_slots(spark, n, shards):
+    rows = [doc(k if k % 3 else 0, TRICKY[k % len(TRICKY)] if k % 5 else "same") for k in range(n)]
+    got = sharding.shard(frame(spark, rows), shards).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    counts = [len(by[s]) for s in range(shards)]
+    assert len(got) == n and max(counts) - min(counts) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert {r["law"] for r in got} == {"rows"} and all(r["grown_shard"] is None for r in got)
+
+
+def test_sharding_moves_little_when_rows_are_added(spark):
+    rows = [doc(k, f"t{k}") for k in range(2000)]
+    a = {r["doc_id"]: r["shard"] for r in sharding.shard(frame(spark, rows), 20).collect()}
+    b = {r["doc_id"]: r["shard"] for r in sharding.shard(frame(spark, [*rows, *(doc(5000 + k, "n") for k in range(100))]), 20).collect()}
+    assert sum(a[k] != b[k] for k in a) < 0.25 * len(a)
+    assert sharding.shard(frame(spark, []), 20).count() == 0
+
+
+# --- registry ------------------------------------------------------------------------------------
+
+
+def test_registry_and_sql(spark, tmp_path):
+    import duckdb
+
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
+    rng = np.random.default_rng(0)
+    rows = [(k, [float(np.float32(v)) for v in rng.normal(0, 1, 8)], 0) for k in range(200)] + [(300, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, registry.QUERIES["op7_exact_topk"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.ORACLE_SQL["op7_exact_topk"]).fetchall())
+
+
+def test_digest_queries(spark, tables):
+    import sentencepiece
+
+    sf = tables("documents", [doc(1, "Hello there, world"), doc(2, None)], DOC)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op9_sentencepiece"](spark, sf).collect()}
+    ids = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode("Hello there, world")
+    assert got[1]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert got[2]["n_tokens"] == 0 and got[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
