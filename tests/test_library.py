@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bands
 from tidemark.functions import windows as win
-from tidemark.operators import audit, features, inference, labels, panel, screen, selection, simulate
+from tidemark.operators import audit, features, inference, labels, panel, screen, selection, simulate, state
 
 BAR = "symbol string, ts date, open double, high double, low double, close double, volume double"
 
@@ -218,3 +218,14 @@ def test_stream_gives_the_batch_bars(spark, tmp_path):
     got = {str(r["ts"]): (r["open"], r["close"], r["volume"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     day = [r for r in rows if r[1].date() == datetime.date(2024, 1, 3)]
     assert got["2024-01-03"] == (day[0][3], day[-1][3], len(day))
+
+
+def test_components_are_aligned():
+    ref = np.array([[0.0, 0.0], [5.0, 5.0], [9.0, 0.0]])
+    order, drift = state.align_components(ref, ref[[2, 0, 1]] + 0.01)
+    assert order == [1, 2, 0] and drift < 0.02
+
+
+def test_stock_state_refuses_too_few_inputs(spark):
+    with pytest.raises(ValueError):
+        state.stock_state(spark.createDataFrame([("a", 1, 1.0)], "symbol string, ts int, adx14 double"))

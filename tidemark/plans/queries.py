@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions import bands
 from tidemark.functions import windows as win
-from tidemark.operators import audit, features, inference, labels, panel, screen, selection, simulate
+from tidemark.operators import audit, features, inference, labels, panel, screen, selection, simulate, state
 from tidemark.plans import sql as S
 from tidemark.sources.bars import clean, event_bars, sessions, table, trade_bars, with_sessions
 
@@ -477,6 +477,43 @@ def i18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.paired(a, b, ["target"], "top3_net")
 
 
+def _mk_roll(x: str, f: str) -> str:
+    w = "OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {w} >= 10 THEN {f}({x}) {w} END"
+
+
+_STATE = "d AS (SELECT symbol, ts, close, session_idx - lag(session_idx) OVER w AS step, lag(close) OVER w AS pc FROM bars JOIN sess USING (ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts)), st AS (SELECT ts, quantile_cont(r, 0.5) AS mk_ret1, avg((r > 0)::INT) AS mk_breadth, stddev_samp(r) AS mk_disp FROM (SELECT ts, CASE WHEN step = 1 THEN close / pc - 1 END AS r FROM d) GROUP BY ts)"
+
+
+@register("i27_market_state", S.query("SELECT ts, " + S.rounded({"mk_ret1": "mk_ret1", "mk_breadth": "mk_breadth", "mk_disp": "mk_disp", "mk_trend20": _mk_roll("mk_ret1", "sum"), "mk_vol20": _mk_roll("mk_ret1", "stddev_samp"), "mk_breadth20": _mk_roll("mk_breadth", "avg"), "mk_disp20": _mk_roll("mk_disp", "avg")}) + " FROM st", S.SESSIONS, _STATE))
+def i27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = state.market_state(with_sessions(trade_bars(spark, sf_dir)))
+    return df.select("ts", *rs([c for c in df.columns if c != "ts"]))
+
+
+@register("i22_lockbox", S.query("SELECT max(ts) FILTER (WHERE session_idx < floor(n * 0.8) - 5) AS research_end, min(ts) FILTER (WHERE session_idx >= floor(n * 0.8)) AS lockbox_start FROM (SELECT *, count(*) OVER () AS n FROM sess)", S.SESSIONS))
+def i22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.lockbox(sessions(trade_bars(spark, sf_dir)))
+
+
+@register("i26_stock_state", S.query("SELECT symbol, ts, " + S.rounded({"st_a": S.percent_rank("volume") + " - 0.5", "st_b": S.percent_rank("m") + " - 0.5"}) + " FROM (SELECT *, abs(close / nullif(open, 0) - 1) AS m FROM bars)"))
+def i26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = trade_bars(spark, sf_dir).withColumn("move", win.ratio("close", "open") - 1)
+    return state.stock_state(df, (("a", "volume", False), ("b", "move", True)), 2).select("symbol", "ts", *rs(["st_a", "st_b"]))
+
+
+@register("l13_timing_contract", S.query(f"SELECT round(corr(ky, ks), 6) + 0.0 AS rho_same, round(corr(ky, kn), 6) + 0.0 AS rho_next, count(*) AS n, abs(corr(ky, ks)) <= 0.1 AND corr(ky, kn) >= 0.15 AS ok FROM (SELECT {S.rank('y', 'one')} AS ky, {S.rank('s', 'one')} AS ks, {S.rank('x', 'one')} AS kn FROM (SELECT *, 1 AS one FROM (SELECT {_LEAD('close', -5)} / close - 1 AS y, close / {S.shifted('close')} - 1 AS s, {_LEAD('close', -1)} / close - 1 AS x FROM bars) WHERE y IS NOT NULL AND s IS NOT NULL AND x IS NOT NULL))"))
+def l13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = state.timing(trade_bars(spark, sf_dir), win.ratio(win.lead("close", 5), "close") - 1)
+    return df.select(r("rho_same").alias("rho_same"), r("rho_next").alias("rho_next"), "n", "ok")
+
+
+@register("i11_nested_screen")
+def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = selection.tested_folds(sessions(trade_bars(spark, sf_dir)))
+    return state.nested_screen(screen_panel(spark, sf_dir), list(_FEATURES), ["label_oc_1"], folds)
+
+
 # --- features ------------------------------------------------------------------------------------
 
 _M = (S.BASE, S.MARKET)
