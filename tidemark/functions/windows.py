@@ -132,6 +132,12 @@ def adjusted_skew(x: str | Column, n: int) -> Column:
     return F.when(F.count(col(x)).over(w) >= n, F.skewness(col(x)).over(w) * (n * (n - 1)) ** 0.5 / (n - 2))
 
 
+def correlation(x: str | Column, y: str | Column, w: WindowSpec | None = None) -> Column:
+    """Pearson correlation of two columns known on the same rows, NULL where one has no spread."""
+    at = (lambda c: c.over(w)) if w is not None else (lambda c: c)
+    return F.try_divide(at(F.covar_pop(col(x), col(y))), at(F.stddev_pop(col(x))) * at(F.stddev_pop(col(y))))
+
+
 def values_in_window(x: str | Column, n: int) -> Column:
     """The n values as an array, NULL unless all are there."""
     w = trailing(n)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.functions.windows import average_rank, quantile_bucket
+from tidemark.functions.windows import average_rank, correlation, quantile_bucket
 
 CELL = ("feature", "target")
 LEAST_NAMES, LEAST_DATES, HAC_LAG, QUANTILES = 15, 60, 20, 5
@@ -32,7 +32,7 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 def spearman(rx: str = "rx", ry: str = "ry") -> Column:
     """Correlation of ranks, NULL where one side has no spread."""
-    return F.when((F.max(rx) > F.min(rx)) & (F.max(ry) > F.min(ry)), F.corr(rx, ry))
+    return F.when((F.max(rx) > F.min(rx)) & (F.max(ry) > F.min(ry)), correlation(rx, ry))
 
 
 def daily_ic(ranks: DataFrame, least: int = LEAST_NAMES) -> DataFrame:
@@ -116,7 +116,7 @@ def family_pairs(panel: DataFrame, features: list[str], dates: int = 60, least:
     long = long.withColumn("pr", average_rank("x", "feature", "ts") / F.count("x").over(W.partitionBy("feature", "ts"))).select("symbol", "ts", "feature", "pr")
     a, b = long.alias("a"), long.alias("b")
     met = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.ts") == F.col("b.ts")) & (F.col("a.feature") < F.col("b.feature")))
-    return met.groupBy(F.col("a.feature").alias("feature_a"), F.col("b.feature").alias("feature_b")).agg(F.corr("a.pr", "b.pr").alias("rho"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    return met.groupBy(F.col("a.feature").alias("feature_a"), F.col("b.feature").alias("feature_b")).agg(correlation("a.pr", "b.pr").alias("rho"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def families(ordered: list[str], pairs: DataFrame, limit: float = 0.8) -> dict[str, str]:

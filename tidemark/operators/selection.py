@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.functions.windows import percent_rank
+from tidemark.functions.windows import average_rank, correlation, percent_rank
 
 
 def by_score(score: str = "score", *per: str) -> W:
@@ -87,10 +87,8 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def score_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per date: rank correlation of two scores over the shared names."""
-    from tidemark.functions.windows import average_rank
-
     met = a.select("ts", "symbol", F.col("score").alias("x")).join(b.select("ts", "symbol", F.col("score").alias("y")), ["ts", "symbol"]).filter("x IS NOT NULL AND y IS NOT NULL")
-    return met.withColumns({"rx": average_rank("x"), "ry": average_rank("y")}).groupBy("ts").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    return met.withColumns({"rx": average_rank("x"), "ry": average_rank("y")}).groupBy("ts").agg(correlation("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def tie_report(scored: DataFrame, n: int = 3) -> DataFrame:
