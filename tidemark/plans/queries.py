@@ -125,13 +125,13 @@ def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.universe_hash(trade_bars(spark, sf_dir).select("symbol"))
 
 
-@register("k07_upsert_tail", S.query("SELECT symbol, ts, " + S.rounded({"close": "close"}) + " FROM bars WHERE symbol <> 'Brand#11'"))
+@register("k07_upsert_tail", S.query("SELECT symbol, ts, close FROM bars WHERE symbol <> 'Brand#11'"))
 def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = trade_bars(spark, sf_dir).filter("symbol <> 'Brand#11'").select("symbol", "ts", "close")
     cal = sessions(new)
     last = cal.agg(F.max("session_idx").alias("last"))
     old = trade_bars(spark, sf_dir).select("symbol", "ts", "close").join(F.broadcast(cal.join(F.broadcast(last), F.col("session_idx") <= F.col("last") - 8).select("ts")), "ts").select("symbol", "ts", F.when(F.col("ts") >= "2001-08-01", F.col("close") + 1).otherwise(F.col("close")).alias("close"))
-    return panel.upsert_tail(old, new, cal, 20).select("symbol", "ts", r("close").alias("close"))
+    return panel.upsert_tail(old, new, cal, 20).select("symbol", "ts", "close")
 
 
 # --- windows and ranks ---------------------------------------------------------------------------
@@ -245,10 +245,10 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("share", r(F.col("n") / F.sum("n").over(W.partitionBy()))).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-@register("a06_grouping_sets", "SELECT o_orderstatus AS status, year(o_orderdate)::INT AS year, count(*) AS n, " + S.rounded({"mean": "avg(o_totalprice)"}, 4) + " FROM orders GROUP BY GROUPING SETS ((o_orderstatus, year(o_orderdate)), (o_orderstatus), ())")
+@register("a06_grouping_sets", "SELECT o_orderstatus AS status, year(o_orderdate)::INT AS year, count(*) AS n, " + S.rounded({"log_mean": "ln(avg(o_totalprice))"}, 8) + " FROM orders GROUP BY GROUPING SETS ((o_orderstatus, year(o_orderdate)), (o_orderstatus), ())")
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), "o_totalprice")
-    return o.groupingSets([["status", "year"], ["status"], []], "status", "year").agg(F.count("*").alias("n"), r(F.avg("o_totalprice"), 4).alias("mean"))
+    return o.groupingSets([["status", "year"], ["status"], []], "status", "year").agg(F.count("*").alias("n"), r(F.ln(F.avg("o_totalprice")), 8).alias("log_mean"))
 
 
 @register("a10_tail_share", S.query("SELECT symbol, round(sum(CASE WHEN i <= greatest(floor(n * 0.05), 1) THEN outcome END) / nullif(sum(outcome), 0), 4) + 0.0 AS tail_share, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY outcome DESC, ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM scored WHERE outcome IS NOT NULL) GROUP BY symbol", _SCORED))
