@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import html, jaccard, language, lmscore, packing, pieces, private, quality, sharding, topk
+from collections.abc import Callable
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import html, jaccard, language, lmscore, packing, pieces, private, quality, sharding, sql, topk
+from tidemark.llm.shared import small_batches
+
+_OPERATORS = {
     "op1_pseudonyms": private.op1_pseudonyms,
     "op2_packing": packing.op2_packing,
     "op3_quality_rules": quality.op3_quality_rules,
@@ -17,5 +22,12 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 
+
+def _query(operator: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(small_batches(spark), sf_dir)
+
+
+QUERIES = {name: _query(f) for name, f in _OPERATORS.items()}
+
 #: The others need a trained model, a tokeniser, a parser or checksums, which this SQL does not have.
-ORACLE_SQL: dict[str, str] = {"op7_exact_topk": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_topk": topk.SQL, "op8_jaccard_join": sql.JACCARD_JOIN}
