@@ -17,6 +17,14 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """Sends fewer rows to Python at once, where the session has no setting of its own: whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+    return spark
+
+
 class Tables:
     """Names tables of one run, and removes those that are no longer read."""
 
