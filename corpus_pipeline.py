@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, language, packing, private, quality
-from tidemark.llm.shared import Tables
+from tidemark.llm.shared import Tables, small_batches
 
 #: The stages hold trained models, a tokeniser and keyed pseudonyms; SQL cannot express them.
 ORACLE_SQL: str | None = None
@@ -30,18 +30,21 @@ def _judged(docs: DataFrame, judge: Callable[[DataFrame, list[str], str], DataFr
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the base rules or the classifier."""
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _judged(docs, lambda plain, carry, text: quality.score(plain, model, carry, column=text), "kept")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and those whose language is not clear."""
+    small_batches(spark)
     model = language.train(docs)
     return _judged(docs, lambda plain, carry, text: language.predict(plain, model, carry, column=text), f"lang_pred <> '{language.UNKNOWN}' AND score >= {language.KEEP}")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; rows without an id are in no group."""
+    small_batches(spark)
     tables = Tables(spark)
     kept = tables.write("kept", jaccard.join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")))
     rows, ids = kept.count(), kept.distinct()
@@ -54,6 +57,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts."""
+    small_batches(spark)
     names = docs.columns
     hidden = private.pseudonymise(docs.toDF(*(n if n == "text" else f"c{k}" for k, n in enumerate(names))))
     back = hidden.select(*(F.col("text" if n == "text" else f"c{k}").alias(n) for k, n in enumerate(names)))
@@ -62,6 +66,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
