@@ -36,7 +36,8 @@ WIDTH = 5
 _TIMES, _OVER = 7, 3
 _TEXT_BITS = 14
 _TOKEN_BITS = 64 - _TEXT_BITS
-_BITMAP = 512
+#: A set's parity bitmap has a power of two of bits, at least this many and at least twice its n-grams.
+_BITMAP = 128
 #: Lists up to this length give all their pairs at once.
 SHORT = 6
 #: The commonest n-grams that are put last, as many at most; those seen less often are left in place.
@@ -78,7 +79,7 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, int, TextBlock]]:
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams that several texts of about thirty megabytes hold, with their number of texts."""
+    """N-grams that several texts of about fifteen megabytes hold, with their number of texts."""
 
     def count() -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -89,7 +90,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, block in _blocks(batch.column(0)):
             held.append(sets(block)[0])
-            if sum(map(len, held)) > 1 << 22:
+            if sum(map(len, held)) > 1 << 21:
                 yield count()
                 held.clear()
     if held:
@@ -120,8 +121,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 start = np.cumsum(n) - n
                 mixed = fmix(token.astype(np.uint64))
                 f1, f2 = (_sums(x, start, n) for x in (mixed, fmix(mixed * np.uint64(0xA24BAED4963EE407))))
-                bits = np.bincount(owner * _BITMAP + (token & (_BITMAP - 1)), minlength=block.n * _BITMAP) & 1
-                bitmap = np.packbits(bits.astype(np.uint8).reshape(block.n, _BITMAP), 1).view(np.int64)
+                bits, edges = bitmaps(token, owner, n)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                     rank = np.where(hot[at] == token, hot_rank[at], 0)
@@ -130,12 +130,25 @@ def signatures(docs: DataFrame) -> DataFrame:
                 edge = np.append(0, np.cumsum(size))
                 pick = np.repeat(start - edge[:-1], size) + np.arange(edge[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(token[pick]))
-                words = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * (_BITMAP // 64)), pa.array(bitmap.reshape(-1)))
+                words = pa.ListArray.from_arrays(pa.array(edges), pa.array(bits))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n.astype(np.int32)), pa.array(f1), pa.array(f2), prefix, words], ["doc_id", "n", "f1", "f2", "prefix", "bitmap"])
 
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, prefix array<long>, bitmap array<long>")
 
 
+def bitmaps(token: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of all sets, in 64-bit words one after the other, and where each begins.
+
+    Bit j says whether an odd number of the set's n-grams fall on j.  Two sets differ by at
+    least as many n-grams as their bitmaps differ by bits.  A bitmap is folded to half its size
+    by adding its halves, so sets of different bitmap sizes compare as well.
+    """
+    size = np.maximum(_BITMAP, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    edge = np.append(0, np.cumsum(size))
+    bits = np.bincount(edge[owner] + (token & (size[owner] - 1)), minlength=edge[-1]) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64), (edge // 64).astype(np.int32)
+
+
 def _sums(x: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = np.append(np.uint64(0), np.cumsum(x))
     return (total[start + n] - total[start]).view(np.int64)
@@ -206,15 +219,13 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     kept = 0
-    for begin, end in zip(edge, np.append(edge[1:], len(token)), strict=True):
+    for begin, end in zip(edge, np.append(edge, len(token))[1:], strict=True):
         if label[begin] == label[end - 1]:
             continue
         # Labels are in order, so each member is paired with what comes after its own component's part.
         after = begin + np.searchsorted(label[begin:end], label[begin:end], "right")
-        # A member whose place leaves no room even for the best partner is passed over.
-        open_ = begin + np.flatnonzero(_room(n[begin:end], pos[begin:end], np.maximum(1, (3 * n[begin:end]) // 4), np.zeros(end - begin, np.int64)))
-        for i in open_:
-            j = open_[np.searchsorted(open_, after[i - begin]) :]
+        for i in range(begin, end):
+            j = np.arange(after[i - begin], end)
             j = j[_room(n[i], pos[i], n[j], pos[j])]
             if len(j):
                 held.append((np.full(len(j), node[i]), node[j]))
@@ -227,17 +238,32 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[begin : begin + (1 << 16)]), pa.array(b[begin : begin + (1 << 16)])], ["a", "b"])
 
 
+def _size_filter() -> Column:
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    return _TIMES * least >= _OVER * (least + most)
+
+
+def _folded(bits: str, other: str) -> Column:
+    """A bitmap in the size of the other one, where that is half its own."""
+    half = F.size(other)
+    folded = F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > half, folded).otherwise(F.col(bits))
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds the sizes and the most overlap that the parity bitmaps allow, and leaves out what cannot be linked."""
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
-    apart: Column = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(_BITMAP // 64)), F.lit(0))
+    a, b = _folded("bits_a", "bits_b"), _folded("bits_b", "bits_a")
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
-    return pairs.join(one, "a").join(two, "b").withColumn("most", F.least(most, "na", "nb")).filter(_TIMES * F.col("most") >= _OVER * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "most")
+    # Sets whose sizes alone allow a link differ by one folding at most.
+    pairs = pairs.filter("a <> b")
+    return pairs.join(one, "a").join(two, "b").filter(_size_filter()).withColumn("most", F.least(most, "na", "nb")).filter(_TIMES * F.col("most") >= _OVER * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "most")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, hub, tokens) of the classes in ``wanted`` (rep, f1, hub), from the texts."""
+    """(rep, hub, na, nb, tokens) of the classes in ``wanted`` (rep, f1, hub, na, nb), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,11 +276,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 right = pa.array(f1 == np.asarray(batch.column(2))[begin:end])
                 tokens = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(token))
                 part = lambda k: batch.column(k).slice(begin, end - begin)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([part(0), part(3), tokens], ["rep", "hub", "tokens"]).filter(right)
+                yield pa.RecordBatch.from_arrays([part(0), *map(part, (3, 4, 5)), tokens], ["rep", "hub", "na", "nb", "tokens"]).filter(right)
 
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    return texts.select("rep", "text", "f1", "hub").mapInArrow(run, "rep long, hub long, tokens array<long>")
+    return texts.select("rep", "text", "f1", "hub", "na", "nb").mapInArrow(run, "rep long, hub long, na int, nb int, tokens array<long>")
 
 
 def _linked(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -290,10 +316,10 @@ def join(docs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "na", "nb", "most").unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.col("nb").alias("na"), F.col("na").alias("nb"), "most"))
     nearness = F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))
     best = tables.write("best", ends.groupBy("rep").agg(F.max(F.struct(nearness, -F.col("hub"), "hub", "na", "nb")).alias("best")).select("rep", "best.hub", "best.na", "best.nb"))
-    wanted = best.join(small.select("rep", "f1"), "rep").select("rep", "f1", "hub")
+    wanted = best.join(small.select("rep", "f1"), "rep").select("rep", "f1", "hub", "na", "nb")
     held = tables.write("held", _sets_of(docs, wanted))
     hubs = held.join(best.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("tokens").alias("tokens_b"))
-    near = held.join(hubs, "hub").join(best.select("rep", "na", "nb"), "rep")
+    near = held.join(hubs, "hub")
     overlap = F.size(F.array_intersect("tokens", "tokens_b"))
     links = tables.write("links", near.filter(_TIMES * overlap >= _OVER * (F.col("na") + F.col("nb"))).select(F.col("rep").alias("u"), F.col("hub").alias("v")))
     label = tables.write("label", components(links, tables, "first"))
@@ -306,7 +332,7 @@ def join(docs: DataFrame) -> DataFrame:
     rest = pairs.select("a", "b", "na", "nb").unionByName(_bounded(across, small).select("a", "b", "na", "nb"))
     rest = tables.write("rest", rest.distinct().join(a, "a", "left").join(b, "b", "left").filter(own("a") != own("b")).select("a", "b", "na", "nb"))
     ids = rest.select(F.col("a").alias("rep")).unionByName(rest.select(F.col("b").alias("rep"))).distinct()
-    some = tables.write("some", _sets_of(docs, ids.join(small.select("rep", "f1"), "rep").select("rep", "f1", F.lit(None).cast("long").alias("hub"))))
+    some = tables.write("some", _sets_of(docs, ids.join(small.select("rep", "f1"), "rep").select("rep", "f1", F.lit(None).cast("long").alias("hub"), F.lit(0).alias("na"), F.lit(0).alias("nb"))))
     sides = [some.select(F.col("rep").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in ("a", "b")]
     more = tables.write("more", _linked(rest, *sides))
     final = tables.write("final", components(links.unionByName(more), tables, "last"))
