@@ -24,7 +24,7 @@ from tidemark.llm.textblock import plain
 LENGTH = 1024
 #: Pieces in a group, as expected at most.
 GROUP = 4096
-MOST_CUTS = 1_000_000
+MOST_CUTS = 500_000
 _CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
@@ -158,6 +158,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group: int
     keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", salt), F.lit(groups)))
 
     def fill(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
+        _tokenizers.clear()  # by now this worker's tables have done their part
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(rows["length"].tolist(), length)
         return rows.assign(sequence_id=[key[0] << 32 | b for b in bins], offset=offsets).drop(columns="pack_group")
