@@ -211,22 +211,47 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(m), bool)), pa.array(token[m]), pa.array(node[m]), pa.array(n[m].astype(np.int32)), pa.array(pos[m].astype(np.int32))], ["long_list", "a", "b", "n", "pos"])
 
 
+def _apart(values: np.ndarray, start: np.ndarray, width: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmap i and those of j differ, the larger of two sizes folded."""
+    out = np.zeros(len(j), np.int64)
+    own = values[start[i] : start[i] + width[i]]
+    for size in np.unique(width[j]):
+        at = np.flatnonzero(width[j] == size)
+        other = values[start[j[at]][:, None] + np.arange(size)]
+        mine = own
+        while len(mine) > size:
+            mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+        while other.shape[1] > len(mine):
+            other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
+        out[at] = np.bitwise_count(other ^ mine).sum(1)
+    return out
+
+
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block: pairs of long lists whose classes lie in different components so far."""
-    token, node, n, pos, label = _gather(batches, 5)
+    """Of one block: pairs of long lists whose classes lie in different components so far, within all bounds."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts).combine_chunks()
+    token, node, n, pos, label = (np.asarray(table.column(k).chunk(0)) for k in range(5))
+    lists = table.column(5).chunk(0)
+    values = np.asarray(lists.flatten()).view(np.uint64)
+    width = np.asarray(lists.value_lengths()).astype(np.int64)
+    start = np.cumsum(width) - width
     order = np.lexsort((node, label, token))
-    token, node, n, pos, label = token[order], node[order], n[order], pos[order], label[order]
-    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    token, node, n, pos, label, width, start = (x[order] for x in (token, node, n.astype(np.int64), pos, label, width, start))
+    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     kept = 0
     for begin, end in zip(edge, np.append(edge, len(token))[1:], strict=True):
-        if label[begin] == label[end - 1]:
-            continue
         # Labels are in order, so each member is paired with what comes after its own component's part.
         after = begin + np.searchsorted(label[begin:end], label[begin:end], "right")
         for i in range(begin, end):
             j = np.arange(after[i - begin], end)
             j = j[_room(n[i], pos[i], n[j], pos[j])]
+            if len(j):
+                most = np.minimum((n[i] + n[j] - _apart(values, start, width, i, j)) // 2, np.minimum(n[i], n[j]))
+                j = j[_TIMES * most >= _OVER * (n[i] + n[j])]
             if len(j):
                 held.append((np.full(len(j), node[i]), node[j]))
                 kept += len(j)
@@ -328,6 +353,9 @@ def join(docs: DataFrame) -> DataFrame:
     a, b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
     own = lambda x: F.coalesce(f"label_{x}", x)
     lists = met.filter("long_list").select(F.col("a").alias("token"), F.col("b").alias("a"), "n", "pos").join(a, "a", "left").select("token", F.col("a").alias("node"), "n", "pos", own("a").alias("label"))
+    # A list whose members are all of one component has nothing left to say.
+    mixed = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    lists = lists.join(mixed, "token", "left_semi").join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "node", "n", "pos", "label", "bitmap")
     across = lists.repartition("token").mapInArrow(_cross_pairs, "a long, b long").distinct()
     rest = pairs.select("a", "b", "na", "nb").unionByName(_bounded(across, small).select("a", "b", "na", "nb"))
     rest = tables.write("rest", rest.distinct().join(a, "a", "left").join(b, "b", "left").filter(own("a") != own("b")).select("a", "b", "na", "nb"))
