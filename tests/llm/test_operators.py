@@ -212,6 +212,49 @@ def test_lm_score_prefers_what_is_like_the_target(spark):
     assert lmscore.score(docs.limit(0), empty, ["doc_id"]).count() == 0
 
 
+def slow_losses(texts, good, halves):
+    """Losses per token of every text under exact bigram models of the other half."""
+    split = [[w for w in re.split(r"[\x20\x09-\x0d]+", (t or "").translate(LOWER)) if w] for t in texts]
+    size = len({w for s in split for w in s})
+    models = {}
+    for h in (0, 1):
+        use = [[s for s, own, g in zip(split, halves, good, strict=True) if own == h and (g or not target)] for target in (True, False)]
+        mass = [sum(map(len, part)) for part in use]
+        for k, part in enumerate(use):
+            scale = mass[0] / max(mass[1], 1) if k else 1
+            words = collections.Counter(w for s in part for w in s)
+            pairs = collections.Counter(p for s in part for p in zip([None, *s], s))  # noqa: B905
+            contexts = collections.Counter(c for s in part for c in [None, *s][: len(s)])
+            models[h, k] = scale, words, pairs, contexts, mass[k] * scale
+    out = []
+    for s, h in zip(split, halves, strict=True):
+        row = []
+        for k in (0, 1):
+            scale, words, pairs, contexts, mass = models[1 - h, k]
+            u = {w: (words[w] * scale + 0.5) / (mass + 0.5 * size) for w in s}
+            row.append(-np.mean([np.log((pairs[c, w] * scale + 8 * u[w]) / (contexts[c] * scale + 8)) for c, w in zip([None, *s], s)]) if s else None)  # noqa: B905
+        out.append((len(s), *row))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 18])
+def test_lm_losses_equal_exact_counts(spark, monkeypatch, hot):
+    """More words than any fixed vocabulary, and whatever part of the tables is sent to the executors."""
+    monkeypatch.setattr(lmscore, "HOT_WORDS", hot)
+    monkeypatch.setattr(lmscore, "HOT_PAIRS", hot)
+    rng = random.Random(12)
+    texts = [*TRICKY, *(prose(k % 50, 60) for k in range(100)), *(" ".join(f"w{rng.randint(0, 200_000)}" for _ in range(4000)) for _ in range(40))]
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)])
+    good = [k % 3 == 0 for k in range(len(texts))]
+    models = lmscore.train(docs, spark.createDataFrame([(k,) for k, g in enumerate(good) if g], "doc_id long"))
+    halves = [r[0] for r in docs.orderBy("doc_id").select(lmscore.half()).collect()]
+    got = lmscore.score(docs, models, ["doc_id", "lang"]).orderBy("doc_id").collect()
+    want = slow_losses(texts, good, halves)
+    assert [(r["doc_id"], r["lang"], r["n_tokens"]) for r in got] == [(k, "en", w[0]) for k, w in enumerate(want)]
+    for r, (n, target, background) in zip(got, want, strict=True):
+        assert (r["score"] is None) if not n else np.allclose([r["target_loss"], r["background_loss"], r["score"]], [target, background, target - background], atol=1e-8)
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body>

@@ -1,16 +1,22 @@
 """Cross-entropy difference between two n-gram models.
 
-Both models are bigram models over words in lower case with one shared vocabulary: the
-``VOCABULARY`` commonest words of all documents, and one unknown word.  The background model
-counts all documents, the target model those labelled as good; background counts are scaled
-to the target's total, so that the smoothing of the two is matched.  A document's score is
-its loss per token under the target less that under the background: the lower, the more like
+Both models are bigram models over all words of all documents, in lower case.  The background
+model counts all documents, the target model those labelled as good; background counts are
+scaled to the target's total, so that the smoothing of the two is matched.  A document's score
+is its loss per token under the target less that under the background: the lower, the more like
 the target it is.  Documents fall into two halves by a hash of the id, and each is scored with
 models counted on the other half, so that no document is scored by counts of its own.
 
-Words and pairs are counted where the texts are read and merged by a keyed sum.  Pair counts
-live in a table of fixed size indexed by a hash of the pair, so the model that is sent to
-the executors has a size that does not depend on the data.
+Words and (context, word) pairs are counted exactly, in tables that grow with the documents:
+partial counts where the texts are read, then a keyed sum.  With u the unigram model, c the
+context's count, n the pair's and s the smoothing, a token's loss is
+
+    -log((n + s * u) / (c + s)) = -log(s * u) + log(c + s) - log(1 + n / (s * u)),
+
+a part of the word, one of the context and, where the other half has the pair, one of the pair.
+So only pairs that both halves have are kept.  The commonest words and pairs are sent to the
+executors; each document's other words and pairs are joined to the tables.  Losses are added in
+units of 2 ** -30, so their sums do not depend on the order.
 """
 
 from __future__ import annotations
@@ -20,144 +26,218 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import Tables
 from tidemark.llm.textblock import TextBlock, blocks, fmix
 
-VOCABULARY = (1 << 16) - 1
-SLOTS = 1 << 20
 #: Weight of the unigram model in a bigram's context, in counts.
 SMOOTH = 8.0
 #: Labels are sent to the executors only up to this number of rows.
 MOST_LABELS = 2_000_000
-#: Distinct words that a task keeps before it passes their counts on.
-_KEEP = 1 << 21
-
-
-def _tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and its text."""
+#: Words and pairs that are sent to the executors, at most; the others are joined, with the same result.
+HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 19
+#: Tokens that a task counts before it passes the counts on.
+_KEEP = 1 << 20
+UNIT = float(1 << 30)
+#: The context of a text's first word, and what stands for the context of rows that are no pair.
+START, AS_WORD, AS_CONTEXT, HEADER = 0, 1, 2, 3
+#: Target and background counts of each half.
+_COUNTS = ["t0", "t1", "b0", "b1"]
+_ENDS = [f"last_{c}" for c in _COUNTS]
+
+
+def _tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, that of the word before it, its text, and whether it is the text's last."""
     low = block.lowered()
     starts, ends = low.words()
-    return low.hashes(starts, ends), low.text_of(starts)
+    word, owner = low.hashes(starts, ends), low.text_of(starts)
+    first = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+    before = np.zeros_like(word)
+    before[1:] = word[:-1]
+    before[first] = START
+    return word, before, owner, np.append(first[1:], True)[: len(owner)]
+
+
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return fmix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _groups(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins; equal ones that are not side by side give two groups."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in columns:
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
+    return np.flatnonzero(new)
+
+
+def _count(pairs: bool):
+    """Partial counts of the words, or of the pairs, of (text, good, half)."""
+    names = ["context", "word", *_COUNTS] if pairs else ["word", *_COUNTS, *_ENDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            word, before, last, kind = (np.concatenate([h[k] for h in held]) for k in range(4))
+            held.clear()
+            order = np.argsort(_mixed(before, word) if pairs else word)
+            at = _groups(order, before, word) if pairs else _groups(order, word)
+            kind, last = kind[order], last[order]
+            add = lambda use: pa.array(np.add.reduceat(use.astype(np.int64), at))
+            # A kind is the half, and 2 more where the text is good.
+            use = [kind == 2, kind == 3, (kind & 1) == 0, (kind & 1) == 1]
+            key = ([_signed(before[order][at])] if pairs else []) + [_signed(word[order][at])]
+            table = pa.RecordBatch.from_arrays(key + [add(u) for u in use] + ([] if pairs else [add(u & last) for u in use]), names)
+            for begin in range(0, table.num_rows, 1 << 16):
+                yield table.slice(begin, 1 << 16)
+
+        total = 0
+        for batch in batches:
+            kinds = np.asarray(batch.column(2)).astype(np.int8) + 2 * batch.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
+            for begin, end, block in blocks(batch.column(0)):
+                word, before, owner, last = _tokens(block)
+                if len(word):
+                    held.append((word, before, last, kinds[begin:end][owner]))
+                    total += len(word)
+                if total > _KEEP:
+                    yield from flush()
+                    total = 0
+        if held:
+            yield from flush()
+
+    return run, names
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _counted(flagged: DataFrame, pairs: bool) -> DataFrame:
+    run, names = _count(pairs)
+    keys = [n for n in names if n in ("context", "word")]
+    rows = flagged.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names if n not in keys))
 
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
 
-    for batch in batches:
-        for _, _, block in blocks(batch.column(0), 1 << 21):
-            own, n = np.unique(_tokens(block)[0], return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > _KEEP:
-                yield flush()
-                keys, counts = keys[:0], counts[:0]
-    if len(keys):
-        yield flush()
+def _threshold(table: DataFrame, most: int) -> float:
+    """The least count n such that no more than ``most`` rows have it, as a quarter power of two."""
+    size = F.floor(4 * F.log2(F.col("b0") + F.col("b1")))
+    steps = sorted(table.groupBy(size.alias("step")).count().collect(), reverse=True)  # a few hundred rows
+    total, step = 0, 1 << 10
+    for r in steps:
+        total += r["count"]
+        if total > most:
+            break
+        step = r["step"]
+    return step
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the commonest words of all documents; ties go to the smaller hash."""
-    words = docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    return np.sort(np.asarray(top["word"].combine_chunks(), np.int64).view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
+def _hot(step: int) -> Column:
+    return F.floor(4 * F.log2(F.col("b0") + F.col("b1"))) >= step
 
 
-def _ids(vocab: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place in the vocabulary; its length for an unknown word."""
-    if not len(vocab):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
-    return np.where(vocab[at] == hashes, at, len(vocab))
+@dataclass
+class Law:
+    """What the two models of each half share: the number of words and the halves' totals."""
+
+    size: int
+    mass: dict[str, float]
+
+    def scale(self, name: str) -> float:
+        return self.mass[f"t{name[1]}"] / max(self.mass[f"b{name[1]}"], 1) if name[0] == "b" else 1.0
+
+    def unigram(self, name: str, prefix: str = "") -> Column:
+        """``name`` is the counted model and half."""
+        return (F.col(prefix + name) * self.scale(name) + 0.5) / (self.mass[name] * self.scale(name) + 0.5 * self.size)
+
+    def of_word(self, name: str) -> Column:
+        return -F.log(SMOOTH * self.unigram(name))
+
+    def of_context(self, name: str) -> Column:
+        return F.log((F.col(name) - F.col(f"last_{name}")) * self.scale(name) + SMOOTH)
+
+    def of_pair(self, name: str) -> Column:
+        return -F.log1p(F.col(name) * self.scale(name) / (SMOOTH * self.unigram(name, "word_")))
+
 
+#: Loss parts by model and a document's own half: each is of the other half's counts.
+_PARTS = {"l_t0": "t1", "l_t1": "t0", "l_b0": "b1", "l_b1": "b0"}
 
-def _pairs(ids: np.ndarray, owner: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context of each token (``start`` before the first of a text) and the slot of the pair."""
-    before = np.empty_like(ids)
-    before[:1] = start
-    before[1:] = np.where(owner[1:] == owner[:-1], ids[:-1], start)
-    code = before.astype(np.uint64) * np.uint64(1 << 20) + ids.astype(np.uint64)
-    return before, (fmix(code) % np.uint64(SLOTS)).astype(np.int64)
+
+def _units(part) -> list[Column]:
+    return [F.rint(part(name) * UNIT).cast("long").alias(out) for out, name in _PARTS.items()]
 
 
 @dataclass
 class NgramModels:
-    vocab: np.ndarray
-    # First index: the half of the documents that was counted; second: target, scaled background.
-    words: np.ndarray  # [2, 2, V + 2] counts
-    contexts: np.ndarray  # [2, 2, V + 2]; the last column is the start of a text
-    pairs: np.ndarray  # [2, 2, SLOTS], in 32 bits
-
-    def losses(self, block: TextBlock, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of tokens and [2, n] mean loss per token under target and background; ``half`` is each text's own."""
-        hashes, owner = _tokens(block)
-        ids = _ids(self.vocab, hashes)
-        before, slot = _pairs(ids, owner, len(self.vocab) + 1)
-        n = np.bincount(owner, minlength=block.n)
-        other = 1 - half[owner]
-        out = np.zeros((2, block.n))
-        for k in (0, 1):
-            counts = self.words[:, k]
-            unigram = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
-            context = self.contexts[other, k, before]
-            # Pairs that share a slot can make it larger than the context's count; such a share is cut to one.
-            seen = np.minimum(self.pairs[other, k, slot], context)
-            p = (seen + SMOOTH * unigram[other, ids]) / (context + SMOOTH)
-            out[k] = np.bincount(owner, -np.log(p), minlength=block.n) / np.maximum(n, 1)
-        return n, out
-
-
-def half() -> F.Column:
+    words: np.ndarray  # ascending
+    word_parts: np.ndarray  # [2 (as word, as context), 4, words]
+    pairs: np.ndarray  # mixed, ascending
+    pair_keys: np.ndarray  # [2, pairs]: context, word
+    pair_parts: np.ndarray  # [4, pairs]
+    rest: DataFrame  # (context, word, parts) of the other words, as word and as context, and pairs
+
+    def hot(self) -> tuple[np.ndarray, ...]:
+        return self.words, self.word_parts, self.pairs, self.pair_keys, self.pair_parts
+
+
+def half() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)).cast("int")
 
 
+def _columns(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.array([np.asarray(table[n].combine_chunks() if table.num_rows else [], np.int64) for n in names]).reshape(len(names), -1)
+
+
 def train(docs: DataFrame, good: DataFrame) -> NgramModels:
     """Counts all documents; ``good`` has the doc_id of the target's documents."""
-    spark = docs.sparkSession
-    vocab = vocabulary(docs)
-    size = len(vocab) + 2
+    tables = Tables(docs.sparkSession)
     ids = good.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
     ids = F.broadcast(ids) if good.count() <= MOST_LABELS else ids
     flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"), half().alias("half"))
-    sent = spark.sparkContext.broadcast(vocab)
-    span = SLOTS + 2 * size  # keys of one half: pairs, words, contexts
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        table = np.zeros((2, 2, span), np.int32)
-        for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False)
-            halves = np.asarray(batch.column(2))
-            for begin, end, block in blocks(batch.column(0), 1 << 21):
-                hashes, owner = _tokens(block)
-                own = _ids(known, hashes)
-                before, slot = _pairs(own, owner, len(known) + 1)
-                for h in (0, 1):
-                    mine = halves[begin:end][owner] == h
-                    for k, use in ((0, mine & flags[begin:end][owner]), (1, mine)):
-                        at, n = np.unique(slot[use], return_counts=True)
-                        table[h, k, at] += n.astype(np.int32)
-                        table[h, k, SLOTS : SLOTS + size] += np.bincount(own[use], minlength=size).astype(np.int32)
-                        table[h, k, SLOTS + size :] += np.bincount(before[use], minlength=size).astype(np.int32)
-        for h in (0, 1):
-            at = np.flatnonzero(table[h, 1])
-            for part in np.array_split(at, max(1, len(at) >> 17)):
-                yield pa.RecordBatch.from_arrays([pa.array((part + h * span).astype(np.int32)), pa.array(table[h, 0, part].astype(np.int64)), pa.array(table[h, 1, part].astype(np.int64))], ["key", "target", "background"])
-
-    total = flagged.mapInArrow(count, "key int, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    got = total.toArrow()  # at most 2 * (SLOTS + 2 * (VOCABULARY + 2)) rows
-    both = np.zeros((2, 2, span), np.float32)
-    if got.num_rows:
-        key = np.asarray(got["key"], np.int64)
-        for k, name in ((0, "target"), (1, "background")):
-            both[key // span, k, key % span] = np.asarray(got[name], np.float32)
-    mass = both[:, :, SLOTS : SLOTS + size].astype(float).sum(2)
-    both[:, 1] *= (mass[:, 0] / np.maximum(mass[:, 1], 1)).astype(np.float32)[:, None]
-    return NgramModels(vocab, both[:, :, SLOTS : SLOTS + size].astype(float), both[:, :, SLOTS + size :].astype(float), both[:, :, :SLOTS].copy())
+    words = tables.write("words", _counted(flagged, False))
+    row = words.agg(F.count("*").alias("size"), *(F.sum(c).alias(c) for c in _COUNTS + _ENDS)).first()
+    law = Law(row["size"], {c: float(row[c] or 0) for c in _COUNTS})
+    both = _counted(flagged, True).filter("b0 > 0 AND b1 > 0")
+    pairs = tables.write("pairs", both.join(words.select("word", *(F.col(c).alias(f"word_{c}") for c in _COUNTS)), "word"))
+
+    # Each text with a word has one last word, so their number is the count of the first context.
+    step = _threshold(words, HOT_WORDS)
+    start = docs.sparkSession.createDataFrame([(START, *(row[c] or 0 for c in _ENDS), 0, 0, 0, 0)], ", ".join(f"{c} long" for c in ["word", *_COUNTS, *_ENDS]))
+    often = words.filter(_hot(step))
+    got = often.select("word", *_units(law.of_word)).toArrow()  # HOT_WORDS at most
+    context = often.unionByName(start).select("word", *_units(law.of_context)).toArrow()
+    parts = list(_PARTS)
+    key, key_context = (_columns(x, ["word"])[0].view(np.uint64) for x in (got, context))
+    hashes = np.union1d(key, key_context)
+    word_parts = np.zeros((2, 4, len(hashes)), np.int64)
+    word_parts[0][:, np.searchsorted(hashes, key)] = _columns(got, parts)
+    word_parts[1][:, np.searchsorted(hashes, key_context)] = _columns(context, parts)
+
+    pair_step = _threshold(pairs, HOT_PAIRS)
+    got = pairs.filter(_hot(pair_step)).select("context", "word", *_units(law.of_pair)).toArrow()  # HOT_PAIRS at most
+    keys = _columns(got, ["context", "word"]).view(np.uint64)
+    mixed = _mixed(keys[0], keys[1])
+    order = np.argsort(mixed)
+
+    seldom = words.filter(~_hot(step))
+    rest = pairs.filter(~_hot(pair_step)).select("context", "word", *_units(law.of_pair))
+    for kind, part in ((AS_WORD, law.of_word), (AS_CONTEXT, law.of_context)):
+        rest = rest.unionByName(seldom.select(F.lit(kind).cast("long").alias("context"), "word", *_units(part)))
+    return NgramModels(hashes, word_parts, mixed[order], keys[:, order], _columns(got, parts)[:, order], rest)
+
+
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key, and -1 where it is not there."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
 
 
 def score(docs: DataFrame, models: NgramModels, carry: list[str]) -> DataFrame:
@@ -166,20 +246,51 @@ def score(docs: DataFrame, models: NgramModels, carry: list[str]) -> DataFrame:
     A text that is null or has no word has no tokens and null losses and score.  Every row
     gives one row.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in carry)), "n_tokens long, target_loss double, background_loss double, score double"])
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    own = [docs.schema[c] for c in carry]
+    names = [f"__c{k}" for k in range(len(carry))]
+    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, own, strict=True)), "__row long, context long, word long, __n long, __tokens long, __t long, __b long"])
+    sent = docs.sparkSession.sparkContext.broadcast(models.hot())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, word_parts, pairs, pair_keys, pair_parts = sent.value
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            wanted = pa.schema([*(table.schema.field(n).with_nullable(True) for n in names), *((n, pa.int64()) for n in ("__row", "context", "word", "__n", "__tokens", "__t", "__b"))])
+            halves, rows = np.asarray(table["__half"], np.int64), np.asarray(table["__row"], np.int64)
             for begin, end, block in blocks(table["__text"]):
-                n, loss = sent.value.losses(block, np.asarray(table["__half"], np.int64)[begin:end])
-                part = table.slice(begin, end - begin)
-                none = n == 0
-                real = lambda x: pa.array(x, pa.float64(), mask=none)  # noqa: E731, B023
-                yield from pa.table({c: part[c] for c in carry} | {"n_tokens": pa.array(n, pa.int64()), "target_loss": real(loss[0]), "background_loss": real(loss[1]), "score": real(loss[0] - loss[1])}).to_batches()
-
-    return docs.select(*carry, F.col("text").alias("__text"), half().alias("__half")).mapInArrow(run, schema)
+                word, before, owner, _ = _tokens(block)
+                mine, row = halves[begin:end][owner], rows[begin:end]
+                sums = np.zeros((2, block.n), np.int64)
+                rest = []
+                as_word, as_context = _places(words, word), _places(words, before)
+                pair = _places(pairs, _mixed(before, word))
+                if len(pairs):
+                    pair = np.where((pair_keys[0][pair] == before) & (pair_keys[1][pair] == word), pair, -1)
+                for at, parts, key in ((as_word, word_parts[0], (np.full_like(word, AS_WORD), word)), (as_context, word_parts[1], (np.full_like(word, AS_CONTEXT), before)), (pair, pair_parts, (before, word))):
+                    met = at >= 0
+                    for k in (0, 1):
+                        np.add.at(sums[k], owner[met], parts[2 * k + mine[met], at[met]])
+                    rest.append((key[0][~met], key[1][~met], owner[~met]))
+                head = [table[n].combine_chunks().slice(begin, end - begin) for n in names]
+                none = np.zeros(block.n, np.int64)
+                yield pa.RecordBatch.from_arrays([*head, pa.array(row), pa.array(none + HEADER), pa.array(row), pa.array(none), pa.array(np.bincount(owner, minlength=block.n).astype(np.int64)), *map(pa.array, sums)], schema=wanted)
+                a, b, who = (np.concatenate([r[k] for r in rest]) for k in range(3))
+                order = np.argsort(fmix(_mixed(a, b) + who.astype(np.uint64)))
+                at = _groups(order, who, a, b)
+                n = np.diff(np.append(at, len(order)))
+                pick = order[at]
+                for x in range(0, len(pick), 1 << 16):
+                    p = pick[x : x + (1 << 16)]
+                    empty = pa.nulls(len(p), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(p), wanted.field(c).type) for c in names), pa.array(row[who[p]]), _signed(a[p]), _signed(b[p]), pa.array(2 * n[x : x + (1 << 16)] + halves[begin:end][who[p]]), empty, empty, empty], schema=wanted)
+
+    asked = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col("text").alias("__text"), half().alias("__half"), F.monotonically_increasing_id().alias("__row")).mapInArrow(run, schema)
+    # A pair that is in neither table has no part of its own.
+    met = asked.join(models.rest, ["context", "word"], "left").filter(F.col("l_t0").isNotNull() | (F.col("context") == HEADER))
+    part = lambda x: F.coalesce(f"__{x}", F.shiftright("__n", 1) * F.when(F.col("__n").bitwiseAND(1) == 0, F.col(f"l_{x}0")).otherwise(F.col(f"l_{x}1")))
+    added = met.select("__row", *names, "__tokens", part("t").alias("__t"), part("b").alias("__b")).groupBy("__row").agg(*(F.first(n, ignorenulls=True).alias(n) for n in names), F.max("__tokens").alias("n_tokens"), F.sum("__t").alias("__t"), F.sum("__b").alias("__b"))
+    loss = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / UNIT / F.col("n_tokens"))
+    return added.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)), "n_tokens", loss("__t").alias("target_loss"), loss("__b").alias("background_loss"), (loss("__t") - loss("__b")).alias("score"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
