@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import Tables
@@ -44,6 +45,10 @@ SHORT = 6
 HOT_MOST, HOT_LEAST, HOT_LOCAL = 1 << 17, 64, 4
 #: Document ids are sent to all executors up to this number.
 MOST_IDS = 2_000_000
+#: A list is dealt in blocks of about this many classes.
+BLOCK = 1024
+#: N-grams that so many classes of one in SAMPLE have are not gathered by n-gram; this only sets the way, never a result.
+SAMPLE, SEEN = 64, 8
 
 
 def sets(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -227,20 +232,82 @@ def _apart(values: np.ndarray, start: np.ndarray, width: np.ndarray, i: int, j:
     return out
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= MOST_IDS else table
+
+
+def _met(listed: DataFrame, tables: Tables) -> DataFrame:
+    """First pairs and long lists of all prefixes (token, node, n, pos); the longest lists stay where their rows are."""
+    seen = listed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("token").count().filter(F.col("count") >= SEEN).select("token")
+    wide = _sent(tables.write("wide", seen))
+    rest = listed.join(wide, "token", "left_anti").repartition("token").mapInArrow(_first_pairs, _BLOCK)
+    members = listed.join(wide, "token")
+    hubs = _sent(tables.write("hubs", members.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))))
+    room = _TIMES * F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos")) >= _OVER * (F.col("n") + F.col("hub.n"))
+    zero = F.lit(0).alias("n"), F.lit(0).alias("pos")
+    near = members.join(hubs, "token").filter(room & (F.col("node") != F.col("hub.node"))).select(F.lit(False).alias("long_list"), F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), *zero)
+    return rest.unionByName(near).unionByName(members.select(F.lit(True).alias("long_list"), F.col("token").alias("a"), F.col("node").alias("b"), "n", "pos"))
+
+
+def _dealt(lists: DataFrame, tables: Tables) -> DataFrame:
+    """Adds i, j and own to the lists' rows (token, node, n, pos, ...): pairs of blocks of a list in size order, and the row's own block.
+
+    A row goes to its block's pairs with those blocks whose sizes leave room for a link, given
+    its own size and place; it goes to none if there are no such blocks.  A block has about
+    ``BLOCK`` rows.
+    """
+    sizes = lists.groupBy("token", "n").agg(F.count("*").alias("_many"))
+    by = W.partitionBy("token")  # a row per size
+    sizes = sizes.withColumns({"_all": F.sum("_many").over(by), "_less": F.sum("_many").over(by.orderBy("n")) - F.col("_many")}).filter(F.col("_all") > BLOCK).drop("_all")
+    placed = lists.join(_sent(tables.write("sizes", sizes)), ["token", "n"], "left")
+    # Rows of one size are put in the order of a hash.
+    placed = placed.withColumn("own", F.coalesce(F.floor((F.col("_less") + F.pmod(F.xxhash64("node"), "_many")) / BLOCK), F.lit(0)).cast("int"))
+    ranges = placed.filter("_many IS NOT NULL").groupBy("token", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ranges = ranges.groupBy("token").agg(F.collect_list(F.struct("own", "low", "high")).alias("_blocks"))
+    placed = placed.drop("_many", "_less").join(_sent(tables.write("ranges", ranges)), "token", "left")
+    fits = lambda x: (4 * x["high"] >= 3 * F.col("n")) & (_OVER * x["low"] <= _TIMES * (F.col("n") - F.col("pos")) - _OVER * F.col("n"))
+    other = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.filter("_blocks", fits), lambda x: x["own"]))
+    placed = placed.withColumn("_other", F.explode(other))
+    return placed.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_blocks", "_other")
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Tables of whole keys, which are the first columns, of rows in the order of the keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(k)) for k in range(columns)]
+        last = np.logical_or.reduce([k != k[-1] for k in keys])
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        before = bool(held) and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(columns))
+        if cut or before:
+            done = [*held, batch.slice(0, cut)] if cut else held
+            yield pa.Table.from_batches(done)
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block: pairs of long lists whose classes lie in different components so far, within all bounds."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts).combine_chunks()
-    token, node, n, pos, label = (np.asarray(table.column(k).chunk(0)) for k in range(5))
-    lists = table.column(5).chunk(0)
+    """Pairs of long lists whose classes lie in different components so far, within all bounds; a pair of blocks at a time."""
+    for table in _keyed(batches, 3):
+        a, b = _across(table.combine_chunks())
+        for begin in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[begin : begin + (1 << 16)]), pa.array(b[begin : begin + (1 << 16)])], ["a", "b"])
+
+
+def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    token, one, two, own, node, n, pos, label = (np.asarray(table.column(k).chunk(0)) for k in range(8))
+    lists = table.column(8).chunk(0)
     values = np.asarray(lists.flatten()).view(np.uint64)
     width = np.asarray(lists.value_lengths()).astype(np.int64)
     start = np.cumsum(width) - width
-    order = np.lexsort((node, label, token))
-    token, node, n, pos, label, width, start = (x[order] for x in (token, node, n.astype(np.int64), pos, label, width, start))
-    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    order = np.lexsort((node, label, two, one, token))
+    token, one, two, own, node, n, pos, label, width, start = (x[order] for x in (token, one, two, own, node, n.astype(np.int64), pos, label, width, start))
+    edge = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     kept = 0
     for begin, end in zip(edge, np.append(edge, len(token))[1:], strict=True):
@@ -248,6 +315,8 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = begin + np.searchsorted(label[begin:end], label[begin:end], "right")
         for i in range(begin, end):
             j = np.arange(after[i - begin], end)
+            if one[i] != two[i]:
+                j = j[own[j] != own[i]]
             j = j[_room(n[i], pos[i], n[j], pos[j])]
             if len(j):
                 most = np.minimum((n[i] + n[j] - _apart(values, start, width, i, j)) // 2, np.minimum(n[i], n[j]))
@@ -258,9 +327,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kept > 1 << 20:
             held = [_distinct(held)]
             kept = len(held[0][0])
-    a, b = _distinct(held)
-    for begin in range(0, len(a), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(a[begin : begin + (1 << 16)]), pa.array(b[begin : begin + (1 << 16)])], ["a", "b"])
+    return _distinct(held)
 
 
 def _size_filter() -> Column:
@@ -332,7 +399,7 @@ def join(docs: DataFrame) -> DataFrame:
     tables.drop("signed")
 
     listed = classes.select(F.col("rep").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", "pos")
-    met = tables.write("met", listed.repartition("token").mapInArrow(_first_pairs, _BLOCK))
+    met = tables.write("met", _met(listed, tables))
     small = tables.write("small", classes.select("rep", "n", "f1", "f2", "bitmap"))
     tables.drop("classes")
     pairs = tables.write("pairs", _bounded(met.filter("NOT long_list").select("a", "b").distinct(), small))
@@ -355,8 +422,9 @@ def join(docs: DataFrame) -> DataFrame:
     lists = met.filter("long_list").select(F.col("a").alias("token"), F.col("b").alias("a"), "n", "pos").join(a, "a", "left").select("token", F.col("a").alias("node"), "n", "pos", own("a").alias("label"))
     # A list whose members are all of one component has nothing left to say.
     mixed = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    lists = lists.join(mixed, "token", "left_semi").join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "node", "n", "pos", "label", "bitmap")
-    across = lists.repartition("token").mapInArrow(_cross_pairs, "a long, b long").distinct()
+    lists = tables.write("lists", lists.join(mixed, "token", "left_semi"))
+    dealt = _dealt(lists, tables).join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "i", "j", "own", "node", "n", "pos", "label", "bitmap")
+    across = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
     rest = pairs.select("a", "b", "na", "nb").unionByName(_bounded(across, small).select("a", "b", "na", "nb"))
     rest = tables.write("rest", rest.distinct().join(a, "a", "left").join(b, "b", "left").filter(own("a") != own("b")).select("a", "b", "na", "nb"))
     ids = rest.select(F.col("a").alias("rep")).unionByName(rest.select(F.col("b").alias("rep"))).distinct()
@@ -364,7 +432,7 @@ def join(docs: DataFrame) -> DataFrame:
     sides = [some.select(F.col("rep").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in ("a", "b")]
     more = tables.write("more", _linked(rest, *sides))
     final = tables.write("final", components(links.unionByName(more), tables, "last"))
-    for name in ("met", "pairs", "held", "rest", "some", "best"):
+    for name in ("met", "wide", "hubs", "pairs", "held", "lists", "sizes", "ranges", "rest", "some", "best"):
         tables.drop(name)
 
     classed = small.select("n", "f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("class_id"))
