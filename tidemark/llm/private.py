@@ -142,12 +142,18 @@ def ssn(f: Feistel, text: str, back: bool = False) -> str | None:
             return _fill(text, f"{value:09d}")
 
 
+#: Country codes of one and two digits (all others have three), and how many digits follow some of them.
+_CODE = re.compile("1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+_NATIONAL = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "91": 10, "351": 9}
+
+
 def phone(f: Feistel, text: str, back: bool = False) -> str | None:
-    if not 8 <= len(_digits(text)) <= 15:
+    """The digits after the country code are permuted, whatever stands between them; without one, the code is that of the pattern, 1."""
+    digits = _digits(text)
+    if not 8 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", text)
-    keep = code.end() if code else 0
-    return text[:keep] + characters(f, text[keep:], f"phone {text[:keep]}", back=back)
+    code = _CODE.match(digits)[0] if text.startswith("+") else ""
+    return _fill(text, code + characters(f, digits[len(code) :], f"phone {code or '1'}", back=back))
 
 
 def ip(f: Feistel, text: str, back: bool = False) -> str | None:
@@ -210,7 +216,45 @@ _FIND: tuple[tuple[str, re.Pattern[str], Callable[..., str | None]], ...] = (
     ("ip", re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), ip),
     ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9/-]|\.[0-9])"), date),
 )
-_MAYBE = re.compile(r"[0-9@=:]")
+_MAYBE = re.compile(r"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[abpr]-")
+#: Length of an IBAN by country.
+_IBAN = dict(
+    zip(
+        "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split(),
+        map(int, "24 23 28 20 28 20 16 22 22 29 28 21 22 28 24 22 18 28 20 29 24 18 18 27 22 22 23 18 27 28 21 28 22 23 23 26 27 30 30 20 28 32 21 20 20 21 25 27 24 22 19 27 31 30 18 15 24 28 29 25 29 24 22 24 31 24 19 24 27 25 28 23 24 26 29 22 24 20".split()),
+        strict=True,
+    )
+)
+_LATER = {kind: next(p for k, p, _ in _FIND if k == kind) for kind in ("ip", "date")}
+
+
+def _iban_ends(text: str, start: int, end: int) -> list[int]:
+    """Ends of groups within a match, the likeliest first: that of the country's length, the whole match, shorter ones."""
+    ends = [end, *(k for k in range(end - 1, start, -1) if text[k] == " ")]
+    length = _IBAN.get(text[start : start + 2])
+    right = [k for k in ends if len(text[start:k].replace(" ", "")) == length]
+    return [*right, *([end] if length else ends)]
+
+
+def _phone_ends(text: str, start: int, end: int) -> list[int]:
+    """Ends of groups within a match, the likeliest first: that of the country's length, then the longest before an IP or a date, then the others."""
+    ends = [end, *(k for k in range(end - 1, start, -1) if text[k - 1] in "0123456789" and text[k] not in "0123456789)")]
+    digits = _digits(text[start:end])
+    code = _CODE.match(digits)[0] if text[start] == "+" else ""
+    right = [k for k in ends if code in _NATIONAL and len(_digits(text[start:k])) == len(code) + _NATIONAL[code]]
+    stop = end
+    for k in range(end - 1, start, -1):
+        if text[k - 1] == " ":
+            # The pattern looks at what stands before it, which is a space here.
+            later = (("ip", ip), ("date", date))
+            if any((m := _LATER[kind].match(text, k)) and check(_PLAIN, m[0]) is not None for kind, check in later):
+                stop = k - 1
+    return [*right, *(k for k in ends if k <= stop), *ends]
+
+
+#: Only says whether a value passes its check.
+_PLAIN = Feistel(b"")
+_ENDS = {"iban": _iban_ends, "phone": _phone_ends}
 
 
 class Pseudonyms:
@@ -229,13 +273,22 @@ class Pseudonyms:
             if kind == "email" and "@" not in text:
                 continue
             group = "v" if "v" in pattern.groupindex else 0
-            for m in pattern.finditer(text):
+            at = 0
+            while m := pattern.search(text, at):
                 start, end = m.span(group)
-                if any(start < e and s < end for s, e, _, _ in found):
-                    continue
-                new = self.cached(k, m[group])
-                if new is not None:
-                    found.append((start, end, kind, new))
+                at = m.end()
+                ends = _ENDS[kind](text, start, end) if kind in _ENDS else [end]
+                for end in ends:
+                    if any(start < e and s < end for s, e, _, _ in found):
+                        continue
+                    new = self.cached(k, text[start:end])
+                    if new is not None:
+                        found.append((start, end, kind, new))
+                        at = end
+                        break
+                else:
+                    # What a match has swallowed may hold a value of its own.
+                    at = start + 1 if kind in _ENDS else at
         return sorted(found)
 
     def __call__(self, text: str) -> tuple[str, list[str]]:
