@@ -2,81 +2,96 @@
 
 Documents are tokenised once, where they are read, and cut into full pieces of the sequence
 length and a remainder.  Only piece headers (a few numbers) are shuffled, into randomised
-groups of bounded expected size; each group is packed on its own by first-fit decreasing,
-with a tournament tree of bin capacities that finds the first bin with room.
+groups of documents of bounded expected size; each group is packed on its own by first-fit
+decreasing, with a tournament tree of bin capacities that finds the first bin with room.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidemark.llm.textblock import plain
 
 LENGTH = 1024
 #: Pieces in a group, as expected at most.
 GROUP = 4096
-MOST_CUTS = 500_000
-_CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 END = b"\0\0\0\0"  # id 0 after each document
+#: The byte-level split into letters, numbers, marks and white space, each with the blank before it.
+_SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-class CachedTokenizer:
-    """Token ids as little-endian 32-bit bytes.
+def by_rank(definition: str) -> tiktoken.Encoding | None:
+    """A faster encoder with the same ids, or None where the definition is not known to allow it.
 
-    The byte-level pre-tokeniser never joins a character that is not white space with white
-    space after it, so a text with no white space but blanks and line ends is cut before each
-    run of those, and the tokens of the cuts are kept in a bounded table.  Texts with other
-    white space, or with a special token's string, are tokenised whole.  Such strings get the ids
-    that ``tokenizers`` gives them by default.
+    It merges by the rank of the joint token, not by that of the pair.  Both give the same if ids
+    rise with the merges and every token comes out whole when it is encoded alone: a token's
+    part of a text is merged as it is alone, as no merge has crossed its ends.
     """
+    d = json.loads(definition)
+    model, split = d["model"], d.get("pre_tokenizer") or {}
+    vocab = model.get("vocab")
+    if model.get("type") != "BPE" or d.get("normalizer") or not isinstance(vocab, dict) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}
+    if any(t.get(k) for t in d.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    places = [vocab[m] for m in merged]
+    if places != sorted(places) or len(places) != len(set(places)) or set(vocab) != set(ByteLevel.alphabet()) | set(merged):
+        return None
+    bpe = Tokenizer.from_str(definition).model
+    if any(len(bpe.tokenize(t)) != 1 for t in vocab):
+        return None
+    # The alphabet stands for the bytes: printable ones for themselves, the others numbered from 256 on.
+    byte_of, extra = {}, 256
+    for byte in range(256):
+        if chr(byte) in ByteLevel.alphabet():
+            byte_of[chr(byte)] = byte
+        else:
+            byte_of[chr(extra)] = byte
+            extra += 1
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+
+class Speller:
+    """Token ids as little-endian 32-bit bytes, equal to those of ``tokenizers`` without special ids added."""
+
+    def __init__(self, definition: str, ranked: bool):
+        self.fast = by_rank(definition) if ranked else None
+        self.slow = None if self.fast else Tokenizer.from_str(definition)
+        self.special = tuple(self.fast.special_tokens_set) if self.fast else ()
 
-    def __init__(self, definition: str):
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cuts: dict[str, bytes] = {}
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.slow:
+            return [array("I", e.ids).tobytes() for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
+        # A special token's string in a text gets that token's id, as `tokenizers` does by default.
+        return [array("I", self.fast.encode(t, allowed_special="all") if any(s in t for s in self.special) else self.fast.encode_ordinary(t)).tobytes() for t in texts]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = self.cuts
-        if len(cuts) >= MOST_CUTS:
-            cuts.clear()
-        found = [None if _OTHER_SPACE.search(t) or any(s in t for s in self.special) else _CUT.findall(t) for t in texts]
-        # A letter or number is never joined with a mark after it either, so most new cuts are known stems and marks.
-        new = {c: len(c.rstrip(_MARKS)) for x in found if x is not None for c in x if c not in cuts}
-        split = {c: k for c, k in new.items() if 0 < k < len(c) and c[k - 1].isalnum()}
-        parts = [c for c in new if c not in split]
-        parts += {p for c, k in split.items() for p in (c[:k], c[k:]) if p not in cuts and p not in new}
-        for begin in range(0, len(parts), 4096):
-            part = parts[begin : begin + 4096]
-            cuts.update(zip(part, self._ids(part), strict=True))
-        for c, k in sorted(split.items(), key=lambda x: len(x[0])):
-            cuts[c] = cuts[c[:k]] + cuts[c[k:]]
-        whole = iter(self._ids([t for t, x in zip(texts, found, strict=True) if x is None]))
-        return [next(whole) if x is None else b"".join(map(cuts.__getitem__, x)) for x in found]
-
-
-_tokenizers: dict[int, CachedTokenizer] = {}
-
-
-def tokenizer(definition: str) -> CachedTokenizer:
-    """One tokeniser for each definition and worker process."""
-    key = hash(definition)
-    if key not in _tokenizers:
-        _tokenizers[key] = CachedTokenizer(definition)
-    return _tokenizers[key]
+_spellers: dict[int, Speller] = {}
+
+
+def speller(definition: str, ranked: bool) -> Speller:
+    """One for each definition and worker process; its size is that of the definition."""
+    key = hash((definition, ranked))
+    if key not in _spellers:
+        _spellers.clear()
+        _spellers[key] = Speller(definition, ranked)
+    return _spellers[key]
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -114,11 +129,12 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut_documents(docs: DataFrame, definition: str, length: int = LENGTH) -> DataFrame:
-    """One row per piece of each document: doc_id, start, length, ids_crc32, doc_tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast(definition)
+    """One row per piece of each document: doc_id, start, length, ids_crc32, doc_tokens, and a number of the document."""
+    sent = docs.sparkSession.sparkContext.broadcast((definition, by_rank(definition) is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = tokenizer(sent.value)
+        spell = speller(*sent.value)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = plain(batch.column(1))
             for begin in range(0, len(texts), 128):
@@ -128,24 +144,28 @@ def cut_documents(docs: DataFrame, definition: str, length: int = LENGTH) -> Dat
                     n = len(view) // 4
                     for s in range(0, n, length):
                         piece = view[4 * s : 4 * (s + length)]
-                        row.append(begin + k)
+                        row.append(k)
                         start.append(s)
                         size.append(len(piece) // 4)
                         crc.append(zlib.crc32(piece))
                         total.append(n)
                 long = lambda x: pa.array(x, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(long(row)), long(start), long(size), long(crc), long(total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                numbers = long([number + k for k in row])
+                number += min(128, len(texts) - begin)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 128).take(long(row)), long(start), long(size), long(crc), long(total), numbers], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}, number long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Packs all documents into sequences of at most ``length`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    A null or empty text is one token (the end).  Equal rows are separate documents.  Ties in
-    length go by doc_id and start.  An empty table gives no rows.
+    A null or empty text is one token (the end).  Equal rows, and rows without an id, are
+    separate documents: groups are drawn by a running number of the document within its task,
+    so no id, text or source makes a group large.  Ties in length go by that number and start.
+    Only doc_id and text are read, whatever other columns there are.  An empty table gives no rows.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
@@ -153,18 +173,17 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group: int
     # A token has a byte at least, so this bounds the pieces; it reads no more than lengths of texts.
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     groups = max(1, -(-(size["n"] + size["bytes"] // (2 * length)) // group))
-    # Pieces without an id would all hash alike, so these are dealt out by a running number.
-    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", salt), F.lit(groups)))
+    keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("number", F.lit(groups)), F.lit(groups)))
 
-    def fill(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
-        _tokenizers.clear()  # by now this worker's tables have done their part
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(rows["length"].tolist(), length)
-        return rows.assign(sequence_id=[key[0] << 32 | b for b in bins], offset=offsets).drop(columns="pack_group")
+    def fill(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("number", "ascending"), ("start", "ascending")])
+        bins, offsets = first_fit_decreasing(rows["length"].to_pylist(), length)
+        first = key[0].as_py() << 32
+        rows = rows.drop_columns(["pack_group", "number"])
+        return rows.append_column("sequence_id", pa.array([first | b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.groupBy("pack_group").applyInPandas(fill, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
+    return keyed.groupBy("pack_group").applyInArrow(fill, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
