@@ -13,6 +13,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import struct
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -50,6 +53,13 @@ class Feistel:
                 a = (a + sign * self._round(tweak, number, b, left)) % left
         return a * right + b
 
+    def stream(self, tweak: str, number: int, half: list[int], n: int) -> tuple[int, ...]:
+        """n numbers of 32 bits drawn from one half of the places."""
+        data = b"".join((tweak.encode(), b"\0", number.to_bytes(2, "little"), array("H", half).tobytes()))
+        seed = hashlib.blake2b(data, digest_size=64, key=self.key).digest()
+        out = seed if n <= 16 else hashlib.shake_256(seed).digest(4 * n)
+        return struct.unpack(f"<{n}I", out[: 4 * n])
+
     def below(self, value: int, size: int, tweak: str, back: bool = False) -> int:
         """Permutes the numbers below ``size`` by walking the cycle of a slightly larger domain."""
         side = 1
@@ -61,29 +71,50 @@ class Feistel:
                 return value
 
 
-#: The characters of each class are permuted among themselves.
-CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
-_CLASS = {c: s for s in CLASSES for c in s}
-_HEX = ({c: "0123456789abcdef" for c in "0123456789abcdef"}, {c: "0123456789ABCDEF" for c in "0123456789ABCDEF"})
+#: The characters of each ASCII class are permuted among themselves.
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_HEX = ("0123456789abcdef", "0123456789ABCDEF")
+
+
+@lru_cache(4096)
+def _class(c: str) -> str:
+    """The characters that ``c`` is permuted among: those of its ASCII class, else letters or digits of its kind in the same 256 code points; empty if ``c`` is neither."""
+    for s in CLASSES:
+        if c in s:
+            return s
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd":
+        return ""
+    first = ord(c) & ~255
+    return "".join(x for x in map(chr, range(first, first + 256)) if x > "\x7f" and unicodedata.category(x) == kind)
 
 
-def characters(f: Feistel, text: str, tweak: str, classes: dict[str, str] = _CLASS, back: bool = False) -> str:
-    """Permutes a string among those with the same class of character at each place."""
-    at = [k for k, c in enumerate(text) if c in classes]
+def characters(f: Feistel, text: str, tweak: str, only: str = "", back: bool = False) -> str:
+    """Permutes a string among those with the same class of character at each place.
+
+    The places are halved, and each round adds to one half, place by place, numbers drawn from the
+    other half with the key; so the work is proportional to the length.  ``only`` is the class of
+    all characters where the string is of one class, as hexadecimal ones are.
+    """
+    classes = [only or _class(c) for c in text]
+    at = [k for k, s in enumerate(classes) if len(s) > 1]
     if not at:
         return text
-    radix = [len(classes[text[k]]) for k in at]
-    middle = max(1, len(at) // 2)
-    value, left, right = 0, 1, 1
-    for n, (k, r) in enumerate(zip(at, radix, strict=True)):
-        value = value * r + classes[text[k]].index(text[k])
-        left, right = (left * r, right) if n < middle else (left, right * r)
-    frame = "".join("" if c in classes else c for c in text)
-    value = f.permute(value, left, right, f"{tweak}\0{frame}\0{'.'.join(map(str, radix))}", back)
+    radix = [len(classes[k]) for k in at]
+    value = [classes[k].index(text[k]) for k in at]
+    frame = "".join(c for c, s in zip(text, classes, strict=True) if len(s) < 2)
+    tweak = f"{tweak}\0{frame}\0{hashlib.blake2b(','.join(map(str, radix)).encode(), digest_size=8).hexdigest()}"
+    middle = len(at) // 2
+    halves = ((0, middle), (middle, len(at)))
+    sign = -1 if back else 1
+    for number in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        (begin, end), other = halves[number % 2], halves[1 - number % 2]
+        move = f.stream(tweak, number, value[slice(*other)], end - begin)
+        for k in range(begin, end):
+            value[k] = (value[k] + sign * move[k - begin]) % radix[k]
     out = list(text)
-    for k, r in zip(reversed(at), reversed(radix), strict=True):
-        value, digit = divmod(value, r)
-        out[k] = classes[text[k]][digit]
+    for k, v in zip(at, value, strict=True):
+        out[k] = classes[k][v]
     return "".join(out)
 
 
@@ -197,9 +228,9 @@ def email(f: Feistel, text: str, back: bool = False) -> str | None:
 
 
 def secret(f: Feistel, text: str, back: bool = False) -> str | None:
-    for classes in _HEX:
-        if all(c in classes for c in text):
-            return characters(f, text, "secret", classes, back)
+    for hexadecimal in _HEX:
+        if not text.strip(hexadecimal):
+            return characters(f, text, "secret", hexadecimal, back)
     return characters(f, text, "secret", back=back)
 
 
@@ -207,7 +238,7 @@ _FIND: tuple[tuple[str, re.Pattern[str], Callable[..., str | None]], ...] = (
     # Kind, pattern (its first group if it has one named `v`, else all of it), pseudonym.
     ("secret", re.compile(r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*[\"']?)(?P<v>[A-Za-z0-9+/_\-]{16,})"), secret),
     ("secret", re.compile(r"\b(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})\b"), secret),
-    ("email", re.compile(r"[^\W_](?:[\w.+%\-]*\w)?@(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,}"), email),
+    ("email", re.compile("@"), email),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     ("phone", re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"), phone),
     ("phone", re.compile(r"(?<![\w+])(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}([-.])[0-9]{3}\1[0-9]{4})(?![0-9])"), phone),
@@ -225,6 +256,8 @@ _IBAN = dict(
         strict=True,
     )
 )
+_LOCAL = re.compile(r"[\w.+%\-]")
+_HOST = re.compile(r"(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,}")
 _LATER = {kind: next(p for k, p, _ in _FIND if k == kind) for kind in ("ip", "date")}
 
 
@@ -257,38 +290,79 @@ _PLAIN = Feistel(b"")
 _ENDS = {"iban": _iban_ends, "phone": _phone_ends}
 
 
+def _address(text: str, sign: int, floor: int) -> tuple[int, int] | None:
+    """Where the mail address around the @ at ``sign`` begins and ends; it does not begin before ``floor``."""
+    start = sign
+    while start > floor and _LOCAL.match(text, start - 1):
+        start -= 1
+    while start < sign and not (text[start].isalnum()):
+        start += 1
+    host = _HOST.match(text, sign + 1)
+    if start == sign or host is None or not (text[sign - 1].isalnum() or text[sign - 1] == "_"):
+        return None
+    return start, host.end()
+
+
 class Pseudonyms:
     """Replaces what is private in a text."""
 
+    #: Longer values are not put into the table of known ones.
+    KNOWN = 200
+
     def __init__(self, key: bytes):
         self.feistel = Feistel(key)
-        self.cached = lru_cache(100_000)(lambda k, text: _FIND[k][2](self.feistel, text))
+        self.cached = lru_cache(100_000)(self.pseudonym)
+
+    def pseudonym(self, k: int, value: str) -> str | None:
+        return _FIND[k][2](self.feistel, value)
+
+    def _found(self, text: str, k: int) -> Iterator[tuple[int, int]]:
+        """Matches of one kind; the receiver may send where to go on."""
+        kind, pattern, _ = _FIND[k]
+        at = 0
+        if kind == "email":
+            # Neither part of an address holds another @, so no character is looked at twice.
+            while (sign := text.find("@", at)) >= 0:
+                span = _address(text, sign, at)
+                at = sign + 1
+                if span:
+                    yield span
+                    at = max(at, span[1])
+            return
+        group = "v" if "v" in pattern.groupindex else 0
+        while m := pattern.search(text, at):
+            again = yield m.span(group)
+            at = m.end() if again is None else again
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), in order; of overlapping finds the first kind in the list wins."""
         if not _MAYBE.search(text):
             return []
         found: list[tuple[int, int, str, str]] = []
-        for k, (kind, pattern, _) in enumerate(_FIND):
-            if kind == "email" and "@" not in text:
-                continue
-            group = "v" if "v" in pattern.groupindex else 0
-            at = 0
-            while m := pattern.search(text, at):
-                start, end = m.span(group)
-                at = m.end()
-                ends = _ENDS[kind](text, start, end) if kind in _ENDS else [end]
-                for end in ends:
-                    if any(start < e and s < end for s, e, _, _ in found):
+        taken = bytearray(len(text))
+        for k, (kind, _, _) in enumerate(_FIND):
+            matches = self._found(text, k)
+            span = next(matches, None)
+            while span:
+                start, end = span
+                again = None
+                for stop in _ENDS[kind](text, start, end) if kind in _ENDS else [end]:
+                    if taken.find(1, start, stop) >= 0:
                         continue
-                    new = self.cached(k, text[start:end])
+                    value = text[start:stop]
+                    new = (self.cached if len(value) <= self.KNOWN else self.pseudonym)(k, value)
                     if new is not None:
-                        found.append((start, end, kind, new))
-                        at = end
+                        found.append((start, stop, kind, new))
+                        taken[start:stop] = b"\1" * (stop - start)
+                        again = stop if kind in _ENDS else None
                         break
                 else:
                     # What a match has swallowed may hold a value of its own.
-                    at = start + 1 if kind in _ENDS else at
+                    again = start + 1 if kind in _ENDS else None
+                try:
+                    span = matches.send(again)
+                except StopIteration:
+                    break
         return sorted(found)
 
     def __call__(self, text: str) -> tuple[str, list[str]]:
@@ -304,8 +378,10 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """Replaces private values in the column text; adds n_private and private_kinds.
 
-    All other columns stay.  A null text stays null with no finds.  Every row gives one row;
-    a column named n_private or private_kinds in the input is replaced.
+    All other columns stay.  A null text stays null with no finds, an empty one empty.  Every row
+    gives one row: equal rows give equal rows, and an empty table gives none.  A column named
+    n_private or private_kinds in the input is replaced.  The work on a text is proportional to
+    its length, whatever it holds.
     """
     carry = [c for c in docs.columns if c not in ("n_private", "private_kinds")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in carry)), "n_private int, private_kinds string"])
