@@ -373,12 +373,12 @@ def test_pieces_equal_the_library(spark):
 def test_piece_tables_stay_bounded(monkeypatch):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    monkeypatch.setattr(pieces, "MOST_CUTS", 50)
+    monkeypatch.setattr(pieces, "MOST_CHARS", 3000)
     monkeypatch.setattr(pieces, "MOST_PAIRS", 50)
     small = pieces.PieceEncoder(model)
     text = prose(1, 300)
     n, ids, back = small(text)
-    assert back == text and len(small.cuts) <= 50 and len(small.pairs) <= 50
+    assert back == text and small.chars <= 3000 and len(small.pairs) <= 50
 
 
 # --- packing -------------------------------------------------------------------------------------

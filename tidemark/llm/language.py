@@ -18,16 +18,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from tidemark.llm.shared import beside
 from tidemark.llm.textblock import LOWER, TextBlock, blocks, plain
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
-#: Rows drawn for training, per language; windows drawn from each such row.
+#: Rows drawn for training, per language; steps of training, each on 64 windows.
 SAMPLE = 400
-SAMPLE_WINDOWS = 4
+STEPS = 1200
 UNKNOWN = "und"
 #: The pipeline rejects texts below this score, and those without a letter.
 KEEP = 0.5
@@ -83,8 +85,12 @@ def cut(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(inside, data, np.uint8(0)), owner, used.astype(float)
 
 
-def fit(data: np.ndarray, label: np.ndarray, languages: list[str], epochs: int = 12, seed: int = 5) -> ByteNet:
-    """Trains on windows [n, WINDOW] of lowered bytes."""
+def fit(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, label: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 5) -> ByteNet:
+    """Trains on texts: ``data`` has the lowered bytes, text i those from ``starts[i]``.
+
+    Each step draws texts, every language as often as any other, and a window of each, so all
+    bytes of a text can be learned from.
+    """
     rng = np.random.default_rng(seed)
     k, f = len(languages), FILTERS
     w = {"e": rng.normal(0, 0.5, (256, EMBED)), "o": rng.normal(0, 0.3, (3 * f, k)), "b": np.zeros(k)}
@@ -93,43 +99,46 @@ def fit(data: np.ndarray, label: np.ndarray, languages: list[str], epochs: int =
     w = {name: x.astype(np.float32) for name, x in w.items()}
     first = {name: np.zeros_like(x) for name, x in w.items()}
     second = {name: np.zeros_like(x) for name, x in w.items()}
-    balance = len(label) / (k * np.maximum(np.bincount(label, minlength=k), 1))
-    step = 0
-    for _ in range(epochs):
-        for pick in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
-            x, y = data[pick], label[pick]
-            n = len(x)
-            embedded = w["e"][x]
-            pools, places, views = [], [], []
-            for width in WIDTHS:
-                view = np.concatenate([embedded[:, j : WINDOW - width + 1 + j] for j in range(width)], 2)
-                z = view @ w[f"c{width}"] + w[f"d{width}"]
-                places.append(z.argmax(1))
-                pools.append(z.max(1))
-                views.append(view)
-            pooled = np.concatenate(pools, 1)
-            hidden = np.maximum(pooled, 0)
-            z = hidden @ w["o"] + w["b"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            error = z / z.sum(1, keepdims=True)
-            error[np.arange(n), y] -= 1
-            error *= (balance[y] / n)[:, None].astype(np.float32)
-            grad = {name: np.zeros_like(v) for name, v in w.items()}
-            grad["o"], grad["b"] = hidden.T @ error, error.sum(0)
-            back = (error @ w["o"].T) * (pooled > 0)
-            for i, width in enumerate(WIDTHS):
-                g, at = back[:, i * f : (i + 1) * f], places[i]
-                chosen = views[i][np.arange(n)[:, None], at]  # [n, filters, width * EMBED]
-                grad[f"c{width}"] = np.einsum("nfe,nf->ef", chosen, g)
-                grad[f"d{width}"] = g.sum(0)
-                down = (g[:, :, None] * w[f"c{width}"].T[None]).reshape(n, f, width, EMBED)
-                for j in range(width):
-                    np.add.at(grad["e"], x[np.arange(n)[:, None], at + j], down[:, :, j])
-            step += 1
-            for name in w:
-                first[name] = 0.9 * first[name] + 0.1 * grad[name]
-                second[name] = 0.99 * second[name] + 0.01 * grad[name] ** 2
-                w[name] = w[name] - np.float32(0.01) * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
+    count = np.bincount(label, minlength=k)
+    by_language, edge = np.argsort(label, kind="stable"), np.cumsum(count) - count
+    for step in range(1, steps + 1):
+        language = rng.integers(0, k, 64)
+        pick = by_language[edge[language] + (rng.random(64) * count[language]).astype(np.int64)]
+        inner = (rng.random(64) * -(-lengths[pick] // WINDOW)).astype(np.int64) * WINDOW
+        used = np.minimum(lengths[pick] - inner, WINDOW)
+        at = (starts[pick] + inner)[:, None] + np.arange(WINDOW)
+        x = np.where(np.arange(WINDOW) < used[:, None], data[np.minimum(at, len(data) - 1)], np.uint8(0))
+        y, n = label[pick], 64
+        embedded = w["e"][x]
+        pools, places, views = [], [], []
+        for width in WIDTHS:
+            view = np.concatenate([embedded[:, j : WINDOW - width + 1 + j] for j in range(width)], 2)
+            z = view @ w[f"c{width}"] + w[f"d{width}"]
+            places.append(z.argmax(1))
+            pools.append(z.max(1))
+            views.append(view)
+        pooled = np.concatenate(pools, 1)
+        hidden = np.maximum(pooled, 0)
+        z = hidden @ w["o"] + w["b"]
+        z = np.exp(z - z.max(1, keepdims=True))
+        error = z / z.sum(1, keepdims=True)
+        error[np.arange(n), y] -= 1
+        error = (error / n).astype(np.float32)
+        grad = {name: np.zeros_like(v) for name, v in w.items()}
+        grad["o"], grad["b"] = hidden.T @ error, error.sum(0)
+        back = (error @ w["o"].T) * (pooled > 0)
+        for i, width in enumerate(WIDTHS):
+            g, best = back[:, i * f : (i + 1) * f], places[i]
+            chosen = views[i][np.arange(n)[:, None], best]  # [n, filters, width * EMBED]
+            grad[f"c{width}"] = np.einsum("nfe,nf->ef", chosen, g)
+            grad[f"d{width}"] = g.sum(0)
+            down = (g[:, :, None] * w[f"c{width}"].T[None]).reshape(n, f, width, EMBED)
+            for j in range(width):
+                np.add.at(grad["e"], x[np.arange(n)[:, None], best + j], down[:, :, j])
+        for name in w:
+            first[name] = 0.9 * first[name] + 0.1 * grad[name]
+            second[name] = 0.99 * second[name] + 0.01 * grad[name] ** 2
+            w[name] = w[name] - np.float32(0.01) * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
     return _folded(w, languages)
 
 
@@ -145,65 +154,59 @@ def held_out() -> F.Column:
     return F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, most_languages: int = 64) -> ByteNet | None:
-    """Learns from at most ``sample`` rows of each of the ``most_languages`` commonest values of lang.
+def train(docs: DataFrame, sample: int = SAMPLE) -> ByteNet | None:
+    """Learns every value of lang from at most ``sample`` rows of each, drawn by a hash of id and text.
 
-    Only rows with a text, a lang and an id outside the held-out quarter are read.  None if
-    there is no such row.
+    Only rows with a text, a lang and an id outside the held-out quarter are read.  Rows alike in
+    id, lang and text count once.  None if there is no such row.
     """
     usable = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0 AND doc_id IS NOT NULL").filter(~held_out())
-    count = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not count:
+    key = usable.withColumn("draw", F.xxhash64("doc_id", "text", F.lit(11)))
+    # The least draws of each language are found where the rows lie, before any shuffle, so a large language is no large group.
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
+    small = key.select("lang", "draw", "doc_id").groupBy("lang", "draw", "doc_id").agg(F.lit(1).alias("one"))
+    drawn = small.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "draw", "doc_id")
+    # At most `sample` rows a language are sent.
+    rows = key.join(F.broadcast(drawn), ["lang", "draw", "doc_id"]).groupBy("lang", "draw", "doc_id").agg(F.first("text").alias("text"))
+    table = rows.orderBy("lang", "draw", "doc_id").select("text", "lang").toArrow()
+    if not table.num_rows:
         return None
-    # A share of each language by hash of doc_id, with room for the draw to vary; the draw is cut to `sample` below.
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * sample / r["count"]))) for r in count), F.lit(0.0))
-    drawn = usable.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))).filter(F.col("draw") < share * (1 << 20))
-    table = drawn.orderBy("draw", "doc_id").limit(2 * sample * len(count)).select("text", "lang").toArrow()
-    languages = sorted(r["lang"] for r in count)
+    langs = table["lang"].to_pylist()
+    languages = sorted(set(langs))
     index = {x: i for i, x in enumerate(languages)}
-    rng = np.random.default_rng(3)
-    data, label, seen = [], [], np.zeros(len(languages), int)
-    langs = np.array([index[x] for x in table["lang"].to_pylist()], int)
-    for begin, end, block in blocks(table["text"]):
-        windows, owner, _ = cut(block)
-        for row in range(begin, end):
-            if seen[langs[row]] < sample:
-                seen[langs[row]] += 1
-                own = np.flatnonzero(owner == row - begin)
-                own = rng.choice(own, min(len(own), SAMPLE_WINDOWS), replace=False)
-                data.append(windows[own])
-                label.append(np.full(len(own), langs[row]))
-    return fit(np.concatenate(data), np.concatenate(label), languages)
+    texts = plain(table["text"])
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = LOWER[np.frombuffer(texts.buffers()[2], np.uint8)]
+    return fit(data, offsets[:-1], np.diff(offsets), np.array([index[x] for x in langs], int), languages)
+
+
+ADDED = {"lang_pred": "string", "score": "double"}
 
 
 def predict(docs: DataFrame, model: ByteNet | None, carry: list[str], column: str = "text") -> DataFrame:
     """Adds lang_pred and score (the mean probability of that language) to the ``carry`` columns.
 
     ``und`` with score 0 where the text is null, empty, or holds no letter, or where nothing
-    was learned.  Ties go to the language first in order of its name.
+    was learned.  Ties go to the language first in order of its name.  Equal rows get equal
+    results, an empty table gives none, and a carried column with the name of an added one is
+    replaced by it.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in carry)), "lang_pred string, score double"])
-    own = column in carry  # then it need not be sent twice
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         net = sent.value
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            texts = plain(table[column if own else "__text"])
-            for begin, end, block in blocks(texts):
-                letters = np.array([_LETTER.search(t) is not None for t in texts.slice(begin, end - begin).to_pylist()], bool)
-                if net is None:
-                    names, score = [UNKNOWN] * (end - begin), np.zeros(end - begin)
-                else:
-                    p = net.texts(block)
-                    best = p.argmax(1)
-                    names = [net.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
-                    score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-                part = table.slice(begin, end - begin)
-                yield from pa.table({c: part[c] for c in carry} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())}).to_batches()
-
-    return docs.select(*carry, *([] if own else [F.col(column).alias("__text")])).mapInArrow(run, schema)
+        for begin, end, block in blocks(texts):
+            letters = np.array([_LETTER.search(t) is not None for t in texts.slice(begin, end - begin).to_pylist()], bool)
+            if net is None:
+                names, score = [UNKNOWN] * (end - begin), np.zeros(end - begin)
+            else:
+                p = net.texts(block)
+                best = p.argmax(1)
+                names = [net.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
+                score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
+            yield begin, end, [pa.array(names, pa.string()), pa.array(score, pa.float64())]
+
+    return beside(docs, carry, column, ADDED, judge)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

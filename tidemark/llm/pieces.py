@@ -25,11 +25,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.textblock import plain
+from tidemark.llm.shared import beside
 
 MARK = "\u2581"
-#: Entries of the table of cuts and of that of neighbours, each emptied when full.
-MOST_CUTS = 600_000
+#: Characters of keys and values in the table of cuts, and entries of that of neighbours; each is emptied when full.
+MOST_CHARS = 30_000_000
 MOST_PAIRS = 1_000_000
 _CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -64,6 +64,7 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cuts: dict[str, tuple[int, str, str]] = {}
+        self.chars = 0
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short text: the best-ranked adjacent pair first, the leftmost of equals."""
@@ -148,10 +149,15 @@ class PieceEncoder:
         return "".join(out)
 
     def _add(self, key: str, cut: str) -> tuple[int, str, str]:
-        if len(self.cuts) >= MOST_CUTS:
-            self.cuts.clear()
         ids = self.encode_cut(cut)
-        value = self.cuts[key] = (len(ids), ",".join(map(str, ids)), self.decode_cut(ids))
+        value = (len(ids), ",".join(map(str, ids)), self.decode_cut(ids))
+        size = len(key) + len(value[1]) + len(value[2])
+        if size <= MOST_CHARS // 100:  # a longer one will hardly come again
+            if self.chars + size > MOST_CHARS:
+                self.cuts.clear()
+                self.chars = 0
+            self.cuts[key] = value
+            self.chars += size
         return value
 
     def __call__(self, text: str) -> tuple[int, str, str]:
@@ -189,30 +195,27 @@ def encoder(model: bytes) -> PieceEncoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model_path: str, carry: list[str]) -> DataFrame:
+ADDED = {"n_tokens": "long", "ids": "string", "decoded": "string"}
+
+
+def encode(docs: DataFrame, model_path: str, carry: list[str], column: str = "text") -> DataFrame:
     """Adds n_tokens, ids (decimal, joined by commas) and decoded to the ``carry`` columns.
 
-    A null text counts as empty: no ids, an empty decoded text.  Every row gives one row.
-    The model is read on the driver and sent to the executors (its size does not depend on the data).
+    A null text counts as empty: no ids, an empty decoded text.  Every row gives one row, equal
+    rows equal ones, and an empty table none.  A carried column with the name of an added one is
+    replaced by it.  The model is read on the driver and sent to the executors (its size does not
+    depend on the data).
     """
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in carry)), "n_tokens long, ids string, decoded string"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = encoder(sent.value)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            texts = plain(table["__text"])
-            for begin in range(0, len(texts), 256):
-                rows = [spell(t) for t in texts.slice(begin, 256).to_pylist()]
-                part = table.slice(begin, 256)
-                columns = {c: part[c] for c in carry}
-                columns |= {"n_tokens": pa.array([r[0] for r in rows], pa.int64())}
-                columns |= {"ids": pa.array([r[1] for r in rows], pa.string()), "decoded": pa.array([r[2] for r in rows], pa.string())}
-                yield from pa.table(columns).to_batches()
-
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+
+    def spell(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        one = encoder(sent.value)
+        for begin in range(0, len(texts), 256):
+            rows = [one(t) for t in texts.slice(begin, 256).to_pylist()]
+            yield begin, begin + len(rows), [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+
+    return beside(docs, carry, column, ADDED, spell)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules: base statistics of the words and a calibrated hashed n-gram classifier.
 
-The classifier is a logistic regression over hashed words, word pairs and byte n-grams
-(each kind as relative frequencies), trained with numpy on a bounded sample of labelled
+The classifier is a logistic regression over hashed words, word pairs and character n-grams
+(runs of code points; each kind as relative frequencies), trained with numpy on a bounded sample of labelled
 rows and calibrated with Platt scaling on rows that training did not see.  Scoring runs
 in Arrow batches over whole texts against the fixed threshold ``KEEP``.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import beside
 from tidemark.llm.textblock import SPACE, TextBlock, _is, blocks, fmix, windows
 
 #: Rows of training and calibration together.
@@ -87,18 +88,17 @@ def feature_groups(block: TextBlock) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     same = owner[1:] == owner[:-1]
     pair = fmix(hashed[:-1] * np.uint64(0x9FB21C651E98DF25) + hashed[1:])[same]
     yield part + (pair % np.uint64(part)).astype(np.int64), owner[1:][same]
-    data = block.data.astype(np.uint32)
+    points, first = block.points()
+    n = np.diff(first)
+    text = np.repeat(np.arange(block.n), n)
+    left = np.repeat(first[1:], n) - np.arange(len(points))  # characters from here to the end of the text
     for k, width in enumerate(_GRAMS):
-        if len(data) < width:
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64)
-            continue
-        code = data[: len(data) - width + 1] * np.uint32(0x9E3779B1)
-        for j in range(1, width):
-            code = (code ^ data[j : len(data) - width + 1 + j]) * np.uint32(0x85EBCA6B)
-        at = np.arange(len(code))
-        text = np.repeat(np.arange(block.n), block.lengths)[: len(code)]
-        inside = at + width <= block.offsets[text + 1]
-        yield (2 + k) * part + ((code[inside] ^ (code[inside] >> np.uint32(15))) % np.uint32(part)).astype(np.int64), text[inside]
+        code = np.zeros(max(len(points) - width + 1, 0), np.uint32)
+        for j in range(width):
+            code = (code ^ points[j : j + len(code)]) * np.uint32(0x85EBCA6B)
+            code ^= code >> np.uint32(13)
+        inside = left[: len(code)] >= width
+        yield (2 + k) * part + ((code[inside] ^ (code[inside] >> np.uint32(15))) % np.uint32(part)).astype(np.int64), text[: len(code)][inside]
 
 
 @dataclass
@@ -212,36 +212,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     return fit(rows["text"].to_pylist(), np.asarray(rows["good"].to_pylist(), float))
 
 
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_score double, kept boolean"
+ADDED = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "quality_score": "double", "kept": "boolean"}
 
 
 def score(docs: DataFrame, model: QualityModel, carry: list[str], threshold: float = KEEP, column: str = "text") -> DataFrame:
     """Adds the statistics, the probability and the verdict to the ``carry`` columns of ``docs``.
 
     A null text counts as empty (no words: base_failed).  Rows are never merged: equal rows
-    get equal verdicts, and an empty table gives an empty result.  A carried column must not
-    have the name of an added one.
+    get equal verdicts, and an empty table gives an empty result.  A carried column with the
+    name of an added one is replaced by it.
     """
-    fields = [docs.schema[c] for c in carry]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), COLUMNS])
-    own = column in carry  # then it need not be sent twice
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = sent.value
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for begin, end, block in blocks(table[column if own else "__text"]):
-                stats = base_statistics(block)
-                failed = base_failed(stats)
-                p = judge.probability(block)
-                part = table.slice(begin, end - begin)
-                columns = {c: part[c] for c in carry}
-                columns |= {k: pa.array(v, pa.int64()) for k, v in stats.items()}
-                columns |= {"base_failed": pa.array(failed), "quality_score": pa.array(p, pa.float64()), "kept": pa.array(~failed & (p >= threshold))}
-                yield from pa.table(columns).to_batches()
-
-    return docs.select(*carry, *([] if own else [F.col(column).alias("__text")])).mapInArrow(run, schema)
+    def judge(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for begin, end, block in blocks(texts):
+            stats = base_statistics(block)
+            failed = base_failed(stats)
+            p = sent.value.probability(block)
+            counts = [pa.array(stats[c], pa.int64()) for c in list(ADDED)[:5]]
+            yield begin, end, [*counts, pa.array(failed), pa.array(p, pa.float64()), pa.array(~failed & (p >= threshold))]
+
+    return beside(docs, carry, column, ADDED, judge)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,24 @@
-"""Tables written to the folder that driver and executors share, to cut lineage between steps."""
+"""What several operators share: tables in the common folder, and columns worked out beside carried ones."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.textblock import plain
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one where none is set, as in tests on one machine."""
+    """The session's checkpoint folder; a temporary one where none is set and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tables-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,3 +47,36 @@ class Tables:
     def drop(self, name: str) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    def drop_all(self, but: str) -> None:
+        """Removes every table of the run but one."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(path):
+            for found in system.listStatus(path):
+                if found.getPath().getName() != but:
+                    system.delete(found.getPath(), True)
+
+
+def beside(docs: DataFrame, carry: list[str], column: str, added: dict[str, str], work: Callable[[pa.Array], Iterator[tuple[int, int, list[pa.Array]]]]) -> DataFrame:
+    """The ``carry`` columns with ``added`` ones that ``work`` makes of the texts in ``column``, in Arrow batches.
+
+    ``work`` gets a string array without nulls and gives (first row, last row + 1, arrays) of parts
+    in order.  Columns go by their places, so no name in ``docs`` can clash with what is used
+    here; a carried column with the name of an added one is left out for it.
+    """
+    carry = [c for c in dict.fromkeys(carry) if c not in added]
+    fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    own = column in carry  # then it need not be sent twice
+    at = carry.index(column) if own else len(carry)
+    names = [*carry, *added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, arrays in work(plain(batch.column(at))):
+                kept = [batch.column(k).slice(begin, end - begin) for k in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays], names)
+
+    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in ([*carry] if own else [*carry, column])]
+    placed = docs.select(*(q.alias(f"c{k}") for k, q in enumerate(quoted)))
+    return placed.mapInArrow(run, ", ".join([*fields, *(f"{n} {kind}" for n, kind in added.items())]))

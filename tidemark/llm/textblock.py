@@ -111,6 +111,12 @@ class TextBlock:
             out[long] = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(starts[long], ends[long], strict=True)), np.uint64, len(long))
         return out
 
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all texts, and for each text and one more where its first one is."""
+        leads = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=leads[1:])
+        return np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32), leads[self.offsets]
+
     def lowered(self) -> TextBlock:
         return TextBlock(LOWER[self.data], self.offsets)
 
