@@ -93,20 +93,21 @@ class PieceEncoder:
             at[end - length + 1].append((piece, length))  # the shortest first
         out: list[int] = []
         back: list[tuple[int, int]] = []  # of each piece taken: its length, and which shorter ones remain
-        failed = pos = 0
+        failed = bytearray((len(text) >> 3) + 1)  # a bit for each position
+        pos = 0
         left = len(at[0])
         while pos < len(text):
             while left:
                 left -= 1
                 piece, length = at[pos][left]
-                if not failed >> (pos + length) & 1 and (not out or self.compatible(out[-1], piece)):
+                if not failed[(pos + length) >> 3] >> ((pos + length) & 7) & 1 and (not out or self.compatible(out[-1], piece)):
                     out.append(piece)
                     back.append((length, left))
                     pos += length
                     left = len(at[pos]) if pos < len(text) else 0
                     break
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
                 out.pop()
