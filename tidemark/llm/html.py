@@ -340,24 +340,5 @@ def extract_pages(pages: DataFrame, carry: list[str], column: str = "html") -> D
     return beside(pages, carry, column, ADDED, read)
 
 
-def extract_pages(pages: DataFrame, carry: list[str], column: str = "html") -> DataFrame:
-    """Adds text and n_chars to the ``carry`` columns, one row per page.
-
-    A null or empty page has an empty text.  Equal pages give equal rows; nothing is merged.
-    """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (pages.schema[c] for c in carry)), "text string, n_chars long"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            html = plain(table["__html"])
-            for begin in range(0, len(html), 256):
-                texts = [extract(h) for h in html.slice(begin, 256).to_pylist()]
-                part = table.slice(begin, 256)
-                yield from pa.table([*(part[c] for c in carry), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "__text", "n_chars"]).rename_columns([*carry, "text", "n_chars"]).to_batches()
-
-    return pages.select(*carry, F.col(column).alias("__html")).mapInArrow(run, schema)
-
-
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])

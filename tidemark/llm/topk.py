@@ -1,14 +1,19 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are range-partitioned by length and cut into buckets of similar length.  A query
-carries the k-th best score it has seen (first among the longest vectors of the whole
-table).  For each bucket that score becomes a local cosine threshold: a bucket whose longest
-vector cannot reach it is skipped; with a low threshold the bucket is pruned by length (a
-prefix of it, as it is sorted), with a high one by coordinates (the feasible range of the
-query's largest coordinate).  What is left is verified by exact products.
-
-Queries are handled in chunks of bounded size, so what is broadcast does not grow with the
-data; each task returns at most k rows per query.
+Vectors are grouped by length: a bucket holds lengths within a factor of 2 ** (1 / 16), split into
+parts of bounded size.  A query first gets the k-th best score among the longest vectors of the
+whole table; that score, over the query's own length, is the least length that can still
+matter, so the query asks only the buckets from there on.  Queries are grouped by that bucket in
+the same way, and every (part of vectors, part of queries) that remains is one task's work.
+
+In a cell the k-th best score becomes a local cosine threshold for each run of vectors of similar
+length: a run whose longest vector cannot reach it is skipped; with a low threshold it is pruned
+by length (a prefix of it, as it is sorted), with a high one by coordinates (the feasible range
+of the query's largest coordinate).  What is left is verified by exact products.  A cell gives at
+most k rows per query, which are merged in two steps.
+
+Driver and broadcasts hold the longest ``SEED`` vectors and a row per length bucket, whose number
+follows the range of lengths, not the rows.
 """
 
 from __future__ import annotations
@@ -17,14 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Vectors in a bucket; queries broadcast at once; longest vectors that give the first thresholds.
+from tidemark.llm.shared import Tables
+
+#: Vectors in a run of a cell; longest vectors that give the first thresholds.
 BUCKET = 2048
-CHUNK = 20_000
 SEED = 2048
+#: Vectors and queries in a cell, as expected at most.
+VECTORS, QUERIES = 32_768, 4096
+#: Length buckets in a doubling of length, and the bucket of length 0.
+STEPS, ZERO = 16, -1
+#: Parts of the first step of merging.
+MERGE = 16
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM = 0.5
 #: Products of integers up to this bound are exact in floating point for any usual dimension.
@@ -36,7 +48,7 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
     c = F.col("embedding")
     ok = c.isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ints = F.transform(c, lambda x: F.floor(x.cast("double") * scale))
-    return vectors.filter(ok & F.col("vec_id").isNotNull()).select("vec_id", ints.alias("ints")).withColumn("norm", F.sqrt(F.aggregate("ints", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
+    return vectors.filter(ok & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("ints")).withColumn("norm", F.sqrt(F.aggregate("ints", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -66,119 +78,137 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
-class Queries:
-    """A chunk of queries with their thresholds."""
-
-    def __init__(self, number: np.ndarray, ids: np.ndarray, ints: np.ndarray, k: int):
-        self.number, self.ids, self.ints, self.k = number, ids, ints, k
-        self.norm = np.sqrt((ints.astype(float) ** 2).sum(1))
-        self.floor = np.full(len(ids), -np.inf)  # the k-th best score known of each query
-
-    def seed(self, ids: np.ndarray, ints: np.ndarray) -> None:
-        for q in range(len(self.ids)):
-            score = _products(ints, self.ints[q])[ids != self.ids[q]]
-            if len(score) >= self.k:
-                self.floor[q] = np.partition(score, len(score) - self.k)[len(score) - self.k]
-
-    def search(self, ids: np.ndarray, ints: np.ndarray, norm: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, ids, scores) of what a task's vectors may add to each query's best k."""
-        order = np.argsort(-norm, kind="stable")
-        ids, ints, norm = ids[order], ints[order], norm[order]
-        real = ints.astype(float)
-        unit = real / np.maximum(norm, 1e-300)[:, None]
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for begin in range(0, len(ids), BUCKET):
-            at = slice(begin, begin + BUCKET)
-            longest = norm[begin]
-            # Rounded outwards, so that no candidate is lost to floating point.
-            reach = self.norm * longest * (1 + 1e-9) + 1e-6
-            for q in np.flatnonzero(reach >= self.floor):
-                floor, size = self.floor[q], self.norm[q]
-                pick: np.ndarray | slice = at
-                local = floor / (size * longest) if size * longest > 0 and np.isfinite(floor) else -1.0
-                if local > COORDINATE_FROM:
-                    # Only the part of a unit vector along the query's largest coordinate is looked at.
-                    f = int(np.abs(self.ints[q]).argmax())
-                    x = self.ints[q, f] / size
-                    t = min(local, 1.0)
-                    swing = np.sqrt(max(0.0, (1 - t * t) * (1 - x * x)))
-                    low = t * x - swing if x > -t else -1.0
-                    high = t * x + swing if x < t else 1.0
-                    u = unit[at, f]
-                    pick = begin + np.flatnonzero((u >= low - 1e-9) & (u <= high + 1e-9))
-                elif local > 0:
-                    # Lengths fall along the bucket: a prefix can reach the threshold.
-                    enough = int(np.searchsorted(-norm[at], -(floor / size) * (1 - 1e-9) + 1e-9, "right"))
-                    pick = slice(begin, begin + enough)
-                score = _products(ints[pick], self.ints[q])
-                found = ids[pick]
-                use = (score >= floor) & (found != self.ids[q])
-                if not use.any():
-                    continue
-                score, found = score[use], found[use]
-                if q in kept:
-                    score, found = np.concatenate([kept[q][1], score]), np.concatenate([kept[q][0], found])
-                top = _best(score, found, self.k)
-                kept[q] = (found[top], score[top])
-                if len(top) == self.k:
-                    self.floor[q] = max(floor, score[top[-1]])
-        for q, (found, score) in kept.items():
-            yield q, found, score
+def first_floor(ids: np.ndarray, ints: np.ndarray, own: int, query: np.ndarray, k: int) -> float:
+    """The k-th best score among some vectors, without the query's own; no bound if there are fewer."""
+    score = _products(ints, query)[ids != own]
+    return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else -np.inf
+
+
+def search(ids: np.ndarray, ints: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores) of what a cell's vectors may add to each query's best k."""
+    floor = floor.copy()  # rises as the search goes on
+    norm, size = (np.sqrt((x.astype(float) ** 2).sum(1)) for x in (ints, queries))
+    order = np.argsort(-norm, kind="stable")
+    ids, ints, norm = ids[order], ints[order], norm[order]
+    unit = ints.astype(float) / np.maximum(norm, 1e-300)[:, None]
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for begin in range(0, len(ids), BUCKET):
+        at = slice(begin, begin + BUCKET)
+        longest = norm[begin]
+        # Rounded outwards, so that no candidate is lost to floating point.
+        reach = size * longest * (1 + 1e-9) + 1e-6
+        for q in np.flatnonzero(reach >= floor):
+            least = floor[q]
+            pick: np.ndarray | slice = at
+            local = least / (size[q] * longest) if size[q] * longest > 0 and np.isfinite(least) else -1.0
+            if local > COORDINATE_FROM:
+                # Only the part of a unit vector along the query's largest coordinate is looked at.
+                f = int(np.abs(queries[q]).argmax())
+                x = queries[q, f] / size[q]
+                t = min(local, 1.0)
+                swing = np.sqrt(max(0.0, (1 - t * t) * (1 - x * x)))
+                low = t * x - swing if x > -t else -1.0
+                high = t * x + swing if x < t else 1.0
+                u = unit[at, f]
+                pick = begin + np.flatnonzero((u >= low - 1e-9) & (u <= high + 1e-9))
+            elif local > 0:
+                # Lengths fall along the run: a prefix can reach the threshold.
+                enough = int(np.searchsorted(-norm[at], -(least / size[q]) * (1 - 1e-9) + 1e-9, "right"))
+                pick = slice(begin, begin + enough)
+            score = _products(ints[pick], queries[q])
+            found = ids[pick]
+            use = (score >= least) & (found != asked[q])
+            if not use.any():
+                continue
+            score, found = score[use], found[use]
+            if q in kept:
+                score, found = np.concatenate([kept[q][1], score]), np.concatenate([kept[q][0], found])
+            top = _best(score, found, k)
+            kept[q] = (found[top], score[top])
+            if len(top) == k:
+                floor[q] = max(least, score[top[-1]])
+    for q, (found, score) in kept.items():
+        yield q, found, score
+
+
+def _bucket(length: Column) -> Column:
+    return F.when(length > 0, F.floor(F.log2(length) * STEPS)).otherwise(ZERO).cast("int")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """The k best inner products of each query with all rows but those of its own vec_id.
 
-    Both tables have vec_id and embedding.  Returns query_id, rank, vec_id, score.  Vectors
-    that are null, or hold a null or non-finite component, take no part; vectors are compared
-    with queries of the same dimension only.  A vec_id that occurs in several query rows gives
-    one answer per row; equal vectors under several ids each count, ties go to the smaller id.
+    Both tables have vec_id and embedding; other columns are not read.  Returns query_id, rank,
+    vec_id, score.  Vectors that are null, or hold a null or non-finite component, take no part;
+    vectors are compared with queries of the same dimension only.  A vec_id that occurs in several
+    query rows gives one answer per row; equal vectors under several ids each count, ties go to the
+    smaller id.  Without vectors or queries there are no rows.
     """
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    base = integers(vectors, scale)
-    asked = integers(queries, scale).select("vec_id", "ints", F.size("ints").alias("width"))
-    widths = sorted(r[0] for r in asked.select("width").distinct().collect())  # dimensions, a handful
-    out = empty
+    tables = Tables(spark)
+    base = tables.write("base", integers(vectors, scale).withColumns({"width": F.size("ints"), "row": F.monotonically_increasing_id()}))
+    mine = tables.write("queries", integers(queries, scale).withColumns({"width": F.size("ints"), "number": F.monotonically_increasing_id()}))
+    widths = sorted(r[0] for r in mine.select("width").distinct().collect())  # dimensions, a handful
+    out = spark.createDataFrame([], "number long, query_id long, rank int, vec_id long, score long")
     for width in widths:
-        own = base.filter(F.size("ints") == width)
-        mine = asked.filter(F.col("width") == width)
-        # Chunks of queries of bounded size, by a hash of the id.
-        chunks = max(1, -(-mine.count() * 5 // (4 * CHUNK)))
-        longest = own.orderBy(F.desc("norm"), "vec_id").limit(SEED).select("vec_id", "ints").toArrow()
-        for chunk in range(chunks):
-            rows = mine.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk).orderBy("vec_id").select("vec_id", "ints").toArrow()
-            if rows.num_rows:
-                out = out.unionByName(_search(own, rows, longest, width, k))
-    return out
-
-
-def _search(own: DataFrame, rows: pa.Table, longest: pa.Table, width: int, k: int) -> DataFrame:
-    asked = Queries(np.arange(rows.num_rows), np.asarray(rows["vec_id"], np.int64), _matrix(rows["ints"], width), k)
-    asked.seed(np.asarray(longest["vec_id"], np.int64), _matrix(longest["ints"], width))
-    sent = own.sparkSession.sparkContext.broadcast(asked)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = sent.value
-        local = Queries(shared.number, shared.ids, shared.ints, shared.k)
-        local.floor = shared.floor.copy()  # rises as this task goes on
+        out = out.unionByName(_of_width(base.filter(F.col("width") == width), mine.filter(F.col("width") == width), width, k, tables))
+    result = tables.write("result", out.drop("number"))
+    tables.drop_all("result")
+    return result
+
+
+def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tables) -> DataFrame:
+    spark = base.sparkSession
+    longest = base.orderBy(F.desc("norm"), "vec_id").limit(SEED).select("vec_id", "ints").toArrow()
+    sent = spark.sparkContext.broadcast((np.asarray(longest["vec_id"], np.int64), _matrix(longest["ints"], width)))
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ints = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.asarray(batch.column(0), np.int64)
-            ints = _matrix(batch.column(1), width)
-            number, found, score = [], [], []
-            for q, i, s in local.search(ids, ints, np.sqrt((ints.astype(float) ** 2).sum(1))):
+            own, asked = np.asarray(batch.column(1), np.int64), _matrix(batch.column(2), width)
+            floor = [first_floor(ids, ints, a, q, k) for a, q in zip(own, asked, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(floor, pa.float64())], ["number", "query_id", "ints", "norm", "floor"])
+
+    asked = mine.select("number", F.col("vec_id").alias("query_id"), "ints", "norm").mapInArrow(seeded, "number long, query_id long, ints array<long>, norm double, floor double")
+    # Queries without a positive threshold ask every bucket; rounding is outwards by a bucket.
+    need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), _bucket(F.col("floor") / F.col("norm")) - 1).otherwise(ZERO)
+    asked = tables.write(f"asked_{width}", asked.withColumn("need", F.greatest(need, F.lit(ZERO))))
+
+    # A row per length bucket: lengths are finite doubles, so there are at most some tens of thousands, and usually dozens.
+    own = base.withColumn("bucket", _bucket(F.col("norm")))
+    lengths = own.groupBy("bucket").count().collect()
+    wants = asked.groupBy("need").count().collect()
+    parts = {r["bucket"]: -(-r["count"] // VECTORS) for r in lengths}
+    sides = {r["need"]: -(-r["count"] // QUERIES) for r in wants}
+    if not parts or not sides:
+        return spark.createDataFrame([], "number long, query_id long, rank int, vec_id long, score long")
+    split = spark.createDataFrame([(b, p) for b, p in parts.items()], "bucket int, parts int")
+    sided = spark.createDataFrame([(n, s) for n, s in sides.items()], "need int, sides int")
+    # Both sides of a cell are sent to it: vectors once for each part of queries that asks them, and the other way round.
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    asking = sided.join(split.withColumnRenamed("bucket", "b").drop("parts"), F.col("b") >= F.col("need")).select(F.col("b").alias("bucket"), "need", F.col("sides").alias("n")).select("bucket", "need", every.alias("side"))
+    asked_of = sided.drop("sides").join(split, F.col("bucket") >= F.col("need")).select("bucket", "need", F.col("parts").alias("n")).select("bucket", "need", every.alias("part"))
+    left = own.join(F.broadcast(split), "bucket").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).join(F.broadcast(asking), "bucket").select("bucket", "part", "need", "side", "vec_id", "ints")
+    right = asked.join(F.broadcast(sided), "need").withColumn("side", F.pmod(F.xxhash64("number"), "sides").cast("int")).join(F.broadcast(asked_of), "need").select("bucket", "part", "need", "side", "number", "query_id", "ints", "floor")
+
+    def cell(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        number, found, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if vectors.num_rows and queries.num_rows:
+            ids, asks = np.asarray(vectors["vec_id"], np.int64), np.asarray(queries["query_id"], np.int64)
+            for q, i, s in search(ids, _matrix(vectors["ints"], width), asks, _matrix(queries["ints"], width), np.asarray(queries["floor"], float), k):
                 number.append(np.full(len(i), q))
                 found.append(i)
                 score.append(s)
-            if number:
-                q = np.concatenate(number)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(local.ids[q], pa.int64()), pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(score), pa.int64())], ["number", "query_id", "vec_id", "score"])
-
-    near = own.repartitionByRange(F.desc("norm"), F.desc("vec_id")).select("vec_id", "ints").mapInArrow(run, "number long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rows = queries.select(["number", "query_id"]).take(pa.array(np.concatenate(number)))
+        return rows.append_column("vec_id", pa.array(np.concatenate(found))).append_column("score", pa.array(np.concatenate(score)))
+
+    cells = ["bucket", "part", "need", "side"]
+    near = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, "number long, query_id long, vec_id long, score long")
+    near = near.withColumn("turn", F.pmod(F.xxhash64("vec_id", "score"), F.lit(MERGE)))
+    for keys in (["number", "turn"], ["number"]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
+        near = near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return near.select("number", "query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
