@@ -148,24 +148,24 @@ def test_jaccard_long_lists_are_dealt_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
     rng = random.Random(3)
-    rows = [(7, k, rng.randint(80, 130), rng.randint(0, 3)) for k in range(400)] + [(8, k, 96, 20) for k in range(300)] + [(9, k, 100, 0) for k in range(5)]
-    lists = spark.createDataFrame(rows, "token long, node long, n int, pos int")
-    dealt = jaccard._dealt(lists, shared.Tables(spark)).collect()
-    sizes = collections.Counter((r["token"], r["i"], r["j"]) for r in dealt)
-    assert max(sizes.values()) <= 60
-    # Places that leave no room for a link within the list are not paired at all.
-    assert {t for t, _, _ in sizes} == {7, 9}
+    rows = [(7, k, rng.randint(80, 130)) for k in range(400)] + [(8, k, 40 if k % 2 else 90) for k in range(300)] + [(9, k, 100) for k in range(5)]
+    lists = spark.createDataFrame(rows, "token long, node long, n int")
     met = collections.defaultdict(list)
-    for r in dealt:
+    for r in jaccard._dealt(lists, shared.Tables(spark)).collect():
         met[r["token"], r["i"], r["j"]].append(r)
-    found = {(min(a["node"], b["node"]), max(a["node"], b["node"])) for v in met.values() for a in v for b in v if a["token"] == 7 and (a["i"] == a["j"] or a["own"] != b["own"])}
-    room = lambda a, b: 7 * min(a[2] - a[3], b[2] - b[3]) >= 3 * (a[2] + b[2])
-    assert {(a[1], b[1]) for a in rows[:400] for b in rows[:400] if a[1] < b[1] and room(a, b)} <= found
+    assert max(map(len, met.values())) <= 60
+    # Each pair whose sizes leave room for a link meets in exactly one pair of blocks.
+    found = collections.Counter((a["token"], a["node"], b["node"]) for v in met.values() for a in v for b in v if a["node"] < b["node"] and (a["i"] == a["j"] or a["own"] != b["own"]))
+    room = lambda a, b: 7 * min(a[2], b[2]) >= 3 * (a[2] + b[2])
+    assert all(found[a[0], a[1], b[1]] == 1 for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and room(a, b))
+    assert max(found.values()) == 1
 
 
 def test_jaccard_dealt_lists_give_brute_force_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "SLAB", 50)
+    monkeypatch.setattr(shared, "HEAVY", 4)
     passage = prose(77, 70)
     # Own parts of few texts, so that links across components lie in the long lists of the passage.
     texts = [f"{passage} {prose(k % 23, 14 + k % 9)}" for k in range(110)] + [edited(f"{passage} {prose(k, 8)}", k % 3, k) for k in range(60)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Tables
+from tidemark.llm.shared import Tables, join_hot
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,8 +15,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, label) for all nodes of the edges (u, v); label is the smallest node of the component.
 
-    Each step joins the edges with one minimum per node (a sum that combines where the rows
-    lie), so a node with very many edges is split by the join, not gathered.
+    Each step joins the edges with one minimum per node (which combines where the rows lie); a
+    node with very many edges is dealt to several tasks.
     """
     now = tables.write(f"{name}_0", edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
@@ -24,9 +24,9 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = join_hot(both.filter("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = join_hot(large, low, ["u"], ["v"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         step += 1
         after = tables.write(f"{name}_{step}", small)

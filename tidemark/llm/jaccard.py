@@ -1,21 +1,25 @@
 """Similarity join of documents by the Jaccard coefficient of their word five-gram sets.
 
-The join is a sparse product of the document by n-gram incidence matrix with its transpose,
-in blocks of n-grams (the partitions of a shuffle by n-gram):
-
-1. Documents with the same set are one class; only the class takes part further on.
-2. Each class sends the n-grams of its prefix, the rarest first, to their blocks: at the
-   threshold two sets can only be linked if their prefixes meet.  Very common n-grams come
-   last in the order, so passages that many documents share hardly ever get into a prefix.
-3. In a block, two classes with a common n-gram are a candidate pair if their sizes and the
-   places of the n-gram leave room for enough overlap.  A long list is not expanded into all
-   its pairs at first: each member is paired with the list's hub, and the list is kept.
-4. Candidate pairs are bounded again by the parity bitmaps of the sets, and the rest verified
-   by exact overlap counts: first the most promising pair of each class, then, with the
-   components that gives, all candidate pairs across components, those of the long lists
-   too.  A pair inside a component needs no check, as it cannot change the result.
-
-All of this is exact: no pair, list or text is cut off.
+The join is a blocked sparse product of the document by n-gram incidence matrix A with its
+transpose.  An entry of A A' is the overlap of two sets, and the sizes say which overlap makes a
+link, so entries that stay below that are discarded before they are complete:
+
+1. Documents with the same set are one row of A, a class.
+2. The columns of a row are ordered from the rarest n-gram to the commonest (passages that many
+   documents share come last), and the first part, its prefix, is multiplied first: at the
+   threshold, sets can only be linked if their prefixes meet.
+3. A column's list of rows is multiplied with its hub, the row that has the n-gram earliest: the
+   products are added up over all columns for each (row, hub), bounded, and the best partner of
+   each row gets its whole overlap.  The links of that give components.
+4. Then every column is multiplied with itself, in pairs of blocks of rows in size order, but only
+   between rows of different components, since a link inside one changes nothing.  In a block,
+   products of rows whose sizes or parity bitmaps leave no room for a link are discarded.  The
+   others are added up over all columns; as two sets have no more in common than their prefixes
+   have and the longer rest of the two holds, most sums are too small, and are discarded too.
+5. What remains is multiplied in all columns, blockwise, which gives exact overlaps.
+
+No pair, list or text is cut off.  N-grams and sets are told apart by hashes of 64 and 128 bits;
+two unlike words fall together with probability 2 ** -64.
 """
 
 from __future__ import annotations
@@ -29,30 +33,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import Tables
+from tidemark.llm.shared import Tables, join_hot
 from tidemark.llm.textblock import WINDOW_KEYS, TextBlock, blocks, fmix, windows
 
 WIDTH = 5
 #: Links need 7 * overlap >= 3 * (size + size), which is overlap / union >= 0.75.
 _TIMES, _OVER = 7, 3
-_TEXT_BITS = 14
-_TOKEN_BITS = 64 - _TEXT_BITS
+#: Texts of a block, so that their numbers fit into 16 bits.
+_TEXTS = 1 << 13
 #: A set's parity bitmap has a power of two of bits, at least this many and at least twice its n-grams.
 _BITMAP = 128
-#: Lists up to this length give all their pairs at once.
-SHORT = 6
 #: The commonest n-grams that are put last, as many at most; those seen less often are left in place.
 HOT_MOST, HOT_LEAST, HOT_LOCAL = 1 << 17, 64, 4
 #: Document ids are sent to all executors up to this number.
 MOST_IDS = 2_000_000
-#: A list is dealt in blocks of about this many classes.
-BLOCK = 1024
+#: A list is dealt in blocks of about this many classes, and as many pairs are looked at together.
+BLOCK, SLAB = 1024, 1 << 16
 #: N-grams that so many classes of one in SAMPLE have are not gathered by n-gram; this only sets the way, never a result.
 SAMPLE, SEEN = 64, 8
 
 
 def sets(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of all texts, as 50-bit numbers, by text and number; and the text of each.
+    """Distinct n-grams of all texts, as signed 64-bit numbers, by text and number; and the text of each.
 
     A text with fewer than five words has its whole sequence as its one n-gram.
     """
@@ -70,16 +72,24 @@ def sets(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
             for k in range(n):
                 total += word[first[few] + k] * WINDOW_KEYS[k]
             gram, owner = np.concatenate([gram, fmix(total)]), np.concatenate([owner, few])
-    key = np.sort((owner.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | (gram >> np.uint64(_TEXT_BITS)))
-    if len(key):
-        key = key[np.append(True, key[1:] != key[:-1])]
-    return (key & np.uint64((1 << _TOKEN_BITS) - 1)).astype(np.int64), (key >> np.uint64(_TOKEN_BITS)).astype(np.int64)
+    gram, owner = _ordered(gram.view(np.int64), owner)
+    if len(gram):
+        new = np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))
+        gram, owner = gram[new], owner[new]
+    return gram, owner.astype(np.int64)
+
+
+def _ordered(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By owner, a number below 2 ** 15, and token."""
+    order = np.argsort(token)
+    order = order[np.argsort(owner[order].astype(np.int16), kind="stable")]
+    return token[order], owner[order]
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, int, TextBlock]]:
     """Blocks of no more texts than the numbering of a block has room for."""
-    for begin in range(0, len(column), 1 << (_TEXT_BITS - 1)):
-        for a, b, block in blocks(column.slice(begin, 1 << (_TEXT_BITS - 1))):
+    for begin in range(0, len(column), _TEXTS):
+        for a, b, block in blocks(column.slice(begin, _TEXTS)):
             yield begin + a, begin + b, block
 
 
@@ -164,71 +174,39 @@ def _gather(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(columns)]
 
 
-def _room(n: np.ndarray, pos: np.ndarray, other_n: np.ndarray, other_pos: np.ndarray) -> np.ndarray:
-    """Whether sizes and places of a first common n-gram leave room for a link."""
-    n, pos, other_n, other_pos = (x.astype(np.int64) for x in (n, pos, other_n, other_pos))
-    return _TIMES * np.minimum(n - pos, other_n - other_pos) >= _OVER * (n + other_n)
-
-
-def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    a, b = np.minimum(x, y), np.maximum(x, y)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    return a[new], b[new]
-
+def _fits(n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether two sizes alone leave room for a link."""
+    return _TIMES * np.minimum(n, other) >= _OVER * (n + other)
 
-_BLOCK = "long_list boolean, a long, b long, n int, pos int"
 
-
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block: pairs of short lists and of hubs of long ones (a, b), and the long lists (a the n-gram, b the class)."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one block of n-grams: the lists with several classes, and the hub of each."""
     token, node, n, pos = _gather(batches, 4)
     order = np.lexsort((node, pos, token))
-    token, node, n, pos = token[order], node[order], n[order], pos[order]
+    token, node, n = token[order], node[order], n[order]
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.append(edge, len(token)))
-    many = length > 1
-    edge, length = edge[many], length[many]
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    short = length <= SHORT
-    for i in range(SHORT):
-        for j in range(i + 1, SHORT):
-            at = edge[short & (length > j)]
-            ok = _room(n[at + i], pos[at + i], n[at + j], pos[at + j])
-            pairs.append((node[at + i][ok], node[at + j][ok]))
-    # The hub of a long list has the n-gram first: it is nearest to what the members have in common.
-    at, size = edge[~short], length[~short]
-    member = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    hub = np.repeat(at, size)
-    ok = _room(n[member], pos[member], n[hub], pos[hub]) & (member != hub)
-    pairs.append((node[hub][ok], node[member][ok]))
-    a, b = _distinct(pairs)
-    for begin in range(0, len(a), 1 << 16):
-        x, y = a[begin : begin + (1 << 16)], b[begin : begin + (1 << 16)]
-        zero = pa.array(np.zeros(len(x), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), bool)), pa.array(x), pa.array(y), zero, zero], ["long_list", "a", "b", "n", "pos"])
+    edge, length = edge[length > 1], length[length > 1]
+    member = np.repeat(edge - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    hub = np.repeat(edge, length)
     for begin in range(0, len(member), 1 << 16):
-        m = member[begin : begin + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(m), bool)), pa.array(token[m]), pa.array(node[m]), pa.array(n[m].astype(np.int32)), pa.array(pos[m].astype(np.int32))], ["long_list", "a", "b", "n", "pos"])
-
-
-def _apart(values: np.ndarray, start: np.ndarray, width: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-    """Bits in which the bitmap i and those of j differ, the larger of two sizes folded."""
-    out = np.zeros(len(j), np.int64)
-    own = values[start[i] : start[i] + width[i]]
-    for size in np.unique(width[j]):
-        at = np.flatnonzero(width[j] == size)
-        other = values[start[j[at]][:, None] + np.arange(size)]
-        mine = own
-        while len(mine) > size:
-            mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
-        while other.shape[1] > len(mine):
-            other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
-        out[at] = np.bitwise_count(other ^ mine).sum(1)
+        m, h = member[begin : begin + (1 << 16)], hub[begin : begin + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(token[m]), pa.array(node[m]), pa.array(n[m].astype(np.int32)), pa.array(node[h]), pa.array(n[h].astype(np.int32))], ["token", "node", "n", "hub", "hub_n"])
+
+
+def _apart(values: np.ndarray, start: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of rows i and j differ, pair by pair, the larger of two sizes folded."""
+    out = np.zeros(len(i), np.int64)
+    kind = np.log2(width).astype(np.int64)
+    both = kind[i] * 64 + kind[j]
+    for k in np.unique(both):
+        at = np.flatnonzero(both == k)
+        one, two = (values[start[x[at]][:, None] + np.arange(1 << w)] for x, w in ((i, k // 64), (j, k % 64)))
+        while one.shape[1] > two.shape[1]:
+            one = one[:, : one.shape[1] // 2] ^ one[:, one.shape[1] // 2 :]
+        while two.shape[1] > one.shape[1]:
+            two = two[:, : two.shape[1] // 2] ^ two[:, two.shape[1] // 2 :]
+        out[at] = np.bitwise_count(one ^ two).sum(1)
     return out
 
 
@@ -237,24 +215,20 @@ def _sent(table: DataFrame) -> DataFrame:
 
 
 def _met(listed: DataFrame, tables: Tables) -> DataFrame:
-    """First pairs and long lists of all prefixes (token, node, n, pos); the longest lists stay where their rows are."""
+    """Lists (token, node, n, hub, hub_n) of n-grams that several classes have in their prefix; the longest ones stay where their rows are."""
     seen = listed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("token").count().filter(F.col("count") >= SEEN).select("token")
     wide = _sent(tables.write("wide", seen))
-    rest = listed.join(wide, "token", "left_anti").repartition("token").mapInArrow(_first_pairs, _BLOCK)
+    rest = listed.join(wide, "token", "left_anti").repartition("token").mapInArrow(_lists, "token long, node long, n int, hub long, hub_n int")
     members = listed.join(wide, "token")
     hubs = _sent(tables.write("hubs", members.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))))
-    room = _TIMES * F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos")) >= _OVER * (F.col("n") + F.col("hub.n"))
-    zero = F.lit(0).alias("n"), F.lit(0).alias("pos")
-    near = members.join(hubs, "token").filter(room & (F.col("node") != F.col("hub.node"))).select(F.lit(False).alias("long_list"), F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), *zero)
-    return rest.unionByName(near).unionByName(members.select(F.lit(True).alias("long_list"), F.col("token").alias("a"), F.col("node").alias("b"), "n", "pos"))
+    return rest.unionByName(members.join(hubs, "token").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
 
 
 def _dealt(lists: DataFrame, tables: Tables) -> DataFrame:
-    """Adds i, j and own to the lists' rows (token, node, n, pos, ...): pairs of blocks of a list in size order, and the row's own block.
+    """Adds i, j and own to the lists' rows (token, node, n, ...): pairs of blocks of a list in size order, and the row's own block.
 
-    A row goes to its block's pairs with those blocks whose sizes leave room for a link, given
-    its own size and place; it goes to none if there are no such blocks.  A block has about
-    ``BLOCK`` rows.
+    A row goes to its block's pairs with those blocks whose sizes leave room for a link, its own
+    block among them.  A block has about ``BLOCK`` rows.
     """
     sizes = lists.groupBy("token", "n").agg(F.count("*").alias("_many"))
     by = W.partitionBy("token")  # a row per size
@@ -265,7 +239,7 @@ def _dealt(lists: DataFrame, tables: Tables) -> DataFrame:
     ranges = placed.filter("_many IS NOT NULL").groupBy("token", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     ranges = ranges.groupBy("token").agg(F.collect_list(F.struct("own", "low", "high")).alias("_blocks"))
     placed = placed.drop("_many", "_less").join(_sent(tables.write("ranges", ranges)), "token", "left")
-    fits = lambda x: (4 * x["high"] >= 3 * F.col("n")) & (_OVER * x["low"] <= _TIMES * (F.col("n") - F.col("pos")) - _OVER * F.col("n"))
+    fits = lambda x: (4 * x["high"] >= 3 * F.col("n")) & (3 * x["low"] <= 4 * F.col("n"))
     other = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.filter("_blocks", fits), lambda x: x["own"]))
     placed = placed.withColumn("_other", F.explode(other))
     return placed.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_blocks", "_other")
@@ -291,48 +265,68 @@ def _keyed(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of long lists whose classes lie in different components so far, within all bounds; a pair of blocks at a time."""
+_PAIR = "a long, b long, na int, nb int, c long"
+
+
+def _cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of pairs of blocks between classes of different components, a bounded number of rows at a time, added up over its columns."""
     for table in _keyed(batches, 3):
-        a, b = _across(table.combine_chunks())
-        for begin in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[begin : begin + (1 << 16)]), pa.array(b[begin : begin + (1 << 16)])], ["a", "b"])
+        held: list[tuple[np.ndarray, ...]] = []
+        kept = 0
+        for pairs in _across(table.combine_chunks()):
+            held.append(pairs)
+            kept += len(pairs[0])
+            if kept > 1 << 20:
+                held = [_added(held)]
+                kept = len(held[0][0])
+        if held:
+            a, b, na, nb, c = _added(held)
+            for begin in range(0, len(a), 1 << 16):
+                part = slice(begin, begin + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(na[part].astype(np.int32)), pa.array(nb[part].astype(np.int32)), pa.array(c[part])], ["a", "b", "na", "nb", "c"])
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Partial products (a, b, na, nb, c), those of one pair added."""
+    a, b, na, nb, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    order = np.lexsort((b, a))
+    a, b, na, nb, c = (x[order] for x in (a, b, na, nb, c))
+    edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    return a[edge], b[edge], na[edge], nb[edge], np.add.reduceat(c, edge) if len(edge) else c
 
 
-def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    token, one, two, own, node, n, pos, label = (np.asarray(table.column(k).chunk(0)) for k in range(8))
-    lists = table.column(8).chunk(0)
+def _across(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    token, one, two, own, node, n, label = (np.asarray(table.column(k).chunk(0)).astype(np.int64) for k in range(7))
+    lists = table.column(7).chunk(0)
     values = np.asarray(lists.flatten()).view(np.uint64)
     width = np.asarray(lists.value_lengths()).astype(np.int64)
     start = np.cumsum(width) - width
-    order = np.lexsort((node, label, two, one, token))
-    token, one, two, own, node, n, pos, label, width, start = (x[order] for x in (token, one, two, own, node, n.astype(np.int64), pos, label, width, start))
-    edge = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    kept = 0
-    for begin, end in zip(edge, np.append(edge, len(token))[1:], strict=True):
-        # Labels are in order, so each member is paired with what comes after its own component's part.
-        after = begin + np.searchsorted(label[begin:end], label[begin:end], "right")
-        for i in range(begin, end):
-            j = np.arange(after[i - begin], end)
-            if one[i] != two[i]:
-                j = j[own[j] != own[i]]
-            j = j[_room(n[i], pos[i], n[j], pos[j])]
-            if len(j):
-                most = np.minimum((n[i] + n[j] - _apart(values, start, width, i, j)) // 2, np.minimum(n[i], n[j]))
-                j = j[_TIMES * most >= _OVER * (n[i] + n[j])]
-            if len(j):
-                held.append((np.full(len(j), node[i]), node[j]))
-                kept += len(j)
-        if kept > 1 << 20:
-            held = [_distinct(held)]
-            kept = len(held[0][0])
-    return _distinct(held)
-
-
-def _size_filter() -> Column:
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    return _TIMES * least >= _OVER * (least + most)
+    # Rows are only multiplied across components and, where two blocks meet, across those.
+    part = np.where(one == two, label, own)
+    order = np.lexsort((node, part, two, one, token))
+    token, one, two, own, node, n, label, part, width, start = (x[order] for x in (token, one, two, own, node, n, label, part, width, start))
+    key = (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    ends = [np.append(np.flatnonzero(new) + 1, len(token)) for new in (key, key | (part[1:] != part[:-1]))]
+    rows = np.arange(len(token))
+    end, after = (x[np.searchsorted(x, rows, "right")] for x in ends)
+    total = np.append(0, np.cumsum(end - after))
+    begin = 0
+    while begin < len(rows):
+        # Rows whose pairs are about SLAB; a single row has a block's length at most.
+        stop = max(begin + 1, int(np.searchsorted(total, total[begin] + SLAB, "right")) - 1)
+        many = (end - after)[begin:stop]
+        i = np.repeat(rows[begin:stop], many)
+        j = after[i] + np.arange(len(i)) - np.repeat(total[begin:stop] - total[begin], many)
+        begin = stop
+        ok = (label[i] != label[j]) & _fits(n[i], n[j])
+        i, j = i[ok], j[ok]
+        if len(i):
+            most = np.minimum((n[i] + n[j] - _apart(values, start, width, i, j)) // 2, np.minimum(n[i], n[j]))
+            ok = _TIMES * most >= _OVER * (n[i] + n[j])
+            i, j = i[ok], j[ok]
+        if len(i):
+            a, b = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            yield node[a], node[b], n[a], n[b], np.ones(len(a), np.int64)
 
 
 def _folded(bits: str, other: str) -> Column:
@@ -343,19 +337,19 @@ def _folded(bits: str, other: str) -> Column:
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds the sizes and the most overlap that the parity bitmaps allow, and leaves out what cannot be linked."""
-    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
+    """Adds the most overlap that the parity bitmaps allow to (a, b, na, nb, ...), and leaves out what cannot be linked."""
+    one = classes.select(F.col("rep").alias("a"), F.col("bitmap").alias("bits_a"))
+    two = classes.select(F.col("rep").alias("b"), F.col("bitmap").alias("bits_b"))
     a, b = _folded("bits_a", "bits_b"), _folded("bits_b", "bits_a")
     apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
     # Sets whose sizes alone allow a link differ by one folding at most.
-    pairs = pairs.filter("a <> b")
-    return pairs.join(one, "a").join(two, "b").filter(_size_filter()).withColumn("most", F.least(most, "na", "nb")).filter(_TIMES * F.col("most") >= _OVER * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "most")
+    met = join_hot(pairs, two, ["b"], ["a"]).join(one, "a").withColumn("most", F.least(most, "na", "nb"))
+    return met.filter(_TIMES * F.col("most") >= _OVER * (F.col("na") + F.col("nb"))).drop("bits_a", "bits_b")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, hub, na, nb, tokens) of the classes in ``wanted`` (rep, f1, hub, na, nb), from the texts."""
+    """(rep, tokens) of the classes in ``wanted`` (rep, f1), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,19 +361,44 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 # A row with the id of a class but another text is not that class.
                 right = pa.array(f1 == np.asarray(batch.column(2))[begin:end])
                 tokens = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(token))
-                part = lambda k: batch.column(k).slice(begin, end - begin)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([part(0), *map(part, (3, 4, 5)), tokens], ["rep", "hub", "na", "nb", "tokens"]).filter(right)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), tokens], ["rep", "tokens"]).filter(right)
 
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    return texts.select("rep", "text", "f1", "hub", "na", "nb").mapInArrow(run, "rep long, hub long, na int, nb int, tokens array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_sent(wanted), "rep")
+    found = texts.select("rep", "text", "f1").mapInArrow(run, "rep long, tokens array<long>")
+    # Rows alike in id and text give one set each.
+    return found.groupBy("rep").agg(F.first("tokens").alias("tokens"))
 
 
-def _linked(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) whose exact overlap makes a link, as edges (u, v)."""
-    met = pairs.join(left, "a").join(right, "b")
-    overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return met.filter(_TIMES * overlap >= _OVER * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, na, nb, tokens_a, tokens_b): the pairs whose whole overlap makes a link, as (u, v)."""
+    for batch in batches:
+        sizes = [np.asarray(batch.column(k).value_lengths()).astype(np.int64) for k in (4, 5)]
+        work = np.append(0, np.cumsum(sizes[0] + sizes[1]))
+        begin = 0
+        while begin < batch.num_rows:
+            stop = min(max(begin + 1, int(np.searchsorted(work, work[begin] + (1 << 20), "right")) - 1), begin + (1 << 14), batch.num_rows)
+            part = batch.slice(begin, stop - begin)
+            begin = stop
+            row = np.concatenate([np.repeat(np.arange(part.num_rows), np.asarray(part.column(k).value_lengths())) for k in (4, 5)])
+            token = np.concatenate([np.asarray(part.column(k).flatten()) for k in (4, 5)])
+            token, row = _ordered(token, row)
+            both = (token[1:] == token[:-1]) & (row[1:] == row[:-1])
+            overlap = np.bincount(row[1:][both], minlength=part.num_rows)
+            na, nb = (np.asarray(part.column(k)).astype(np.int64) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(_TIMES * overlap >= _OVER * (na + nb)))
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, name: str, tables: Tables) -> DataFrame:
+    """Links (u, v) among the pairs (a, b, na, nb), which are a table, by the product of all their columns."""
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = tables.write(f"{name}_ids", ids.join(classes.select("rep", "f1"), "rep"))
+    held = tables.write(f"{name}_sets", _sets_of(docs, wanted))
+    one, two = (held.select(F.col("rep").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in ("a", "b"))
+    met = join_hot(pairs.select("a", "b", "na", "nb"), two, ["b"], ["a"]).join(one, "a").select("a", "b", "na", "nb", "tokens_a", "tokens_b")
+    links = tables.write(f"{name}_links", met.mapInArrow(_overlaps, "u long, v long"))
+    tables.drop(f"{name}_ids")
+    tables.drop(f"{name}_sets")
+    return links
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -388,7 +407,7 @@ def join(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links lead to, the document's own included.  A null,
     empty or blank text has no n-grams and no links.  Rows of one doc_id count as one document,
     so they share a component; a row without an id is linked to nothing and has a null
-    component.  An empty table gives no rows.
+    component.  An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
@@ -402,43 +421,35 @@ def join(docs: DataFrame) -> DataFrame:
     met = tables.write("met", _met(listed, tables))
     small = tables.write("small", classes.select("rep", "n", "f1", "f2", "bitmap"))
     tables.drop("classes")
-    pairs = tables.write("pairs", _bounded(met.filter("NOT long_list").select("a", "b").distinct(), small))
 
-    # The most promising partner of each class.
-    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "na", "nb", "most").unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.col("nb").alias("na"), F.col("na").alias("nb"), "most"))
+    # Each list with its hub.
+    roomy = _TIMES * F.least("n", "hub_n") >= _OVER * (F.col("n") + F.col("hub_n"))
+    hubs = met.filter(roomy & (F.col("node") != F.col("hub"))).groupBy(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).agg(F.count("*").alias("c"))
+    hubs = _bounded(tables.write("pairs", hubs), small)
     nearness = F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))
-    best = tables.write("best", ends.groupBy("rep").agg(F.max(F.struct(nearness, -F.col("hub"), "hub", "na", "nb")).alias("best")).select("rep", "best.hub", "best.na", "best.nb"))
-    wanted = best.join(small.select("rep", "f1"), "rep").select("rep", "f1", "hub", "na", "nb")
-    held = tables.write("held", _sets_of(docs, wanted))
-    hubs = held.join(best.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("tokens").alias("tokens_b"))
-    near = held.join(hubs, "hub")
-    overlap = F.size(F.array_intersect("tokens", "tokens_b"))
-    links = tables.write("links", near.filter(_TIMES * overlap >= _OVER * (F.col("na") + F.col("nb"))).select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    label = tables.write("label", components(links, tables, "first"))
-
-    # What is left lies across components.
-    a, b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
-    own = lambda x: F.coalesce(f"label_{x}", x)
-    lists = met.filter("long_list").select(F.col("a").alias("token"), F.col("b").alias("a"), "n", "pos").join(a, "a", "left").select("token", F.col("a").alias("node"), "n", "pos", own("a").alias("label"))
-    # A list whose members are all of one component has nothing left to say.
-    mixed = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    lists = tables.write("lists", lists.join(mixed, "token", "left_semi"))
-    dealt = _dealt(lists, tables).join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "i", "j", "own", "node", "n", "pos", "label", "bitmap")
-    across = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    rest = pairs.select("a", "b", "na", "nb").unionByName(_bounded(across, small).select("a", "b", "na", "nb"))
-    rest = tables.write("rest", rest.distinct().join(a, "a", "left").join(b, "b", "left").filter(own("a") != own("b")).select("a", "b", "na", "nb"))
-    ids = rest.select(F.col("a").alias("rep")).unionByName(rest.select(F.col("b").alias("rep"))).distinct()
-    some = tables.write("some", _sets_of(docs, ids.join(small.select("rep", "f1"), "rep").select("rep", "f1", F.lit(None).cast("long").alias("hub"), F.lit(0).alias("na"), F.lit(0).alias("nb"))))
-    sides = [some.select(F.col("rep").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in ("a", "b")]
-    more = tables.write("more", _linked(rest, *sides))
-    final = tables.write("final", components(links.unionByName(more), tables, "last"))
-    for name in ("met", "wide", "hubs", "pairs", "held", "lists", "sizes", "ranges", "rest", "some", "best"):
-        tables.drop(name)
+    best = hubs.groupBy("a").agg(F.max(F.struct(nearness, "c", -F.col("b"), "b", "na", "nb")).alias("best")).select("a", "best.b", "best.na", "best.nb")
+    links = _linked(docs, tables.write("best", best), small, "first", tables)
+    label = tables.write("label", components(links, tables, "some"))
 
+    # Each list with itself, across components; a list whose members are all of one has nothing left to say.
+    own = F.coalesce("label", "node").alias("label")
+    lists = met.select("token", "node", "n").join(label, "node", "left").select("token", "node", "n", own)
+    mixed = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    lists = tables.write("lists", lists.join(_sent(tables.write("mixed", mixed)), "token", "left_semi"))
+    dealt = _dealt(lists, tables).join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "i", "j", "own", "node", "n", "label", "bitmap")
+    parts = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross_products, _PAIR)
+    added = parts.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    rest = lambda x: F.ceil(F.col(x) * 3 / 4) - 1  # noqa: E731  what is not in a prefix
+    enough = _TIMES * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= _OVER * (F.col("na") + F.col("nb"))
+    more = _linked(docs, tables.write("added", added.filter(enough)), small, "second", tables)
+
+    final = tables.write("final", components(links.unionByName(more), tables, "all"))
     classed = small.select("n", "f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("class_id"))
-    out = members.join(classed, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))
+    out = join_hot(members, classed, ["n", "f1", "f2"], ["doc_id"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))
     idless = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return out.unionByName(_unlinked(idless))
+    result = tables.write("result", out.unionByName(_unlinked(idless)))
+    tables.drop_all("result")
+    return result
 
 
 def _unlinked(docs: DataFrame) -> DataFrame:

@@ -80,3 +80,22 @@ def beside(docs: DataFrame, carry: list[str], column: str, added: dict[str, str]
     quoted = [F.col(f"`{c.replace('`', '``')}`") for c in ([*carry] if own else [*carry, column])]
     placed = docs.select(*(q.alias(f"c{k}") for k, q in enumerate(quoted)))
     return placed.mapInArrow(run, ", ".join([*fields, *(f"{n} {kind}" for n, kind in added.items())]))
+
+
+#: Rows of one key that a task gets in ``join_hot``, as expected at most.
+HEAVY = 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """Joins a table with any number of rows a key to one with a row a key.
+
+    A key with more than ``HEAVY`` rows is dealt by a hash of the ``spread`` columns, and its one
+    row on the right repeated as often.  There are fewer such keys than rows of ``left`` over
+    ``HEAVY``, so they are sent to all executors.
+    """
+    heavy = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HEAVY)
+    heavy = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / HEAVY).cast("int").alias("_parts")))
+    dealt = left.join(heavy, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    repeated = right.join(heavy, keys, "left").withColumn("_salt", every).drop("_parts")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
