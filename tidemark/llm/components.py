@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Tables, join_hot
+from tidemark.llm.shared import HEAVY, Tables, join_hot
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,11 +22,13 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     state = _state(now)
     step = 0
     while state[0]:
+        # With fewer edges no node has enough of them to be dealt.
+        meet = join_hot if 2 * state[0] > HEAVY else (lambda left, right, keys, spread: left.join(right, keys))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_hot(both.filter("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = meet(both.filter("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_hot(large, low, ["u"], ["v"])
+        small = meet(large, low, ["u"], ["v"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         step += 1
         after = tables.write(f"{name}_{step}", small)

@@ -8,14 +8,14 @@ link, so entries that stay below that are discarded before they are complete:
 2. The columns of a row are ordered from the rarest n-gram to the commonest (passages that many
    documents share come last), and the first part, its prefix, is multiplied first: at the
    threshold, sets can only be linked if their prefixes meet.
-3. A column's list of rows is multiplied with its hub, the row that has the n-gram earliest: the
-   products are added up over all columns for each (row, hub), bounded, and the best partner of
-   each row gets its whole overlap.  The links of that give components.
-4. Then every column is multiplied with itself, in pairs of blocks of rows in size order, but only
-   between rows of different components, since a link inside one changes nothing.  In a block,
-   products of rows whose sizes or parity bitmaps leave no room for a link are discarded.  The
-   others are added up over all columns; as two sets have no more in common than their prefixes
-   have and the longer rest of the two holds, most sums are too small, and are discarded too.
+3. A column's list of rows is multiplied with itself where it is short, and at first only with its
+   hub, the row that has the n-gram earliest, where it is long.  Products are added up over all
+   columns, and pairs whose sizes or parity bitmaps leave no room for a link are discarded; the
+   best partner of each row gets its whole overlap.  The links of that give components.
+4. Then the long lists are multiplied with themselves, in pairs of blocks of rows in size order, but
+   only between rows of different components, since a link inside one changes nothing.  These
+   products are added to those of the short lists.  As two sets have no more in common than their
+   prefixes have and the longer rest of the two holds, most sums are too small and are discarded.
 5. What remains is multiplied in all columns, blockwise, which gives exact overlaps.
 
 No pair, list or text is cut off.  N-grams and sets are told apart by hashes of 64 and 128 bits;
@@ -47,8 +47,8 @@ _BITMAP = 128
 HOT_MOST, HOT_LEAST, HOT_LOCAL = 1 << 17, 64, 4
 #: Document ids are sent to all executors up to this number.
 MOST_IDS = 2_000_000
-#: A list is dealt in blocks of about this many classes, and as many pairs are looked at together.
-BLOCK, SLAB = 1024, 1 << 16
+#: Lists up to SHORT are multiplied with themselves at once.  Longer ones are dealt in blocks of about BLOCK classes, and SLAB pairs are looked at together.
+SHORT, BLOCK, SLAB = 6, 1024, 1 << 16
 #: N-grams that so many classes of one in SAMPLE have are not gathered by n-gram; this only sets the way, never a result.
 SAMPLE, SEEN = 64, 8
 
@@ -179,19 +179,43 @@ def _fits(n: np.ndarray, other: np.ndarray) -> np.ndarray:
     return _TIMES * np.minimum(n, other) >= _OVER * (n + other)
 
 
+#: Of a row: a product of a short list (0) or with a long list's hub (1), as a pair a < b, or a class b of the long list of n-gram a (2).
+SHORT_PAIR, HUB_PAIR, MEMBER = 0, 1, 2
+_LISTED = "kind int, a long, b long, na int, nb int, c long"
+
+
+def _listed(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for begin in range(0, len(a), 1 << 16):
+        p = slice(begin, begin + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[p]), kind, np.int32)), pa.array(a[p]), pa.array(b[p]), pa.array(na[p].astype(np.int32)), pa.array(nb[p].astype(np.int32)), pa.array(c[p])], ["kind", "a", "b", "na", "nb", "c"])
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block of n-grams: the lists with several classes, and the hub of each."""
+    """Of one block of n-grams: products of short lists and with the hubs of long ones, each added up over the block, and the long lists."""
     token, node, n, pos = _gather(batches, 4)
     order = np.lexsort((node, pos, token))
-    token, node, n = token[order], node[order], n[order]
+    token, node, n = token[order], node[order], n[order].astype(np.int64)
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.append(edge, len(token)))
     edge, length = edge[length > 1], length[length > 1]
-    member = np.repeat(edge - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    hub = np.repeat(edge, length)
-    for begin in range(0, len(member), 1 << 16):
-        m, h = member[begin : begin + (1 << 16)], hub[begin : begin + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(token[m]), pa.array(node[m]), pa.array(n[m].astype(np.int32)), pa.array(node[h]), pa.array(n[h].astype(np.int32))], ["token", "node", "n", "hub", "hub_n"])
+    short = length <= SHORT
+    parts = []
+    for i in range(SHORT):
+        for j in range(i + 1, SHORT):
+            at = edge[short & (length > j)]
+            parts.append((at + i, at + j))
+    at, size = edge[~short], length[~short]
+    member = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    # The hub has the n-gram first: it is nearest to what the members have in common.
+    hubs = [(np.repeat(at, size), member)]
+    for kind, some in ((SHORT_PAIR, parts), (HUB_PAIR, hubs)):
+        i, j = (np.concatenate([p[k] for p in some]) for k in (0, 1))
+        ok = (node[i] != node[j]) & _fits(n[i], n[j])
+        i, j = i[ok], j[ok]
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        yield from _listed(kind, *_added([(node[i], node[j], n[i], n[j], np.ones(len(i), np.int64))]))
+    zero = np.zeros(len(member), np.int64)
+    yield from _listed(MEMBER, token[member], node[member], n[member], zero, zero)
 
 
 def _apart(values: np.ndarray, start: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -215,13 +239,19 @@ def _sent(table: DataFrame) -> DataFrame:
 
 
 def _met(listed: DataFrame, tables: Tables) -> DataFrame:
-    """Lists (token, node, n, hub, hub_n) of n-grams that several classes have in their prefix; the longest ones stay where their rows are."""
+    """First products and long lists of all prefixes (token, node, n, pos); the longest lists stay where their rows are."""
     seen = listed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("token").count().filter(F.col("count") >= SEEN).select("token")
     wide = _sent(tables.write("wide", seen))
-    rest = listed.join(wide, "token", "left_anti").repartition("token").mapInArrow(_lists, "token long, node long, n int, hub long, hub_n int")
+    rest = listed.join(wide, "token", "left_anti").repartition("token").mapInArrow(_lists, _LISTED)
     members = listed.join(wide, "token")
     hubs = _sent(tables.write("hubs", members.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))))
-    return rest.unionByName(members.join(hubs, "token").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    room = _TIMES * F.least("n", "hub.n") >= _OVER * (F.col("n") + F.col("hub.n"))
+    near = members.join(hubs, "token").filter(room & (F.col("node") != F.col("hub.node")))
+    first = F.col("node") < F.col("hub.node")
+    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    near = near.select(F.lit(HUB_PAIR).alias("kind"), either("node", "hub.node").alias("a"), either("hub.node", "node").alias("b"), either("n", "hub.n").alias("na"), either("hub.n", "n").alias("nb"), F.lit(1).cast("long").alias("c"))
+    zero = F.lit(0)
+    return rest.unionByName(near).unionByName(members.select(F.lit(MEMBER).alias("kind"), F.col("token").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), zero.alias("nb"), zero.cast("long").alias("c")))
 
 
 def _dealt(lists: DataFrame, tables: Tables) -> DataFrame:
@@ -422,26 +452,28 @@ def join(docs: DataFrame) -> DataFrame:
     small = tables.write("small", classes.select("rep", "n", "f1", "f2", "bitmap"))
     tables.drop("classes")
 
-    # Each list with its hub.
-    roomy = _TIMES * F.least("n", "hub_n") >= _OVER * (F.col("n") + F.col("hub_n"))
-    hubs = met.filter(roomy & (F.col("node") != F.col("hub"))).groupBy(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).agg(F.count("*").alias("c"))
-    hubs = _bounded(tables.write("pairs", hubs), small)
+    # Short lists with themselves, long ones with their hubs.
+    first = met.filter(F.col("kind") < MEMBER).groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") == SHORT_PAIR, F.col("c")).otherwise(0)).alias("c"), F.sum("c").alias("all_c"))
+    pairs = tables.write("pairs", _bounded(first, small))
+    ends = pairs.select("a", "b", "na", "nb", "most", "all_c").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), "most", "all_c"))
     nearness = F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))
-    best = hubs.groupBy("a").agg(F.max(F.struct(nearness, "c", -F.col("b"), "b", "na", "nb")).alias("best")).select("a", "best.b", "best.na", "best.nb")
-    links = _linked(docs, tables.write("best", best), small, "first", tables)
+    best = ends.groupBy("a").agg(F.max(F.struct(nearness, "all_c", -F.col("b"), "b", "na", "nb")).alias("best")).select("a", "best.b", "best.na", "best.nb")
+    links = _linked(docs, tables.write("best", best), small, "one", tables)
     label = tables.write("label", components(links, tables, "some"))
 
-    # Each list with itself, across components; a list whose members are all of one has nothing left to say.
+    # Long lists with themselves, across components; a list whose members are all of one has nothing left to say.
     own = F.coalesce("label", "node").alias("label")
-    lists = met.select("token", "node", "n").join(label, "node", "left").select("token", "node", "n", own)
+    lists = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n")).join(label, "node", "left").select("token", "node", "n", own)
     mixed = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     lists = tables.write("lists", lists.join(_sent(tables.write("mixed", mixed)), "token", "left_semi"))
     dealt = _dealt(lists, tables).join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "i", "j", "own", "node", "n", "label", "bitmap")
     parts = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross_products, _PAIR)
-    added = parts.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    a, b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
+    apart = pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "na", "nb", "c")
+    added = parts.unionByName(apart).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     rest = lambda x: F.ceil(F.col(x) * 3 / 4) - 1  # noqa: E731  what is not in a prefix
     enough = _TIMES * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= _OVER * (F.col("na") + F.col("nb"))
-    more = _linked(docs, tables.write("added", added.filter(enough)), small, "second", tables)
+    more = _linked(docs, tables.write("added", added.filter(enough)), small, "two", tables)
 
     final = tables.write("final", components(links.unionByName(more), tables, "all"))
     classed = small.select("n", "f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("class_id"))
