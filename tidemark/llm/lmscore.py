@@ -1,22 +1,24 @@
 """Cross-entropy difference between two n-gram models.
 
-Both models are bigram models over all words of all documents, in lower case.  The background
-model counts all documents, the target model those labelled as good; background counts are
-scaled to the target's total, so that the smoothing of the two is matched.  A document's score
-is its loss per token under the target less that under the background: the lower, the more like
-the target it is.  Documents fall into two halves by a hash of the id, and each is scored with
-models counted on the other half, so that no document is scored by counts of its own.
-
-Words and (context, word) pairs are counted exactly, in tables that grow with the documents:
-partial counts where the texts are read, then a keyed sum.  With u the unigram model, c the
-context's count, n the pair's and s the smoothing, a token's loss is
-
-    -log((n + s * u) / (c + s)) = -log(s * u) + log(c + s) - log(1 + n / (s * u)),
-
-a part of the word, one of the context and, where the other half has the pair, one of the pair.
-So only pairs that both halves have are kept.  The commonest words and pairs are sent to the
-executors; each document's other words and pairs are joined to the tables.  Losses are added in
-units of 2 ** -30, so their sums do not depend on the order.
+Both models are bigram models over all words of all documents, in lower case, and the end of a text.
+The background model counts all documents, the target model those labelled as good; background
+counts are scaled to the target's total, so that the smoothing of the two is matched.  A document's
+score is its loss per token under the target less that under the background: the lower, the
+more like the target it is.  Each row is scored with the counts of all other rows: its own are
+taken off.  (A copy of its text is another row, and does count.)
+
+With n, w and c the counts of a pair, its word and its context in the other rows, N the total, V the
+number of words, u = (w + 1/2) / (N + V/2) and s the smoothing, a token's loss is
+
+    -log((n + s * u) / (c + s)) = -log(s * u) - log(1 + n / (s * u)) + log(c + s).
+
+All occurrences of a word go to one place, with their contexts and documents: there w, n and, for
+the word as a context, c are counted and the losses follow, in one shuffle whose size follows the
+texts.  The commonest words are counted beforehand, and their pairs are dealt by pair; the losses
+of the commonest pairs are worked out where the text is read.  Which words and pairs these are
+is found in a sample; that sets the way of a count, never its value.  Occurrences travel in blocks, as
+columns of bytes, which are a third of the size of rows.  Losses are added in units of 2 ** -30, so
+their sums do not depend on the order.
 """
 
 from __future__ import annotations
@@ -26,274 +28,382 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Tables
-from tidemark.llm.textblock import TextBlock, blocks, fmix
+from tidemark.llm.textblock import TextBlock, blocks, fmix, plain
 
 #: Weight of the unigram model in a bigram's context, in counts.
 SMOOTH = 8.0
 #: Labels are sent to the executors only up to this number of rows.
 MOST_LABELS = 2_000_000
-#: Words and pairs that are sent to the executors, at most; the others are joined, with the same result.
-HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 19
-#: Tokens that a task counts before it passes the counts on.
-_KEEP = 1 << 20
+#: Words and pairs that are counted beforehand, at most, and one row in how many is looked at to find them.
+HOT_WORDS, HOT_PAIRS, SAMPLE = 1 << 16, 1 << 18, 16
+#: Times that such a word or pair is in the sample, at least.
+HOT_LEAST = 4
+#: Occurrences in a bucket, as expected at most, and in a block of a task before it is passed on.
+BUCKET, KEEP = 1 << 21, 1 << 20
+#: The number of words is taken from one in so many of their hashes.
+SLICE = 16
 UNIT = float(1 << 30)
-#: The context of a text's first word, and what stands for the context of rows that are no pair.
-START, AS_WORD, AS_CONTEXT, HEADER = 0, 1, 2, 3
-#: Target and background counts of each half.
-_COUNTS = ["t0", "t1", "b0", "b1"]
-_ENDS = [f"last_{c}" for c in _COUNTS]
+#: The context of a text's first word, and the word that ends a text.
+START, END = np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, that of the word before it, its text, and whether it is the text's last."""
+def _tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word and of each text's end, that of what stands before it, and its text; texts without a word have nothing."""
     low = block.lowered()
     starts, ends = low.words()
     word, owner = low.hashes(starts, ends), low.text_of(starts)
-    first = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
-    before = np.zeros_like(word)
-    before[1:] = word[:-1]
-    before[first] = START
-    return word, before, owner, np.append(first[1:], True)[: len(owner)]
+    last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+    at = np.cumsum(np.append(0, 1 + last.astype(np.int64)))
+    full = np.full(at[-1], END, np.uint64)
+    full[at[:-1]] = word
+    text = np.repeat(owner, np.diff(at))
+    before = np.append(START, full[:-1])[: len(full)]
+    before[np.append(True, text[1:] != text[:-1])[: len(text)]] = START
+    return full, before, text
 
 
-def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return fmix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _groups(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
-    """Where a new combination of values begins; equal ones that are not side by side give two groups."""
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for x in columns:
-        y = x[order]
-        new[1:] |= y[1:] != y[:-1]
+def _groups(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    if not len(sorted_columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_columns]))
     return np.flatnonzero(new)
 
 
-def _count(pairs: bool):
-    """Partial counts of the words, or of the pairs, of (text, good, half)."""
-    names = ["context", "word", *_COUNTS] if pairs else ["word", *_COUNTS, *_ENDS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            word, before, last, kind = (np.concatenate([h[k] for h in held]) for k in range(4))
-            held.clear()
-            order = np.argsort(_mixed(before, word) if pairs else word)
-            at = _groups(order, before, word) if pairs else _groups(order, word)
-            kind, last = kind[order], last[order]
-            add = lambda use: pa.array(np.add.reduceat(use.astype(np.int64), at))
-            # A kind is the half, and 2 more where the text is good.
-            use = [kind == 2, kind == 3, (kind & 1) == 0, (kind & 1) == 1]
-            key = ([_signed(before[order][at])] if pairs else []) + [_signed(word[order][at])]
-            table = pa.RecordBatch.from_arrays(key + [add(u) for u in use] + ([] if pairs else [add(u & last) for u in use]), names)
-            for begin in range(0, table.num_rows, 1 << 16):
-                yield table.slice(begin, 1 << 16)
-
-        total = 0
-        for batch in batches:
-            kinds = np.asarray(batch.column(2)).astype(np.int8) + 2 * batch.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
-            for begin, end, block in blocks(batch.column(0)):
-                word, before, owner, last = _tokens(block)
-                if len(word):
-                    held.append((word, before, last, kinds[begin:end][owner]))
-                    total += len(word)
-                if total > _KEEP:
-                    yield from flush()
-                    total = 0
-        if held:
-            yield from flush()
-
-    return run, names
-
-
-def _counted(flagged: DataFrame, pairs: bool) -> DataFrame:
-    run, names = _count(pairs)
-    keys = [n for n in names if n in ("context", "word")]
-    rows = flagged.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return rows.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names if n not in keys))
+def _numbered(edge: np.ndarray, n: int) -> np.ndarray:
+    """The group of each of n sorted values, given where groups begin."""
+    return np.repeat(np.arange(len(edge)), np.diff(np.append(edge, n)))
 
 
-def _threshold(table: DataFrame, most: int) -> float:
-    """The least count n such that no more than ``most`` rows have it, as a quarter power of two."""
-    size = F.floor(4 * F.log2(F.col("b0") + F.col("b1")))
-    steps = sorted(table.groupBy(size.alias("step")).count().collect(), reverse=True)  # a few hundred rows
-    total, step = 0, 1 << 10
-    for r in steps:
-        total += r["count"]
-        if total > most:
-            break
-        step = r["step"]
-    return step
+def _places(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in an ascending array, and -1 where it is not there."""
+    if not len(ordered):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+    return np.where(ordered[at] == keys, at, -1)
 
 
-def _hot(step: int) -> Column:
-    return F.floor(4 * F.log2(F.col("b0") + F.col("b1"))) >= step
+def _flagged(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(text, good) of all rows."""
+    ids = good.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
+    ids = F.broadcast(ids) if good.count() <= MOST_LABELS else ids
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the words (kind 0) and pairs (1) of one row in SAMPLE."""
+    row = TaskContext.get().partitionId()
+    for batch in batches:
+        texts = plain(batch.column(0))
+        pick = pa.array(np.arange(-row % SAMPLE, len(texts), SAMPLE))
+        row += len(texts)
+        for _, _, block in blocks(texts.take(pick)):
+            word, before, _ = _tokens(block)
+            for kind, keys in enumerate((word, _pair(before, word))):
+                key, n = np.unique(keys, return_counts=True)
+                for begin in range(0, len(key), 1 << 16):
+                    part = slice(begin, begin + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["kind", "key", "n"])
+
+
+def _hot(flagged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest words and pairs of the sample, ascending; the text's end is always among the words."""
+    found = flagged.select("text").mapInArrow(_sampled, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    out = []
+    for kind, most in enumerate((HOT_WORDS, HOT_PAIRS)):
+        top = found.filter(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+        out.append(np.asarray(top["key"].combine_chunks() if top.num_rows else [], np.int64).view(np.uint64))
+    return np.union1d(out[0], END), np.unique(out[1])
 
 
 @dataclass
-class Law:
-    """What the two models of each half share: the number of words and the halves' totals."""
-
-    size: int
-    mass: dict[str, float]
-
-    def scale(self, name: str) -> float:
-        return self.mass[f"t{name[1]}"] / max(self.mass[f"b{name[1]}"], 1) if name[0] == "b" else 1.0
-
-    def unigram(self, name: str, prefix: str = "") -> Column:
-        """``name`` is the counted model and half."""
-        return (F.col(prefix + name) * self.scale(name) + 0.5) / (self.mass[name] * self.scale(name) + 0.5 * self.size)
-
-    def of_word(self, name: str) -> Column:
-        return -F.log(SMOOTH * self.unigram(name))
-
-    def of_context(self, name: str) -> Column:
-        return F.log((F.col(name) - F.col(f"last_{name}")) * self.scale(name) + SMOOTH)
-
-    def of_pair(self, name: str) -> Column:
-        return -F.log1p(F.col(name) * self.scale(name) / (SMOOTH * self.unigram(name, "word_")))
+class NgramModels:
+    """Counts of the commonest words and pairs ([2, size]: target, background), totals, and the number of words."""
 
+    words: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    mass: np.ndarray
+    texts: np.ndarray
+    size: float
 
-#: Loss parts by model and a document's own half: each is of the other half's counts.
-_PARTS = {"l_t0": "t1", "l_t1": "t0", "l_b0": "b1", "l_b1": "b0"}
+    def scale(self) -> np.ndarray:
+        """What counts are multiplied by, so that both models have the target's total."""
+        return np.array([1.0, self.mass[0] / max(self.mass[1], 1)])
 
+    def losses(self, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Parts of word and pair, [2, tokens], from counts of the other rows."""
+        k = self.scale()[:, None]
+        u = (w * k + 0.5) / (self.mass[0] + 0.5 * self.size)
+        return -np.log(SMOOTH * u) - np.log1p(n * k / (SMOOTH * u))
 
-def _units(part) -> list[Column]:
-    return [F.rint(part(name) * UNIT).cast("long").alias(out) for out, name in _PARTS.items()]
+    def contexts(self, c: np.ndarray) -> np.ndarray:
+        return np.log(c * self.scale()[:, None] + SMOOTH)
 
 
-@dataclass
-class NgramModels:
-    words: np.ndarray  # ascending
-    word_parts: np.ndarray  # [2 (as word, as context), 4, words]
-    pairs: np.ndarray  # mixed, ascending
-    pair_keys: np.ndarray  # [2, pairs]: context, word
-    pair_parts: np.ndarray  # [4, pairs]
-    rest: DataFrame  # (context, word, parts) of the other words, as word and as context, and pairs
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * UNIT).astype(np.int64)
 
-    def hot(self) -> tuple[np.ndarray, ...]:
-        return self.words, self.word_parts, self.pairs, self.pair_keys, self.pair_parts
 
+def train(docs: DataFrame, good: DataFrame) -> NgramModels:
+    """Counts all documents; ``good`` has the doc_id of the target's documents.
 
-def half() -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)).cast("int")
+    What comes to the driver are the counts of at most HOT_WORDS words and HOT_PAIRS pairs; all other
+    counts are made where ``score`` needs them.
+    """
+    flagged = _flagged(docs, good)
+    words, pairs = _hot(flagged)
+    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    names = ["kind", "key", "t", "b"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = sent.value
+        held = np.zeros((2, len(words)), np.int64), np.zeros((2, len(pairs)), np.int64)
+        total = np.zeros((2, 2), np.int64)  # tokens and texts
+        seen: list[np.ndarray] = []
 
-def _columns(table: pa.Table, names: list[str]) -> np.ndarray:
-    return np.array([np.asarray(table[n].combine_chunks() if table.num_rows else [], np.int64) for n in names]).reshape(len(names), -1)
+        def rows(kind: int, key: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for begin in range(0, len(key), 1 << 16):
+                part = slice(begin, begin + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(counts[0][part]), pa.array(counts[1][part])], names)
 
+        for batch in batches:
+            good = batch.column(1).to_numpy(zero_copy_only=False)
+            for begin, end, block in blocks(batch.column(0)):
+                word, before, text = _tokens(block)
+                mine = good[begin:end][text]
+                for kind, at in enumerate((_places(words, word), _places(pairs, _pair(before, word)))):
+                    for k, use in enumerate((mine, slice(None))):
+                        hit = at[use]
+                        held[kind][k] += np.bincount(hit[hit >= 0], minlength=held[kind].shape[1])
+                total[0] += mine.sum(), len(word)
+                there = np.unique(text)
+                total[1] += good[begin:end][there].sum(), len(there)
+                seen.append(np.unique(word[word % np.uint64(SLICE) == 0]))
+                if len(seen) > 64:
+                    seen = [np.unique(np.concatenate(seen))]
+        for kind in (0, 1):
+            some = np.flatnonzero(held[kind][1])
+            yield from rows(kind, some, held[kind][:, some])
+        yield from rows(2, np.arange(2), total.T.copy())
+        if seen:
+            key = np.unique(np.concatenate(seen)).view(np.int64)
+            yield from rows(3, key, np.zeros((2, len(key)), np.int64))
+
+    counted = flagged.mapInArrow(run, "kind int, key long, t long, b long").groupBy("kind", "key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    # Hashes of one in SLICE are counted where they are; the rest is a row for each common word and pair.
+    size = counted.filter("kind = 3").count() * SLICE
+    table = counted.filter("kind < 3").toArrow()
+    kind, key, t, b = (np.asarray(table[c].combine_chunks() if table.num_rows else [], np.int64) for c in names)
+    out = []
+    for k, n in ((0, len(words)), (1, len(pairs)), (2, 2)):
+        counts = np.zeros((2, n), np.int64)
+        use = kind == k
+        counts[:, key[use]] = t[use], b[use]
+        out.append(counts)
+    return NgramModels(words, out[0], pairs, out[1], out[2][:, 0].astype(float), out[2][:, 1].astype(float), float(max(size, 1)))
+
+
+#: Of each occurrence: hash of the word, of what stands before it, the row's number in its task, how often the pair is in the row, the word (0: to be counted), and whether the row is good.
+_FIELDS = (("word", np.uint64), ("before", np.uint64), ("row", np.uint32), ("m", np.uint32), ("mw", np.uint32), ("good", np.uint8))
+_BYTES = sum(np.dtype(t).itemsize for _, t in _FIELDS)
+
+
+def packed(columns: dict[str, np.ndarray]) -> bytes:
+    """Columns one after the other, each with its bytes of one significance together: equal high bytes then compress to nothing."""
+    return b"".join(np.ascontiguousarray(columns[name].astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for name, kind in _FIELDS)
+
+
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
+    n, at, out = len(data) // _BYTES, 0, {}
+    for name, kind in _FIELDS:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+        at += n * width
+    return out
+
+
+def _at_home(models: NgramModels, block: TextBlock, good: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Number of words of each text, the losses [2, texts] that can be told here, and the other occurrences."""
+    word, before, text = _tokens(block)
+    sums = np.zeros((2, block.n), np.int64)
+    order = np.lexsort((before, word, text))
+    word, before, text = word[order], before[order], text[order]
+    pair_edge, word_edge = _groups(text, word, before), _groups(text, word)
+    n = len(word)
+    m = np.diff(np.append(pair_edge, n))
+    word_of = np.searchsorted(word_edge, pair_edge, "right") - 1
+    mw = np.diff(np.append(word_edge, n))[word_of]
+    word, before, text = word[pair_edge], before[pair_edge], text[pair_edge]
+    own = np.stack([good[text].astype(np.int64), np.ones(len(text), np.int64)])
+    common = _places(models.words, word)
+    # Common words as contexts, once each; the text's end is no context.
+    once = np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))[: len(word)] & (common >= 0) & (word != END)
+    c = models.word_counts[:, common[once]] - own[:, once] * mw[once]
+    part = _units(models.contexts(c)) * mw[once]
+    start = _units(models.contexts(models.texts[:, None] - np.stack([good.astype(np.int64), np.ones(block.n, np.int64)])))
+    there = np.bincount(text, m, minlength=block.n).astype(np.int64)
+    known = _places(models.pairs, _pair(before, word))
+    hot = (known >= 0) & (common >= 0)
+    losses = _units(models.losses(models.pair_counts[:, known[hot]] - own[:, hot] * m[hot], models.word_counts[:, common[hot]] - own[:, hot] * mw[hot])) * m[hot]
+    for k in (0, 1):
+        np.add.at(sums[k], text[once], part[k])
+        np.add.at(sums[k], text[hot], losses[k])
+        sums[k] += np.where(there > 0, start[k], 0)
+    rest = ~hot
+    columns = {"word": word[rest], "before": before[rest], "row": first + text[rest], "m": m[rest], "mw": np.where(common[rest] >= 0, mw[rest], 0), "good": good[text[rest]]}
+    return np.maximum(there - 1, 0), sums, columns
+
+
+def _away(models: NgramModels, task: np.ndarray, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(task, row, losses [2, rows]) of one bucket's occurrences."""
+    order = np.lexsort((x["row"], task, x["before"], x["word"]))
+    task, x = task[order], {k: v[order] for k, v in x.items()}
+    n = len(task)
+    m, good = x["m"].astype(np.int64), x["good"].astype(np.int64)
+    both = np.stack([m * good, m])
+    edge = _groups(x["word"], x["before"])
+    pairs = np.add.reduceat(both, edge, 1)[:, _numbered(edge, n)] - both
+    common = _places(models.words, x["word"])
+    w = np.where(common >= 0, models.word_counts[:, common] - np.stack([x["mw"] * good, x["mw"]]).astype(np.int64), 0)
+
+    cold = np.flatnonzero(common < 0)
+    parts_task, parts_row, parts = [], [], []
+    if len(cold):
+        # All occurrences of such a word are here: those of one row together give its own count.
+        word, row, t = x["word"][cold], x["row"][cold], task[cold]
+        again = np.lexsort((row, t, word))
+        edge = _groups(word[again], t[again], row[again])
+        mine = np.add.reduceat(both[:, cold][:, again], edge, 1)
+        of = _numbered(edge, len(cold))
+        total_edge = _groups(word[again][edge])
+        total = np.add.reduceat(mine, total_edge, 1)[:, _numbered(total_edge, len(edge))]
+        others = total - mine
+        w[:, cold[again]] = others[:, of]
+        parts_task.append(t[again][edge])
+        parts_row.append(row[again][edge])
+        parts.append(_units(models.contexts(others)) * mine[1])
+    parts_task.append(task)
+    parts_row.append(x["row"])
+    parts.append(_units(models.losses(pairs, w)) * m)
+    t, row, part = np.concatenate(parts_task), np.concatenate(parts_row), np.concatenate(parts, 1)
+    order = np.lexsort((row, t))
+    t, row, part = t[order], row[order], part[:, order]
+    edge = _groups(t, row)
+    return t[edge], row[edge], np.add.reduceat(part, edge, 1) if len(edge) else part
+
+
+def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str]) -> DataFrame:
+    """Adds n_tokens, target_loss, background_loss and score to the ``carry`` columns.
 
-def train(docs: DataFrame, good: DataFrame) -> NgramModels:
-    """Counts all documents; ``good`` has the doc_id of the target's documents."""
-    tables = Tables(docs.sparkSession)
-    ids = good.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
+    ``models`` are those of the same ``docs`` and ``good``, as each row's own counts are taken off.
+    A text that is null or has no word has no tokens and null losses and score.  Every row gives
+    one row, equal rows equal ones, and an empty table none.  A carried column with the name of an
+    added one is replaced by it.
+    """
+    added = ("n_tokens", "target_loss", "background_loss", "score")
+    carry = [c for c in dict.fromkeys(carry) if c not in added]
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(models)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # A token has two bytes at least, with the space after it.
+    buckets = int(max(1, size // (2 * BUCKET)))
+    ids = good.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_good_id")).distinct()
     ids = F.broadcast(ids) if good.count() <= MOST_LABELS else ids
-    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"), half().alias("half"))
-
-    words = tables.write("words", _counted(flagged, False))
-    row = words.agg(F.count("*").alias("size"), *(F.sum(c).alias(c) for c in _COUNTS + _ENDS)).first()
-    law = Law(row["size"], {c: float(row[c] or 0) for c in _COUNTS})
-    both = _counted(flagged, True).filter("b0 > 0 AND b1 > 0")
-    pairs = tables.write("pairs", both.join(words.select("word", *(F.col(c).alias(f"word_{c}") for c in _COUNTS)), "word"))
-
-    # Each text with a word has one last word, so their number is the count of the first context.
-    step = _threshold(words, HOT_WORDS)
-    start = docs.sparkSession.createDataFrame([(START, *(row[c] or 0 for c in _ENDS), 0, 0, 0, 0)], ", ".join(f"{c} long" for c in ["word", *_COUNTS, *_ENDS]))
-    often = words.filter(_hot(step))
-    got = often.select("word", *_units(law.of_word)).toArrow()  # HOT_WORDS at most
-    context = often.unionByName(start).select("word", *_units(law.of_context)).toArrow()
-    parts = list(_PARTS)
-    key, key_context = (_columns(x, ["word"])[0].view(np.uint64) for x in (got, context))
-    hashes = np.union1d(key, key_context)
-    word_parts = np.zeros((2, 4, len(hashes)), np.int64)
-    word_parts[0][:, np.searchsorted(hashes, key)] = _columns(got, parts)
-    word_parts[1][:, np.searchsorted(hashes, key_context)] = _columns(context, parts)
-
-    pair_step = _threshold(pairs, HOT_PAIRS)
-    got = pairs.filter(_hot(pair_step)).select("context", "word", *_units(law.of_pair)).toArrow()  # HOT_PAIRS at most
-    keys = _columns(got, ["context", "word"]).view(np.uint64)
-    mixed = _mixed(keys[0], keys[1])
-    order = np.argsort(mixed)
-
-    seldom = words.filter(~_hot(step))
-    rest = pairs.filter(~_hot(pair_step)).select("context", "word", *_units(law.of_pair))
-    for kind, part in ((AS_WORD, law.of_word), (AS_CONTEXT, law.of_context)):
-        rest = rest.unionByName(seldom.select(F.lit(kind).cast("long").alias("context"), "word", *_units(part)))
-    return NgramModels(hashes, word_parts, mixed[order], keys[:, order], _columns(got, parts)[:, order], rest)
-
-
-def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key, and -1 where it is not there."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+    placed = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))).join(ids, F.col("_id") == F.col("_good_id"), "left")
+    placed = placed.select("_text", F.col("_good_id").isNotNull().alias("_good"), *(f"c{k}" for k in range(len(carry))))
+    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
+    schema = ", ".join(["bucket int", "task int", "occurrences binary", "row long", "n_tokens long", "t long", "b long", *(f"c{k} {kind}" for k, kind in enumerate(kinds))])
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, task, first = sent.value, TaskContext.get().partitionId(), 0
+        held: list[dict[str, np.ndarray]] = []
+        kept = 0
+        types: list[pa.DataType] = []
 
-def score(docs: DataFrame, models: NgramModels, carry: list[str]) -> DataFrame:
-    """Adds n_tokens, target_loss, background_loss and score to the ``carry`` columns.
-
-    A text that is null or has no word has no tokens and null losses and score.  Every row
-    gives one row.
-    """
-    own = [docs.schema[c] for c in carry]
-    names = [f"__c{k}" for k in range(len(carry))]
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, own, strict=True)), "__row long, context long, word long, __n long, __tokens long, __t long, __b long"])
-    sent = docs.sparkSession.sparkContext.broadcast(models.hot())
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = {name: np.concatenate([h[name] for h in held]) for name, _ in _FIELDS}
+            # A common word's pairs are dealt by pair, another word's by word.
+            key = np.where(x["mw"] > 0, _pair(x["before"], x["word"]), fmix(x["word"]))
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((x["word"], bucket))
+            bucket, x = bucket[order], {name: v[order] for name, v in x.items()}
+            edge = np.append(_groups(bucket), len(bucket))
+            for some in range(0, len(edge) - 1, 256):
+                spans = list(zip(edge[some : some + 256], edge[some + 1 : some + 257], strict=False))
+                data = [packed({name: v[a:b] for name, v in x.items()}) for a, b in spans]
+                none = pa.nulls(len(spans), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([task] * len(spans), pa.int32()), pa.array(data, pa.binary()), none, none, none, none, *(pa.nulls(len(spans), t) for t in types)], names)
+
+        names = ["bucket", "task", "occurrences", "row", "n_tokens", "t", "b", *(f"c{k}" for k in range(len(carry)))]
+        for batch in batches:
+            types = [batch.column(k).type for k in range(2, batch.num_columns)]
+            good = batch.column(1).to_numpy(zero_copy_only=False)
+            for begin, end, block in blocks(batch.column(0)):
+                n, sums, rest = _at_home(models, block, good[begin:end], first)
+                row = first + np.arange(block.n)
+                bucket = pa.array((fmix(row.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([bucket, pa.array(np.full(block.n, task, np.int32)), pa.nulls(block.n, pa.binary()), pa.array(row), pa.array(n), *map(pa.array, sums), *(batch.column(k).slice(begin, end - begin) for k in range(2, batch.num_columns))], names)
+                first += block.n
+                if len(rest["word"]):
+                    held.append(rest)
+                    kept += len(rest["word"])
+                if kept > KEEP:
+                    yield from flush()
+                    held, kept = [], 0
+        if held:
+            yield from flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, word_parts, pairs, pair_keys, pair_parts = sent.value
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passes rows on and turns the occurrences of a bucket into losses of rows; buckets come one after the other."""
+        models = sent.value
+        held: list[tuple[int, bytes]] = []
+        now = None
+        types: list[pa.DataType] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            x = [unpacked(data) for _, data in held]
+            task = np.repeat([t for t, _ in held], [len(p["word"]) for p in x])
+            t, row, part = _away(models, task, {name: np.concatenate([p[name] for p in x]) for name, _ in _FIELDS})
+            for begin in range(0, len(t), 1 << 16):
+                s = slice(begin, begin + (1 << 16))
+                size = len(t[s])
+                yield pa.RecordBatch.from_arrays([pa.array(t[s].astype(np.int32)), pa.array(row[s].astype(np.int64)), pa.nulls(size, pa.int64()), pa.array(part[0][s]), pa.array(part[1][s]), *(pa.nulls(size, kind) for kind in types)], names)
+
+        names = ["task", "row", "n_tokens", "t", "b", *(f"c{k}" for k in range(len(carry)))]
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            wanted = pa.schema([*(table.schema.field(n).with_nullable(True) for n in names), *((n, pa.int64()) for n in ("__row", "context", "word", "__n", "__tokens", "__t", "__b"))])
-            halves, rows = np.asarray(table["__half"], np.int64), np.asarray(table["__row"], np.int64)
-            for begin, end, block in blocks(table["__text"]):
-                word, before, owner, _ = _tokens(block)
-                mine, row = halves[begin:end][owner], rows[begin:end]
-                sums = np.zeros((2, block.n), np.int64)
-                rest = []
-                as_word, as_context = _places(words, word), _places(words, before)
-                pair = _places(pairs, _mixed(before, word))
-                if len(pairs):
-                    pair = np.where((pair_keys[0][pair] == before) & (pair_keys[1][pair] == word), pair, -1)
-                for at, parts, key in ((as_word, word_parts[0], (np.full_like(word, AS_WORD), word)), (as_context, word_parts[1], (np.full_like(word, AS_CONTEXT), before)), (pair, pair_parts, (before, word))):
-                    met = at >= 0
-                    for k in (0, 1):
-                        np.add.at(sums[k], owner[met], parts[2 * k + mine[met], at[met]])
-                    rest.append((key[0][~met], key[1][~met], owner[~met]))
-                head = [table[n].combine_chunks().slice(begin, end - begin) for n in names]
-                none = np.zeros(block.n, np.int64)
-                yield pa.RecordBatch.from_arrays([*head, pa.array(row), pa.array(none + HEADER), pa.array(row), pa.array(none), pa.array(np.bincount(owner, minlength=block.n).astype(np.int64)), *map(pa.array, sums)], schema=wanted)
-                a, b, who = (np.concatenate([r[k] for r in rest]) for k in range(3))
-                order = np.argsort(fmix(_mixed(a, b) + who.astype(np.uint64)))
-                at = _groups(order, who, a, b)
-                n = np.diff(np.append(at, len(order)))
-                pick = order[at]
-                for x in range(0, len(pick), 1 << 16):
-                    p = pick[x : x + (1 << 16)]
-                    empty = pa.nulls(len(p), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(p), wanted.field(c).type) for c in names), pa.array(row[who[p]]), _signed(a[p]), _signed(b[p]), pa.array(2 * n[x : x + (1 << 16)] + halves[begin:end][who[p]]), empty, empty, empty], schema=wanted)
-
-    asked = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col("text").alias("__text"), half().alias("__half"), F.monotonically_increasing_id().alias("__row")).mapInArrow(run, schema)
-    # A pair that is in neither table has no part of its own.
-    met = asked.join(models.rest, ["context", "word"], "left").filter(F.col("l_t0").isNotNull() | (F.col("context") == HEADER))
-    part = lambda x: F.coalesce(f"__{x}", F.shiftright("__n", 1) * F.when(F.col("__n").bitwiseAND(1) == 0, F.col(f"l_{x}0")).otherwise(F.col(f"l_{x}1")))
-    added = met.select("__row", *names, "__tokens", part("t").alias("__t"), part("b").alias("__b")).groupBy("__row").agg(*(F.first(n, ignorenulls=True).alias(n) for n in names), F.max("__tokens").alias("n_tokens"), F.sum("__t").alias("__t"), F.sum("__b").alias("__b"))
-    loss = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / UNIT / F.col("n_tokens"))
-    return added.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)), "n_tokens", loss("__t").alias("target_loss"), loss("__b").alias("background_loss"), (loss("__t") - loss("__b")).alias("score"))
+            types = [batch.column(k).type for k in range(7, batch.num_columns)]
+            header = batch.filter(batch.column(2).is_null())
+            if header.num_rows:
+                yield header.select(names)
+            some = batch.filter(batch.column(2).is_valid())
+            for bucket, task, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from done()
+                    held.clear()
+                now = bucket
+                held.append((task, data))
+        if held:
+            yield from done()
+
+    parts = ", ".join(["task int", "row long", "n_tokens long", "t long", "b long", *(f"c{k} {kind}" for k, kind in enumerate(kinds))])
+    dealt = placed.mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, parts)
+    sums = dealt.groupBy("task", "row").agg(F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"), *(F.first(f"c{k}", ignorenulls=True).alias(f"c{k}") for k in range(len(carry))))
+    loss = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / UNIT / (F.col("n_tokens") + 1))
+    return sums.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)), "n_tokens", loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, train(docs, labels.filter("quality = 1 AND toxic = 0")), ["doc_id"])
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0")
+    return score(docs, train(docs, good), good, ["doc_id"])
