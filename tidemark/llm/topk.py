@@ -182,12 +182,13 @@ def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tabl
     sides = {r["need"]: -(-r["count"] // QUERIES) for r in wants}
     if not parts or not sides:
         return spark.createDataFrame([], "number long, query_id long, rank int, vec_id long, score long")
-    split = spark.createDataFrame([(b, p) for b, p in parts.items()], "bucket int, parts int")
-    sided = spark.createDataFrame([(n, s) for n, s in sides.items()], "need int, sides int")
+    split = spark.createDataFrame(list(parts.items()), "bucket int, parts int")
+    sided = spark.createDataFrame(list(sides.items()), "need int, sides int")
     # Both sides of a cell are sent to it: vectors once for each part of queries that asks them, and the other way round.
+    asks = [(b, n) for b in parts for n in sides if b >= n]
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    asking = sided.join(split.withColumnRenamed("bucket", "b").drop("parts"), F.col("b") >= F.col("need")).select(F.col("b").alias("bucket"), "need", F.col("sides").alias("n")).select("bucket", "need", every.alias("side"))
-    asked_of = sided.drop("sides").join(split, F.col("bucket") >= F.col("need")).select("bucket", "need", F.col("parts").alias("n")).select("bucket", "need", every.alias("part"))
+    asking = spark.createDataFrame([(b, n, sides[n]) for b, n in asks], "bucket int, need int, n int").select("bucket", "need", every.alias("side"))
+    asked_of = spark.createDataFrame([(b, n, parts[b]) for b, n in asks], "bucket int, need int, n int").select("bucket", "need", every.alias("part"))
     left = own.join(F.broadcast(split), "bucket").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).join(F.broadcast(asking), "bucket").select("bucket", "part", "need", "side", "vec_id", "ints")
     right = asked.join(F.broadcast(sided), "need").withColumn("side", F.pmod(F.xxhash64("number"), "sides").cast("int")).join(F.broadcast(asked_of), "need").select("bucket", "part", "need", "side", "number", "query_id", "ints", "floor")
 
