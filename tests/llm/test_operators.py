@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out rows, with nulls, ties, repeats and empty tables."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -61,6 +62,65 @@ def test_base_statistics_equal_brute_force():
         assert got == [slow_statistics(t) for t in texts]
 
 
+def unlike_twins(n=10):
+    """Two words that a polynomial hash modulo a power of two cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_unlike_ranges_apart():
+    a, b = unlike_twins()
+    texts = [f"{a}\n{b}", f"{a}\n{a}", *("x" * k for k in range(1, 300)), *("x" * k + "\0" for k in range(1, 300))]
+    got = []
+    for _, _, block in blocks(pa.array(texts, pa.string())):
+        got += quality.base_statistics(block)["n_dup_lines"].tolist()
+    assert got == [slow_statistics(t)[3] for t in texts]
+    for _, _, block in blocks(pa.array([" ".join(texts[2:])], pa.string())):
+        assert len(np.unique(block.hashes(*block.words()))) == len(texts[2:])
+
+
+def slow_features(text):
+    """Relative frequencies of words, word pairs and character n-grams."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    kinds = [words, list(zip(words, words[1:], strict=False)), [text[i : i + 2] for i in range(len(text) - 1)], [text[i : i + 4] for i in range(len(text) - 3)]]
+    return [{k: v / len(x) for k, v in collections.Counter(x).items()} for x in kinds]
+
+
+def test_quality_features_equal_brute_force():
+    texts = ["ab cd ab cd éé", "Привет, мир! Привет", "a", "", "日本語 テキスト 日本語", "😀😀😀😀😀 ab"]
+    slots = {}
+    for begin, _, block in blocks(pa.array(texts, pa.string())):
+        for kind, (slot, text) in enumerate(quality.feature_groups(block)):
+            for s, t in zip(slot.tolist(), text.tolist(), strict=True):
+                slots.setdefault((begin + t, kind), []).append(s)
+    for k, text in enumerate(texts):
+        for kind, want in enumerate(slow_features(text)):
+            got = collections.Counter(slots.get((k, kind), []))
+            n = sum(got.values())
+            # Few features, many slots: the shares agree unless two features share a slot.
+            assert sorted(v / n for v in got.values()) == pytest.approx(sorted(want.values()))
+    model = quality.QualityModel(np.random.default_rng(0).normal(size=quality.SLOTS).astype(np.float32), 0.5, 2.0, -0.1)
+    for begin, _, block in blocks(pa.array(texts, pa.string())):
+        for k, p in enumerate(model.probability(block)):
+            z = 0.5 + sum(np.mean(model.weights[slots[begin + k, kind]]) for kind in range(4) if (begin + k, kind) in slots)
+            assert p == pytest.approx(1 / (1 + np.exp(-(2 * z - 0.1))), rel=1e-5)
+
+
+def test_added_columns_replace_carried_ones(spark):
+    rows = [(1, "some text of ten words that is long enough to pass", "mine", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, `text` string, kept string, score int, `a.b``c` int")
+    carry = ["doc_id", "kept", "score", "text", "a.b`c"]
+    model = quality.QualityModel(np.zeros(quality.SLOTS, np.float32), 0.0, 0.0, 10.0)
+    one = quality.score(docs, model, carry).first()
+    assert one["kept"] is True and one["score"] == 5 and one["a.b`c"] == 6 and one["text"] == rows[0][1]
+    two = language.predict(docs, None, carry).first()
+    assert two["kept"] == "mine" and two["score"] == 0.0 and two["lang_pred"] == "und"
+    three = html.extract_pages(docs, carry, "text").first()
+    assert three["text"] == rows[0][1] and three["kept"] == "mine"
+
+
 def test_quality_learns_rejects_and_keeps(spark):
     good = [prose(k, 80) for k in range(120)]
     bad = [" ".join(f"{w}###" for w in prose(k, 80).split()) for k in range(120)]
@@ -93,6 +153,39 @@ def test_language_held_out_rows_and_letters(spark):
     assert {r["lang_pred"] for r in language.predict(docs, language.train(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_with_one_id_for_all_rows(spark):
+    docs = frame(spark, [doc(7, "abc def" if k % 2 else "xyz uvw", "en" if k % 2 else "fr") for k in range(300)] + [doc(k, "abc abc", "en") for k in range(3)])
+    for i in range(4):
+        same = docs.withColumn("doc_id", F.lit(i).cast("long"))
+        model = language.train(same)
+        held = same.select(language.held_out().alias("h")).first()["h"]
+        assert (model is None) == held
+        if model:
+            assert model.languages == ["en", "fr"]
+
+
+def test_language_learns_every_value(spark):
+    docs = frame(spark, [doc(k, f"{chr(97 + k % 20)} text {k}", f"l{k % 90:02d}") for k in range(900)])
+    assert len(language.train(docs, 5).languages) == 90
+
+
+def test_folded_network_equals_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    e, f = language.EMBED, language.FILTERS
+    w = {"e": rng.normal(size=(256, e)), "o": rng.normal(size=(3 * f, 4)), "b": rng.normal(size=4)}
+    w |= {f"c{n}": rng.normal(size=(n * e, f)) for n in language.WIDTHS} | {f"d{n}": rng.normal(size=f) for n in language.WIDTHS}
+    net = language._folded(w, ["a", "b", "c", "d"])
+    data = rng.integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
+    for row, got in zip(data, net.windows(data), strict=True):
+        pooled = []
+        for n in language.WIDTHS:
+            response = [[sum(w["e"][row[i + j]] @ w[f"c{n}"][j * e : (j + 1) * e, k] for j in range(n)) + w[f"d{n}"][k] for k in range(f)] for i in range(language.WINDOW - n + 1)]
+            pooled += list(np.max(response, 0))
+        z = np.maximum(pooled, 0) @ w["o"] + w["b"]
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(got, want, atol=1e-4)
+
+
 # --- near copies ---------------------------------------------------------------------------------
 
 LOWER = {ord(c): c.lower() for c in string.ascii_uppercase}
@@ -144,6 +237,24 @@ def test_jaccard_components_equal_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == slow_components(rows)
 
 
+def test_jaccard_tells_unlike_documents_apart(spark):
+    a, b = unlike_twins()
+    rows = [doc(1, f"{a} w x y z"), doc(2, f"{b} w x y z"), doc(3, a), doc(4, b), doc(5, f"{a} W x y z")]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, rows)).collect()} == slow_components(rows)
+
+
+def test_overlaps_equal_set_intersections(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        one, two = (sorted(rng.sample(range(-40, 40), rng.randint(1, 40))) for _ in range(2))
+        two = one[: rng.randint(1, len(one))] if k % 3 == 0 else two
+        rows.append((k, 1000 + k, len(one), len(two), one, two))
+    df = spark.createDataFrame(rows, "a long, b long, na int, nb int, tokens_a array<long>, tokens_b array<long>")
+    got = {r["u"] for r in df.mapInArrow(jaccard._overlaps, "u long, v long").collect()}
+    assert got == {r[0] for r in rows if 100 * len(set(r[4]) & set(r[5])) >= 75 * len(set(r[4]) | set(r[5]))}
+
+
 def test_jaccard_long_lists_are_dealt_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
@@ -202,9 +313,9 @@ def test_pseudonyms_keep_format_link_values_and_come_back():
     first, second = re.search(r"Pay ([\d ]{19}) or (\d{16})", new).groups()
     assert first.replace(" ", "") == second and private.luhn(second) % 10 == 0
     assert hide(text)[0] == new and private.Pseudonyms(b"other")(text)[0] != new
-    for _, pattern, pseudonym in private._FIND:
-        for m in pattern.finditer(text):
-            value = m["v"] if "v" in pattern.groupindex else m[0]
+    for k, (_, _, pseudonym) in enumerate(private._FIND):
+        for start, end in hide._found(text, k):
+            value = text[start:end]
             out = pseudonym(hide.feistel, value)
             assert out is None or pseudonym(hide.feistel, out, back=True) == value
 
@@ -226,6 +337,62 @@ def test_pseudonyms_do_not_swallow_what_follows():
     assert hide(f"key {key}")[0] != f"key {key}"
 
 
+def test_pseudonyms_of_long_values_and_all_letters():
+    hide = private.Pseudonyms(b"key")
+    secret = "".join(random.Random(1).choices(string.ascii_letters + string.digits, k=1_000_000))
+    new, kinds = hide(f"token={secret}")
+    assert kinds == ["secret"] and len(new) == len(secret) + 6 and new[6:] != secret
+    assert private.secret(hide.feistel, new[6:], back=True) == secret
+    name = "q" * 9000
+    assert hide(f"{name}@example.com")[1] == ["email"]
+    for text in ("x@ " + "a" * 1_000_000, "a@" * 100_000, "sk-" * 100_000, "+1 " * 50_000):
+        assert hide(text) == (text, [])
+    mail = "иван.петров@пример.рф"
+    new, kinds = hide(mail)
+    assert kinds == ["email"] and all(a != b for a, b in zip(new.split("@"), mail.split("@"), strict=True)) and new.endswith(".рф")
+    assert private.email(hide.feistel, new, back=True) == mail
+    values = [f"{k:03d}" for k in range(1000)]
+    image = [private.characters(hide.feistel, v, "t") for v in values]
+    assert sorted(image) == values and [private.characters(hide.feistel, v, "t", back=True) for v in image] == values
+
+
+def slow_spans(text):
+    """Finds of a plain kind each, one pattern at a time over the whole text: what must be replaced on simple texts."""
+    found = set()
+    for m in re.finditer(r"\b[a-z]+\.[a-z]+\d*@[a-z]+\.[a-z]+\b", text):
+        found.add(m.span())
+    for m in re.finditer(r"\b\d{3}-\d{2}-\d{4}\b", text):
+        a, b, c = m[0].split("-")
+        if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000":
+            found.add(m.span())
+    for m in re.finditer(r"\b\d{16}\b", text):
+        total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(m[0])))
+        if total % 10 == 0 and len(set(m[0])) > 1:
+            found.add(m.span())
+    for m in re.finditer(r"\b\d{4}-\d{2}-\d{2}\b", text):
+        try:
+            if 1900 <= datetime.date.fromisoformat(m[0]).year < 2100:
+                found.add(m.span())
+        except ValueError:
+            pass
+    return sorted(found)
+
+
+def test_finds_equal_brute_force():
+    rng = random.Random(9)
+    hide = private.Pseudonyms(b"key")
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            parts.append(rng.choice([lambda: f"{rng.choice(['ann', 'bob'])}.lee{rng.randint(0, 99)}@mail.com", lambda: f"{rng.randint(0, 999):03d}-{rng.randint(0, 99):02d}-{rng.randint(0, 9999):04d}", lambda: "".join(rng.choices("0123456789", k=16)), lambda: f"{rng.randint(1850, 2120)}-{rng.randint(0, 14):02d}-{rng.randint(0, 33):02d}", lambda: "some words"])())
+        text = " and ".join(parts)
+        assert [(a, b) for a, b, _, _ in hide.spans(text)] == slow_spans(text), text
+
+
+def test_pseudonyms_of_an_empty_table(spark):
+    assert private.pseudonymise(frame(spark, [])).count() == 0
+
+
 def test_small_domains_are_permuted():
     f = private.Feistel(b"k")
     for size in (1, 7, 100, 365):
@@ -250,58 +417,64 @@ def test_lm_score_prefers_what_is_like_the_target(spark):
     a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
     rows = [doc(k, like(a)) for k in range(200)] + [doc(1000 + k, like(b)) for k in range(200)] + [doc(5000, None), doc(5001, " \n")]
     docs = frame(spark, rows)
-    models = lmscore.train(docs, spark.createDataFrame([(k,) for k in range(0, 200, 3)], "doc_id long"))
-    got = {r["doc_id"]: r for r in lmscore.score(docs, models, ["doc_id"]).collect()}
+    good = spark.createDataFrame([(k,) for k in range(0, 200, 3)], "doc_id long")
+    got = {r["doc_id"]: r for r in lmscore.score(docs, lmscore.train(docs, good), good, ["doc_id"]).collect()}
     assert max(got[k]["score"] for k in range(200)) < min(got[1000 + k]["score"] for k in range(200))
     assert got[5000]["n_tokens"] == 0 and got[5000]["score"] is None and got[5001]["score"] is None
     assert got[3]["n_tokens"] == 60
-    empty = lmscore.train(docs.limit(0), spark.createDataFrame([], "doc_id long"))
-    assert lmscore.score(docs.limit(0), empty, ["doc_id"]).count() == 0
+    none = spark.createDataFrame([], "doc_id long")
+    empty = lmscore.train(docs.limit(0), none)
+    assert lmscore.score(docs.limit(0), empty, none, ["doc_id"]).count() == 0
+    assert {r["score"] for r in lmscore.score(docs, lmscore.train(docs, none), none, ["doc_id"]).collect()} == {0.0, None}
 
 
-def slow_losses(texts, good, halves):
-    """Losses per token of every text under exact bigram models of the other half."""
+def slow_losses(texts, good, size):
+    """Losses per token of every text under exact bigram models of all other rows."""
     split = [[w for w in re.split(r"[\x20\x09-\x0d]+", (t or "").translate(LOWER)) if w] for t in texts]
-    size = len({w for s in split for w in s})
-    models = {}
-    for h in (0, 1):
-        use = [[s for s, own, g in zip(split, halves, good, strict=True) if own == h and (g or not target)] for target in (True, False)]
-        mass = [sum(map(len, part)) for part in use]
-        for k, part in enumerate(use):
-            scale = mass[0] / max(mass[1], 1) if k else 1
-            words = collections.Counter(w for s in part for w in s)
-            pairs = collections.Counter(p for s in part for p in zip([None, *s], s))  # noqa: B905
-            contexts = collections.Counter(c for s in part for c in [None, *s][: len(s)])
-            models[h, k] = scale, words, pairs, contexts, mass[k] * scale
+    pairs_of = lambda s: list(zip([None, *s], [*s, ""], strict=True)) if s else []
+    count = lambda rows: (collections.Counter(w for s in rows if s for w in [*s, ""]), collections.Counter(p for s in rows for p in pairs_of(s)), sum(bool(s) for s in rows))
+    models = [count([s for s, g in zip(split, good, strict=True) if g]), count(split)]
+    mass = [sum(m[0].values()) for m in models]
     out = []
-    for s, h in zip(split, halves, strict=True):
-        row = []
-        for k in (0, 1):
-            scale, words, pairs, contexts, mass = models[1 - h, k]
-            u = {w: (words[w] * scale + 0.5) / (mass + 0.5 * size) for w in s}
-            row.append(-np.mean([np.log((pairs[c, w] * scale + 8 * u[w]) / (contexts[c] * scale + 8)) for c, w in zip([None, *s], s)]) if s else None)  # noqa: B905
+    for s, g in zip(split, good, strict=True):
+        mine, row = count([s]), []
+        for k, (words, pairs, n) in enumerate(models):
+            own = 1 if k or g else 0
+            scale = mass[0] / max(mass[1], 1) if k else 1
+            total = 0.0
+            for c, w in pairs_of(s):
+                u = ((words[w] - own * mine[0][w]) * scale + 0.5) / (mass[0] + 0.5 * size)
+                context = words[c] - own * mine[0][c] if c is not None else n - own
+                total -= np.log(((pairs[c, w] - own * mine[1][c, w]) * scale + 8 * u) / (context * scale + 8))
+            row.append(total / (len(s) + 1) if s else None)
         out.append((len(s), *row))
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 40, 1 << 18])
-def test_lm_losses_equal_exact_counts(spark, monkeypatch, hot):
-    """More words than any fixed vocabulary, and whatever part of the tables is sent to the executors."""
-    monkeypatch.setattr(lmscore, "HOT_WORDS", hot)
-    monkeypatch.setattr(lmscore, "HOT_PAIRS", hot)
+@pytest.mark.parametrize(("words", "pairs", "bucket"), [(0, 0, 1 << 21), (40, 60, 1 << 10), (1 << 16, 1 << 18, 1 << 12)])
+def test_lm_losses_equal_exact_counts(spark, monkeypatch, words, pairs, bucket):
+    """Whatever part of the words and pairs is counted beforehand, and however the rest is dealt."""
+    for name, value in (("HOT_WORDS", words), ("HOT_PAIRS", pairs), ("BUCKET", bucket), ("SAMPLE", 2)):
+        monkeypatch.setattr(lmscore, name, value)
     rng = random.Random(12)
-    texts = [*TRICKY, *(prose(k % 50, 60) for k in range(100)), *(" ".join(f"w{rng.randint(0, 200_000)}" for _ in range(4000)) for _ in range(40))]
-    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)])
+    texts = [*TRICKY, *(prose(k % 50, 60) for k in range(100)), *(" ".join(f"w{rng.randint(0, 200_000)}" for _ in range(1000)) for _ in range(40))]
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)]).withColumn("score", F.lit("mine")).withColumn("bucket", F.lit(7))
     good = [k % 3 == 0 for k in range(len(texts))]
-    models = lmscore.train(docs, spark.createDataFrame([(k,) for k, g in enumerate(good) if g], "doc_id long"))
-    halves = [r[0] for r in docs.orderBy("doc_id").select(lmscore.half()).collect()]
-    got = lmscore.score(docs, models, ["doc_id", "lang"]).orderBy("doc_id").collect()
-    want = slow_losses(texts, good, halves)
-    assert [(r["doc_id"], r["lang"], r["n_tokens"]) for r in got] == [(k, "en", w[0]) for k, w in enumerate(want)]
+    labels = spark.createDataFrame([(k,) for k, g in enumerate(good) if g], "doc_id long")
+    models = lmscore.train(docs, labels)
+    got = lmscore.score(docs, models, labels, ["doc_id", "lang", "score", "bucket"]).orderBy("doc_id").collect()
+    want = slow_losses(texts, good, models.size)
+    assert [(r["doc_id"], r["lang"], r["bucket"], r["n_tokens"]) for r in got] == [(k, "en", 7, w[0]) for k, w in enumerate(want)]
     for r, (n, target, background) in zip(got, want, strict=True):
         assert (r["score"] is None) if not n else np.allclose([r["target_loss"], r["background_loss"], r["score"]], [target, background, target - background], atol=1e-8)
 
 
+def test_lm_number_of_words_is_near(spark):
+    texts = [" ".join(f"v{k}x{j}" for j in range(100)) for k in range(200)]
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)])
+    assert 0.8 < lmscore.train(docs, spark.createDataFrame([], "doc_id long")).size / 20_000 < 1.25
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body>
@@ -326,6 +499,40 @@ def test_odd_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_pages_take_time_in_proportion():
+    import time
+
+    for piece in ("<div>", "<a ", "<div></x>", "<b><div></div>", '<a ">"', "<table><td><div><td>x</td>", "<!-- ", "<script></script ", "<ul><li><b>", "<p>some text, and more of it"):
+        took = []
+        for n in (4_000, 32_000):
+            began = time.process_time()
+            html.extract(piece * n + "text")
+            took.append(time.process_time() - began)
+        assert took[1] < 0.3 + 24 * took[0], piece
+
+
+def test_formulas_stay_and_empty_tables_give_no_rows(spark):
+    page = "<article><p>Let <math><mi>x</mi></math> be given, and so on, for all of us here.</p></article>"
+    assert html.extract(page) == "Let x be given, and so on, for all of us here."
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string"), ["page_id"]).count() == 0
+
+
+def slow_article(blocks_, rng):
+    """A page made of an article and of what surrounds it; what the extractor must give back."""
+    noise = ["<nav><a href=a>Home</a> <a href=b>About us</a></nav>", "<div class=sidebar><ul><li><a href=x>Other story</a></ul></div>", "<div class='cookie-notice'>We use cookies, as all do.</div>", "<footer>All rights reserved, always.</footer>", "<script>var a = '<p>no</p>';</script>", "<div class=ad>Buy this, now, here.</div>"]
+    rng.shuffle(noise)
+    inner = "".join(f"<{rng.choice(['p', 'p', 'p', 'h2'])}>{b}" for b in blocks_)
+    depth = rng.randint(1, 6)
+    return f"<html><body>{''.join(noise[:3])}{'<div>' * depth}<article>{inner}</article>{'</div>' * depth}{''.join(noise[3:])}</body></html>"
+
+
+def test_made_up_pages_give_their_article_back():
+    rng = random.Random(11)
+    for k in range(150):
+        text = [" ".join(rng.choice(["wind", "sea,", "of", "the", "long", "roads,", "and", "hills"]) for _ in range(rng.randint(12, 60))) + "." for _ in range(rng.randint(2, 9))]
+        assert html.extract(slow_article(text, rng)).split("\n\n") == text, k
+
+
 # --- search --------------------------------------------------------------------------------------
 
 
@@ -414,6 +621,44 @@ def test_packing_pieces_and_sequences(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_ranked_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        definition = f.read()
+    fast, slow, tok = packing.Speller(definition, True), packing.Speller(definition, False), Tokenizer.from_file(path)
+    assert fast.fast is not None
+    rng = random.Random(2)
+    signs = [*"ab1 \t\n\r\x0b\x0c'é中!?-\u00a0\u3000\u2028\u0085", "'s", "'ll", " the", "<|endoftext|>", "😀", "ing"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(5000)] + ["a" * 50_000, " " * 50_000, "中" * 20_000]
+    texts += [f"a{chr(c)}a {chr(c)} {chr(c)}1" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert fast(texts) == want and slow(texts[:500]) == want[:500]
+
+
+def test_ranks_are_refused_where_ids_might_differ():
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        d = json.load(f)
+    d["model"]["merges"] = d["model"]["merges"][::-1]
+    assert packing.by_rank(json.dumps(d)) is None
+    d["pre_tokenizer"]["add_prefix_space"] = True
+    assert packing.by_rank(json.dumps(d)) is None
+
+
+def test_packing_groups_hold_whole_documents(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = frame(spark, [doc(5, prose(1, 900)) for _ in range(60)] + [doc(2**60 + k, "short text") for k in range(200)] + [doc(None, "no id")])
+    got = packing.pack(docs, path, group=40).collect()
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[r["doc_id"]].add(r["sequence_id"] >> 32)
+    assert len(groups[5]) > 3 and {r["doc_id"] for r in got} == {5, None, *(2**60 + k for k in range(200))}
+    assert collections.Counter(r["start"] for r in got if r["doc_id"] == 5)[0] == 60
+
+
 def test_first_fit_decreasing_equals_the_plain_loop():
     rng = random.Random(8)
     sizes = sorted((rng.randint(1, 1024) for _ in range(500)), reverse=True)
@@ -455,6 +700,26 @@ def test_sharding_moves_little_when_rows_are_added(spark):
     assert sharding.shard(frame(spark, []), 20).count() == 0
 
 
+def test_topk_in_small_cells_and_with_repeated_rows(spark, monkeypatch):
+    for name, value in (("VECTORS", 40), ("QUERIES", 7), ("SEED", 16), ("BUCKET", 16), ("MERGE", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(0, 1, (300, 6)) * rng.lognormal(0, 1, (300, 1)), 2)
+    x[100:180] = x[100]
+    rows = [(k, [float(np.float32(v)) for v in x[k]]) for k in range(300)] + [(50, [1.0] * 6), (50, [1.0] * 6), (5, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ints = [(k, [int(np.floor(256 * np.float64(np.float32(v)))) for v in e]) for k, e in rows if e]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, df.filter("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = collections.defaultdict(list)
+    for q, e in ints:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), k) for k, f in ints if k != q)[:5]
+            want[q] += [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+
+
 # --- registry ------------------------------------------------------------------------------------
 
 

@@ -41,3 +41,35 @@ def test_stages_keep_clean_documents_and_take_effect(spark, tables):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in packed} == set(seen["PII"])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == set(seen["PII"])
+
+
+def test_near_copies_lose_no_text(spark, tmp_path):
+    a, b, c = prose(1, "abcdefg"), prose(2, "hijklmn"), prose(3, "opqrstu")
+    rows = [(5, a, "en", "s", 1, "k"), (5, b, "en", "s", 1, "k"), (5, b, "fr", "t", 1, "k"), (9, a + " more", "en", "s", 1, "k"), (None, c, "en", "s", 1, "k"), (None, c, "en", "s", 1, "k"), (3, c + " end", "en", "s", 1, "k"), (8, None, "en", "s", 1, "k"), (8, None, "en", "s", 1, "k"), (6, "", "en", "s", 1, "k")]
+    docs = spark.createDataFrame(rows, DOC)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (3, c + " end"), (8, None), (8, None), (6, "")], key=str)
+
+
+def test_the_key_of_the_pseudonyms_is_the_callers(spark):
+    docs = spark.createDataFrame([(1, "write to ann.lee@mail.com", "en", "s", 25, "k"), (2, None, "en", "s", 0, "k")], DOC)
+    text = lambda key: {r["doc_id"]: r["text"] for r in corpus_pipeline.pseudonyms(spark, docs, "", key).collect()}
+    assert text(b"one") != text(b"two") and text(None)[2] is None
+    spark.conf.set(corpus_pipeline.KEY, "one")
+    try:
+        assert text(None) == text(b"one")
+    finally:
+        spark.conf.unset(corpus_pipeline.KEY)
+
+
+def test_stages_of_empty_and_odd_tables(spark, tables):
+    odd = DOC + ", n_words string, score double, label long, `a.b` int"
+    sf = tables("labels", [(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = [(1, prose(1, "abcdefg"), "en", "s", 9, "k", "w", 0.5, 7, 3), (None, None, None, None, None, None, None, None, None, None), (2, "", None, "s", 0, "k", "w", 0.5, 7, 3), (3, "one word " * 30_000, "en", None, 9, "k", "w", 0.5, 7, 3)]
+    for some in ([], rows):
+        docs = spark.createDataFrame(some, odd)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            assert out.count() <= max(len(some), 1) or name == "packing"
+            if name != "packing":
+                assert out.columns == docs.columns
