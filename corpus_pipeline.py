@@ -16,8 +16,10 @@ from tidemark.llm.shared import Tables, small_batches
 
 #: The stages hold trained models, a tokeniser and keyed pseudonyms; SQL cannot express them.
 ORACLE_SQL: str | None = None
-#: Ids of kept documents are sent to all executors up to this number.
+#: Keys of kept documents are sent to all executors up to this number.
 MOST_IDS = 2_000_000
+#: The session setting that holds the key of the pseudonyms; without it the library's example key is used.
+KEY = "tidemark.pseudonyms.key"
 
 
 def _judged(docs: DataFrame, judge: Callable[[DataFrame, list[str], str], DataFrame], keep: str) -> DataFrame:
@@ -29,43 +31,80 @@ def _judged(docs: DataFrame, judge: Callable[[DataFrame, list[str], str], DataFr
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what fails the base rules or the classifier."""
+    """Rejects what fails the base rules or the classifier.
+
+    The classifier learns from the rows of ``docs`` that are labelled.  A null, empty or very short
+    text fails the base rules; equal rows share their verdict; an empty table gives no rows; other
+    columns go through, whatever their names.
+    """
     small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _judged(docs, lambda plain, carry, text: quality.score(plain, model, carry, column=text), "kept")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, and those whose language is not clear."""
+    """Rejects texts without a letter, and those whose language is not clear.
+
+    The network learns from the rows of ``docs`` that have a language; without such rows nothing is
+    clear.  Null and empty texts go; equal rows share their verdict; an empty table gives no rows;
+    other columns go through, whatever their names.
+    """
     small_batches(spark)
     model = language.train(docs)
     return _judged(docs, lambda plain, carry, text: language.predict(plain, model, carry, column=text), f"lang_pred <> '{language.UNKNOWN}' AND score >= {language.KEEP}")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without an id are in no group."""
+    """Keeps one document of each group of near copies: that with the smallest id.
+
+    Rows are told apart by id and text, so rows of one id with different texts, and rows without an
+    id, are documents of their own (a null id counts as the largest).  Of rows alike in both, one
+    stays, chosen by a hash of its other columns.  Rows without a word are linked to nothing, and
+    all stay.  An empty table gives no rows; other columns go through, whatever their names.
+    """
     small_batches(spark)
     tables = Tables(spark)
-    kept = tables.write("kept", jaccard.join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")))
-    rows, ids = kept.count(), kept.distinct()
-    ids = F.broadcast(ids) if rows <= MOST_IDS else ids
-    chosen = docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    if rows > kept.distinct().count():  # ids that several rows share
-        chosen = chosen.dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id IS NULL"))
-
-
-def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    own, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    keyed = plain.withColumn("row_key", F.xxhash64(own, text))
+    joined = jaccard.join(keyed.select(F.col("row_key").alias("doc_id"), F.col(text).alias("text")))
+    # A key with many rows is combined where these lie.
+    known = joined.groupBy(F.col("doc_id").alias("row_key")).agg(F.min("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("rows"))
+    met = tables.write("met", known.join(keyed.groupBy("row_key").agg(F.min(own).alias("id")), "row_key"))
+    chosen = met.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key", "rows")).alias("it")).select("it.row_key", (F.col("it.rows") > 1).alias("again"))
+    kept = tables.write("kept", chosen.unionByName(met.filter("n = 0").select("row_key", F.lit(False).alias("again"))))
+    tables.drop("met")
+    kept = F.broadcast(kept) if kept.count() <= MOST_IDS else kept
+    rows = keyed.join(kept, "row_key")
+    once = rows.filter("NOT again").select(*plain.columns)
+    hashed = F.xxhash64(*(c for c in plain.columns if "map<" not in plain.schema[c].dataType.simpleString()))
+    alike = rows.filter("again").groupBy("row_key").agg(F.min_by(F.struct(*plain.columns), hashed).alias("it")).select("it.*")
+    return once.unionByName(alike).toDF(*names)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """Replaces personal data in the texts, with ``key``, or that of the session, or the example key.
+
+    A null or empty text stays as it is; n_chars, if there, follows the text; equal rows stay equal;
+    an empty table gives no rows; other columns go through, whatever their names.
+    """
     small_batches(spark)
+    if key is None:
+        found = spark.conf.get(KEY, None)
+        key = found.encode() if found else private.DEFAULT_KEY
     names = docs.columns
-    hidden = private.pseudonymise(docs.toDF(*(n if n == "text" else f"c{k}" for k, n in enumerate(names))))
+    hidden = private.pseudonymise(docs.toDF(*(n if n == "text" else f"c{k}" for k, n in enumerate(names))), key)
     back = hidden.select(*(F.col("text" if n == "text" else f"c{k}").alias(n) for k, n in enumerate(names)))
     return back.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else back
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences."""
+    """Packs the tokens of all documents into sequences.
+
+    A null or empty text is one token, the end; equal rows are documents of their own; an empty table
+    gives no rows.  Of the columns only doc_id goes on.
+    """
     small_batches(spark)
     import public_tokenizers
 
