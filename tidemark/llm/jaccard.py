@@ -179,8 +179,10 @@ def _fits(n: np.ndarray, other: np.ndarray) -> np.ndarray:
     return _TIMES * np.minimum(n, other) >= _OVER * (n + other)
 
 
-#: Of a row: a product of a short list (0) or with a long list's hub (1), as a pair a < b, or a class b of the long list of n-gram a (2).
+#: Of a row: a product of a short list (0) or with a long list's hub (1), as a pair a < b, or a class b of the long list of n-gram a (2),
+#: with its hub in c, and in nb which of the hub's runs of RUN n-grams the list is in.
 SHORT_PAIR, HUB_PAIR, MEMBER = 0, 1, 2
+RUN = 16
 _LISTED = "kind int, a long, b long, na int, nb int, c long"
 
 
@@ -194,7 +196,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one block of n-grams: products of short lists and with the hubs of long ones, each added up over the block, and the long lists."""
     token, node, n, pos = _gather(batches, 4)
     order = np.lexsort((node, pos, token))
-    token, node, n = token[order], node[order], n[order].astype(np.int64)
+    token, node, n, pos = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.append(edge, len(token)))
     edge, length = edge[length > 1], length[length > 1]
@@ -207,15 +209,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, size = edge[~short], length[~short]
     member = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
     # The hub has the n-gram first: it is nearest to what the members have in common.
-    hubs = [(np.repeat(at, size), member)]
+    hub = np.repeat(at, size)
+    hubs = [(hub, member)]
     for kind, some in ((SHORT_PAIR, parts), (HUB_PAIR, hubs)):
         i, j = (np.concatenate([p[k] for p in some]) for k in (0, 1))
         ok = (node[i] != node[j]) & _fits(n[i], n[j])
         i, j = i[ok], j[ok]
         i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
         yield from _listed(kind, *_added([(node[i], node[j], n[i], n[j], np.ones(len(i), np.int64))]))
-    zero = np.zeros(len(member), np.int64)
-    yield from _listed(MEMBER, token[member], node[member], n[member], zero, zero)
+    yield from _listed(MEMBER, token[member], node[member], n[member], pos[hub] // RUN, node[hub])
 
 
 def _apart(values: np.ndarray, start: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -250,8 +252,9 @@ def _met(listed: DataFrame, tables: Tables) -> DataFrame:
     first = F.col("node") < F.col("hub.node")
     either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     near = near.select(F.lit(HUB_PAIR).alias("kind"), either("node", "hub.node").alias("a"), either("hub.node", "node").alias("b"), either("n", "hub.n").alias("na"), either("hub.n", "n").alias("nb"), F.lit(1).cast("long").alias("c"))
-    zero = F.lit(0)
-    return rest.unionByName(near).unionByName(members.select(F.lit(MEMBER).alias("kind"), F.col("token").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), zero.alias("nb"), zero.cast("long").alias("c")))
+    run = F.floor(F.col("hub.pos") / RUN).cast("int")
+    listed = members.join(hubs, "token").select(F.lit(MEMBER).alias("kind"), F.col("token").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), run.alias("nb"), F.col("hub.node").alias("c"))
+    return rest.unionByName(near).unionByName(listed)
 
 
 def _dealt(lists: DataFrame, tables: Tables) -> DataFrame:
@@ -299,21 +302,29 @@ _PAIR = "a long, b long, na int, nb int, c long"
 
 
 def _cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Products of pairs of blocks between classes of different components, a bounded number of rows at a time, added up over its columns."""
+    """Products of pairs of blocks between classes of different components, a bounded number of rows at a time, added up over the columns that meet here."""
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        a, b, na, nb, c = _added(held)
+        held.clear()
+        for begin in range(0, len(a), 1 << 16):
+            part = slice(begin, begin + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(na[part].astype(np.int32)), pa.array(nb[part].astype(np.int32)), pa.array(c[part])], ["a", "b", "na", "nb", "c"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    kept = 0
     for table in _keyed(batches, 3):
-        held: list[tuple[np.ndarray, ...]] = []
-        kept = 0
         for pairs in _across(table.combine_chunks()):
             held.append(pairs)
             kept += len(pairs[0])
             if kept > 1 << 20:
                 held = [_added(held)]
                 kept = len(held[0][0])
-        if held:
-            a, b, na, nb, c = _added(held)
-            for begin in range(0, len(a), 1 << 16):
-                part = slice(begin, begin + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(na[part].astype(np.int32)), pa.array(nb[part].astype(np.int32)), pa.array(c[part])], ["a", "b", "na", "nb", "c"])
+                if kept > 1 << 19:
+                    yield from flush()
+                    kept = 0
+    if held:
+        yield from flush()
 
 
 def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -463,11 +474,12 @@ def join(docs: DataFrame) -> DataFrame:
 
     # Long lists with themselves, across components; a list whose members are all of one has nothing left to say.
     own = F.coalesce("label", "node").alias("label")
-    lists = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n")).join(label, "node", "left").select("token", "node", "n", own)
+    lists = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("nb").alias("run"), F.col("c").alias("hub")).join(label, "node", "left").select("token", "node", "n", "run", "hub", own)
     mixed = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     lists = tables.write("lists", lists.join(_sent(tables.write("mixed", mixed)), "token", "left_semi"))
-    dealt = _dealt(lists, tables).join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "i", "j", "own", "node", "n", "label", "bitmap")
-    parts = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross_products, _PAIR)
+    dealt = _dealt(lists, tables).join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "i", "j", "own", "node", "n", "label", "bitmap", "run", "hub")
+    # Lists of one hub have much the same classes, so a few of them meet in a task, and their products are added there.
+    parts = dealt.repartition("hub", "run", "i", "j").sortWithinPartitions("token", "i", "j").drop("run", "hub").mapInArrow(_cross_products, _PAIR)
     a, b = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
     apart = pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "na", "nb", "c")
     added = parts.unionByName(apart).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
