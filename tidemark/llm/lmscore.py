@@ -215,17 +215,20 @@ def train(docs: DataFrame, good: DataFrame) -> NgramModels:
 
 #: Of each occurrence: hash of the word, of what stands before it, the row's number in its task, how often the pair is in the row, the word (0: to be counted), and whether the row is good.
 _FIELDS = (("word", np.uint64), ("before", np.uint64), ("row", np.uint32), ("m", np.uint32), ("mw", np.uint32), ("good", np.uint8))
-_BYTES = sum(np.dtype(t).itemsize for _, t in _FIELDS)
+#: Of each row of a part of a task: its number in the part, and what is added to its losses.
+_SUMS = (("row", np.uint16), ("t", np.int64), ("b", np.int64))
+#: Rows in a part.
+PART = 1 << 16
 
 
-def packed(columns: dict[str, np.ndarray]) -> bytes:
+def packed(columns: dict[str, np.ndarray], fields: tuple = _FIELDS) -> bytes:
     """Columns one after the other, each with its bytes of one significance together: equal high bytes then compress to nothing."""
-    return b"".join(np.ascontiguousarray(columns[name].astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for name, kind in _FIELDS)
+    return b"".join(np.ascontiguousarray(columns[name].astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for name, kind in fields)
 
 
-def unpacked(data: bytes) -> dict[str, np.ndarray]:
-    n, at, out = len(data) // _BYTES, 0, {}
-    for name, kind in _FIELDS:
+def unpacked(data: bytes, fields: tuple = _FIELDS) -> dict[str, np.ndarray]:
+    n, at, out = len(data) // sum(np.dtype(t).itemsize for _, t in fields), 0, {}
+    for name, kind in fields:
         width = np.dtype(kind).itemsize
         planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
         out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
@@ -296,7 +299,12 @@ def _away(models: NgramModels, task: np.ndarray, x: dict[str, np.ndarray]) -> tu
     parts_task.append(task)
     parts_row.append(x["row"])
     parts.append(_units(models.losses(pairs, w)) * m)
-    t, row, part = np.concatenate(parts_task), np.concatenate(parts_row), np.concatenate(parts, 1)
+    return _added([(np.concatenate(parts_task), np.concatenate(parts_row), np.concatenate(parts, 1))])
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(task, row, losses), those of one row added, in order."""
+    t, row, part = (np.concatenate([p[k] for p in parts], -1) for k in range(3))
     order = np.lexsort((row, t))
     t, row, part = t[order], row[order], part[:, order]
     edge = _groups(t, row)
@@ -368,37 +376,84 @@ def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str
         """Passes rows on and turns the occurrences of a bucket into losses of rows; buckets come one after the other."""
         models = sent.value
         held: list[tuple[int, bytes]] = []
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         now = None
         types: list[pa.DataType] = []
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def bucket_done() -> None:
             x = [unpacked(data) for _, data in held]
             task = np.repeat([t for t, _ in held], [len(p["word"]) for p in x])
-            t, row, part = _away(models, task, {name: np.concatenate([p[name] for p in x]) for name, _ in _FIELDS})
-            for begin in range(0, len(t), 1 << 16):
-                s = slice(begin, begin + (1 << 16))
-                size = len(t[s])
-                yield pa.RecordBatch.from_arrays([pa.array(t[s].astype(np.int32)), pa.array(row[s].astype(np.int64)), pa.nulls(size, pa.int64()), pa.array(part[0][s]), pa.array(part[1][s]), *(pa.nulls(size, kind) for kind in types)], names)
+            done.append(_away(models, task, {name: np.concatenate([p[name] for p in x]) for name, _ in _FIELDS}))
+            held.clear()
+            if sum(len(d[0]) for d in done) > KEEP:
+                done[:] = [_added(done)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Sums go back in blocks too, one for each part of a task."""
+            task, row, loss = _added(done)
+            done.clear()
+            part = row // PART
+            edge = np.append(_groups(task, part), len(task))
+            for some in range(0, len(edge) - 1, 256):
+                spans = list(zip(edge[some : some + 256], edge[some + 1 : some + 257], strict=False))
+                data = [packed({"row": row[a:b] % PART, "t": loss[0][a:b], "b": loss[1][a:b]}, _SUMS) for a, b in spans]
+                none = pa.nulls(len(spans), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([int(task[a]) for a, _ in spans], pa.int32()), pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array(data, pa.binary()), none, none, none, none, *(pa.nulls(len(spans), kind) for kind in types)], names)
 
-        names = ["task", "row", "n_tokens", "t", "b", *(f"c{k}" for k in range(len(carry)))]
+        names = ["task", "part", "sums", "row", "n_tokens", "t", "b", *(f"c{k}" for k in range(len(carry)))]
         for batch in batches:
             types = [batch.column(k).type for k in range(7, batch.num_columns)]
             header = batch.filter(batch.column(2).is_null())
             if header.num_rows:
-                yield header.select(names)
+                part = pa.array((np.asarray(header.column(3)) // PART).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([header.column(1), part, pa.nulls(header.num_rows, pa.binary()), *header.columns[3:]], names)
             some = batch.filter(batch.column(2).is_valid())
             for bucket, task, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
                 if bucket != now and held:
-                    yield from done()
-                    held.clear()
+                    bucket_done()
+                    if sum(len(d[0]) for d in done) > KEEP:
+                        yield from flush()
                 now = bucket
                 held.append((task, data))
         if held:
-            yield from done()
+            bucket_done()
+        if done:
+            yield from flush()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the sums of the rows of one part of a task after the other."""
+        heads: list[pa.RecordBatch] = []
+        sums = np.zeros((2, PART), np.int64)
+        now = None
+
+        def part_done() -> Iterator[pa.RecordBatch]:
+            for head in heads:
+                row = np.asarray(head.column(3)) % PART
+                t, b = (np.asarray(head.column(5 + k)) + sums[k][row] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([head.column(4), pa.array(t), pa.array(b), *head.columns[7:]], out)
+            heads.clear()
+            sums[:] = 0
 
-    parts = ", ".join(["task int", "row long", "n_tokens long", "t long", "b long", *(f"c{k} {kind}" for k, kind in enumerate(kinds))])
-    dealt = placed.mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, parts)
-    sums = dealt.groupBy("task", "row").agg(F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"), *(F.first(f"c{k}", ignorenulls=True).alias(f"c{k}") for k in range(len(carry))))
+        out = ["n_tokens", "t", "b", *(f"c{k}" for k in range(len(carry)))]
+        for batch in batches:
+            key = np.asarray(batch.column(0)).astype(np.int64) << 32 | np.asarray(batch.column(1))
+            edge = np.append(_groups(key), len(key))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if now is not None and key[a] != now:
+                    yield from part_done()
+                now = key[a]
+                rows = batch.slice(a, b - a)
+                heads.append(rows.filter(rows.column(2).is_null()))
+                for data in rows.column(2).drop_null().to_pylist():
+                    x = unpacked(data, _SUMS)
+                    sums[0][x["row"]] += x["t"]
+                    sums[1][x["row"]] += x["b"]
+        if now is not None:
+            yield from part_done()
+
+    carried = "".join(f", c{k} {kind}" for k, kind in enumerate(kinds))
+    dealt = placed.mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, f"task int, part int, sums binary, row long, n_tokens long, t long, b long{carried}")
+    sums = dealt.repartition("task", "part").sortWithinPartitions("task", "part").mapInArrow(finish, f"n_tokens long, t long, b long{carried}")
     loss = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / UNIT / (F.col("n_tokens") + 1))
     return sums.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)), "n_tokens", loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
 
