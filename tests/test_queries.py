@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tidemark.plans.queries import QUERIES, SQL
+from tidemark.plans.catalog import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -62,4 +62,7 @@ def _number(x):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_others_give_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    """Their values are held against pandas or worked out by hand in the other modules."""
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows and any(any(x is not None for x in r) for r in rows)

@@ -6,10 +6,14 @@ correlates and aggregates all cells at once.
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.functions import ranks
 from tidemark.functions.windows import average_rank, correlation, quantile_bucket
 
 CELL = ("feature", "target")
@@ -19,7 +23,7 @@ COST = 0.0035
 
 def cells(panel: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
     """(symbol, ts, feature, x, target, y) of all rows on which both are known."""
-    long = panel.select("symbol", "ts", *(F.col(c).cast("double").alias(c) for c in (*features, *targets)))
+    long = panel.select("symbol", "ts", *(F.col(c).try_cast("double").alias(c) for c in (*features, *targets)))
     long = long.unpivot(["symbol", "ts", *targets], features, "feature", "x").filter("x IS NOT NULL")
     return long.unpivot(["symbol", "ts", "feature", "x"], targets, "target", "y").filter("y IS NOT NULL")
 
@@ -35,8 +39,8 @@ def spearman(rx: str = "rx", ry: str = "ry") -> Column:
     return F.when((F.max(rx) > F.min(rx)) & (F.max(ry) > F.min(ry)), correlation(rx, ry))
 
 
-def daily_ic(ranks: DataFrame, least: int = LEAST_NAMES) -> DataFrame:
-    return ranks.groupBy(*CELL, "ts").agg(spearman().alias("ic"), F.count("*").alias("n")).filter(F.col("n") >= least)
+def daily_ic(rows: DataFrame, least: int = LEAST_NAMES) -> DataFrame:
+    return rows.groupBy(*CELL, "ts").agg(spearman().alias("ic"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def hac_t(daily: DataFrame, value: str = "ic", by: tuple[str, ...] = CELL, lags: int = HAC_LAG) -> DataFrame:
@@ -56,35 +60,54 @@ def hac_t(daily: DataFrame, value: str = "ic", by: tuple[str, ...] = CELL, lags:
 
 
 def two_sided_p(t: Column) -> Column:
-    """Normal two-sided p, from the complementary error function's continued approximation (error below 1.2e-7)."""
+    """Normal two-sided p, accurate relative to p also in the tail (to about 1e-12).
+
+    With z = |t| / sqrt(2): the power series of the error function up to z = 3, and the continued
+    fraction of its complement beyond.
+    """
     z = F.abs(t) / 2**0.5
-    k = 1 / (1 + 0.5 * z)
-    # Coefficients of the published rational Chebyshev fit.
-    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly: Column = F.lit(fit[-1])
-    for c in reversed(fit[:-1]):
-        poly = poly * k + c
-    return k * F.exp(-z * z + poly)
-
-
-def bh_q(df: DataFrame, p: str = "p", order: tuple[str, ...] = CELL) -> DataFrame:
-    """Adds q: the false-discovery-adjusted p over all rows with one."""
-    known = F.col(p).isNotNull()
-    place = W.partitionBy(known).orderBy(p, *order)
-    df = df.withColumns({"_m": F.count(p).over(W.partitionBy(known)), "_i": F.row_number().over(place)})
-    above = W.partitionBy(known).orderBy(F.desc("_i")).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("q", F.when(known, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(above)))).drop("_m", "_i")
-
-
-def quintiles(ranks: DataFrame, least: int = LEAST_NAMES, cost: float = COST) -> DataFrame:
-    """Per cell: mean daily outcome of each bucket, the spread of the ends, and the favoured end after cost."""
-    day = ranks.filter(F.col("n") >= least).withColumn("bucket", quantile_bucket(F.col("rx"), F.col("n"), QUANTILES))
-    per_day = day.groupBy(*CELL, "ts").agg(*(F.avg(F.when(F.col("bucket") == k, F.col("y"))).alias(f"q{k + 1}") for k in range(QUANTILES)), F.avg("y").alias("market"))
-    mean = per_day.groupBy(*CELL).agg(*(F.avg(f"q{k + 1}").alias(f"q{k + 1}") for k in range(QUANTILES)), F.avg(F.col(f"q{QUANTILES}") - F.col("q1")).alias("spread"), F.avg("market").alias("market"))
+    down = lambda n: F.sequence(F.lit(n), F.lit(1), F.lit(-1))
+    inner = F.when(z <= 3, z).otherwise(0.0)
+    # exp(-z^2) * sum of z^(2k+1) 2^k / (1 3 5 ... (2k+1)), innermost term first.
+    series = F.aggregate(down(70), F.lit(1.0), lambda s, k: 1 + s * (2 * inner * inner) / (2 * k + 1))
+    near = 1 - 2 / math.pi**0.5 * inner * F.exp(-inner * inner) * series
+    outer = F.when(z > 3, z).otherwise(3.0)
+    fraction = F.aggregate(down(40), outer, lambda s, k: outer + (k / 2) / s)
+    far = F.exp(-outer * outer) / math.pi**0.5 / fraction
+    return F.when(z <= 3, F.greatest(near, F.lit(0.0))).otherwise(far)
+
+
+def bh_q(df: DataFrame, p: str = "p") -> DataFrame:
+    """Adds q: the false-discovery-adjusted p over all rows with one.
+
+    Equal p have one q: that of the last of them in order, so only distinct p are put in order.
+    """
+    values = ranks.counted_values(df.select(p), p, [])
+    m = values.agg(F.sum("n").alias("_m"))  # one row
+    raw = values.crossJoin(F.broadcast(m)).withColumn("_raw", F.col(p) * F.col("_m") / (F.col("below") + F.col("n")))
+    q = ranks.reverse_minimum(raw, p, F.col("_raw"), "q").select(p, "n", F.least(F.lit(1.0), "q").alias("q"))
+    return ranks.join_values(df, q, [p])
+
+
+def daily_cells(rows: DataFrame, least: int = LEAST_NAMES) -> DataFrame:
+    """Per cell and date: IC, names, the mean outcome of each bucket and of all, in one pass over the ranks."""
+    bucket = quantile_bucket(F.col("rx"), F.col("n"), QUANTILES)
+    means = (F.avg(F.when(F.col("bucket") == k, F.col("y"))).alias(f"q{k + 1}") for k in range(QUANTILES))
+    return rows.filter(F.col("n") >= least).withColumn("bucket", bucket).groupBy(*CELL, "ts").agg(spearman().alias("ic"), F.count("*").alias("n"), *means, F.avg("y").alias("market"))
+
+
+def economics(daily: DataFrame, cost: float = COST) -> DataFrame:
+    """Per cell, from ``daily_cells``: mean outcome of each bucket, the spread of the ends, and the favoured end after cost."""
+    mean = daily.groupBy(*CELL).agg(*(F.avg(f"q{k + 1}").alias(f"q{k + 1}") for k in range(QUANTILES)), F.avg(F.col(f"q{QUANTILES}") - F.col("q1")).alias("spread"), F.avg("market").alias("market"))
     best = F.when(F.col("spread") >= 0, F.col(f"q{QUANTILES}")).otherwise(F.col("q1"))
     return mean.withColumns({"gross": best, "net": best - cost, "excess": best - F.col("market")})
 
 
+def quintiles(rows: DataFrame, least: int = LEAST_NAMES, cost: float = COST) -> DataFrame:
+    """``economics`` of ranked rows."""
+    return economics(daily_cells(rows, least), cost)
+
+
 def fold_signs(daily: DataFrame, folds: DataFrame) -> DataFrame:
     """Per cell: in how many folds the mean IC has the sign of the pooled mean."""
     inside = daily.join(F.broadcast(folds.select("fold", "test_start", "test_end")), F.col("ts").between(F.col("test_start"), F.col("test_end")))  # a handful of folds
@@ -96,32 +119,40 @@ def fold_signs(daily: DataFrame, folds: DataFrame) -> DataFrame:
 
 def market_level(panel: DataFrame, features: list[str], share: float = 0.95) -> DataFrame:
     """Features that are one value a date on nearly all dates with two values or more."""
-    long = panel.select("ts", *(F.col(c).cast("double").alias(c) for c in features)).unpivot(["ts"], features, "feature", "x").filter("x IS NOT NULL")
+    long = panel.select("ts", *(F.col(c).try_cast("double").alias(c) for c in features)).unpivot(["ts"], features, "feature", "x").filter("x IS NOT NULL")
     day = long.groupBy("feature", "ts").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).filter("n >= 2")
     return day.groupBy("feature").agg(F.avg((F.col("low") == F.col("high")).cast("double")).alias("constant_share")).withColumn("is_market", F.col("constant_share") >= share)
 
 
-def market_correlation(daily: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of two dated series, and the HAC t of the products of their z-scores."""
-    w = W.partitionBy()
+def market_correlation(daily: DataFrame, by: tuple[str, ...] = (), x: str = "x", y: str = "y", lags: int = HAC_LAG) -> DataFrame:
+    """Correlation of two dated series, and the HAC t of the products of their z-scores, per ``by``."""
     both = daily.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    w = W.partitionBy(*by)  # a row per date
     z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w))
-    return hac_t(both.select("ts", F.lit("all").alias("series"), (z(x) * z(y)).alias("product")), "product", ("series",))
+    return hac_t(both.select(*by, "ts", (z(x) * z(y)).alias("product")).withColumn("_one", F.lit(1)), "product", (*by, "_one"), lags).drop("_one")
+
+
+def market_screen(panel: DataFrame, features: list[str], targets: list[str], least_dates: int = LEAST_DATES) -> DataFrame:
+    """Market-level features as series against each target's daily mean: (feature, target, mean, n, t), where there are dates enough."""
+    if not features:
+        return panel.sparkSession.createDataFrame([], "feature string, target string, mean double, n long, t double")
+    day = panel.groupBy("ts").agg(*(F.avg(F.col(c).try_cast("double")).alias(c) for c in (*features, *targets)))
+    long = day.unpivot(["ts", *targets], features, "feature", "x").filter("x IS NOT NULL").unpivot(["ts", "feature", "x"], targets, "target", "y").filter("y IS NOT NULL")
+    return market_correlation(long, CELL).filter(F.col("n") >= least_dates)
 
 
 def family_pairs(panel: DataFrame, features: list[str], dates: int = 60, least: int = 50) -> DataFrame:
     """Correlation of the percent ranks of two features over a fixed draw of dates, with ``least`` shared rows."""
     drawn = panel.select("ts").distinct().orderBy(F.xxhash64("ts", F.lit(0))).limit(dates)
-    long = panel.join(F.broadcast(drawn), "ts").select("symbol", "ts", *(F.col(c).cast("double").alias(c) for c in features)).unpivot(["symbol", "ts"], features, "feature", "x").filter("x IS NOT NULL")
+    long = panel.join(F.broadcast(drawn), "ts").select("symbol", "ts", *(F.col(c).try_cast("double").alias(c) for c in features)).unpivot(["symbol", "ts"], features, "feature", "x").filter("x IS NOT NULL")
     long = long.withColumn("pr", average_rank("x", "feature", "ts") / F.count("x").over(W.partitionBy("feature", "ts"))).select("symbol", "ts", "feature", "pr")
     a, b = long.alias("a"), long.alias("b")
     met = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.ts") == F.col("b.ts")) & (F.col("a.feature") < F.col("b.feature")))
     return met.groupBy(F.col("a.feature").alias("feature_a"), F.col("b.feature").alias("feature_b")).agg(correlation("a.pr", "b.pr").alias("rho"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def families(ordered: list[str], pairs: DataFrame, limit: float = 0.8) -> dict[str, str]:
-    """Leader of each feature: the first before it, by strength, that it is close to; features are few."""
-    close = {(r["feature_a"], r["feature_b"]) for r in pairs.filter(F.abs("rho") >= limit).collect()}
+def families(ordered: list[str], close: set[tuple[str, str]]) -> dict[str, str]:
+    """Leader of each feature: the first before it, by strength, that it is close to; a pair in ``close`` is in order."""
     leaders: list[str] = []
     out: dict[str, str] = {}
     for name in ordered:
@@ -138,16 +169,38 @@ def leak_table(panel: DataFrame, features: list[str], close: str = "close", hori
     price = lambda k: F.lead(close, k).over(order) if k else F.col(close)
     future = panel.withColumns({f"fwd_{k}": F.try_divide(price(k), price(k - 1)) - 1 for k in range(1, horizons + 1)})
     pairs = cells(future, features, [f"fwd_{k}" for k in range(1, horizons + 1)])
-    both = pairs.withColumns({"rx": average_rank("x", *CELL), "ry": average_rank("y", *CELL)})
-    rho = both.groupBy(*CELL).agg(spearman().alias("rho"))
+    # Ranks over all dates at once: a cell holds the whole table, so no task may hold a cell.
+    both = ranks.pooled_rank(pairs.select(*CELL, "x", "y"), ["x", "y"], list(CELL))
+    rho = both.groupBy(*CELL).agg(spearman("r_x", "r_y").alias("rho"))
     return rho.groupBy("feature").agg(*(F.max(F.when(F.col("target") == f"fwd_{k}", F.col("rho"))).alias(f"rho_{k}") for k in range(1, horizons + 1)), F.max(F.abs("rho")).alias("max_abs_rho")).withColumn("suspect", F.col("max_abs_rho") >= limit)
 
 
+def families_of(passing: DataFrame, pairs: DataFrame, limit: float = 0.8) -> DataFrame:
+    """(feature, target, family): the leader of each passing cell's feature, per target; features are few, so leaders are chosen on the driver."""
+    order: dict[str, list[str]] = {}
+    for r in passing.orderBy("target", F.desc(F.abs("t")), "feature").select("target", "feature").collect():
+        order.setdefault(r["target"], []).append(r["feature"])
+    close = {(r["feature_a"], r["feature_b"]) for r in pairs.filter(F.abs("rho") >= limit).collect()} if order else set()
+    rows = [(f, target, lead) for target, names in order.items() for f, lead in families(names, close).items()]
+    return passing.sparkSession.createDataFrame(rows, "feature string, target string, family string")
+
+
 def screen(panel: DataFrame, features: list[str], targets: list[str], folds: DataFrame, q: float = 0.10, stable: int = 4) -> DataFrame:
-    """One row per cell: mean IC, t, p, q, stability, bucket economics and the verdict."""
-    ranks = ranked(cells(panel, features, targets))
-    daily = daily_ic(ranks)
+    """One row per cell: mean IC, t, p, q, stability, bucket economics, the verdict and the family's leader.
+
+    Market-level features have no spread within a date; they are tested as series (``kind`` is
+    ``market``), get no q and never pass.
+    """
+    level = {r["feature"] for r in market_level(panel, features).filter("is_market").collect()}  # features are few
+    names = [f for f in features if f not in level]
+    series = market_screen(panel, [f for f in features if f in level], targets).withColumn("kind", F.lit("market"))
+    if not names:
+        return series
+    # A row per cell and date, which several steps read; the ranks below it are made once.
+    daily = daily_cells(ranked(cells(panel, names, targets))).persist(StorageLevel.MEMORY_AND_DISK)
     stats = hac_t(daily).filter(F.col("n") >= LEAST_DATES)
     stats = bh_q(stats.withColumn("p", two_sided_p(F.col("t"))))
-    out = stats.join(fold_signs(daily, folds), list(CELL), "left").join(quintiles(ranks), list(CELL), "left")
-    return out.withColumn("passes", (F.col("q") <= q) & (F.col("same_sign") >= stable))
+    out = stats.join(fold_signs(daily, folds), list(CELL), "left").join(economics(daily), list(CELL), "left")
+    out = out.withColumns({"kind": F.lit("ranked"), "passes": F.coalesce((F.col("q") <= q) & (F.col("same_sign") >= stable), F.lit(False))})
+    led = families_of(out.filter("passes").select("feature", "target", "t"), family_pairs(panel, names))
+    return out.join(F.broadcast(led), list(CELL), "left").unionByName(series, allowMissingColumns=True)

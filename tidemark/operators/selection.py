@@ -58,6 +58,12 @@ def daily_top(scored: DataFrame, sizes: tuple[int, ...] = (1, 3, 5, 10), cost: f
     return day.withColumns({f"top{n}_net": F.col(f"top{n}_gross") - cost for n in sizes} | {f"top{n}_excess": F.col(f"top{n}_gross") - F.col("market") for n in sizes})
 
 
+def with_replacement(wanted: DataFrame, bars: DataFrame, n: int) -> DataFrame:
+    """The first n of each entry day that have a bar on it, by rank, with their place."""
+    there = wanted.join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+    return there.withColumn("place", F.row_number().over(W.partitionBy("ts").orderBy("rank", "symbol"))).filter(F.col("place") <= n)
+
+
 def watchlists(scored: DataFrame, depth: int = 20) -> DataFrame:
     """(ts, symbols): the ordered list of each date."""
     ranked = picks(scored, depth)

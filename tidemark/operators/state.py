@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.functions.windows import average_rank, percent_rank, ratio, session_runs
-from tidemark.operators.screen import cells, daily_ic, fold_signs, hac_t, ranked, spearman
+from tidemark.functions.ranks import pooled_rank
+from tidemark.functions.windows import percent_rank, ratio, session_runs
+from tidemark.operators.screen import CELL, LEAST_DATES, bh_q, cells, daily_ic, families_of, family_pairs, fold_signs, hac_t, market_level, ranked, spearman, two_sided_p
 
 #: Dimension, the column that gives it, and whether its size counts, not its sign.
 STOCK_DIMENSIONS = (
@@ -67,26 +71,40 @@ def timing(bars: DataFrame, outcome: Column, most_same: float = 0.10, least_next
     """
     order = W.partitionBy("symbol").orderBy("ts")
     df = bars.withColumns({"_y": outcome, "_same": ratio("close", F.lag("close").over(order)) - 1, "_next": ratio(F.lead("close").over(order), "close") - 1}).filter("_y IS NOT NULL AND _same IS NOT NULL AND _next IS NOT NULL")
-    df = df.withColumn("_all", F.lit(1))
-    df = df.withColumns({f"_k{c}": average_rank(c, "_all") for c in ("_y", "_same", "_next")})
-    out = df.agg(spearman("_k_y", "_k_same").alias("rho_same"), spearman("_k_y", "_k_next").alias("rho_next"), F.count("*").alias("n"))
+    df = pooled_rank(df.select("_y", "_same", "_next"), ["_y", "_same", "_next"], [])
+    out = df.agg(spearman("r__y", "r__same").alias("rho_same"), spearman("r__y", "r__next").alias("rho_next"), F.count("*").alias("n"))
     return out.withColumn("ok", (F.abs("rho_same") <= most_same) & (F.col("rho_next") >= least_next))
 
 
-def nested_screen(panel: DataFrame, features: list[str], targets: list[str], folds: DataFrame, blocks: int = 5, least_sign: int = 4) -> DataFrame:
-    """Per fold, cells whose IC keeps its sign in ``least_sign`` of ``blocks`` runs of the training sessions only."""
-    daily = daily_ic(ranked(cells(panel, features, targets)))
+def nested_screen(panel: DataFrame, features: list[str], targets: list[str], folds: DataFrame, blocks: int = 5, least_sign: int = 4, q: float = 0.10, least_dates: int = LEAST_DATES) -> DataFrame:
+    """Per fold, the screen's rule on the training sessions alone: q over the fold's cells of all targets together, and the sign in ``least_sign`` of ``blocks`` runs.
+
+    Ranks and correlations of a date do not depend on the fold, so they are made once; market-level
+    features are those of the fold's own rows and are left out.
+    """
+    daily = daily_ic(ranked(cells(panel, features, targets))).persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell and date, read by each fold
     parts = []
     for fold in folds.filter("train_end IS NOT NULL").select("fold", "train_end").collect():  # a handful
-        train = daily.filter(F.col("ts") <= F.lit(fold["train_end"]))
-        days = train.select("ts").distinct().withColumn("fold", F.ntile(blocks).over(W.orderBy("ts")))
-        runs = days.groupBy("fold").agg(F.min("ts").alias("test_start"), F.max("ts").alias("test_end"))
-        met = fold_signs(train, runs).join(hac_t(train), ["feature", "target"])
-        parts.append(met.select(F.lit(fold["fold"]).alias("fold"), "feature", "target", "mean", "t", "same_sign", (F.col("same_sign") >= least_sign).alias("stable")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        before = F.col("ts") <= F.lit(fold["train_end"])
+        level = market_level(panel.filter(before), features).filter("is_market").select("feature")
+        train = daily.filter(before).join(F.broadcast(level), "feature", "left_anti")  # a row per feature
+        sessions = panel.filter(before).select("ts").distinct().withColumn("fold", F.ntile(blocks).over(W.orderBy("ts")))
+        runs = sessions.groupBy("fold").agg(F.min("ts").alias("test_start"), F.max("ts").alias("test_end"))
+        stats = hac_t(train).filter(F.col("n") >= least_dates).withColumn("p", two_sided_p(F.col("t")))
+        met = bh_q(stats).join(fold_signs(train, runs).select(*CELL, "same_sign"), list(CELL), "left")
+        stable = F.coalesce(F.col("same_sign") >= least_sign, F.lit(False))
+        parts.append(met.select(F.lit(fold["fold"]).alias("fold"), *CELL, "mean", "n", "t", "p", "q", "same_sign", stable.alias("stable"), F.coalesce((F.col("q") <= q) & stable, F.lit(False)).alias("passes")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def nested_leaders(panel: DataFrame, screened: DataFrame, folds: DataFrame, features: list[str], limit: float = 0.8) -> DataFrame:
+    """(fold, feature, target, family): the leaders among each fold's passing cells, by correlations within its own sessions."""
+    parts = []
+    for fold in folds.filter("train_end IS NOT NULL").select("fold", "train_end").collect():
+        passing = screened.filter((F.col("fold") == F.lit(fold["fold"])) & F.col("passes")).select("feature", "target", "t")
+        pairs = family_pairs(panel.filter(F.col("ts") <= F.lit(fold["train_end"])), features)
+        parts.append(families_of(passing, pairs, limit).withColumn("fold", F.lit(fold["fold"])))
+    return reduce(DataFrame.unionByName, parts).select("fold", "feature", "target", "family")
 
 
 def align_components(reference: np.ndarray, means: np.ndarray) -> tuple[list[int], float]:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions import bands
 from tidemark.functions import windows as win
-from tidemark.operators import audit, features, inference, labels, panel, screen, selection, simulate, state
+from tidemark.operators import audit, features, inference, labels, panel, screen, selection, state
 from tidemark.plans import sql as S
 from tidemark.sources.bars import clean, event_bars, sessions, table, trade_bars, with_sessions
 
@@ -171,12 +171,11 @@ def w17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("w19_session_runs", S.query(
-    "SELECT symbol, ts, sum(n) OVER (PARTITION BY symbol ORDER BY ts)::BIGINT AS run_id FROM (SELECT symbol, ts, CASE WHEN session_idx - lag(session_idx) OVER (PARTITION BY symbol ORDER BY ts) = 1 THEN 0 ELSE 1 END AS n FROM bars JOIN sess USING (ts) WHERE symbol || session_idx::VARCHAR NOT LIKE '%7')",
+    "SELECT symbol, ts, sum(n) OVER (PARTITION BY symbol ORDER BY ts)::BIGINT AS run_id FROM (SELECT symbol, ts, CASE WHEN session_idx - lag(session_idx) OVER (PARTITION BY symbol ORDER BY ts) = 1 THEN 0 ELSE 1 END AS n FROM bars JOIN sess USING (ts))",
     S.SESSIONS,
 ))
 def w19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    holes = with_sessions(trade_bars(spark, sf_dir)).filter(~F.concat("symbol", F.col("session_idx").cast("string")).like("%7"))
-    return win.session_runs(holes).select("symbol", "ts", F.col("run_id").cast("bigint").alias("run_id"))
+    return win.session_runs(with_sessions(trade_bars(spark, sf_dir))).select("symbol", "ts", F.col("run_id").cast("bigint").alias("run_id"))
 
 
 @register("w28_quintile_bucket", S.query(f"SELECT symbol, ts, least(floor(({S.rank('volume')} - 0.5) / count(*) OVER (PARTITION BY ts) * 5), 4)::INT AS bucket FROM bars"))
@@ -187,18 +186,19 @@ def w28(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins and sets ------------------------------------------------------------------------------
 
 
-@register("j05_lagged_as_of", "WITH d AS (SELECT CAST(ts AS DATE) AS ts, max(value) AS value FROM events WHERE event_id % 3 = 0 AND event_type = 'click' GROUP BY 1), cal AS (SELECT DISTINCT CAST(ts AS DATE) AS ts FROM events), f AS (SELECT cal.ts, last_value(value IGNORE NULLS) OVER (ORDER BY cal.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v, value IS NOT NULL AS own FROM cal LEFT JOIN d USING (ts)) SELECT ts, round(lag(v, 2) OVER (ORDER BY ts), 6) + 0.0 AS value, (NOT coalesce(lag(own, 2) OVER (ORDER BY ts), false))::INT AS stale FROM f")
+@register("j05_lagged_as_of", "WITH d AS (SELECT CAST(ts AS DATE) AS ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1), cal AS (SELECT DISTINCT CAST(ts AS DATE) AS ts FROM events), f AS (SELECT cal.ts, last_value(value IGNORE NULLS) OVER (ORDER BY cal.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v, value IS NOT NULL AS own FROM cal LEFT JOIN d USING (ts)) SELECT ts, round(lag(v, 2) OVER (ORDER BY ts), 6) + 0.0 AS value, (NOT coalesce(lag(own, 2) OVER (ORDER BY ts), false))::INT AS stale FROM f")
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("date"))
-    series = events.filter("event_id % 3 = 0 AND event_type = 'click'").groupBy("ts").agg(F.max("value").alias("value"))
+    series = events.filter("event_type = 'click'").groupBy("ts").agg(F.max("value").alias("value"))
     return panel.as_of_sessions(series, events.select("ts").distinct(), 2).select("ts", r("value").alias("value"), F.col("stale").cast("int").alias("stale"))
 
 
-@register("j05_as_of_by_key", "SELECT o.o_orderkey AS orderkey, round(last_total, 6) + 0.0 AS last_total FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey % 2 = 1) o ASOF LEFT JOIN (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS last_total FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2) q ON o.o_custkey = q.o_custkey AND CAST(o.o_orderdate AS DATE) >= q.d")
+@register("j05_as_of_by_key", "SELECT o.o_orderkey AS orderkey, round(last_total, 6) + 0.0 AS last_total FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders) o ASOF LEFT JOIN (SELECT o_custkey, CAST(o_orderdate AS DATE) + 1 AS d, max(o_totalprice) AS last_total FROM orders GROUP BY 1, 2) q ON o.o_custkey = q.o_custkey AND CAST(o.o_orderdate AS DATE) >= q.d")
 def j05b(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("ts"), "o_totalprice")
-    right = orders.filter("o_orderkey % 2 = 0").groupBy("o_custkey", "ts").agg(F.max("o_totalprice").alias("last_total"))
-    return panel.as_of(orders.filter("o_orderkey % 2 = 1").drop("o_totalprice"), right, "o_custkey", "last_total").select(F.col("o_orderkey").alias("orderkey"), r("last_total").alias("last_total"))
+    # A day's largest order is known from the next day on.
+    right = orders.groupBy("o_custkey", F.date_add("ts", 1).alias("ts")).agg(F.max("o_totalprice").alias("last_total"))
+    return panel.as_of(orders.drop("o_totalprice"), right, "o_custkey", "last_total").select(F.col("o_orderkey").alias("orderkey"), r("last_total").alias("last_total"))
 
 
 @register("j10_global_session_outcome", S.query("SELECT a.symbol, a.ts, round(c.close / nullif(e.open, 0) - 1, 6) + 0.0 AS outcome FROM (SELECT * FROM bars JOIN sess USING (ts)) a LEFT JOIN (SELECT * FROM bars JOIN sess USING (ts)) e ON a.symbol = e.symbol AND e.session_idx = a.session_idx + 1 LEFT JOIN (SELECT * FROM bars JOIN sess USING (ts)) c ON a.symbol = c.symbol AND c.session_idx = a.session_idx + 3", S.SESSIONS))
@@ -439,7 +439,11 @@ def i06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("i09_screen")
 def i09(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = selection.tested_folds(sessions(trade_bars(spark, sf_dir)))
-    return screen.screen(screen_panel(spark, sf_dir), list(_FEATURES), ["label_oc_1", "label_oc_5"], folds)
+    # The year is one value a date, so it is tested as a series.
+    df = screen_panel(spark, sf_dir).withColumn("F_year", F.year("ts").cast("double"))
+    out = screen.screen(df, [*_FEATURES, "F_year"], ["label_oc_1", "label_oc_5"], folds)
+    wide = {c: 4 for c in ("t", "mean", "p", "q")} | {c: 6 for c in ("spread", "gross", "net", "excess")}
+    return out.select("feature", "target", "kind", "n", "same_sign", "passes", "family", *(r(c, d).alias(c) for c, d in wide.items()))
 
 
 @register("a02_market_level", S.query("SELECT feature, round(avg((lo = hi)::INT), 6) + 0.0 AS constant_share, avg((lo = hi)::INT) >= 0.95 AS is_market FROM (SELECT ts, 'F_volume' AS feature, count(*) AS n, min(volume) AS lo, max(volume) AS hi FROM bars GROUP BY ts UNION ALL SELECT ts, 'F_year', count(*), min(year(ts)), max(year(ts)) FROM bars GROUP BY ts) WHERE n >= 2 GROUP BY feature"))
@@ -458,7 +462,7 @@ def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a13_family_pairs")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.family_pairs(screen_panel(spark, sf_dir), list(_FEATURES))
+    return screen.family_pairs(screen_panel(spark, sf_dir), list(_FEATURES)).select("feature_a", "feature_b", r("rho").alias("rho"), "n")
 
 
 @register("i14_bootstrap_intervals")
@@ -511,7 +515,7 @@ def l13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("i11_nested_screen")
 def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = selection.tested_folds(sessions(trade_bars(spark, sf_dir)))
-    return state.nested_screen(screen_panel(spark, sf_dir), list(_FEATURES), ["label_oc_1"], folds)
+    return state.nested_screen(screen_panel(spark, sf_dir), list(_FEATURES), ["label_oc_1", "label_oc_5"], folds).select("fold", "feature", "target", "n", "same_sign", "stable", "passes", *(r(c, 4).alias(c) for c in ("mean", "t", "p", "q")))
 
 
 # --- features ------------------------------------------------------------------------------------
@@ -624,66 +628,7 @@ def frec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.recursive(based(spark, sf_dir)).select("symbol", "ts", *rs(["ema20", "ema50", "C_delay_120", "C_lagbeta_120"], 4))
 
 
-# --- portfolio -----------------------------------------------------------------------------------
-
-
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Picks of a date as entries on the symbol's next bar."""
-    chosen = selection.picks(scored(spark, sf_dir), 20).select("symbol", F.col("ts").alias("signal"), "rank")
-    after = trade_bars(spark, sf_dir).withColumn("signal", win.lag("ts"))
-    turnover = after.withColumns({"tv": F.col("close") * F.col("volume"), "ret": win.ratio("close", win.lag("close")) - 1})
-    ready = simulate.with_path(turnover.withColumns({"adv": win.roll("tv", 20, "median", lag=1), "vol": win.roll("ret", 20, "std", lag=1)}), 30)
-    return ready.join(chosen, ["symbol", "signal"])
-
-
-@register("l09_time_and_stop_exits")
-def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = entries(spark, sf_dir).withColumns({"plain": simulate.plan_exit(5), "stopped": simulate.plan_exit(5, 0.08)})
-    return df.select("symbol", "ts", "rank", F.col("plain.day").alias("day"), F.col("plain.kind").alias("kind"), r("plain.price", 4).alias("price"), F.col("stopped.kind").alias("stop_kind"), r("stopped.price", 4).alias("stop_price"))
-
-
-@register("e14_bracket_rules")
-def e14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = entries(spark, sf_dir)
-    cols = {f"tp{round(t * 100)}_sl{round(s * 100)}": simulate.bracket(5, t, s) for t in (0.05, 0.10) for s in (0.03, 0.05)} | {"trail5": simulate.trailing_stop(5, 0.05)}
-    df = df.withColumns(cols).select("symbol", "ts", "rank", *(F.struct(F.lit(k).alias("rule"), F.col(k)["ret"].alias("ret"), F.col(k)["kind"].alias("kind")).alias(k) for k in cols))
-    rules = df.select("symbol", "ts", "rank", F.explode(F.array(*cols)).alias("x"))
-    return rules.groupBy("x.rule", "x.kind").agg(F.count("*").alias("trades"), r(F.avg("x.ret")).alias("mean_ret"))
-
-
-@register("l12_path_records")
-def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.path_record(entries(spark, sf_dir)).drop("path")
-
-
-def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = trade_bars(spark, sf_dir)
-    rows = [("primary", 3, 5, 1e6, 0.02, 0.5, True), ("wide", 5, 5, 1e6, None, 0.5, True), ("once", 3, 5, 1e6, 0.02, 1.0, False)]
-    plans = spark.createDataFrame(rows, "scenario string, n int, hold int, capital double, cap double, impact double, duplicates boolean")
-    orders = entries(spark, sf_dir).withColumn("exit", simulate.plan_exit(5)).crossJoin(F.broadcast(plans.select("scenario")))  # three scenarios
-    return simulate.simulate(orders, bars.select("symbol", "ts", "close"), sessions(bars), plans)
-
-
-@register("e04_portfolio_equity")
-def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return books(spark, sf_dir)
-
-
-@register("e06_performance")
-def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.performance(books(spark, sf_dir), 1e6)
-
-
-@register("e12_monthly_returns")
-def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.monthly(books(spark, sf_dir), 1e6)
-
-
-@register("e10_equal_weight_benchmark", S.query("SELECT ts, round(avg(close / cp - 1), 6) + 0.0 AS ret, round(sum(ln(1 + avg(close / cp - 1))) OVER (ORDER BY ts), 6) + 0.0 AS log_growth FROM b WHERE cp IS NOT NULL GROUP BY ts", S.BASE))
-def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = features.base(trade_bars(spark, sf_dir)).filter("cp IS NOT NULL").groupBy("ts").agg(F.avg("r").alias("ret"))
-    w = W.orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    return day.select("ts", r("ret").alias("ret"), r(F.sum(F.log1p("ret")).over(w)).alias("log_growth"))
+# --- drawdown ------------------------------------------------------------------------------------
 
 
 @register("w22_drawdown", S.query("SELECT symbol, ts, " + S.rounded({"drawdown": "close / max(close) OVER (PARTITION BY symbol ORDER BY ts) - 1"}) + " FROM bars"))
