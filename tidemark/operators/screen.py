@@ -198,9 +198,9 @@ def screen(panel: DataFrame, features: list[str], targets: list[str], folds: Dat
         return series
     # A row per cell and date, which several steps read; the ranks below it are made once.
     daily = daily_cells(ranked(cells(panel, names, targets))).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = hac_t(daily).filter(F.col("n") >= LEAST_DATES)
-    stats = bh_q(stats.withColumn("p", two_sided_p(F.col("t"))))
-    out = stats.join(fold_signs(daily, folds), list(CELL), "left").join(economics(daily), list(CELL), "left")
+    stats = hac_t(daily).filter(F.col("n") >= LEAST_DATES).withColumn("p", two_sided_p(F.col("t"))).persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell
+    out = bh_q(stats).join(fold_signs(daily, folds), list(CELL), "left").join(economics(daily), list(CELL), "left")
     out = out.withColumns({"kind": F.lit("ranked"), "passes": F.coalesce((F.col("q") <= q) & (F.col("same_sign") >= stable), F.lit(False))})
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell
     led = families_of(out.filter("passes").select("feature", "target", "t"), family_pairs(panel, names))
     return out.join(F.broadcast(led), list(CELL), "left").unionByName(series, allowMissingColumns=True)

@@ -90,7 +90,7 @@ def nested_screen(panel: DataFrame, features: list[str], targets: list[str], fol
         train = daily.filter(before).join(F.broadcast(level), "feature", "left_anti")  # a row per feature
         sessions = panel.filter(before).select("ts").distinct().withColumn("fold", F.ntile(blocks).over(W.orderBy("ts")))
         runs = sessions.groupBy("fold").agg(F.min("ts").alias("test_start"), F.max("ts").alias("test_end"))
-        stats = hac_t(train).filter(F.col("n") >= least_dates).withColumn("p", two_sided_p(F.col("t")))
+        stats = hac_t(train).filter(F.col("n") >= least_dates).withColumn("p", two_sided_p(F.col("t"))).persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell
         met = bh_q(stats).join(fold_signs(train, runs).select(*CELL, "same_sign"), list(CELL), "left")
         stable = F.coalesce(F.col("same_sign") >= least_sign, F.lit(False))
         parts.append(met.select(F.lit(fold["fold"]).alias("fold"), *CELL, "mean", "n", "t", "p", "q", "same_sign", stable.alias("stable"), F.coalesce((F.col("q") <= q) & stable, F.lit(False)).alias("passes")))

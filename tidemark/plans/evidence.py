@@ -159,10 +159,10 @@ def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scans, joins, places ------------------------------------------------------------------------
 
 
-@register("s04_external_columns", S.query("SELECT symbol, ts, round(score, 6) + 0.0 AS score, round(close, 4) + 0.0 AS close FROM bars LEFT JOIN (SELECT symbol, ts, score FROM scored WHERE symbol <> 'Brand#11') USING (symbol, ts)", _SCORED))
+@register("s04_external_columns", S.query("SELECT symbol, ts, round(score, 6) + 0.0 AS score, close FROM bars LEFT JOIN (SELECT symbol, ts, score FROM scored WHERE symbol <> 'Brand#11') USING (symbol, ts)", _SCORED))
 def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = scored(spark, sf_dir).filter("symbol <> 'Brand#11'")
-    return files.with_external(trade_bars(spark, sf_dir), other, ["score"]).select("symbol", "ts", r("score").alias("score"), r("close", 4).alias("close"))
+    return files.with_external(trade_bars(spark, sf_dir), other, ["score"]).select("symbol", "ts", r("score").alias("score"), "close")
 
 
 @register("s06_filtered_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")
@@ -171,11 +171,11 @@ def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.panel_labels(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice", "o_orderstatus"], where=where).drop("o_orderstatus")
 
 
-@register("j01_one_to_one_join", S.query(f"SELECT symbol, ts, round(close, 4) + 0.0 AS close, round({_oc(1)}, 6) + 0.0 AS label_oc_1 FROM bars"))
+@register("j01_one_to_one_join", S.query(f"SELECT symbol, ts, close, round({_oc(1)}, 6) + 0.0 AS label_oc_1 FROM bars"))
 def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = trade_bars(spark, sf_dir)
     side = labels.open_to_close(bars, (1,)).select("symbol", "ts", "label_oc_1")
-    return audit.join_one_to_one(bars, side, ["symbol", "ts"]).select("symbol", "ts", r("close", 4).alias("close"), r("label_oc_1").alias("label_oc_1"))
+    return audit.join_one_to_one(bars, side, ["symbol", "ts"]).select("symbol", "ts", "close", r("label_oc_1").alias("label_oc_1"))
 
 
 @register("j02_market_relative", S.query("SELECT b.symbol, b.ts, round(b.r - m.r, 6) + 0.0 AS excess FROM (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars) b LEFT JOIN (SELECT ts, avg(r) AS r FROM (SELECT ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars) GROUP BY ts) m USING (ts)"))

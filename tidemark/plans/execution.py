@@ -14,12 +14,12 @@ from tidemark.sources.bars import sessions, trade_bars
 DEPTH = 20
 
 
-def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two engines' lists with the turnover known on the day, and random ones of the same names."""
+def lists(spark: SparkSession, sf_dir: str, engines: set[str]) -> DataFrame:
+    """The engines' lists with the turnover known on the day: two scores, and random orders of the same names."""
     bars = trade_bars(spark, sf_dir)
     adv = bars.withColumn("tv", F.col("close") * F.col("volume")).select("symbol", "ts", win.roll("tv", 60, "median", least=40).alias("adv"))
-    parts = [selection.picks(scored(spark, sf_dir, by), DEPTH).select(F.lit(name).alias("engine"), "ts", "rank", "symbol") for name, by in (("main", "volume"), ("second", "close"))]
-    parts += [selection.random_lists(bars.select("symbol", "ts"), k, DEPTH).select(F.lit(f"random_{k}").alias("engine"), "ts", "rank", "symbol") for k in range(10)]
+    parts = [selection.picks(scored(spark, sf_dir, by), DEPTH).select(F.lit(name).alias("engine"), "ts", "rank", "symbol") for name, by in (("main", "volume"), ("second", "close")) if name in engines]
+    parts += [selection.random_lists(bars.select("symbol", "ts"), int(e[7:]), DEPTH).select(F.lit(e).alias("engine"), "ts", "rank", "symbol") for e in sorted(engines) if e.startswith("random_")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -154,7 +154,7 @@ def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.scenario_set(spark)
 
 
-_ANY = ("primary", "second", "split_a", "split_b", "flat", "stress", "once", "stop_8", "grid_5_5", "random_0")
+_ANY = ("primary", "second", "flat", "stress", "once", "stop_8", "random_0")
 
 
 def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -162,7 +162,8 @@ def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _AN
     bars, plans = trade_bars(spark, sf_dir), book.scenario_set(spark)
     plans = plans if names is None else plans.filter(F.col("scenario").isin(*names))
     calendar = sessions(bars)
-    return book.orders(lists(spark, sf_dir), bars, calendar, plans), bars, calendar, plans
+    engines = {r["engine"] for r in plans.select("engine").distinct().collect()}  # a few dozen
+    return book.orders(lists(spark, sf_dir, engines), bars, calendar, plans), bars, calendar, plans
 
 
 def books(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY) -> DataFrame:
