@@ -199,9 +199,9 @@ def test_screen_equals_pandas(spark):
 
 
 def test_nested_screen_pools_over_targets_and_leaves_the_market_out(spark):
-    df = spark.createDataFrame(world(160), WORLD)
-    calendar = spark.createDataFrame(list(zip(days(160), range(160), strict=True)), "ts date, session_idx int")
-    folds = selection.tested_folds(calendar, 2, 2, 0.6)
+    df = spark.createDataFrame(world(120), WORLD).coalesce(1)
+    calendar = spark.createDataFrame(list(zip(days(120), range(120), strict=True)), "ts date, session_idx int")
+    folds = selection.tested_folds(calendar, 1, 2, 0.7)
     got = state.nested_screen(df, FEATURES, TARGETS, folds)
     rows = got.collect()
     assert {r["feature"] for r in rows} == {"F_a", "F_b", "F_twin"} and {r["target"] for r in rows} == set(TARGETS)
