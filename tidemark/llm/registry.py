@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html, jaccard, language, lmscore, packing, pieces, private, quality, sharding, sql, topk
+from tidemark.llm import bpe, html, jaccard, language, lmscore, packing, pieces, private, quality, sharding, sql, topk, whitening
 from tidemark.llm.shared import small_batches
 
 _OPERATORS = {
@@ -20,6 +20,8 @@ _OPERATORS = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 
