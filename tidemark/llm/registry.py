@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, jaccard, language, lmscore, packing, pieces, private, quality, sharding, sql, topk, whitening
+from tidemark.llm import bpe, conversations, html, jaccard, language, lmscore, packing, pieces, private, quality, sharding, sql, topk, whitening
 from tidemark.llm.shared import small_batches
 
 _OPERATORS = {
@@ -22,6 +22,7 @@ _OPERATORS = {
     "op10_sharding": sharding.op10_sharding,
     "op11_bpe": bpe.op11_bpe,
     "op12_whitening": whitening.op12_whitening,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 
@@ -32,4 +33,4 @@ def _query(operator: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 QUERIES = {name: _query(f) for name, f in _OPERATORS.items()}
 
 #: The others need a trained model, a tokeniser, a parser or checksums, which this SQL does not have.
-ORACLE_SQL: dict[str, str] = {"op7_exact_topk": topk.SQL, "op8_jaccard_join": sql.JACCARD_JOIN}
+ORACLE_SQL: dict[str, str] = {"op7_exact_topk": topk.SQL, "op8_jaccard_join": sql.JACCARD_JOIN, "op13_conversation_repair": sql.CONVERSATION_REPAIR}
