@@ -111,7 +111,7 @@ def scatter(vectors: DataFrame, column: str, size: int, scale: int = SCALE, shif
                 yield pa.RecordBatch.from_pydict(dict(zip(("i", "j", "limb", "value"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {"i": [], "j": [], "limb": [], "value": []}, pa.schema([("i", pa.int32()), ("j", pa.int32()), ("limb", pa.int32()), ("value", pa.int64())]))
                 rows = []
 
-    sent = vectors.select(F.col(column)).mapInArrow(run, "i int, j int, limb int, value long")
+    sent = vectors.select(F.col(column).alias("v")).mapInArrow(run, "i int, j int, limb int, value long")
     n, sums, products = 0, [0] * size, [[0] * size for _ in range(size)]
     for r in sent.groupBy("i", "j", "limb").agg(F.sum("value").alias("value")).collect():
         value = r["value"] << (SENT_BITS * r["limb"])
@@ -197,7 +197,7 @@ def identity_error(vectors: DataFrame, column: str, model: Whitening, scale: int
         second = np.concatenate([j, np.full(len(keep), -1)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(np.concatenate([products[i, j], sums]))], ["i", "j", "value"])
 
-    rows = vectors.select(F.col(column)).mapInArrow(run, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value")).collect()
+    rows = vectors.select(F.col(column).alias("v")).mapInArrow(run, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value")).collect()
     mean = {r["i"]: r["value"] / model.n for r in rows if r["j"] < 0}
     return max(abs(r["value"] / model.n - mean[r["i"]] * mean[r["j"]] - (r["i"] == r["j"])) for r in rows if r["j"] >= 0)
 
