@@ -338,11 +338,89 @@ def test_top_n_breaks_ties_by_symbol(spark):
     assert [r["symbol"] for r in selection.picks(df, 3).orderBy("rank").collect()] == ["a", "b"]
 
 
-def test_bootstrap_covers_and_refuses_short_series():
-    lo, hi = inference.block_bootstrap(np.random.default_rng(0).normal(0.5, 1, 400), 2000)
-    assert lo < 0.5 < hi and hi - lo < 0.6
-    assert np.isnan(inference.block_bootstrap(np.ones(15))[0])
-    assert inference.block_bootstrap(np.ones(33), 100) == (1.0, 1.0)
+def slow_interval(x, replicates, block, level, seed):
+    """The same resamples with plain loops."""
+    from hashlib import md5
+
+    x = [v for v in x if v is not None and np.isfinite(v)]
+    n = len(x)
+    if n < 2 * block:
+        return None, None
+    means = []
+    for k in range(replicates):
+        drawn = []
+        for b in range(-(-n // block)):
+            start = int(md5(f"{seed}:{k}:{b}".encode()).hexdigest()[:8], 16) % n
+            drawn += [x[(start + i) % n] for i in range(block)]
+        means.append(np.mean(drawn[:n]))
+    return tuple(np.quantile(means, [(1 - level) / 2, (1 + level) / 2]))
+
+
+def test_bootstrap_covers_and_refuses_short_series(spark):
+    rng = np.random.default_rng(0)
+    series = {"long": rng.normal(0.5, 1, 400), "short": np.ones(15), "flat": np.ones(33), "exact": rng.normal(0, 1, 40), "empty": [None] * 30}
+    series["holes"] = [None if k % 5 == 0 else float("nan") if k % 7 == 0 else float("inf") if k % 11 == 0 else float(k % 13) for k in range(90)]
+    rows = [(name, t, None if v is None else float(v)) for name, x in series.items() for t, v in zip(days(len(x)), x, strict=True)]
+    daily = spark.createDataFrame(rows, "s string, ts date, v double").repartition(5)
+    got = {r["s"]: r for r in inference.intervals(daily, ["s"], "v", replicates=300).collect()}
+    assert set(got) == set(series)
+    for name, x in series.items():
+        known = [v for v in x if v is not None and np.isfinite(v)]
+        want = slow_interval(x, 300, 10, 0.9875, 7)
+        assert got[name]["n"] == len(known) and got[name]["mean"] == (pytest.approx(np.mean(known)) if known else None)
+        assert (got[name]["lo"], got[name]["hi"]) == (want if want[0] is None else pytest.approx(want))
+    assert got["short"]["lo"] is None and got["empty"]["lo"] is None
+    assert (got["flat"]["lo"], got["flat"]["hi"]) == (1.0, 1.0)
+    wide = inference.intervals(daily.filter("s = 'long'"), ["s"], "v", replicates=2000).first()
+    assert wide["lo"] < 0.5 < wide["hi"] and wide["hi"] - wide["lo"] < 0.4
+
+
+def test_rank_correlations_equal_pandas(spark):
+    from tidemark.functions.products import rank_correlations
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for t in days(12):
+        for s in range(int(rng.integers(1, 30))):
+            a = float(rng.integers(0, 6))
+            rows.append((f"S{s}", t, a, None if rng.random() < 0.3 else a + float(rng.normal()), float(rng.normal()) if rng.random() < 0.5 else float("nan"), 1.0, None))
+    names = ["a", "b", "c", "flat", "none"]
+    df = spark.createDataFrame(rows, "symbol string, ts date, a double, b double, c double, flat double, none double").repartition(3)
+    got = {(r["feature_a"], r["feature_b"]): r for r in rank_correlations(df, names).collect()}
+    p = pd.DataFrame(rows, columns=["symbol", "ts", *names]).astype(dict.fromkeys(names, float))
+    pr = p.groupby("ts")[names].rank(pct=True)
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            both = pr[[x, y]].dropna()
+            if not len(both):
+                assert (x, y) not in got
+                continue
+            assert got[x, y]["n"] == len(both)
+            if "flat" in (x, y) and (both[x].std() < 1e-9 or both[y].std() < 1e-9):
+                assert got[x, y]["rho"] is None
+            else:
+                assert got[x, y]["rho"] == pytest.approx(both[x].corr(both[y]))
+
+
+def test_q_in_groups_and_by_counted_values_agree(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, k % 2, float(np.round(rng.random(), 2)) if k % 9 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, g long, p double")
+    plain = {r["k"]: r["q"] for r in screen.bh_q(df).collect()}
+    window = {r["k"]: r["q"] for r in screen.bh_q(df, most=200).collect()}
+    assert plain.keys() == window.keys() and all(plain[k] == (None if window[k] is None else pytest.approx(window[k])) for k in plain)
+    halves = {r["k"]: r["q"] for r in screen.bh_q(df, by=("g",)).collect()}
+    for g in (0, 1):
+        part = {r["k"]: r["q"] for r in screen.bh_q(df.filter(F.col("g") == g)).collect()}
+        assert all(halves[k] == (None if q is None else pytest.approx(q)) for k, q in part.items())
+
+
+def test_impact_of_a_value_below_zero(spark):
+    from tidemark.operators import book
+
+    assert book.impact(1.0, -5.0, 10.0, 0.2) == 0.0 and book.impact(0.5, 40.0, 10.0, 0.2) == pytest.approx(0.2)
+    df = spark.createDataFrame([(-5.0, 10.0, 0.2), (40.0, 10.0, 0.2), (40.0, 0.0, 0.2), (40.0, 10.0, None)], "v double, adv double, vol double")
+    assert [r[0] for r in df.select(book.impact_column(0.5, F.col("v"), F.col("adv"), F.col("vol"))).collect()] == [0.0, pytest.approx(0.2), 0.0, 0.0]
 
 
 def test_posterior_of_partly_unknown_rows():

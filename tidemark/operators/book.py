@@ -48,15 +48,16 @@ def sell_cost(value):
     return value * STT + fees(value)
 
 
-def impact(k, value, adv, vol):
-    """Square-root market impact, as a share of the price."""
-    return k * vol * (value / adv) ** 0.5
+def impact(k: float, value: float, adv: float, vol: float) -> float:
+    """Square-root market impact, as a share of the price; none of a value below zero, which a sale has when slippage passes the price."""
+    return k * vol * (max(value, 0.0) / adv) ** 0.5
 
 
 def impact_column(k: Column | float, value: Column, adv: Column, vol: Column) -> Column:
     """Impact; none where turnover or volatility is unknown."""
     known = (adv > 0) & vol.isNotNull()
-    return F.when(known, impact(k, value, F.when(known, adv), vol)).otherwise(0.0)
+    share = F.greatest(value, F.lit(0.0)) / F.when(known, adv)
+    return F.when(known, k * vol * F.sqrt(share)).otherwise(0.0)
 
 
 def tick_slip(costs: Column, side: str, ts: Column, price: Column) -> Column:

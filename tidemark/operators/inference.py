@@ -4,45 +4,55 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVEL, REPLICATES, BLOCK, SEED = 0.9875, 10_000, 10, 7
-CHUNK = 500
 RECENT = "2024-01-01"
 
 
-def block_bootstrap(x: np.ndarray, replicates: int = REPLICATES, block: int = BLOCK, level: float = LEVEL, seed: int = SEED) -> tuple[float, float]:
-    """Interval of the mean from circular moving blocks; unknown for fewer than two blocks of values."""
-    x = x[np.isfinite(x)]
-    n = len(x)
-    if n < 2 * block:
-        return float("nan"), float("nan")
-    rng = np.random.default_rng(seed)
-    sums = np.convolve(np.append(x, x[: block - 1]), np.ones(block), "valid")
-    tail = n % block
-    ends = np.convolve(np.append(x, x[: max(tail - 1, 0)]), np.ones(max(tail, 1)), "valid") if tail else None
-    means = []
-    for begin in range(0, replicates, CHUNK):
-        starts = rng.integers(0, n, (min(CHUNK, replicates - begin), -(-n // block)))
-        total = sums[starts].sum(1) if not tail else sums[starts[:, :-1]].sum(1) + ends[starts[:, -1]]
-        means.append(total / n)
-    low = (1 - level) / 2
-    lo, hi = np.quantile(np.concatenate(means), [low, 1 - low])
-    return float(lo), float(hi)
+def finite(value: str | Column) -> Column:
+    """A number, or NULL where it is unknown or not finite."""
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(F.abs(x) < float("inf"), x)  # NaN is larger than infinity
 
 
-def intervals(daily: DataFrame, by: list[str], value: str, level: float = LEVEL, replicates: int = REPLICATES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Per series: n, mean and bootstrap interval.  A series has a row per date, so a group is small."""
+def block_start(replicate: Column, place: Column, n: Column, seed: int) -> Column:
+    """Where a block begins, from 0 to n - 1: 32 bits of a digest of seed, replicate and the block's place.
+
+    Series of equal length get equal blocks, so their intervals are of the same resampled dates.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed), replicate, place).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("ts")[value].to_numpy(float)
-        lo, hi = block_bootstrap(x, replicates, block, level, seed)
-        known = x[np.isfinite(x)]
-        return pd.DataFrame([[*key, len(known), known.mean() if len(known) else None, None if np.isnan(lo) else lo, None if np.isnan(hi) else hi]])
+def resampled(daily: DataFrame, by: list[str], value: str, replicates: int, block: int, seed: int) -> DataFrame:
+    """A row for each series and replicate: the mean of a circular moving-block resample; with n and the series' own mean.
 
-    kinds = ", ".join(f"{c} {daily.schema[c].dataType.simpleString()}" for c in by)
-    return daily.select(*by, "ts", value).groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, lo double, hi double")
+    A series has a row per date and is held as one array; the sums of all blocks, and of all last, shorter ones, are
+    taken once for each of its dates, and a replicate adds some of them. A series with fewer values
+    than two blocks has one row without a replicate.
+    """
+    dated = F.sort_array(F.collect_list(F.when(finite(value).isNotNull(), F.struct("ts", finite(value).alias("x")))))
+    n, values = F.col("_n"), F.col("_v")
+    series = daily.groupBy(*by).agg(F.transform(dated, lambda s: s["x"]).alias("_v")).withColumn("_n", F.size("_v").cast("long"))
+    sums = lambda size: F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.aggregate(F.slice(F.concat(values, F.slice(values, 1, block)), i, size), F.lit(0.0), lambda a, x: a + x))
+    enough = n >= 2 * block
+    rest = (n % block).cast("int")
+    series = series.withColumns({"mean": F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n), "_full": F.when(enough, sums(F.lit(block))), "_last": F.when(enough & (rest > 0), sums(rest))})
+    rows = series.withColumn("replicate", F.explode_outer(F.when(enough, F.sequence(F.lit(0), F.lit(replicates - 1)))))
+    at = lambda place: block_start(F.col("replicate"), place, n, seed).cast("int")
+    whole = F.floor(n / block).cast("int")
+    total = F.aggregate(F.sequence(F.lit(0), whole - 1), F.lit(0.0), lambda a, k: a + F.get("_full", at(k))) + F.coalesce(F.get("_last", at(whole)), F.lit(0.0))
+    return rows.select(*by, F.col("_n").alias("n"), "mean", "replicate", F.when(F.col("replicate").isNotNull(), total / n).alias("resampled"))
+
+
+def intervals(daily: DataFrame, by: list[str], value: str, level: float = LEVEL, replicates: int = REPLICATES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """Per series: n, mean and the interval of the mean from circular moving blocks; none for fewer values than two blocks."""
+    low = (1 - level) / 2
+    ends = F.percentile("resampled", F.array(F.lit(low), F.lit(1 - low)))
+    out = resampled(daily.select(*by, "ts", value), by, value, replicates, block, seed).groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), ends.alias("_ends"))
+    return out.select(*by, "n", "mean", F.get("_ends", 0).alias("lo"), F.get("_ends", 1).alias("hi"))
 
 
 def gate(daily: DataFrame, by: list[str], net: str = "top3_net", excess: str = "top3_excess", recent: str = RECENT, **how: float) -> DataFrame:

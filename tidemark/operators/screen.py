@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import ranks
+from tidemark.functions.products import rank_correlations
 from tidemark.functions.windows import average_rank, correlation, quantile_bucket
+from tidemark.sources.tables import materialised
 
 CELL = ("feature", "target")
 LEAST_NAMES, LEAST_DATES, HAC_LAG, QUANTILES = 15, 60, 20, 5
 COST = 0.0035
+#: Share of dates with one value only from which a feature is the market's.
+MARKET_SHARE = 0.95
+#: Cells whose false-discovery q is taken in one window; a table of more goes through counted values, with equal results.
+FEW_CELLS = 100_000
 
 
 def cells(panel: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
@@ -60,7 +66,7 @@ def hac_t(daily: DataFrame, value: str = "ic", by: tuple[str, ...] = CELL, lags:
 
 
 def two_sided_p(t: Column) -> Column:
-    """Normal two-sided p, accurate relative to p also in the tail (to about 1e-12).
+    """Normal two-sided p, accurate relative to p also in the tail (to about 1e-12); NULL where t is unknown or not finite.
 
     With z = |t| / sqrt(2): the power series of the error function up to z = 3, and the continued
     fraction of its complement beyond.
@@ -74,14 +80,22 @@ def two_sided_p(t: Column) -> Column:
     outer = F.when(z > 3, z).otherwise(3.0)
     fraction = F.aggregate(down(40), outer, lambda s, k: outer + (k / 2) / s)
     far = F.exp(-outer * outer) / math.pi**0.5 / fraction
-    return F.when(z <= 3, F.greatest(near, F.lit(0.0))).otherwise(far)
+    return F.when(z <= 3, F.greatest(near, F.lit(0.0))).when(z < float("inf"), far)
 
 
-def bh_q(df: DataFrame, p: str = "p") -> DataFrame:
-    """Adds q: the false-discovery-adjusted p over all rows with one.
+def bh_q(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Adds q: the false-discovery-adjusted p over all rows with one, or over those of each ``by``.
 
-    Equal p have one q: that of the last of them in order, so only distinct p are put in order.
+    Equal p have one q: that of the last of them in order, so only distinct p are put in order. Where the caller knows a bound ``most`` of
+    the rows and it is up to ``FEW_CELLS``, or gives ``by``, one window of a group does it.
     """
+    if by or (most is not None and most <= FEW_CELLS):
+        group = [F.col(c) for c in by] + [F.col(p).isNull()]
+        here = W.partitionBy(*group)
+        place = F.count("*").over(here.orderBy(p).rangeBetween(W.unboundedPreceding, 0))  # that of the last of equals
+        ordered = df.withColumn("_raw", F.col(p) * F.count("*").over(here) / place)
+        least = F.min("_raw").over(here.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0))
+        return ordered.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_raw")
     values = ranks.counted_values(df.select(p), p, [])
     m = values.agg(F.sum("n").alias("_m"))  # one row
     raw = values.crossJoin(F.broadcast(m)).withColumn("_raw", F.col(p) * F.col("_m") / (F.col("below") + F.col("n")))
@@ -117,11 +131,16 @@ def fold_signs(daily: DataFrame, folds: DataFrame) -> DataFrame:
     return per_fold.join(pooled, list(CELL)).groupBy(*CELL).agg(same.alias("same_sign"), F.count("*").alias("n_folds"))
 
 
-def market_level(panel: DataFrame, features: list[str], share: float = 0.95) -> DataFrame:
-    """Features that are one value a date on nearly all dates with two values or more."""
+def constant_dates(panel: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, ts, constant): whether a feature has one value on a date with two values or more."""
     long = panel.select("ts", *(F.col(c).try_cast("double").alias(c) for c in features)).unpivot(["ts"], features, "feature", "x").filter("x IS NOT NULL")
     day = long.groupBy("feature", "ts").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).filter("n >= 2")
-    return day.groupBy("feature").agg(F.avg((F.col("low") == F.col("high")).cast("double")).alias("constant_share")).withColumn("is_market", F.col("constant_share") >= share)
+    return day.select("feature", "ts", (F.col("low") == F.col("high")).cast("double").alias("constant"))
+
+
+def market_level(panel: DataFrame, features: list[str], share: float = MARKET_SHARE) -> DataFrame:
+    """Features that are one value a date on nearly all dates with two values or more."""
+    return constant_dates(panel, features).groupBy("feature").agg(F.avg("constant").alias("constant_share")).withColumn("is_market", F.col("constant_share") >= share)
 
 
 def market_correlation(daily: DataFrame, by: tuple[str, ...] = (), x: str = "x", y: str = "y", lags: int = HAC_LAG) -> DataFrame:
@@ -141,14 +160,17 @@ def market_screen(panel: DataFrame, features: list[str], targets: list[str], lea
     return market_correlation(long, CELL).filter(F.col("n") >= least_dates)
 
 
+def drawn_dates(panel: DataFrame, dates: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``dates`` of the panel's dates (of each ``by``), the same ones on every run: those with the least digests."""
+    every = panel.select(*by, "ts").distinct()
+    order = W.partitionBy(*by).orderBy(F.md5(F.concat(F.col("ts").cast("string"), F.lit(":0")).cast("binary")), "ts")  # a row per date
+    return every.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= dates).drop("_i")
+
+
 def family_pairs(panel: DataFrame, features: list[str], dates: int = 60, least: int = 50) -> DataFrame:
     """Correlation of the percent ranks of two features over a fixed draw of dates, with ``least`` shared rows."""
-    drawn = panel.select("ts").distinct().orderBy(F.xxhash64("ts", F.lit(0))).limit(dates)
-    long = panel.join(F.broadcast(drawn), "ts").select("symbol", "ts", *(F.col(c).try_cast("double").alias(c) for c in features)).unpivot(["symbol", "ts"], features, "feature", "x").filter("x IS NOT NULL")
-    long = long.withColumn("pr", average_rank("x", "feature", "ts") / F.count("x").over(W.partitionBy("feature", "ts"))).select("symbol", "ts", "feature", "pr")
-    a, b = long.alias("a"), long.alias("b")
-    met = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.ts") == F.col("b.ts")) & (F.col("a.feature") < F.col("b.feature")))
-    return met.groupBy(F.col("a.feature").alias("feature_a"), F.col("b.feature").alias("feature_b")).agg(correlation("a.pr", "b.pr").alias("rho"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    drawn = drawn_dates(panel, dates)
+    return rank_correlations(panel.join(F.broadcast(drawn), "ts"), features).filter(F.col("n") >= least)
 
 
 def families(ordered: list[str], close: set[tuple[str, str]]) -> dict[str, str]:
@@ -175,14 +197,25 @@ def leak_table(panel: DataFrame, features: list[str], close: str = "close", hori
     return rho.groupBy("feature").agg(*(F.max(F.when(F.col("target") == f"fwd_{k}", F.col("rho"))).alias(f"rho_{k}") for k in range(1, horizons + 1)), F.max(F.abs("rho")).alias("max_abs_rho")).withColumn("suspect", F.col("max_abs_rho") >= limit)
 
 
-def families_of(passing: DataFrame, pairs: DataFrame, limit: float = 0.8) -> DataFrame:
-    """(feature, target, family): the leader of each passing cell's feature, per target; features are few, so leaders are chosen on the driver."""
-    order: dict[str, list[str]] = {}
-    for r in passing.orderBy("target", F.desc(F.abs("t")), "feature").select("target", "feature").collect():
-        order.setdefault(r["target"], []).append(r["feature"])
-    close = {(r["feature_a"], r["feature_b"]) for r in pairs.filter(F.abs("rho") >= limit).collect()} if order else set()
-    rows = [(f, target, lead) for target, names in order.items() for f, lead in families(names, close).items()]
-    return passing.sparkSession.createDataFrame(rows, "feature string, target string, family string")
+def families_of(passing: DataFrame, pairs: DataFrame, limit: float = 0.8, by: tuple[str, ...] = ("target",)) -> DataFrame:
+    """(by, feature, family): the leader of each passing cell's feature, in each ``by`` on its own, the strongest |t| first.
+
+    ``pairs`` may have columns of ``by`` too; then each group has its own close pairs. Features are few, so a group and its pairs are small.
+    """
+    own = [c for c in by if c in pairs.columns]
+    close = pairs.filter(F.abs("rho") >= limit).groupBy(*own).agg(F.collect_list(F.struct("feature_a", "feature_b")).alias("close"))
+    met = passing.select(*by, "feature", "t")
+    met = met.join(F.broadcast(close), own, "left") if own else met.crossJoin(F.broadcast(close))  # without groups it is one row
+    kinds = ", ".join(f"{c} {passing.schema[c].dataType.simpleString()}" for c in by)
+
+    def lead(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        names = [n for _, n in sorted((-abs(t), n) for t, n in zip(rows["t"].to_pylist(), rows["feature"].to_pylist(), strict=True))]
+        near = {(x["feature_a"], x["feature_b"]) for x in rows["close"][0].as_py() or ()}
+        found = families(names, near)
+        groups = {c: pa.array([k.as_py()] * len(names), k.type) for c, k in zip(by, key, strict=True)}
+        return pa.table(groups | {"feature": pa.array(names), "family": pa.array([found[n] for n in names])})
+
+    return met.groupBy(*by).applyInArrow(lead, f"{kinds}, feature string, family string")
 
 
 def screen(panel: DataFrame, features: list[str], targets: list[str], folds: DataFrame, q: float = 0.10, stable: int = 4) -> DataFrame:
@@ -191,16 +224,17 @@ def screen(panel: DataFrame, features: list[str], targets: list[str], folds: Dat
     Market-level features have no spread within a date; they are tested as series (``kind`` is
     ``market``), get no q and never pass.
     """
+    panel = materialised(panel.select("symbol", "ts", *(F.col(c).try_cast("double").alias(c) for c in (*features, *targets))))
     level = {r["feature"] for r in market_level(panel, features).filter("is_market").collect()}  # features are few
     names = [f for f in features if f not in level]
     series = market_screen(panel, [f for f in features if f in level], targets).withColumn("kind", F.lit("market"))
     if not names:
         return series
-    # A row per cell and date, which several steps read; the ranks below it are made once.
-    daily = daily_cells(ranked(cells(panel, names, targets))).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = hac_t(daily).filter(F.col("n") >= LEAST_DATES).withColumn("p", two_sided_p(F.col("t"))).persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell
-    out = bh_q(stats).join(fold_signs(daily, folds), list(CELL), "left").join(economics(daily), list(CELL), "left")
+    # A row per cell and date; the ranks below it are made once, and all that follows is small.
+    daily = materialised(daily_cells(ranked(cells(panel, names, targets))))
+    stats = hac_t(daily).filter(F.col("n") >= LEAST_DATES).withColumn("p", two_sided_p(F.col("t")))
+    out = bh_q(stats, most=len(names) * len(targets)).join(fold_signs(daily, folds), list(CELL), "left").join(economics(daily), list(CELL), "left")
     out = out.withColumns({"kind": F.lit("ranked"), "passes": F.coalesce((F.col("q") <= q) & (F.col("same_sign") >= stable), F.lit(False))})
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell
-    led = families_of(out.filter("passes").select("feature", "target", "t"), family_pairs(panel, names))
+    out = materialised(out)  # a row per cell
+    led = families_of(out.filter("passes"), family_pairs(panel, names))
     return out.join(F.broadcast(led), list(CELL), "left").unionByName(series, allowMissingColumns=True)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.ranks import pooled_rank
 from tidemark.functions.windows import percent_rank, ratio, session_runs
-from tidemark.operators.screen import CELL, LEAST_DATES, bh_q, cells, daily_ic, families_of, family_pairs, fold_signs, hac_t, market_level, ranked, spearman, two_sided_p
+from tidemark.operators.screen import CELL, LEAST_DATES, LEAST_NAMES, MARKET_SHARE, bh_q, cells, constant_dates, daily_ic, families_of, family_pairs, hac_t, ranked, spearman, two_sided_p
+from tidemark.sources.tables import materialised
 
 #: Dimension, the column that gives it, and whether its size counts, not its sign.
 STOCK_DIMENSIONS = (
@@ -76,35 +76,44 @@ def timing(bars: DataFrame, outcome: Column, most_same: float = 0.10, least_next
     return out.withColumn("ok", (F.abs("rho_same") <= most_same) & (F.col("rho_next") >= least_next))
 
 
-def nested_screen(panel: DataFrame, features: list[str], targets: list[str], folds: DataFrame, blocks: int = 5, least_sign: int = 4, q: float = 0.10, least_dates: int = LEAST_DATES) -> DataFrame:
+def before_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows by fold: those of the sessions that the fold trains on. Folds are a handful."""
+    return rows.join(F.broadcast(folds.filter("train_end IS NOT NULL").select("fold", "train_end")), F.col("ts") <= F.col("train_end")).drop("train_end")
+
+
+def nested_screen(panel: DataFrame, features: list[str], targets: list[str], folds: DataFrame, blocks: int = 5, least_sign: int = 4, q: float = 0.10, least_dates: int = LEAST_DATES, least_names: int = LEAST_NAMES) -> DataFrame:
     """Per fold, the screen's rule on the training sessions alone: q over the fold's cells of all targets together, and the sign in ``least_sign`` of ``blocks`` runs.
 
-    Ranks and correlations of a date do not depend on the fold, so they are made once; market-level
-    features are those of the fold's own rows and are left out.
+    Ranks and correlations of a date do not depend on the fold, so they are made once, and the folds are one more key of what follows.
+    Market-level features are those of the fold's own rows and are left out.
     """
-    daily = daily_ic(ranked(cells(panel, features, targets))).persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell and date, read by each fold
-    parts = []
-    for fold in folds.filter("train_end IS NOT NULL").select("fold", "train_end").collect():  # a handful
-        before = F.col("ts") <= F.lit(fold["train_end"])
-        level = market_level(panel.filter(before), features).filter("is_market").select("feature")
-        train = daily.filter(before).join(F.broadcast(level), "feature", "left_anti")  # a row per feature
-        sessions = panel.filter(before).select("ts").distinct().withColumn("fold", F.ntile(blocks).over(W.orderBy("ts")))
-        runs = sessions.groupBy("fold").agg(F.min("ts").alias("test_start"), F.max("ts").alias("test_end"))
-        stats = hac_t(train).filter(F.col("n") >= least_dates).withColumn("p", two_sided_p(F.col("t"))).persist(StorageLevel.MEMORY_AND_DISK)  # a row per cell
-        met = bh_q(stats).join(fold_signs(train, runs).select(*CELL, "same_sign"), list(CELL), "left")
-        stable = F.coalesce(F.col("same_sign") >= least_sign, F.lit(False))
-        parts.append(met.select(F.lit(fold["fold"]).alias("fold"), *CELL, "mean", "n", "t", "p", "q", "same_sign", stable.alias("stable"), F.coalesce((F.col("q") <= q) & stable, F.lit(False)).alias("passes")))
-    return reduce(DataFrame.unionByName, parts)
+    panel = materialised(panel.select("symbol", "ts", *(F.col(c).try_cast("double").alias(c) for c in (*features, *targets))))
+    by = ("fold", *CELL)
+    daily = materialised(daily_ic(ranked(cells(panel, features, targets)), least_names))  # a row per cell and date
+    level = before_folds(constant_dates(panel, features), folds).groupBy("fold", "feature").agg(F.avg("constant").alias("share")).filter(F.col("share") >= MARKET_SHARE)
+    train = before_folds(daily, folds).join(F.broadcast(level), ["fold", "feature"], "left_anti")  # a row per fold and feature
+    run = F.ntile(blocks).over(W.partitionBy("fold").orderBy("ts"))
+    runs = before_folds(panel.select("ts").distinct(), folds).withColumn("run", run)  # a row per fold and session
+    signs = train.join(F.broadcast(runs), ["fold", "ts"])
+    per_run = signs.groupBy(*by, "run").agg(F.avg("ic").alias("run_ic"))
+    pooled = signs.groupBy(*by).agg(F.avg("ic").alias("pooled_ic"))
+    same = per_run.join(pooled, list(by)).groupBy(*by).agg(F.sum((F.signum("run_ic") == F.signum("pooled_ic")).cast("int")).alias("same_sign"))
+    stats = hac_t(train, by=by).filter(F.col("n") >= least_dates).withColumn("p", two_sided_p(F.col("t")))
+    met = bh_q(stats, by=("fold",)).join(same, list(by), "left")
+    stable = F.coalesce(F.col("same_sign") >= least_sign, F.lit(False))
+    return met.select(*by, "mean", "n", "t", "p", "q", "same_sign", stable.alias("stable"), F.coalesce((F.col("q") <= q) & stable, F.lit(False)).alias("passes"))
 
 
 def nested_leaders(panel: DataFrame, screened: DataFrame, folds: DataFrame, features: list[str], limit: float = 0.8) -> DataFrame:
     """(fold, feature, target, family): the leaders among each fold's passing cells, by correlations within its own sessions."""
     parts = []
-    for fold in folds.filter("train_end IS NOT NULL").select("fold", "train_end").collect():
-        passing = screened.filter((F.col("fold") == F.lit(fold["fold"])) & F.col("passes")).select("feature", "target", "t")
+    for fold in folds.filter("train_end IS NOT NULL").select("fold", "train_end").collect():  # a handful
         pairs = family_pairs(panel.filter(F.col("ts") <= F.lit(fold["train_end"])), features)
-        parts.append(families_of(passing, pairs, limit).withColumn("fold", F.lit(fold["fold"])))
-    return reduce(DataFrame.unionByName, parts).select("fold", "feature", "target", "family")
+        parts.append(pairs.withColumn("fold", F.lit(fold["fold"])))
+    if not parts:
+        return panel.sparkSession.createDataFrame([], f"fold {folds.schema['fold'].dataType.simpleString()}, feature string, target string, family string")
+    led = families_of(screened.filter("passes"), reduce(DataFrame.unionByName, parts), limit, ("fold", "target"))
+    return led.select("fold", "feature", "target", "family")
 
 
 def align_components(reference: np.ndarray, means: np.ndarray) -> tuple[list[int], float]:

@@ -49,9 +49,13 @@ def i15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.daily_values(scored(spark, sf_dir), 3, "outcome").select("ts", r("outcome").alias("outcome"))
 
 
-@register("i15_topn_evidence")
+_TOPN = "topn AS (" + " UNION ALL ".join(f"SELECT {n} AS top_n, '{m}' AS measure, ts, avg({x}) AS v FROM k WHERE k <= {n} GROUP BY ts" for n in (1, 3, 5) for m, x in (("hit", "(outcome > 0)::INT"), ("net", "outcome - 0.0035"))) + ")"
+_KNOWN = "k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC NULLS LAST, symbol) AS k FROM scored WHERE score IS NOT NULL AND outcome IS NOT NULL)"
+
+
+@register("i15_topn_evidence", S.query("SELECT top_n, measure, n, " + S.rounded({"mean": "mean", "lo": "lo", "hi": "hi"}, 8) + ", CASE WHEN measure = 'net' THEN coalesce(lo > 0, false) END AS clears FROM boot", _SCORED, _KNOWN, _TOPN, S.resampled("boot", "topn", "top_n, measure", "v", 2000, level=0.95)))
 def i15b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.topn_evidence(scored(spark, sf_dir))
+    return evidence.topn_evidence(scored(spark, sf_dir)).select("top_n", "measure", "n", r("mean", 8).alias("mean"), r("lo", 8).alias("lo"), r("hi", 8).alias("hi"), "clears")
 
 
 def honest(spark: SparkSession, sf_dir: str) -> DataFrame:

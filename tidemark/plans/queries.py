@@ -436,14 +436,50 @@ def i06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.quintiles(_ranked(spark, sf_dir)).select("feature", "target", *rs(["q1", "q5", "spread", "net", "excess"]))
 
 
-@register("i09_screen")
-def i09(spark: SparkSession, sf_dir: str) -> DataFrame:
+# The year is one value a date, so it is tested as a series.
+_PASS = f"tested AS (SELECT *, {S.two_sided_p('t')} AS p FROM hac WHERE n >= 60), adjusted AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY i DESC)) AS q FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS i FROM tested))"
+_SIGNS = "signs AS (SELECT a.feature, a.target, sum((sign(fi) = sign(pi))::INT)::BIGINT AS same_sign FROM (SELECT feature, target, fold, avg(ic) AS fi FROM ic JOIN folds ON ts BETWEEN test_start AND test_end GROUP BY 1, 2, 3) a JOIN (SELECT feature, target, avg(ic) AS pi FROM ic JOIN folds ON ts BETWEEN test_start AND test_end GROUP BY 1, 2) b USING (feature, target) GROUP BY 1, 2)"
+_YEARS = "yr AS (SELECT target, ts, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) * (y - avg(y) OVER w) / nullif(stddev_pop(y) OVER w, 0) AS ic FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS target, ts, year(ts)::DOUBLE AS x, avg({t}) AS y FROM panel GROUP BY ts HAVING count({t}) > 0" for t in ("label_oc_1", "label_oc_5")) + ") WINDOW w AS (PARTITION BY target))"
+_YEAR_HAC = _HAC.replace("feature, ", "").replace("FROM ic ", "FROM yr ").replace("e AS (", "ye AS (", 1).replace(" g AS (", " yg AS (").replace("FROM e)", "FROM ye)").replace(" v AS (", " yv AS (").replace("FROM g GROUP BY 1, 2", "FROM yg GROUP BY 1").replace("hac AS (", "yhac AS (").replace("FROM v)", "FROM yv)")
+_DRAWN = "drawn AS (SELECT ts FROM (SELECT DISTINCT ts FROM panel) ORDER BY md5(ts::VARCHAR || ':0'), ts LIMIT 60), pr AS (" + " UNION ALL ".join(f"SELECT symbol, ts, '{f}' AS feature, {S.percent_rank(f)} AS pr FROM panel JOIN drawn USING (ts) WHERE {f} IS NOT NULL" for f in _FEATURES) + "), pairs AS (SELECT a.feature AS feature_a, b.feature AS feature_b, corr(a.pr, b.pr) AS rho, count(*) AS n FROM pr a JOIN pr b USING (symbol, ts) WHERE a.feature < b.feature GROUP BY 1, 2 HAVING count(*) >= 50)"
+
+
+def _walk(source: str, limit: float) -> tuple[str, ...]:
+    near = f"near AS (SELECT coalesce(list(a || '>' || b), []) AS near FROM (SELECT feature_a AS a, feature_b AS b FROM pairs WHERE abs(rho) >= {limit} UNION ALL SELECT feature_b, feature_a FROM pairs WHERE abs(rho) >= {limit}))"
+    order = f"o AS (SELECT feature, target, row_number() OVER (PARTITION BY target ORDER BY abs(t) DESC, feature) AS i, near FROM {source}, near)"
+    step = "SELECT w.target, w.i, CASE WHEN len(c) = 0 THEN list_append(leaders, feature) ELSE leaders END, feature, coalesce(c[1], feature) FROM (SELECT w.target, o.i, leaders, o.feature, list_filter(leaders, lambda x: list_contains(near, x || '>' || o.feature)) AS c FROM walk w JOIN o ON o.target = w.target AND o.i = w.i + 1) w"
+    return near, order, f"walk AS (SELECT DISTINCT target, 0::BIGINT AS i, []::VARCHAR[] AS leaders, '' AS feature, '' AS family FROM o UNION ALL {step})"
+
+
+_SCREENED = (
+    "SELECT feature, target, 'ranked' AS kind, n, same_sign, passes, "
+    + S.rounded({"t": "t", "mean": "mean", "p": "p", "q": "q"}, 4) + ", " + S.rounded({"spread": "spread", "gross": "gross", "net": "gross - 0.0035", "excess": "gross - market"})
+    + ", family FROM good LEFT JOIN (SELECT feature, target, family FROM walk WHERE i > 0) USING (feature, target) LEFT JOIN (SELECT *, CASE WHEN spread >= 0 THEN q5 ELSE q1 END AS gross FROM (SELECT feature, target, q1, q5, spread, market FROM m)) USING (feature, target)"
+    + " UNION ALL SELECT 'F_year', target, 'market', n, NULL, NULL, round(t, 4) + 0.0, round(mean, 4) + 0.0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM yhac WHERE n >= 60"
+)
+
+
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = selection.tested_folds(sessions(trade_bars(spark, sf_dir)))
-    # The year is one value a date, so it is tested as a series.
     df = screen_panel(spark, sf_dir).withColumn("F_year", F.year("ts").cast("double"))
-    out = screen.screen(df, [*_FEATURES, "F_year"], ["label_oc_1", "label_oc_5"], folds)
+    return screen.screen(df, [*_FEATURES, "F_year"], ["label_oc_1", "label_oc_5"], folds)
+
+
+_GOOD = "good AS (SELECT *, coalesce(q <= 0.1 AND same_sign >= 4, false) AS passes FROM adjusted LEFT JOIN signs USING (feature, target))"
+
+
+@register("i09_screen", S.query(_SCREENED, *_SCREEN, _FOLDS, _HAC, _PASS, _SIGNS, _QUINT, _YEARS, _YEAR_HAC, _DRAWN, _GOOD, *_walk("(SELECT * FROM good WHERE passes)", 0.8)).replace("WITH", "WITH RECURSIVE", 1))
+def i09(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = {c: 4 for c in ("t", "mean", "p", "q")} | {c: 6 for c in ("spread", "gross", "net", "excess")}
-    return out.select("feature", "target", "kind", "n", "same_sign", "passes", "family", *(r(c, d).alias(c) for c, d in wide.items()))
+    return screened(spark, sf_dir).select("feature", "target", "kind", "n", "same_sign", "passes", "family", *(r(c, d).alias(c) for c, d in wide.items()))
+
+
+# The strongest first, each feature joins the first leader that it is close to, and leads where there is none.
+@register("i08_families", S.query("SELECT feature, target, family FROM walk WHERE i > 0", *_SCREEN, _HAC, _PASS, _DRAWN, *_walk("adjusted", 0.3)).replace("WITH", "WITH RECURSIVE", 1))
+def i08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = screen_panel(spark, sf_dir)
+    stats = screen.hac_t(screen.daily_ic(_ranked(spark, sf_dir))).filter("n >= 60")
+    return screen.families_of(stats, screen.family_pairs(df, list(_FEATURES)), 0.3).select("feature", "target", "family")
 
 
 @register("a02_market_level", S.query("SELECT feature, round(avg((lo = hi)::INT), 6) + 0.0 AS constant_share, avg((lo = hi)::INT) >= 0.95 AS is_market FROM (SELECT ts, 'F_volume' AS feature, count(*) AS n, min(volume) AS lo, max(volume) AS hi FROM bars GROUP BY ts UNION ALL SELECT ts, 'F_year', count(*), min(year(ts)), max(year(ts)) FROM bars GROUP BY ts) WHERE n >= 2 GROUP BY feature"))
@@ -460,25 +496,35 @@ def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.leak_table(screen_panel(spark, sf_dir), list(_FEATURES)).select("feature", *rs([f"rho_{k}" for k in range(1, 6)]), r("max_abs_rho").alias("max_abs_rho"), "suspect")
 
 
-@register("a13_family_pairs")
+@register("a13_family_pairs", S.query("SELECT feature_a, feature_b, round(rho, 6) + 0.0 AS rho, n FROM pairs", _PANEL, _DRAWN))
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.family_pairs(screen_panel(spark, sf_dir), list(_FEATURES)).select("feature_a", "feature_b", r("rho").alias("rho"), "n")
 
 
-@register("i14_bootstrap_intervals")
+_DAY3 = "SELECT 'oc_2' AS target, ts, avg(outcome) FILTER (WHERE rank <= 3) - 0.0035 AS net, avg(outcome) FILTER (WHERE rank <= 3) - avg(outcome) AS excess FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC NULLS LAST, symbol) AS rank FROM {} WHERE score IS NOT NULL) GROUP BY ts"
+
+
+@register("i14_bootstrap_intervals", S.query("SELECT target, n, " + S.rounded({"mean": "mean", "lo": "lo", "hi": "hi"}, 8) + " FROM boot", _SCORED, f"day AS ({_DAY3.format('scored')})", S.resampled("boot", "day", "target", "net")))
 def i14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.intervals(selection.daily_top(scored(spark, sf_dir)).withColumn("target", F.lit("oc_2")), ["target"], "top3_net")
+    return inference.intervals(selection.daily_top(scored(spark, sf_dir)).withColumn("target", F.lit("oc_2")), ["target"], "top3_net").select("target", "n", *rs(["mean", "lo", "hi"], 8))
 
 
-@register("i16_gate")
+@register("i16_gate", S.query(
+    "SELECT target, n, " + S.rounded({"net_mean": "a.mean", "net_lo": "a.lo", "net_hi": "a.hi", "excess_mean": "b.mean", "excess_lo": "b.lo", "excess_hi": "b.hi", "recent_mean": "late"}, 8) + ", coalesce(a.lo > 0, false) AS net_clears, coalesce(late > 0, false) AS recent_clears, coalesce(b.lo > 0, false) AS excess_clears, coalesce(a.lo > 0 AND late > 0 AND b.lo > 0, false) AS passes FROM a JOIN (SELECT target, mean, lo, hi FROM b) AS b USING (target) LEFT JOIN (SELECT target, avg(net) AS late FROM day WHERE ts >= DATE '2000-01-01' GROUP BY target) USING (target)",
+    _SCORED, f"day AS ({_DAY3.format('scored')})", S.resampled("a", "day", "target", "net"), S.resampled("b", "day", "target", "excess"),
+))
 def i16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.gate(selection.daily_top(scored(spark, sf_dir)).withColumn("target", F.lit("oc_2")), ["target"], recent="2000-01-01")
+    met = inference.gate(selection.daily_top(scored(spark, sf_dir)).withColumn("target", F.lit("oc_2")), ["target"], recent="2000-01-01")
+    return met.select("target", "n", *rs(["net_mean", "net_lo", "net_hi", "excess_mean", "excess_lo", "excess_hi", "recent_mean"], 8), "net_clears", "recent_clears", "excess_clears", "passes")
 
 
-@register("i18_paired_comparison")
+@register("i18_paired_comparison", S.query(
+    "SELECT target, n, " + S.rounded({"mean": "mean", "lo": "lo", "hi": "hi"}, 8) + ", coalesce(lo > 0, false) AS switch FROM boot",
+    _SCORED, _SCORED_B, f"one AS ({_DAY3.format('scored')})", f"two AS ({_DAY3.format('other')})", "pair AS (SELECT target, ts, two.net - one.net AS d FROM one JOIN two USING (target, ts))", S.resampled("boot", "pair", "target", "d"),
+))
 def i18(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (selection.daily_top(scored(spark, sf_dir, c)).withColumn("target", F.lit("oc_2")) for c in ("volume", "close"))
-    return inference.paired(a, b, ["target"], "top3_net")
+    return inference.paired(a, b, ["target"], "top3_net").select("target", "n", *rs(["mean", "lo", "hi"], 8), "switch")
 
 
 def _mk_roll(x: str, f: str) -> str:
@@ -512,10 +558,21 @@ def l13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(r("rho_same").alias("rho_same"), r("rho_next").alias("rho_next"), "n", "ok")
 
 
-@register("i11_nested_screen")
+_NESTED = (
+    "nf AS (SELECT fold, train_end FROM folds WHERE train_end IS NOT NULL), ic AS (SELECT fold || '|' || feature AS feature, target, ts, ic, fold, feature AS name FROM ic0 JOIN nf ON ts <= train_end)"
+)
+
+
+@register("i11_nested_screen", S.query(
+    "SELECT fold::INT AS fold, a.name AS feature, a.target, n, same_sign, coalesce(same_sign >= 4, false) AS stable, coalesce(q <= 0.1 AND same_sign >= 4, false) AS passes, " + S.rounded({"mean": "mean", "t": "t", "p": "p", "q": "q"}, 4) + " FROM (SELECT *, split_part(feature, '|', 1) AS fold, split_part(feature, '|', 2) AS name, least(1, min(p * m / i) OVER (PARTITION BY split_part(feature, '|', 1) ORDER BY i DESC)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY split_part(feature, '|', 1)) AS m, row_number() OVER (PARTITION BY split_part(feature, '|', 1) ORDER BY p) AS i FROM tested)) a "
+    "LEFT JOIN (SELECT feature, target, sum((sign(ri) = sign(pi))::INT)::BIGINT AS same_sign FROM (SELECT feature, target, run, avg(ic) AS ri FROM ic JOIN ru USING (fold, ts) GROUP BY 1, 2, 3) JOIN (SELECT feature, target, avg(ic) AS pi FROM ic GROUP BY 1, 2) USING (feature, target) GROUP BY 1, 2) USING (feature, target)",
+    *_SCREEN[:-1], _IC.replace("ic AS (", "ic0 AS (", 1).replace(">= 15)", ">= 8)"), _FOLDS, _NESTED, "ru AS (SELECT fold, ts, ntile(5) OVER (PARTITION BY fold ORDER BY ts) AS run FROM sess JOIN nf ON ts <= train_end)", _HAC, f"tested AS (SELECT *, {S.two_sided_p('t')} AS p FROM hac WHERE n >= 60)",
+))
 def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = selection.tested_folds(sessions(trade_bars(spark, sf_dir)))
-    return state.nested_screen(screen_panel(spark, sf_dir), list(_FEATURES), ["label_oc_1", "label_oc_5"], folds).select("fold", "feature", "target", "n", "same_sign", "stable", "passes", *(r(c, 4).alias(c) for c in ("mean", "t", "p", "q")))
+    # There are 25 names, and on many sessions of the smallest table fewer than 15.
+    out = state.nested_screen(screen_panel(spark, sf_dir), list(_FEATURES), ["label_oc_1", "label_oc_5"], folds, least_names=8)
+    return out.select("fold", "feature", "target", "n", "same_sign", "stable", "passes", *(r(c, 4).alias(c) for c in ("mean", "t", "p", "q")))
 
 
 # --- features ------------------------------------------------------------------------------------

@@ -74,3 +74,23 @@ def rounded(expressions: dict[str, str], digits: int = 6) -> str:
 
 def query(select: str, *ctes: str) -> str:
     return f"WITH {', '.join((BARS, *ctes))} {select}"
+
+
+def resampled(name: str, source: str, by: str, value: str, replicates: int = 10_000, block: int = 10, seed: int = 7, level: float = 0.9875) -> str:
+    """CTEs that end in ``name`` (by, n, mean, lo, hi): circular moving-block intervals of the mean of each series of ``source``."""
+    low = (1 - level) / 2
+    return f"""{name}_v AS (SELECT {by}, coalesce(list({value} ORDER BY ts) FILTER ({value} IS NOT NULL), []) AS v FROM {source} GROUP BY {by}),
+{name}_w AS (SELECT {by}, v, len(v) AS n, list_concat(v, v[1:{block}]) AS vv FROM {name}_v),
+{name}_f AS (SELECT {by}, n, list_transform(range(1, n + 1), lambda i: list_sum(vv[i:i + {block} - 1])) AS f, list_transform(range(1, n + 1), lambda i: coalesce(list_sum(vv[i:i + n % {block} - 1]), 0)) AS l FROM {name}_w WHERE n >= {2 * block}),
+{name}_r AS (SELECT {by}, (list_sum(list_transform(range(n // {block}), lambda b: f[(('0x' || substr(md5('{seed}:' || k || ':' || b), 1, 8))::BIGINT % n + 1)::BIGINT]))
+  + CASE WHEN n % {block} > 0 THEN l[(('0x' || substr(md5('{seed}:' || k || ':' || (n // {block})), 1, 8))::BIGINT % n + 1)::BIGINT] ELSE 0 END) / n AS m FROM {name}_f, range({replicates}) AS r(k)),
+{name}_q AS (SELECT {by}, quantile_cont(m, {low!r}) AS lo, quantile_cont(m, {1 - low!r}) AS hi FROM {name}_r GROUP BY {by}),
+{name} AS (SELECT * EXCLUDE (v, vv), list_avg(v) AS mean FROM {name}_w LEFT JOIN {name}_q USING ({by}))"""
+
+
+def two_sided_p(t: str) -> str:
+    """The normal two-sided p: a power series near zero, a continued fraction in the tail."""
+    z = f"(abs({t}) / sqrt(2))"
+    near = f"1 - 2 / sqrt(pi()) * {z} * exp(-{z} * {z}) * list_reduce(list_prepend(1.0::DOUBLE, range(70, 0, -1)::DOUBLE[]), lambda s, k: 1 + s * 2 * {z} * {z} / (2 * k + 1))"
+    far = f"exp(-{z} * {z}) / sqrt(pi()) / list_reduce(list_prepend({z}::DOUBLE, range(40, 0, -1)::DOUBLE[]), lambda s, k: {z} + k / 2 / s)"
+    return f"(CASE WHEN {z} <= 3 THEN greatest({near}, 0) ELSE {far} END)"
