@@ -57,30 +57,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: that with the smallest id.
 
-    Rows are told apart by id and text, so rows of one id with different texts, and rows without an
-    id, are documents of their own (a null id counts as the largest).  Of rows alike in both, one
-    stays, chosen by a hash of its other columns.  Rows without a word are linked to nothing, and
-    all stay.  An empty table gives no rows; other columns go through, whatever their names.
+    Rows get numbers of their own, in a table, and the numbers are joined; so rows of one id with different texts, rows without an
+    id (a null id counts as the largest) and rows alike in all columns are documents of their own, and none
+    is taken for another. Of rows of the smallest id, the first by number stays. Rows without a word are linked to nothing, and
+    all stay. An empty table gives no rows; other columns go through, whatever their names.
     """
     small_batches(spark)
     tables = Tables(spark)
     names = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     own, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
-    keyed = plain.withColumn("row_key", F.xxhash64(own, text))
-    joined = jaccard.join(keyed.select(F.col("row_key").alias("doc_id"), F.col(text).alias("text")))
-    # A key with many rows is combined where these lie.
-    known = joined.groupBy(F.col("doc_id").alias("row_key")).agg(F.min("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("rows"))
-    met = tables.write("met", known.join(keyed.groupBy("row_key").agg(F.min(own).alias("id")), "row_key"))
-    chosen = met.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key", "rows")).alias("it")).select("it.row_key", (F.col("it.rows") > 1).alias("again"))
-    kept = tables.write("kept", chosen.unionByName(met.filter("n = 0").select("row_key", F.lit(False).alias("again"))))
-    tables.drop("met")
+    keyed = tables.write("keyed", plain.withColumn("row_key", F.monotonically_increasing_id()))
+    with tables.around():
+        joined = jaccard.join(keyed.select(F.col("row_key").alias("doc_id"), F.col(text).alias("text")))
+    met = joined.select(F.col("doc_id").alias("row_key"), "n_shingles", "component_id").join(keyed.select("row_key", F.col(own).alias("id")), "row_key")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("it")
+    # A group of any size is combined where its rows lie; rows without a word are groups of one.
+    chosen = met.filter("n_shingles > 0").groupBy("component_id").agg(least).select("it.row_key")
+    kept = tables.write("kept", chosen.unionByName(met.filter("n_shingles = 0").select("row_key")))
     kept = F.broadcast(kept) if kept.count() <= MOST_IDS else kept
-    rows = keyed.join(kept, "row_key")
-    once = rows.filter("NOT again").select(*plain.columns)
-    hashed = F.xxhash64(*(c for c in plain.columns if "map<" not in plain.schema[c].dataType.simpleString()))
-    alike = rows.filter("again").groupBy("row_key").agg(F.min_by(F.struct(*plain.columns), hashed).alias("it")).select("it.*")
-    return once.unionByName(alike).toDF(*names)
+    return keyed.join(kept, "row_key").select(*plain.columns).toDF(*names)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
@@ -124,7 +120,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        docs = tables.write(f"stage_{number}", stage(spark, docs, sf_dir))
-        if number:
-            tables.drop(f"stage_{number - 1}")
+        with tables.around():
+            docs = tables.write(f"stage_{number}", stage(spark, docs, sf_dir))
+        tables.drop_all(f"stage_{number}")  # the stage before, and all that this one has written besides
     return docs

@@ -469,10 +469,26 @@ def test_lm_losses_equal_exact_counts(spark, monkeypatch, words, pairs, bucket):
         assert (r["score"] is None) if not n else np.allclose([r["target_loss"], r["background_loss"], r["score"]], [target, background, target - background], atol=1e-8)
 
 
-def test_lm_number_of_words_is_near(spark):
-    texts = [" ".join(f"v{k}x{j}" for j in range(100)) for k in range(200)]
-    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)])
-    assert 0.8 < lmscore.train(docs, spark.createDataFrame([], "doc_id long")).size / 20_000 < 1.25
+def test_lm_number_of_words_is_exact(spark, monkeypatch):
+    texts = [" ".join(f"v{(k * 100 + j) % 15_000}x" for j in range(100)) for k in range(200)]
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)]).repartition(3)
+    for distinct, bucket in ((1 << 22, 1 << 21), (500, 1 << 10)):
+        monkeypatch.setattr(lmscore, "DISTINCT", distinct)
+        monkeypatch.setattr(lmscore, "BUCKET", bucket)
+        assert lmscore.train(docs, spark.createDataFrame([], "doc_id long")).size == 15_001  # and the text's end
+
+
+def test_lm_many_labels_give_the_same(spark, monkeypatch):
+    """Rows without an id, many rows of one id, and a join by shuffle."""
+    rows = [doc(None if k % 5 == 0 else 7 if k % 5 == 1 else k, prose(k % 30, 40)) for k in range(120)]
+    docs = frame(spark, rows).repartition(3)
+    good = spark.createDataFrame([(7,), (7,), (None,), *((k,) for k in range(0, 120, 4))], "doc_id long")
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["target_loss"], r["background_loss"])
+    few = sorted(map(key, lmscore.score(docs, lmscore.train(docs, good), good, ["doc_id"]).collect()))
+    monkeypatch.setattr(lmscore, "MOST_LABELS", 0)
+    monkeypatch.setattr(shared, "HEAVY", 5)
+    many = sorted(map(key, lmscore.score(docs, lmscore.train(docs, good), good, ["doc_id"]).collect()))
+    assert few == many and len(few) == 120
 
 
 # --- pages ---------------------------------------------------------------------------------------
@@ -526,6 +542,107 @@ def slow_article(blocks_, rng):
     return f"<html><body>{''.join(noise[:3])}{'<div>' * depth}<article>{inner}</article>{'</div>' * depth}{''.join(noise[3:])}</body></html>"
 
 
+def slow_scores(root, found, least):
+    """Points of every container by the definition: from each paragraph in full to the nearest container, half as much to each next one."""
+    scores = {}
+    for owner, text, linked in found:
+        if owner.tag in html.PARAGRAPH and len(text) >= least:
+            points = (1 + len(re.findall("[,，、،]", text)) + min(len(text) / 100, 3)) * (1 - linked / len(text))
+            up = owner
+            while up is not None:
+                if up.tag in html.CONTAINER:
+                    scores[id(up)] = scores.get(id(up), 0.0) + points
+                    points /= 2
+                up = up.parent
+    return scores
+
+
+def slow_inside(node, top):
+    while node is not None:
+        if node is top:
+            return True
+        node = node.parent
+    return False
+
+
+def slow_extract(page):
+    """The rules written out: every sum is taken anew from all blocks."""
+    root = html.parse(page)
+    html.prune(root)
+    found = html.blocks_of(root)
+    if not found:
+        return ""
+    nodes = html.in_order(root)
+    size = lambda n: sum(len(t) for o, t, _ in found if slow_inside(o, n))
+    links = lambda n: sum(x for o, _, x in found if slow_inside(o, n)) / max(size(n), 1)
+    full = [n for n in nodes if size(n)]
+    named = lambda n: n.tag in ("article", "main") or html._LIKELY.search(f"{n.attributes.get('class', '')} {n.attributes.get('id', '')}")
+    best, most = None, 0.0
+    for least in (10, 1):
+        scores = slow_scores(root, found, least)
+        ranked = [(scores.get(id(n), 0.0) * (1 - links(n)) * (1.25 if named(n) else 1), k, n) for k, n in enumerate(full) if n.tag in html.CONTAINER]
+        top = max(ranked, key=lambda r: r[:2], default=(0.0, 0, None))
+        if top[0] > 0:
+            most, _, best = top
+            break
+    if best is None:
+        best = next((n for n in full if n.tag in ("article", "main")), None)
+        if best is None:
+            return "\n\n".join(t for _, t, x in found if 2 * x < len(t))
+    up = best.parent
+    while up is not None:
+        if up.tag in ("article", "main") and links(up) < 0.5:
+            best = up
+        up = up.parent
+    tops = [best]
+    if best.parent is not None and best.tag not in ("article", "main"):
+        for n in best.parent.children:
+            if isinstance(n, str) or n is best or not size(n):
+                continue
+            linked = links(n)
+            score = scores.get(id(n), 0.0) if n.tag in html.CONTAINER else 0.0
+            prose_ = n.tag == "p" and ((size(n) > 80 and linked < 0.25) or (linked == 0 and size(n) > 20))
+            if score * (1 - linked) >= max(10.0, 0.2 * most) or prose_ or (n.tag in html.HEADING and linked < 0.25):
+                tops.append(n)
+    return "\n\n".join(t for o, t, _ in found if any(slow_inside(o, n) for n in tops))
+
+
+def random_page(rng, depth=0):
+    """Markup of random nesting, with links, names that count for or against, unclosed elements and texts of all lengths."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        words = " ".join("".join(rng.choices("abcde", k=rng.randint(1, 7))) + rng.choice(["", "", ",", "."]) for _ in range(rng.choice([1, 2, 5, 20, 60])))
+        if kind < 0.35 or depth > 5:
+            text = f"<a href=x>{words}</a>" if rng.random() < 0.25 else words
+            tag = rng.choice(["p", "p", "p", "h2", "li", "td", "blockquote", "pre", "span", ""])
+            out.append(f"<{tag}>{text}" + (f"</{tag}>" if rng.random() < 0.8 else "") if tag else text)
+        else:
+            tag = rng.choice(["div", "div", "div", "section", "article", "main", "ul", "table", "td", "center", "nav", "aside", "body"])
+            named = rng.choice(["", "", " class=content", " id=sidebar", " class='post ads'", " class=story"])
+            out.append(f"<{tag}{named}>{random_page(rng, depth + 1)}" + (f"</{tag}>" if rng.random() < 0.9 else ""))
+    return "\n".join(out)
+
+
+def test_extraction_equals_the_rules_written_out():
+    rng = random.Random(21)
+    some = 0
+    for _ in range(1500):
+        page = random_page(rng)
+        got = html.extract(page)
+        assert got == slow_extract(page), page
+        some += bool(got)
+    assert some > 1000
+
+
+def test_short_blocks_are_kept():
+    assert html.extract("<div id=content><p>Yes.</p><p>No.</p></div>") == "Yes.\n\nNo."
+    assert html.extract("<body><p>Hi</p></body>") == "Hi"
+    assert html.extract("<body><h1>Only a title</h1></body>") == "Only a title"
+    assert html.extract("<nav><p>Home</p></nav><div><p>Short.</p></div><footer>c</footer>") == "Short."
+    assert html.extract("<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>") == ""
+
+
 def test_made_up_pages_give_their_article_back():
     rng = random.Random(11)
     for k in range(150):
@@ -700,6 +817,70 @@ def test_sharding_moves_little_when_rows_are_added(spark):
     assert sharding.shard(frame(spark, []), 20).count() == 0
 
 
+def test_sharding_moves_little_when_a_shard_is_added(spark):
+    docs = frame(spark, [doc(k, f"t{k}") for k in range(4000)])
+    a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard(docs, n).collect()} for n in (20, 21))
+    moved = sum(a[k] != b[k] for k in a)
+    assert 4000 // 21 <= moved < 0.35 * 4000
+
+
+def test_many_rows_alike_are_written_out_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 70)
+    rows = [doc(None, "same")] * 1500 + [doc(3, "same")] * 69 + [doc(k, f"t{k}") for k in range(200)]
+    got = sharding.shard(frame(spark, rows), 7).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+
+
+def slow_ring(cells, counts, shards, vnodes):
+    """(cell, rank) -> (shard, slot) by walking the ring row by row; cells: (nodes, owner) in order."""
+    total = sum(counts)
+    capacity = [total // shards + (s < total % shards) for s in range(shards)]
+    load, out, waiting_at = [0] * shards, {}, [[] for _ in cells]
+    for c, ((_, owner), n) in enumerate(zip(cells, counts, strict=True)):
+        for rank in range(n):
+            if load[owner] < capacity[owner]:
+                out[c, rank] = (owner, load[owner])
+                load[owner] += 1
+            else:
+                waiting_at[c].append((c, rank))
+    events = []
+    for c, (nodes, _) in enumerate(cells):
+        events.append(("rows", waiting_at[c]))
+        for s, v in nodes:
+            spare = capacity[s] - load[s]
+            share = lambda k, spare=spare: spare // vnodes * k + min(k, spare % vnodes)
+            events.append(("places", [(s, load[s] + share(v) + i) for i in range(share(v + 1) - share(v))]))
+    for start in range(len(events)):  # from the right one on, no place comes before a row for it
+        queue, placed = collections.deque(), {}
+        for kind, items in events[start:] + events[:start]:
+            if kind == "rows":
+                queue.extend(items)
+            elif len(items) > len(queue):
+                break
+            else:
+                placed |= {queue.popleft(): place for place in items}
+        else:
+            return out | placed
+    raise AssertionError("no start")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ring_equals_walking_it(spark, monkeypatch, seed):
+    monkeypatch.setattr(sharding, "CELLS", 48)
+    rng = random.Random(seed)
+    shards, vnodes = rng.choice([(5, 4), (3, 2), (7, 3)])
+    counts = [rng.choice([0, 0, 1, 2, 9, 30 if seed % 2 else 3]) for _ in range(48)]
+    cells = [([tuple(n) for n in r["nodes"] or ()], r["shard"]) for r in sharding.ring(spark, shards, vnodes).orderBy("cell").collect()]
+    table = spark.createDataFrame([(c, n) for c, n in enumerate(counts) if n], "cell int, n_rows long")
+    got = {(r["cell"], r["from_rank"] + i): (r["shard"], r["slot"] + i) for r in sharding.plan(table, shards, vnodes).collect() for i in range(r["n"])}
+    assert got == slow_ring(cells, counts, shards, vnodes)
+
+
 def test_topk_in_small_cells_and_with_repeated_rows(spark, monkeypatch):
     for name, value in (("VECTORS", 40), ("QUERIES", 7), ("SEED", 16), ("BUCKET", 16), ("MERGE", 3)):
         monkeypatch.setattr(topk, name, value)

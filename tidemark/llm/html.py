@@ -34,6 +34,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS: dict[str, tuple[set[str], set[str]]] = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 PARAGRAPH = frozenset("html p pre blockquote td dd li div section article main body figcaption summary".split())
 CONTAINER = frozenset("article main section div td body blockquote center html".split())
+#: Characters of a paragraph from which it gives points, where any paragraph of the page has so many.
+LEAST = 10
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what is not the article.
 _UNLIKELY = re.compile(
@@ -246,13 +248,15 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def tally(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
-    """Sets score, size and links of all elements, from the innermost outwards."""
+def tally(nodes: list[Node], found: list[tuple[Node, str, int]], least: int = LEAST) -> None:
+    """Sets score, size and links of all elements, from the innermost outwards; paragraphs shorter than ``least`` give no points."""
     points: dict[int, float] = {}  # what the nearest container around an element, or it, gets in full
+    for node in nodes:
+        node.score, node.size, node.links = 0.0, 0, 0
     for owner, text, linked in found:
         owner.size += len(text)
         owner.links += linked
-        if owner.tag in PARAGRAPH and len(text) >= 10:
+        if owner.tag in PARAGRAPH and len(text) >= least:
             worth = (1 + len(_COMMA.findall(text)) + min(len(text) / 100, 3)) * (1 - linked / len(text))
             points[id(owner)] = points.get(id(owner), 0.0) + worth
     for node in reversed(nodes):
@@ -281,21 +285,24 @@ def extract(html: str) -> str:
     if not found:
         return ""
     nodes = in_order(root)
-    tally(nodes, found)
-    full = [n for n in nodes if n.size]
     best, most = None, 0.0
-    for node in full:
-        if node.tag in CONTAINER:
-            bonus = 1.25 if node.tag in ("article", "main") or _LIKELY.search(f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}") else 1.0
-            value = node.score * (1 - density(node)) * bonus
-            # Of equals, the inner one: it comes later.
-            if value >= most and value > 0:
-                best, most = node, value
+    for least in (LEAST, 1):  # where all paragraphs are short, the short ones count
+        tally(nodes, found, least)
+        full = [n for n in nodes if n.size]
+        for node in full:
+            if node.tag in CONTAINER:
+                bonus = 1.25 if node.tag in ("article", "main") or _LIKELY.search(f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}") else 1.0
+                value = node.score * (1 - density(node)) * bonus
+                # Of equals, the inner one: it comes later.
+                if value >= most and value > 0:
+                    best, most = node, value
+        if best is not None:
+            break
     if best is None:
-        # No paragraph of any length: an article element still names the text.
+        # No paragraph that is not a link: an article element still names the text, or else all that is not a link is taken.
         best = next((n for n in full if n.tag in ("article", "main")), None)
         if best is None:
-            return ""
+            return "\n\n".join(text for _, text, linked in found if 2 * linked < len(text))
     # An article element around the best container is the article as a whole.
     up = best.parent
     while up is not None:

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import Tables, join_hot
 from tidemark.llm.textblock import TextBlock, blocks, fmix, plain
 
 #: Weight of the unigram model in a bigram's context, in counts.
@@ -44,8 +45,8 @@ HOT_WORDS, HOT_PAIRS, SAMPLE = 1 << 16, 1 << 18, 16
 HOT_LEAST = 4
 #: Occurrences in a bucket, as expected at most, and in a block of a task before it is passed on.
 BUCKET, KEEP = 1 << 21, 1 << 20
-#: The number of words is taken from one in so many of their hashes.
-SLICE = 16
+#: Words of a task whose hashes are sorted out together before they are passed on to be counted.
+DISTINCT = 1 << 22
 UNIT = float(1 << 30)
 #: The context of a text's first word, and the word that ends a text.
 START, END = np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
@@ -91,11 +92,21 @@ def _places(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == keys, at, -1)
 
 
-def _flagged(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """(text, good) of all rows."""
-    ids = good.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
-    ids = F.broadcast(ids) if good.count() <= MOST_LABELS else ids
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
+def _marked(docs: DataFrame, good: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The ``columns`` of all rows, by new name, and ``_good``; a map task that is run again gives the same rows in the same order.
+
+    Few ids are sent to all tasks. Many are joined by a shuffle, where rows without an id stay out and an id with very many
+    rows is dealt to several tasks; as that join's order of rows may change, its result is read back from a table.
+    """
+    ids = good.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct().withColumn("_hit", F.lit(True))
+    rows = docs.select(F.col("doc_id").alias("_id"), *(F.col(c).alias(name) for name, c in columns.items()))
+    flag = F.coalesce("_hit", F.lit(False)).alias("_good")
+    if good.count() <= MOST_LABELS:
+        return rows.join(F.broadcast(ids), "_id", "left").select(flag, *columns)
+    text = next(name for name, c in columns.items() if c == "text")
+    joined = join_hot(rows.filter("_id IS NOT NULL"), ids, ["_id"], [text], "left")
+    both = joined.unionByName(rows.filter("_id IS NULL").withColumn("_hit", F.lit(False)))
+    return Tables(docs.sparkSession).write("marked", both.select(flag, *columns))
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,27 +165,49 @@ def _units(x: np.ndarray) -> np.ndarray:
     return np.rint(x * UNIT).astype(np.int64)
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Of so many that an expected BUCKET occurrences at most fall into each; a token has two bytes at least, with the space after it."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return int(max(1, size // (2 * BUCKET)))
+
+
 def train(docs: DataFrame, good: DataFrame) -> NgramModels:
     """Counts all documents; ``good`` has the doc_id of the target's documents.
 
-    What comes to the driver are the counts of at most HOT_WORDS words and HOT_PAIRS pairs; all other
+    What comes to the driver are the counts of at most HOT_WORDS words and HOT_PAIRS pairs, and the number of words in each bucket; all other
     counts are made where ``score`` needs them.
     """
-    flagged = _flagged(docs, good)
+    flagged = _marked(docs, good, {"text": "text"}).select("text", "_good")
     words, pairs = _hot(flagged)
     sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
-    names = ["kind", "key", "t", "b"]
+    names = ["kind", "key", "t", "b", "hashes"]
+    buckets = _buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = sent.value
         held = np.zeros((2, len(words)), np.int64), np.zeros((2, len(pairs)), np.int64)
         total = np.zeros((2, 2), np.int64)  # tokens and texts
         seen: list[np.ndarray] = []
+        kept = 0
 
         def rows(kind: int, key: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for begin in range(0, len(key), 1 << 16):
                 part = slice(begin, begin + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(counts[0][part]), pa.array(counts[1][part])], names)
+                many = len(key[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, kind, np.int32)), pa.array(key[part]), pa.array(counts[0][part]), pa.array(counts[1][part]), pa.nulls(many, pa.binary())], names)
+
+        def distinct() -> Iterator[pa.RecordBatch]:
+            """Each word that was seen, once, in one block for each bucket."""
+            key = np.unique(np.concatenate(seen))
+            bucket = (fmix(key) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            key, bucket = key[order], bucket[order]
+            edge = np.append(_groups(bucket), len(bucket))
+            for some in range(0, len(edge) - 1, 256):
+                spans = list(zip(edge[some : some + 256], edge[some + 1 : some + 257], strict=False))
+                data = [packed({"word": key[a:b]}, _WORDS) for a, b in spans]
+                zero = pa.array(np.zeros(len(spans), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spans), 3, np.int32)), pa.array(bucket[edge[some : some + len(spans)]]), zero, zero, pa.array(data, pa.binary())], names)
 
         for batch in batches:
             good = batch.column(1).to_numpy(zero_copy_only=False)
@@ -188,22 +221,55 @@ def train(docs: DataFrame, good: DataFrame) -> NgramModels:
                 total[0] += mine.sum(), len(word)
                 there = np.unique(text)
                 total[1] += good[begin:end][there].sum(), len(there)
-                seen.append(np.unique(word[word % np.uint64(SLICE) == 0]))
-                if len(seen) > 64:
+                seen.append(np.unique(word))
+                kept += len(seen[-1])
+                if kept > DISTINCT:
                     seen = [np.unique(np.concatenate(seen))]
+                    kept = len(seen[0])
+                    if kept > DISTINCT // 2:
+                        yield from distinct()
+                        seen, kept = [], 0
         for kind in (0, 1):
             some = np.flatnonzero(held[kind][1])
             yield from rows(kind, some, held[kind][:, some])
         yield from rows(2, np.arange(2), total.T.copy())
         if seen:
-            key = np.unique(np.concatenate(seen)).view(np.int64)
-            yield from rows(3, key, np.zeros((2, len(key)), np.int64))
-
-    counted = flagged.mapInArrow(run, "kind int, key long, t long, b long").groupBy("kind", "key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    # Hashes of one in SLICE are counted where they are; the rest is a row for each common word and pair.
-    size = counted.filter("kind = 3").count() * SLICE
-    table = counted.filter("kind < 3").toArrow()
-    kind, key, t, b = (np.asarray(table[c].combine_chunks() if table.num_rows else [], np.int64) for c in names)
+            yield from distinct()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the counts of one key after the other; of hashes, how many different ones there are."""
+        now, total, held = None, np.zeros(2, np.int64), []
+        done: list[tuple[int, int, int, int]] = []
+
+        def close() -> None:
+            if now is not None:
+                t, b = (len(np.unique(np.concatenate(held))), 0) if held else total.tolist()
+                done.append((*now, t, b))
+
+        for batch in batches:
+            kind, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            counts = np.stack([np.asarray(batch.column(k)) for k in (2, 3)])
+            edge = np.append(_groups(kind, key), len(key))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if (kind[a], key[a]) != now:
+                    close()
+                    now, total, held = (kind[a], key[a]), np.zeros(2, np.int64), []
+                total += counts[:, a:b].sum(1)
+                held += [unpacked(x, _WORDS)["word"] for x in batch.column(4).slice(a, b - a).drop_null().to_pylist()]
+                if len(held) > 64:
+                    held = [np.unique(np.concatenate(held))]
+            if len(done) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names[:4])
+                done.clear()
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names[:4])
+
+    parts = flagged.mapInArrow(run, "kind int, key long, t long, b long, hashes binary").repartition("kind", "key").sortWithinPartitions("kind", "key")
+    # A row for each common word and pair, and one for each bucket of words.
+    table = parts.mapInArrow(add, "kind int, key long, t long, b long").toArrow()
+    kind, key, t, b = (np.asarray(table[c].combine_chunks() if table.num_rows else [], np.int64) for c in names[:4])
+    size = int(t[kind == 3].sum())
     out = []
     for k, n in ((0, len(words)), (1, len(pairs)), (2, 2)):
         counts = np.zeros((2, n), np.int64)
@@ -215,6 +281,8 @@ def train(docs: DataFrame, good: DataFrame) -> NgramModels:
 
 #: Of each occurrence: hash of the word, of what stands before it, the row's number in its task, how often the pair is in the row, the word (0: to be counted), and whether the row is good.
 _FIELDS = (("word", np.uint64), ("before", np.uint64), ("row", np.uint32), ("m", np.uint32), ("mw", np.uint32), ("good", np.uint8))
+#: Of each word of a block.
+_WORDS = (("word", np.uint64),)
 #: Of each row of a part of a task: its number in the part, and what is added to its losses.
 _SUMS = (("row", np.uint16), ("t", np.int64), ("b", np.int64))
 #: Rows in a part.
@@ -323,13 +391,9 @@ def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str
     carry = [c for c in dict.fromkeys(carry) if c not in added]
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(models)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # A token has two bytes at least, with the space after it.
-    buckets = int(max(1, size // (2 * BUCKET)))
-    ids = good.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_good_id")).distinct()
-    ids = F.broadcast(ids) if good.count() <= MOST_LABELS else ids
-    placed = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))).join(ids, F.col("_id") == F.col("_good_id"), "left")
-    placed = placed.select("_text", F.col("_good_id").isNotNull().alias("_good"), *(f"c{k}" for k in range(len(carry))))
+    buckets = _buckets(docs)
+    named = {"_text": "text"} | {f"c{k}": c for k, c in enumerate(carry)}
+    placed = _marked(docs, good, named).select("_text", "_good", *(f"c{k}" for k in range(len(carry))))
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     schema = ", ".join(["bucket int", "task int", "occurrences binary", "row long", "n_tokens long", "t long", "b long", *(f"c{k} {kind}" for k, kind in enumerate(kinds))])
 

@@ -189,7 +189,7 @@ def _platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Trains on at most ``sample`` labelled rows, drawn by a hash of doc_id.
 
-    Rows whose quality, id or text is null are left out.  Without rows of both classes the
+    Rows whose quality, id or text is null are left out; of several texts of one id, one is chosen by its hash.  Without rows of both classes the
     model keeps (or rejects) everything, as the only class seen says.
     """
     drawn = (
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
         .join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))  # at most `sample` rows
         .filter("text IS NOT NULL")
         .groupBy("draw", "doc_id")
-        .agg(F.first("text").alias("text"), F.first("good").alias("good"))
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("good").alias("good"))
         .orderBy("draw", "doc_id")
         .toArrow()
     )

@@ -5,7 +5,7 @@ belongs to the first virtual node at or after its cell.  Each shard takes at mos
 capacity (row counts that differ by one at most, all places together as many as rows); the
 rows past that continue clockwise, and each virtual node offers them an equal part of its
 shard's free places.  Only per-cell counts, a table of fixed size, are needed to decide
-which ranks of a cell go where, so each row is shuffled once, by its cell.
+which ranks of a cell go where.  Rows alike are counted where they lie, and a row a group is shuffled by its cell.
 
 Everything is DataFrame and SQL functions.
 """
@@ -109,15 +109,29 @@ def plan(counts: DataFrame, shards: int, vnodes: int) -> DataFrame:
     return stay.unionByName(moved)
 
 
-def assign(keyed: DataFrame, order: list[str | Column], shards: int = 40, vnodes: int = 64) -> DataFrame:
-    """Adds shard and slot to a table with ``cell``; within a cell rows rank by ``order``."""
-    pieces = plan(keyed.groupBy("cell").agg(F.count("*").alias("n_rows")), shards, vnodes)
-    rank = F.row_number().over(W.partitionBy("cell").orderBy(*order)) - 1
-    ranked = keyed.withColumn("rank", rank)
+#: Rows of one group that a task writes out, at most.
+CHUNK = 100_000
+
+
+def assign(groups: DataFrame, order: list[str | Column], shards: int = 40, vnodes: int = 64) -> DataFrame:
+    """Adds shard and slot to groups of rows alike, which have ``cell`` and a number of rows ``copies``; gives one row for each of them.
+
+    Within a cell groups rank by ``order``. A group takes consecutive ranks, so its rows need no order of their own: they are
+    cut where a shard ends, and written out in chunks that are dealt to all tasks.
+    """
+    pieces = plan(groups.groupBy("cell").agg(F.sum("copies").alias("n_rows")), shards, vnodes)
+    before = W.partitionBy("cell").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranked = groups.withColumn("rank", F.coalesce(F.sum("copies").over(before), F.lit(0)))
     # At most CELLS + 2 * shards * vnodes pieces, whatever the data.
     pieces = F.broadcast(pieces.select(F.col("cell").alias("piece_cell"), "from_rank", "n", "shard", F.col("slot").alias("piece_slot")))
-    where = (F.col("cell") == F.col("piece_cell")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("n"))
-    return ranked.join(pieces, where).withColumn("slot", F.col("piece_slot") + F.col("rank") - F.col("from_rank")).drop("piece_cell", "from_rank", "n", "piece_slot", "rank", "cell")
+    where = (F.col("cell") == F.col("piece_cell")) & (F.col("rank") < F.col("from_rank") + F.col("n")) & (F.col("rank") + F.col("copies") > F.col("from_rank"))
+    met = ranked.join(pieces, where).withColumns({"low": F.greatest("rank", "from_rank"), "high": F.least(F.col("rank") + F.col("copies"), F.col("from_rank") + F.col("n"))})
+    met = met.withColumn("first_slot", F.col("piece_slot") + F.col("low") - F.col("from_rank")).withColumn("many", F.col("high") - F.col("low"))
+    met = met.drop("piece_cell", "from_rank", "n", "piece_slot", "rank", "cell", "low", "high", "copies")
+    each = lambda df: df.withColumn("slot", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("many") - 1))).drop("first_slot", "many")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(CHUNK).cast("long")))
+    large = met.filter(F.col("many") > CHUNK).withColumn("chunk", chunk).withColumns({"first_slot": F.col("first_slot") + F.col("chunk"), "many": F.least(F.col("many") - F.col("chunk"), F.lit(CHUNK).cast("long"))}).drop("chunk")
+    return each(met.filter(F.col("many") <= CHUNK)).unionByName(each(large.repartition("shard", "first_slot")))
 
 
 def shard(docs: DataFrame, shards: int = 40, vnodes: int = 64) -> DataFrame:
@@ -125,13 +139,16 @@ def shard(docs: DataFrame, shards: int = 40, vnodes: int = 64) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot and
     grown_shard (null under this law).  A null text has no bytes and checksum 0.  A row's place
-    on the ring follows from its id and its text's checksum, so many rows of one id, or without
-    one, still spread; rows alike in both are interchangeable.  An empty table gives no rows.
+    on the ring follows from its id and its text's checksum and size, so many rows of one id, or without
+    one, still spread; rows alike in all three give equal results but for their slots, so they are counted where they lie and
+    given consecutive places.  An empty table gives no rows.  Only doc_id and text are read, whatever other columns there
+    are; a very long text is read where it lies and not shuffled.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    keyed = keyed.withColumn("place", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("cell", F.pmod("place", F.lit(CELLS)).cast("int"))
-    placed = assign(keyed, ["place", "doc_id", "text_crc32", "size"], shards, vnodes)
+    groups = keyed.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    groups = groups.withColumn("place", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("cell", F.pmod("place", F.lit(CELLS)).cast("int"))
+    placed = assign(groups, ["place", "doc_id", "text_crc32", "size"], shards, vnodes)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +27,35 @@ def folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
-    """Sends fewer rows to Python at once, where the session has no setting of its own: whole texts are long."""
+    """Sends fewer rows to Python at once, where the session has no setting of its own: whole texts are long.
+
+    A query is run after it was made, so the setting stays with the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, rows)
     return spark
 
 
+#: The folder of the run that is going on, below which its steps put theirs.
+_around: ContextVar[str | None] = ContextVar("around", default=None)
+
+
 class Tables:
     """Names tables of one run, and removes those that are no longer read."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{folder(spark)}/{uuid.uuid4().hex}"
+        self.root = f"{_around.get() or folder(spark)}/{uuid.uuid4().hex}"
+
+    @contextmanager
+    def around(self) -> Iterator[None]:
+        """What is written inside goes below this run's folder, and so goes with it."""
+        token = _around.set(self.root)
+        try:
+            yield
+        finally:
+            _around.reset(token)
 
     def write(self, name: str, table: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
