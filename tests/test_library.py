@@ -105,6 +105,21 @@ def test_recursive_means_equal_pandas(spark):
     assert np.allclose(got["ema20"], want, equal_nan=True)
 
 
+def test_exponential_means_with_gaps_equal_pandas(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for name, n in (("A", 400), ("B", 64), ("C", 63), ("D", 1), ("E", 129)):
+        x = np.round(rng.normal(10, 3, n), 3)
+        gone = rng.random(n) < 0.3
+        rows += [(name, t, None if g or (name == "A" and k < 70) else float(v)) for k, (t, v, g) in enumerate(zip(days(n), x, gone, strict=True))]
+    df = spark.createDataFrame(rows, "symbol string, ts date, close double").repartition(3)
+    for span in (2, 20, 400):
+        got = features.exponential_mean(df, "close", span, "mean").toPandas().sort_values(["symbol", "ts"])
+        assert list(got.columns) == ["symbol", "ts", "close", "mean"] and len(got) == len(rows)
+        want = pd.DataFrame(rows, columns=["symbol", "ts", "close"]).groupby("symbol")["close"].transform(lambda x, span=span: x.astype(float).ewm(span=span, adjust=False, min_periods=span).mean())
+        assert np.allclose(got["mean"].astype(float), want, rtol=1e-11, equal_nan=True)
+
+
 def test_delay_equals_least_squares(spark):
     rng = np.random.default_rng(7)
     m = rng.normal(0, 0.01, 200)

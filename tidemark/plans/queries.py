@@ -680,7 +680,36 @@ def _all_products(df: DataFrame) -> DataFrame:
 feature_query("f_h_interactions", _all_products, _H, _H1, source="h")
 
 
-@register("f_recursive_means_and_delay")
+def _ema(n: int) -> str:
+    return f"CASE WHEN idx >= {n} THEN list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts), lambda y, x: {1 - 2 / (n + 1)!r} * y + {2 / (n + 1)!r} * x) END"
+
+
+def _delay(lags: int = 4, window: int = 120) -> tuple[str, ...]:
+    """The factorisation of the lags' covariances, written out; each name may use those before it."""
+    x = [f"m{k}" for k in range(lags + 1)]
+    over = S.frame(window)
+    lagged = "lagged AS (SELECT symbol, ts, idx, lr, " + ", ".join(f"lag(m, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS m{k}" for k in range(lags + 1)) + " FROM bm)"
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in ("lr", *x))
+    parts = {f"s{i}{j}": f"covar_pop(m{i}, m{j}) {over}" for i in range(lags + 1) for j in range(i + 1)} | {f"c{i}": f"covar_pop(m{i}, lr) {over}" for i in range(lags + 1)} | {"var": f"var_pop(lr) {over}"}
+    covered = f"covered AS MATERIALIZED (SELECT symbol, ts, idx, count(*) FILTER ({whole}) {over} = {window} AS whole, " + ", ".join(f"{e} AS {n}" for n, e in parts.items()) + " FROM lagged)"
+    steps = []
+    for i in range(lags + 1):
+        for j in range(i):
+            steps.append((f"l{i}{j}", f"({' - '.join([f's{i}{j}', *(f'l{i}{k} * l{j}{k}' for k in range(j))])}) / nullif(l{j}{j}, 0)"))
+        left = " - ".join([f"s{i}{i}", *(f"l{i}{k} * l{i}{k}" for k in range(i))])
+        steps.append((f"l{i}{i}", f"CASE WHEN whole AND {left} > 1e-10 * s{i}{i} THEN sqrt({left}) END"))
+        steps.append((f"z{i}", f"({' - '.join([f'c{i}', *(f'l{i}{k} * z{k}' for k in range(i))])}) / nullif(l{i}{i}, 0)"))
+    for i in reversed(range(lags + 1)):
+        steps.append((f"b{i}", f"({' - '.join([f'z{i}', *(f'l{k}{i} * b{k}' for k in range(i + 1, lags + 1))])}) / nullif(l{i}{i}, 0)"))
+    fitted = " + ".join(f"z{i} * z{i}" for i in range(lags + 1))
+    steps.append(("delay", f"CASE WHEN var * {window} > 1e-12 AND ({fitted}) / nullif(var, 0) > 1e-12 THEN 1 - z0 * z0 / nullif({fitted}, 0) END"))
+    steps.append(("lagbeta", f"CASE WHEN var * {window} > 1e-12 THEN {' + '.join(f'b{i}' for i in range(1, lags + 1))} END"))
+    # A step in a query of its own is worked out once, however often its name is used.
+    levels = [f"d{k + 1} AS MATERIALIZED (SELECT *, {e} AS {n} FROM {f'd{k}' if k else 'covered'})" for k, (n, e) in enumerate(steps)]
+    return lagged, covered, *levels, f"factored AS (SELECT * FROM d{len(steps)})"
+
+
+@register("f_recursive_means_and_delay", S.query("SELECT symbol, ts, " + S.rounded({"ema20": "ema20", "ema50": "ema50", "C_delay_120": "delay", "C_lagbeta_120": "lagbeta"}, 4) + f" FROM factored JOIN (SELECT symbol, ts, {_ema(20)} AS ema20, {_ema(50)} AS ema50 FROM p) USING (symbol, ts)", *_M, *_delay()))
 def frec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.recursive(based(spark, sf_dir)).select("symbol", "ts", *rs(["ema20", "ema50", "C_delay_120", "C_lagbeta_120"], 4))
 
