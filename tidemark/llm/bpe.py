@@ -7,7 +7,7 @@ compatible pairs, falls back to shorter tokens and then to earlier places, and k
 places from which nothing goes on.  Each place is tried once with each of its tokens, so the time
 is linear in the word.
 
-Decoding gathers bytes through a table of offsets into the joined texts of all tokens.
+Decoding gathers texts through a table of offsets into the joined texts of all tokens.
 
 Words come from the definition's own normaliser and splitter (its tables of Unicode are not those
 of Python); both look at nothing beyond a blank or a line end, so a text is cut there and the ids
@@ -18,21 +18,22 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.shared import beside
-from tidemark.llm.textblock import plain
 
-#: Characters of keys and values in the table of cuts, and entries of that of pairs; each is emptied when full.
-MOST_CHARS = 30_000_000
-MOST_PAIRS = 2_000_000
+#: Bytes of the tables of cuts and words, with what an entry takes besides its text and ids, and entries of that of pairs; each is emptied when full.
+MOST_BYTES, ENTRY = 200_000_000, 160
+MOST_PAIRS = 1_000_000
 #: Tokens of the texts that are decoded at once; a longer text is decoded alone.
 MOST_TOKENS = 1 << 18
 #: Normalisers and splitters that look at nothing beyond a blank or a line end.
@@ -57,6 +58,7 @@ class Merges:
                     raise ValueError(f"{a + b!r} is made before its part")
             self.place[left, right] = k
             self.halves[whole] = (left, right, k)
+        self.size = max(vocab.values(), default=0) + 1
         self.pairs: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.automaton = ahocorasick.Automaton()
@@ -108,7 +110,7 @@ class Merges:
                 j += 1
 
     def compatible(self, left: int, right: int) -> bool:
-        key = left << 32 | right
+        key = left * self.size + right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
@@ -120,26 +122,44 @@ class Merges:
         """Ids of one word of symbols that are all in the vocabulary."""
         if self.suffix:
             word += "\0"  # stands after the last symbol and is part of it
-        at: list[list[tuple[int, int]]] = [[] for _ in word]
-        for end, (token, length) in self.automaton.iter(word):
-            # A last symbol without its mark is no symbol.
-            if not self.suffix or end != len(word) - 2:
-                at[end - length + 1].append((token, length))  # the shortest first
+        size = len(word)
+        at: list[list[tuple[int, int]] | tuple[()]] = [()] * size
+        cut = size - 2 if self.suffix else size  # a last symbol without its mark is no symbol
+        for end, match in self.automaton.iter(word):
+            if end != cut:
+                begin = end + 1 - match[1]
+                if at[begin]:
+                    at[begin].append(match)  # the shortest first
+                else:
+                    at[begin] = [match]
+        if at[0] and at[0][-1][1] == size:  # a token for the whole word, which has no neighbours
+            return [at[0][-1][0]]
+        pairs, many = self.pairs, self.size
         out: list[int] = []
         back: list[tuple[int, int]] = []  # of each token taken: its length, and which shorter ones remain
-        failed = bytearray((len(word) >> 3) + 1)
-        pos, left = 0, len(at[0])
-        while pos < len(word):
+        failed = bytearray((size >> 3) + 1)
+        pos, here = 0, at[0]
+        left = len(here)
+        while pos < size:
             while left:
                 left -= 1
-                token, length = at[pos][left]
+                token, length = here[left]
                 end = pos + length
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], token)):
-                    out.append(token)
-                    back.append((length, left))
-                    pos = end
-                    left = len(at[pos]) if pos < len(word) else 0
-                    break
+                if failed[end >> 3] >> (end & 7) & 1:
+                    continue
+                if out:
+                    known = pairs.get(out[-1] * many + token)
+                    if known is None:
+                        known = self.compatible(out[-1], token)
+                    if not known:
+                        continue
+                out.append(token)
+                back.append((length, left))
+                pos = end
+                if pos < size:
+                    here = at[pos]
+                    left = len(here)
+                break
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
@@ -147,9 +167,42 @@ class Merges:
                 out.pop()
                 length, left = back.pop()
                 pos -= length
+                here = at[pos]
         return out
 
 
+#: A fixed value: the split for which ``Simple`` is written.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin, its additions, and Cyrillic. None of them joins with the next character when a text is composed.
+_PLAIN = [*range(0x21, 0x250), *range(0x400, 0x460)]
+
+
+class Simple:
+    """Words of texts of common characters, whose small letter and kind are asked of the tokenizer one by one.
+
+    Its normaliser and splitter treat such characters one at a time, so a text of them needs no more calls.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        split = lambda x: [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(x)]
+        lower, kinds = {}, {"letter": [], "number": [], "other": []}
+        for c in map(chr, _PLAIN):
+            low = tokenizer.normalizer.normalize_str(c) if tokenizer.normalizer else c
+            if len(low) == 1 and split(low):  # no white space
+                lower[c] = low
+                kinds["letter" if len(split("a" + low)) == 1 else "number" if len(split(low + low)) == 2 else "other"].append(low)
+        shown = {k: "".join(map(re.escape, dict.fromkeys(v))) for k, v in kinds.items()}
+        self.all = re.compile(f"[{re.escape(''.join(lower))}]*").fullmatch
+        self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{shown['letter']}]+|[{shown['number']}]|[{shown['other']}]+").findall
+        self.lower = str.maketrans({c: low for c, low in lower.items() if c != low})
+        self.bytes = str.maketrans({c: "".join(split(c)) for v in kinds.values() for c in v})
+
+    def words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.find(text.lower())
+        return [w if w.isascii() else w.translate(self.bytes) for w in self.find(text.translate(self.lower))]
+
+
 class Encoder(dict):
     """Ids of a text; as a dict, the little-endian 32-bit ids of each cut seen so far."""
 
@@ -172,36 +225,42 @@ class Encoder(dict):
             raise ValueError("this encoder takes added tokens as they stand, without white space")
         self.added = added
         self.find_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.chars = 0
-
-    def part(self, text: str) -> list[int]:
-        """Ids of a text without added tokens."""
-        t = self.tokenizer
-        ids: list[int] = []
-        for word, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text) if t.normalizer else text):
-            ids += self.merges.encode(word)
+        self.held = 0
+        self.words: dict[str, bytes] = {}
+        self.simple = Simple(self.tokenizer) if split[0]["pattern"].get("Regex") == KNOWN_SPLIT else None
+
+    def _keep(self, table: dict[str, bytes], text: str, ids: bytes) -> bytes:
+        size = len(text) + len(ids) + ENTRY
+        if size <= MOST_BYTES // 100:  # a longer one will hardly come again
+            if self.held + size > MOST_BYTES:
+                self.clear()
+                self.words.clear()
+                self.held = 0
+            table[text] = ids
+            self.held += size
         return ids
 
-    def cut(self, text: str) -> list[int]:
+    def part(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        t, simple = self.tokenizer, self.simple
+        if simple and simple.all(text):
+            words = simple.words(text)
+        else:
+            words = [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text) if t.normalizer else text)]
+        known = self.words
+        return b"".join([known[w] if w in known else self._keep(known, w, array("i", self.merges.encode(w)).tobytes()) for w in words])
+
+    def cut(self, text: str) -> bytes:
         if not self.find_added or not self.find_added.search(text):
             return self.part(text)
         ids, begin = [], 0
         for m in self.find_added.finditer(text):
-            ids += self.part(text[begin : m.start()])
-            ids.append(self.added[m[0]])
+            ids += self.part(text[begin : m.start()]), array("i", [self.added[m[0]]]).tobytes()
             begin = m.end()
-        return ids + self.part(text[begin:])
+        return b"".join([*ids, self.part(text[begin:])])
 
     def __missing__(self, text: str) -> bytes:
-        ids = np.array(self.cut(text), "<i4").tobytes()
-        size = len(text) + len(ids)
-        if size <= MOST_CHARS // 100:  # a longer one will hardly come again
-            if self.chars + size > MOST_CHARS:
-                self.clear()
-                self.chars = 0
-            self[text] = ids
-            self.chars += size
-        return ids
+        return self._keep(self, text, self.cut(text))
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -219,28 +278,20 @@ class Decoder:
         if d.get("decoder"):
             raise ValueError("this decoder is for definitions that join their tokens by a blank")
         texts = {i: t for t, i in d["model"]["vocab"].items()} | {t["id"]: t["content"] for t in d.get("added_tokens", [])}
-        spelled = [(texts[i] + " ").encode() if i in texts else b"" for i in range(max(texts, default=-1) + 1)]
-        self.data = np.frombuffer(b"".join(spelled), np.uint8)
-        self.offsets = np.zeros(len(spelled) + 1, np.int64)
-        np.cumsum([len(s) for s in spelled], out=self.offsets[1:])
+        # The texts of all ids one after the other, and the offset at which each begins.
+        self.texts = pa.array([texts.get(i) for i in range(max(texts, default=-1) + 1)], pa.large_string())
+        self.known = np.array(self.texts.is_valid())
 
     def __call__(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """One text for each of the runs ``[bounds[k], bounds[k + 1])`` of ids; an unknown id gives nothing."""
-        known = (ids >= 0) & (ids < len(self.offsets) - 1)
-        ids = np.where(known, ids, 0)
-        sizes = np.where(known, self.offsets[ids + 1] - self.offsets[ids], 0)
-        ends = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(sizes, out=ends[1:])
-        at = np.repeat(self.offsets[ids] - ends[:-1], sizes)
-        at += np.arange(len(at))
-        data = self.data[at]
-        first, last = ends[bounds[:-1]], ends[bounds[1:]]
-        some = last > first
-        data = np.delete(data, last[some] - 1)  # the blank after a text's last token
-        lengths = last - first - some
-        out = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=out[1:])
-        return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(out), pa.py_buffer(data)])
+        known = (ids >= 0) & (ids < len(self.known))
+        known[known] = self.known[ids[known]]
+        if not known.all():
+            before = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(known, out=before[1:])
+            ids, bounds = ids[known], before[bounds]
+        parts = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), self.texts.take(pa.array(ids)))
+        return pc.binary_join(parts, pa.scalar(" ", pa.large_string()))
 
 
 _made: dict[tuple[type, int], Encoder | Decoder] = {}
@@ -305,7 +356,7 @@ def decode(coded: DataFrame, tokenizer_path: str, column: str = "ids") -> DataFr
                 end = max(begin + 1, int(np.searchsorted(ends, before + MOST_TOKENS, "right")))
                 ids = np.asarray(lists.slice(begin, end - begin).flatten().fill_null(-1), np.int64)
                 text = one(ids, np.concatenate([[0], ends[begin:end] - before]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns), text.cast(pa.string()) if text.nbytes < 1 << 30 else text], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns), text.cast(pa.string())], [*names, "decoded"])
                 begin = end
 
     placed = coded.select(*(F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(names)))
