@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import demean
+from tidemark.operators import boosting
+from tidemark.operators.boosting import Rules
+
 LEVEL, REPLICATES, BLOCK, SEED = 0.9875, 10_000, 10, 7
 RECENT = "2024-01-01"
 
@@ -134,30 +138,17 @@ def fit_mixture(df: DataFrame, columns: list[str], choices: range, seed: int = 0
     return k, np.array([p["mean"].toArray() for p in parts]), np.array([p["cov"].toArray() for p in parts]), np.array(model.weights)
 
 
-def walk_forward(panel: DataFrame, features: list[str], target: str, folds: DataFrame, trees: int = 20, seed: int = 7) -> DataFrame:
-    """Scores each fold's test rows by boosted trees trained on the sessions before its embargo.
+def walk_forward(panel: DataFrame, features: list[str], target: str, folds: DataFrame, rules: Rules = Rules(), cut: float = 0.01) -> DataFrame:
+    """(ts, symbol, fold, score, outcome): each fold's test rows, scored by boosted trees trained on the sessions before its embargo.
 
-    The outcome is taken off its date's mean and cut at the 1st and 99th percentile of the
-    training rows.  Folds are a handful; each fit is a distributed one.
+    The outcome is taken off its date's mean and cut at the 1st and 99th percentile of the training rows. Folds are a handful; all are
+    trained in the same passes. Features are used as they are: what is unknown has a bin of its own.
     """
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    from tidemark.functions.windows import demean
-
-    base = panel.select("ts", "symbol", target, *(F.col(c).cast("double").alias(c) for c in features)).withColumn("_y", demean(target))
-    filled = [f"_{c}" for c in features]
-    parts = []
-    for fold in folds.filter("train_end IS NOT NULL").collect():
-        train = base.filter((F.col("ts") <= F.lit(fold["train_end"])) & F.col("_y").isNotNull())
-        low, high = train.approxQuantile("_y", [0.01, 0.99], 0.001)
-        fill = Imputer(inputCols=features, outputCols=filled, strategy="median").fit(train)
-        vector = VectorAssembler(inputCols=filled, outputCol="_x")
-        ready = lambda d, f=fill, v=vector: v.transform(f.transform(d))
-        model = GBTRegressor(featuresCol="_x", labelCol="_z", maxIter=trees, stepSize=0.05, maxDepth=5, minInstancesPerNode=20, seed=seed).fit(ready(train).withColumn("_z", F.greatest(F.lit(low), F.least(F.lit(high), F.col("_y")))))
-        test = base.filter(F.col("ts").between(F.lit(fold["test_start"]), F.lit(fold["test_end"])))
-        parts.append(model.transform(ready(test)).select("ts", "symbol", F.col("prediction").alias("score"), F.col(target).alias("outcome"), F.lit(fold["fold"]).alias("fold")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    base = panel.select("ts", "symbol", target, *(F.col(c).try_cast("double").alias(c) for c in features)).withColumn("_y", demean(target))
+    spans = F.broadcast(folds.filter("train_end IS NOT NULL").select("fold", "train_end", "test_start", "test_end"))
+    train = base.filter("_y IS NOT NULL").join(spans, F.col("ts") <= F.col("train_end")).select("fold", "_y", *features)
+    ends = train.groupBy("fold").agg(F.percentile("_y", F.array(F.lit(cut), F.lit(1 - cut))).alias("_ends"))  # a row per fold
+    train = train.join(F.broadcast(ends), "fold").withColumn("_y", F.greatest(F.get("_ends", 0), F.least(F.get("_ends", 1), F.col("_y"))))
+    model = boosting.fit(train, "fold", "_y", features, rules)
+    test = base.join(spans, F.col("ts").between(F.col("test_start"), F.col("test_end"))).withColumn("outcome", F.col(target))
+    return boosting.predict(test, model, "fold", ["ts", "symbol", "fold", "outcome"])

@@ -13,11 +13,13 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions import bands
 from tidemark.functions import windows as win
-from tidemark.operators import audit, features, inference, labels, panel, screen, selection, state
+from tidemark.operators import audit, boosting, features, inference, labels, panel, screen, selection, state
 from tidemark.plans import sql as S
 from tidemark.sources.bars import clean, event_bars, sessions, table, trade_bars, with_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Rounds of boosting in the query; the library's rule is 200.
+ROUNDS = 20
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -527,6 +529,15 @@ def i18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.paired(a, b, ["target"], "top3_net").select("target", "n", *rs(["mean", "lo", "hi"], 8), "switch")
 
 
+@register("i28_walk_forward")
+def i28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per fold: rows scored, and the mean daily rank correlation of score and outcome."""
+    folds = selection.tested_folds(sessions(trade_bars(spark, sf_dir)))
+    out = inference.walk_forward(screen_panel(spark, sf_dir), list(_FEATURES), "label_oc_5", folds, boosting.Rules(rounds=ROUNDS, least=100))
+    pairs = out.select("ts", F.lit("score").alias("feature"), F.col("fold").cast("string").alias("target"), F.col("score").alias("x"), F.col("outcome").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    return screen.daily_ic(screen.ranked(pairs), 8).groupBy(F.col("target").cast("int").alias("fold")).agg(F.avg("ic").alias("ic"), F.count("*").alias("sessions"), F.sum("n").alias("rows"))
+
+
 def _mk_roll(x: str, f: str) -> str:
     w = "OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count({x}) {w} >= 10 THEN {f}({x}) {w} END"
