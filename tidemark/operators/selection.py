@@ -70,10 +70,39 @@ def watchlists(scored: DataFrame, depth: int = 20) -> DataFrame:
     return ranked.groupBy("ts").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"]).alias("symbols"))
 
 
+#: Ranges that draws are counted in.
+RANGES = 1 << 12
+
+
+def draw_number(keys: list[str], seed: int) -> Column:
+    """32 bits of a digest of the seed and a row's keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def drawn(df: DataFrame, keys: list[str], n: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """n rows, of each ``by`` if given, without replacement: those with the least draw numbers, the same on every run and partitioning.
+
+    Numbers are counted in ranges first. Of a group, all rows below the range in which the n-th lies are taken, and only
+    rows inside that range are put in order; so no group is sorted whole. ``keys`` tell rows apart.
+    """
+    numbered = df.withColumn("_d", draw_number(keys, seed)).withColumn("_range", F.shiftright("_d", 20).cast("int"))
+    counts = numbered.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, 0))  # at most RANGES rows a group
+    edge = counts.withColumn("_to", so_far).withColumn("_below", F.col("_to") - F.col("_n")).filter((F.col("_below") < n) & (F.col("_to") >= n))
+    edge = edge.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.col("_range").alias("_edge"), (F.lit(n) - F.col("_below")).alias("_need"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by)]
+    met = numbered.join(edge, same, "left") if by else numbered.join(F.broadcast(edge), F.lit(True), "left")  # without groups it is one row
+    inside = W.partitionBy(*by, "_range").orderBy("_d", *keys)
+    # A group with fewer rows than n has no edge and is taken whole.
+    whole = met.filter(F.col("_edge").isNull() | (F.col("_range") < F.col("_edge")))
+    last = met.filter(F.col("_range") == F.col("_edge")).withColumn("_i", F.row_number().over(inside)).filter(F.col("_i") <= F.col("_need")).drop("_i")
+    return whole.unionByName(last).select(*df.columns)
+
+
 def random_lists(universe: DataFrame, seed: int, depth: int = 20) -> DataFrame:
-    """A repeatable random order of each date's names."""
-    w = W.partitionBy("ts").orderBy(F.xxhash64("symbol", "ts", F.lit(seed)), "symbol")
-    return universe.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= depth)
+    """A repeatable random order of each date's names, as far as ``depth``."""
+    kept = drawn(universe, ["symbol", "ts"], depth, seed, ("ts",))
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("ts").orderBy(draw_number(["symbol", "ts"], seed), "symbol", "ts")))
 
 
 def ensemble(a: DataFrame, b: DataFrame, weight: float = 0.5) -> DataFrame:

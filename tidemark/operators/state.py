@@ -135,8 +135,3 @@ def align_components(reference: np.ndarray, means: np.ndarray) -> tuple[list[int
         best = after
     total, order = best[(1 << k) - 1]
     return order, total / k
-
-
-def drawn(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """A repeatable draw of n rows without replacement, the same on every run and partitioning."""
-    return df.withColumn("_d", F.xxhash64(*keys, F.lit(seed))).orderBy("_d", *keys).limit(n).drop("_d")

@@ -383,6 +383,52 @@ def i21b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.expanding_folds(sessions(trade_bars(spark, sf_dir)))
 
 
+# --- draws, lists and classes --------------------------------------------------------------------
+
+
+def _draw(*keys: str, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {" || ':' || ".join(f'{k}::VARCHAR' for k in keys)}), 1, 8))::BIGINT"
+
+
+@register("a16_drawn_rows", f"SELECT o_orderkey AS orderkey FROM orders ORDER BY {_draw('o_orderkey', seed=7)}, o_orderkey LIMIT 100")
+def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.drawn(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey")), ["orderkey"], 100, 7)
+
+
+@register("a16_drawn_in_groups", f"SELECT o_custkey AS custkey, o_orderkey AS orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_draw('o_orderkey', seed=3)}, o_orderkey) <= 3")
+def a16b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"))
+    return selection.drawn(rows, ["orderkey"], 3, 3, ("custkey",))
+
+
+@register("t05_random_lists", S.query(f"SELECT ts, symbol, (row_number() OVER (PARTITION BY ts ORDER BY {_draw('symbol', 'ts', seed=5)}, symbol))::INT AS rank FROM bars QUALIFY rank <= 5"))
+def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.random_lists(trade_bars(spark, sf_dir).select("ts", "symbol"), 5, 5)
+
+
+@register("t03_watchlists", S.query(f"SELECT ts, string_agg(symbol, ',' ORDER BY rank) AS symbols FROM ({_top('scored', 5)}) GROUP BY ts", _SCORED))
+def t03b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.watchlists(scored(spark, sf_dir), 5).select("ts", F.array_join("symbols", ",").alias("symbols"))
+
+
+# Every third part has no identifier, and of the others some are funds by theirs; names end in ETF by size.
+_PARTS = "CASE WHEN p_size % 7 = 0 THEN 'P' || p_partkey || 'ETF' ELSE 'P' || p_partkey END"
+
+
+@register("p06_fund_class", f"SELECT symbol, CASE WHEN isin IS NULL THEN symbol LIKE '%ETF' ELSE isin LIKE 'INF%' END AS is_fund, CASE WHEN isin IS NULL THEN 'name' ELSE 'isin' END AS source FROM (SELECT {_PARTS} AS symbol, CASE WHEN p_partkey % 3 > 0 THEN CASE WHEN p_size % 5 = 0 THEN 'INF' ELSE 'INE' END || lpad(p_partkey::VARCHAR, 9, '0') END AS isin FROM part)")
+def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("symbol", F.expr(_PARTS))
+    code = F.concat(F.when(F.col("p_size") % 5 == 0, F.lit("INF")).otherwise(F.lit("INE")), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    isin = part.filter("p_partkey % 3 > 0").select("symbol", code.alias("isin"))
+    return panel.classify(part.select("symbol"), isin).select("symbol", "is_fund", "source")
+
+
+@register("i25_missing_report", S.query("SELECT 'move' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE r IS NULL) AS missing FROM b UNION ALL SELECT 'turnover', count(*), count(*) FILTER (WHERE tv IS NULL) FROM b UNION ALL SELECT 'month', count(*), count(*) FILTER (WHERE idx <= 4) FROM b", S.BASE))
+def i25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = features.base(trade_bars(spark, sf_dir)).withColumns({"move": F.col("r"), "turnover": F.col("tv"), "month": win.lag("close", 4)})
+    return state.missing_report(df, ["move", "turnover", "month"]).select("column", "rows", "missing")
+
+
 # --- the screen ----------------------------------------------------------------------------------
 
 _FEATURES = {"F_volume": "volume", "F_range": "high / nullif(low, 0) - 1", "F_move": "close / nullif(open, 0) - 1"}
