@@ -46,7 +46,7 @@ HOT_LEAST = 4
 #: Occurrences in a bucket, as expected at most, and in a block of a task before it is passed on.
 BUCKET, KEEP = 1 << 21, 1 << 20
 #: Words of a task whose hashes are sorted out together before they are passed on to be counted.
-DISTINCT = 1 << 22
+DISTINCT = 1 << 20
 UNIT = float(1 << 30)
 #: The context of a text's first word, and the word that ends a text.
 START, END = np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
