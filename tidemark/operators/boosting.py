@@ -72,9 +72,10 @@ class Tree:
             self._open(best)
         else:
             return []
-        for n in self.leaves():  # their children may be asked for next
-            if self.splits.get(n):
-                self._open(n)
+        # The children of the best splits that are known may be asked for next.
+        ahead = [n for n, s in self.splits.items() if s and n not in self.children]
+        for n in sorted(ahead, key=lambda n: (-self.splits[n].gain, n))[: rules.leaves]:
+            self._open(n)
         return [n for n in self.sums if n not in self.splits]
 
     def _open(self, node: int) -> None:
