@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.windows import ratio
+from tidemark.operators.inference import block_start, finite
 
 PER_YEAR = 250
 COST = 0.0035
@@ -68,32 +67,33 @@ def yearly(equity: DataFrame, start: float) -> DataFrame:
     return _calendar_returns(equity, start, F.year("ts").alias("year"))
 
 
-def bootstrap_paths(equity: DataFrame, replicates: int = 1000, block: int = 10, seed: int = 7, per_year: int = PER_YEAR, chunk: int = 200) -> DataFrame:
+def bootstrap_paths(equity: DataFrame, replicates: int = 1000, block: int = 10, seed: int = 7, per_year: int = PER_YEAR) -> DataFrame:
     """Per scenario and measure (cagr, max_dd): 5th, 50th and 95th percentile over circular block resamples of the daily returns.
 
-    A scenario has a row per day, so a group is small; chunks bound the memory.
+    A scenario has a row per day and is one array; replicates are rows, and a path is added up from the slices of its blocks. Days without a
+    finite return are left out; a scenario without returns has no rows.
     """
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        e = rows.sort_values("ts")["equity"].to_numpy(float)
-        r = np.diff(e) / e[:-1]
-        r = np.log1p(r[np.isfinite(r)])
-        n = len(r)
-        if not n:
-            return pd.DataFrame([], columns=["scenario", "measure", "p5", "p50", "p95"])
-        rng = np.random.default_rng(seed)
-        grown, fallen = [], []
-        for begin in range(0, replicates, chunk):
-            starts = rng.integers(0, n, (min(chunk, replicates - begin), -(-n // block)))
-            at = (starts[..., None] + np.arange(block)).reshape(len(starts), -1)[:, :n] % n
-            level = np.cumsum(r[at], 1)
-            grown.append(np.expm1(level[:, -1] * per_year / n))
-            # The peak starts with the first resampled day.
-            fallen.append(np.expm1((level - np.maximum.accumulate(level, 1)).min(1)))
-        rows_ = [[key[0], name, *np.percentile(np.concatenate(x), [5, 50, 95])] for name, x in (("cagr", grown), ("max_dd", fallen))]
-        return pd.DataFrame(rows_, columns=["scenario", "measure", "p5", "p50", "p95"])
-
-    return equity.select("scenario", "ts", "equity").groupBy("scenario").applyInPandas(run, "scenario string, measure string, p5 double, p50 double, p95 double")
+    order = W.partitionBy("scenario").orderBy("ts")
+    ret = finite(F.log(ratio("equity", F.lag("equity").over(order))))
+    known = equity.select("scenario", "ts", ret.alias("_r")).filter("_r IS NOT NULL")
+    series = known.groupBy("scenario").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "_r"))), lambda s: s["_r"]).alias("_v")).withColumn("_n", F.size("_v").cast("long"))
+    rows = series.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    ring = F.flatten(F.array_repeat("_v", F.ceil(block / F.col("_n")).cast("int") + 1))
+    places = F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1)
+    parts = F.transform(places, lambda k: F.slice("_ring", block_start(F.col("replicate"), k, F.col("_n"), seed).cast("int") + 1, block))
+    path = F.slice(F.flatten(parts), 1, F.col("_n").cast("int"))
+    # The peak starts with the first resampled day.
+    begin = F.struct(F.lit(0.0).alias("level"), F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"))
+
+    def step(acc: Column, x: Column) -> Column:
+        level = acc["level"] + x
+        peak = F.greatest(acc["peak"], level)
+        return F.struct(level.alias("level"), peak.alias("peak"), F.least(acc["worst"], level - peak).alias("worst"))
+
+    ends = rows.withColumn("_ring", ring).withColumn("_end", F.aggregate(path, begin, step))
+    out = ends.select("scenario", F.expm1(F.col("_end.level") * per_year / F.col("_n")).alias("cagr"), F.expm1("_end.worst").alias("max_dd")).unpivot(["scenario"], ["cagr", "max_dd"], "measure", "x")
+    cuts = F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    return out.groupBy("scenario", "measure").agg(cuts.alias("_p")).select("scenario", "measure", *(F.get("_p", k).alias(n) for k, n in enumerate(("p5", "p50", "p95"))))
 
 
 def trade_stats(trades: DataFrame) -> DataFrame:

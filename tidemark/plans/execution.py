@@ -225,6 +225,50 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return performance.benchmark(bars, bars.select("symbol", "ts"), sessions(bars))
 
 
+# The statistics of equity again on the benchmark's growth, a dated series that SQL makes too; as it grows beyond all measure, some are logarithms.
+def market_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market(spark, sf_dir).select(F.lit("market").alias("scenario"), "ts", F.col("growth").alias("equity"))
+
+
+_EQ = "q AS (SELECT ts, growth AS e, growth / lag(growth) OVER (ORDER BY ts) - 1 AS r, max(growth) OVER (ORDER BY ts) AS peak FROM grown)"
+_STREAKS = "q2 AS (SELECT *, sum(1 - (e < peak)::INT) OVER (ORDER BY ts) AS iu, sum(1 - coalesce(r < 0, false)::INT) OVER (ORDER BY ts) AS il FROM q), q3 AS (SELECT *, sum((e < peak)::INT) OVER (PARTITION BY iu) AS nu, sum(coalesce(r < 0, false)::INT) OVER (PARTITION BY il) AS nl FROM q2)"
+_MONTHS = "mo AS (SELECT m, l / coalesce(lag(l) OVER (ORDER BY m), o) - 1 AS ret FROM (SELECT date_trunc('month', ts) AS m, arg_max(growth, ts) AS l, arg_min(growth, ts) AS o FROM grown GROUP BY 1)), wk AS (SELECT l / lag(l) OVER (ORDER BY w) - 1 AS ret FROM (SELECT date_trunc('week', ts) AS w, arg_max(growth, ts) AS l FROM grown GROUP BY 1))"
+_PERF = {"log_growth": "ln(last / first)", "max_dd": "dd", "worst_day": "wd", "log_cagr": "ln(last / first) * 365.25 / span", "vol": "sd * sqrt(250)", "sharpe": "mean / sd * sqrt(250)", "sortino": "mean / down * sqrt(250)", "worst_month": "wm", "best_month": "bm", "pos_months": "pm", "worst_week": "ww"}
+
+
+@register("e06_benchmark_performance", S.query(
+    "SELECT days, max_dd_sessions, losing_day_streak, " + S.rounded(_PERF, 4) + " FROM (SELECT count(*) AS days, arg_max(e, ts) AS last, arg_min(e, ts) AS first, max(ts) - min(ts) AS span, avg(r) AS mean, stddev_samp(r) AS sd, stddev_samp(r) FILTER (WHERE r < 0) AS down, min(e / peak - 1) AS dd, max(nu)::BIGINT AS max_dd_sessions, max(nl)::BIGINT AS losing_day_streak, min(r) AS wd FROM q3), (SELECT min(ret) AS wm, max(ret) AS bm, avg((ret > 0)::INT) AS pm FROM mo), (SELECT min(ret) AS ww FROM wk)",
+    S.SESSIONS, _BENCH, _EQ, _STREAKS, _MONTHS,
+))
+def e06b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = performance.performance(market_equity(spark, sf_dir)).withColumns({"log_growth": F.log1p("total_return"), "log_cagr": F.log1p("cagr")})
+    return out.select("days", F.col("max_dd_sessions").cast("long").alias("max_dd_sessions"), F.col("losing_day_streak").cast("long").alias("losing_day_streak"), *(r(c, 4).alias(c) for c in _PERF))
+
+
+@register("e07_benchmark_paths", S.query(
+    "SELECT 'market' AS scenario, measure, round(ln(1 + quantile_cont(x, 0.05)), 4) + 0.0 AS p5, round(ln(1 + quantile_cont(x, 0.5)), 4) + 0.0 AS p50, round(ln(1 + quantile_cont(x, 0.95)), 4) + 0.0 AS p95 FROM (SELECT unnest(['cagr', 'max_dd']) AS measure, unnest([exp(level * 250 / n) - 1, exp(worst) - 1]) AS x FROM (SELECT k, any_value(n) AS n, arg_max(level, i) AS level, min(level - peak) AS worst FROM lv GROUP BY k)) GROUP BY measure",
+    S.SESSIONS, _BENCH, _EQ, "vv AS (SELECT list(ln(1 + r) ORDER BY ts) AS v, count(*) AS n FROM q WHERE r IS NOT NULL)",
+    "pa AS (SELECT k, n, flatten(list_transform(range((n + 9) // 10), lambda b: list_concat(v, v)[(('0x' || substr(md5('7:' || k || ':' || b), 1, 8))::BIGINT % n + 1)::BIGINT:(('0x' || substr(md5('7:' || k || ':' || b), 1, 8))::BIGINT % n + 10)::BIGINT]))[1:n] AS p FROM vv, range(1000) AS z(k))",
+    "st AS (SELECT k, n, unnest(p) AS x, unnest(range(n)) AS i FROM pa)", "le AS (SELECT k, n, i, sum(x) OVER (PARTITION BY k ORDER BY i) AS level FROM st)", "lv AS (SELECT *, max(level) OVER (PARTITION BY k ORDER BY i) AS peak FROM le)",
+))
+def e07b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.bootstrap_paths(market_equity(spark, sf_dir)).select("scenario", "measure", *(r(F.log1p(c), 4).alias(c) for c in ("p5", "p50", "p95")))
+
+
+_LASTS = "la AS (SELECT y, m, l / coalesce(lag(l) OVER (ORDER BY y, m), 1.0) - 1 AS ret FROM (SELECT year(ts)::INT AS y, month(ts) AS m, arg_max(growth, ts) AS l FROM grown GROUP BY 1, 2))"
+
+
+@register("e12_benchmark_months", S.query("SELECT y AS year, " + ", ".join(f"round(max(ret) FILTER (WHERE m = {k}), 6) + 0.0 AS m{k}" for k in range(1, 13)) + " FROM la GROUP BY y", S.SESSIONS, _BENCH, _LASTS))
+def e12b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.monthly(market_equity(spark, sf_dir), 1.0).select("year", *(r(F.col(f"`{k}`")).alias(f"m{k}") for k in range(1, 13)))
+
+
+@register("e12_benchmark_years", S.query("SELECT year, round(ln(l / coalesce(lag(l) OVER (ORDER BY year), 1.0)), 6) + 0.0 AS log_ret FROM (SELECT year(ts)::INT AS year, arg_max(growth, ts) AS l FROM grown GROUP BY 1)", S.SESSIONS, _BENCH))
+def e12c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return performance.yearly(market_equity(spark, sf_dir), 1.0).select("year", r(F.log1p("ret")).alias("log_ret"))
+
+
+
 @register("e10_equal_weight_benchmark", S.query("SELECT ts, " + S.rounded({"ret": "ret", "log_growth": "ln(growth)"}) + " FROM grown", S.SESSIONS, _BENCH))
 def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market(spark, sf_dir).select("ts", r("ret").alias("ret"), r(F.log("growth")).alias("log_growth"))
