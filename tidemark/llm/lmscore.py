@@ -44,7 +44,7 @@ HOT_WORDS, HOT_PAIRS, SAMPLE = 1 << 16, 1 << 18, 16
 #: Times that such a word or pair is in the sample, at least.
 HOT_LEAST = 4
 #: Occurrences in a bucket, as expected at most, and in a block of a task before it is passed on.
-BUCKET, KEEP = 1 << 21, 1 << 20
+BUCKET, KEEP = 1 << 20, 1 << 20
 #: Words of a task whose hashes are sorted out together before they are passed on to be counted.
 DISTINCT = 1 << 20
 UNIT = float(1 << 30)
