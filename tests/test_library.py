@@ -494,6 +494,26 @@ def test_stream_gives_the_batch_bars(spark, tmp_path):
     assert got["2024-01-03"] == (day[0][3], day[-1][3], len(day))
 
 
+def test_assignments_are_the_least(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(5)
+    for n in range(1, 8):
+        for _ in range(20):
+            cost = rng.integers(0, 6, (n, n)).astype(float) if rng.random() < 0.5 else rng.random((n, n))
+            got = state.assignment(cost)
+            assert sorted(got) == list(range(n))
+            assert cost[np.arange(n), got].sum() == pytest.approx(min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(n))))
+    # Of a hidden order and small noise, the order comes back, for as many components as there may be.
+    for n in (12, 30):
+        means = rng.normal(0, 10, (n, 4))
+        hidden = rng.permutation(n)
+        order, distance = state.align_components(means, means[hidden] + rng.normal(0, 0.01, (n, 4)))
+        assert [int(hidden[k]) for k in order] == list(range(n)) and distance < 0.1
+    df = spark.createDataFrame([([0.1, 0.2, 0.7],)], "posterior array<double>")
+    assert state.carried(df, [2, 0, 1]).first()["posterior"] == [0.7, 0.1, 0.2]
+
+
 def test_components_are_aligned():
     ref = np.array([[0.0, 0.0], [5.0, 5.0], [9.0, 0.0]])
     order, drift = state.align_components(ref, ref[[2, 0, 1]] + 0.01)
