@@ -193,7 +193,9 @@ def fit(rows: DataFrame, group: str, target: str, features: list[str], rules: Ru
                     t = table[node[s], feature[s], b[s]]
                     yield pa.RecordBatch.from_arrays([pa.array([g] * len(t), types.field(0).type), *(pa.array(v.astype(np.int32)) for v in (np.asarray(state[g][2])[node[s]], feature[s], b[s])), pa.array(t[:, 0]), pa.array(t[:, 1])], ["g", "node", "feature", "bin", "d", "n"])
 
-        return blocks.mapInArrow(run, f"g {kind}, node int, feature int, bin int, d long, n long").groupBy("g", "node", "feature", "bin").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+        # Each task has added up its own; one shuffle serves the sums and the running sums after them.
+        parts = blocks.mapInArrow(run, f"g {kind}, node int, feature int, bin int, d long, n long").repartition("g", "node", "feature")
+        return parts.groupBy("g", "node", "feature", "bin").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
 
     for _ in range(rules.rounds):
         growing = {g: Tree() for g in model.trees}

@@ -19,7 +19,7 @@ from tidemark.sources.bars import clean, event_bars, sessions, table, trade_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rounds of boosting in the query; the library's rule is 200.
-ROUNDS = 10
+ROUNDS = 4
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
