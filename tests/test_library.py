@@ -438,12 +438,6 @@ def test_impact_of_a_value_below_zero(spark):
     assert [r[0] for r in df.select(book.impact_column(0.5, F.col("v"), F.col("adv"), F.col("vol"))).collect()] == [0.0, pytest.approx(0.2), 0.0, 0.0]
 
 
-def test_posterior_of_partly_unknown_rows():
-    means, cov, weights = np.array([[0.0, 0.0], [4.0, 4.0]]), np.stack([np.eye(2)] * 2), np.array([0.3, 0.7])
-    p = inference.posterior(means, cov, weights, np.array([[0.0, 0.0], [4.0, np.nan], [np.nan, np.nan]]))
-    assert p[0, 0] > 0.999 and p[1, 1] > 0.999 and np.allclose(p[2], weights)
-
-
 def test_exits_and_brackets(spark):
     rows = [(100, 101, 99, 100, 1), (100, 104, 99, 103, 1), (106, 107, 105, 106, 1), (100, 100, 90, 91, 1), (91, 92, 90, 91, 1), (91, 93, 90, 92, 1)]
     df = simulate.with_path(bars(spark, rows), 10)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,59 +83,6 @@ def tail_share(trades: DataFrame, by: list[str], value: str, share: float = 0.05
     return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.when(top, F.col(value))), F.sum(value)).alias("tail_share"), F.count("*").alias("n"))
 
 
-def posterior(means: np.ndarray, covariances: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Component probabilities of rows of a Gaussian mixture, from the dimensions that are known.
-
-    The marginal over the known dimensions is again a mixture, so nothing is filled in; a row
-    of unknowns gets the weights.
-    """
-    out = np.tile(weights, (len(x), 1))
-    patterns, group = np.unique(np.isnan(x), axis=0, return_inverse=True)
-    for k, missing in enumerate(patterns):
-        seen = np.flatnonzero(~missing)
-        rows = np.flatnonzero(group.reshape(-1) == k)
-        if not len(seen):
-            continue
-        log = np.empty((len(rows), len(weights)))
-        for j, weight in enumerate(weights):
-            root = np.linalg.cholesky(covariances[j][np.ix_(seen, seen)])
-            z = np.linalg.solve(root, (x[np.ix_(rows, seen)] - means[j][seen]).T)
-            log[:, j] = np.log(max(weight, 1e-300)) - 0.5 * (z * z).sum(0) - np.log(np.diag(root)).sum()
-        p = np.exp(log - log.max(1, keepdims=True))
-        out[rows] = p / p.sum(1, keepdims=True)
-    return out
-
-
-def add_posterior(df: DataFrame, columns: list[str], means: np.ndarray, covariances: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """Adds the array ``posterior``; the model's size follows the dimensions, not the rows."""
-
-    @F.pandas_udf("array<double>")
-    def run(*parts: pd.Series) -> pd.Series:
-        x = np.stack([p.to_numpy(float) for p in parts], 1)
-        return pd.Series(list(posterior(means, covariances, weights, x)))
-
-    return df.withColumn("posterior", run(*(F.col(c).cast("double") for c in columns)))
-
-
-def fit_mixture(df: DataFrame, columns: list[str], choices: range, seed: int = 0) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Fits mixtures on complete rows and keeps the number of components with the smallest BIC."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df.dropna(subset=columns).select(columns)).select("features")
-    n, d = rows.count(), len(columns)
-    best = None
-    for k in choices:
-        model = GaussianMixture(k=k, seed=seed, maxIter=100).fit(rows)
-        free = k - 1 + k * d + k * d * (d + 1) // 2
-        bic = -2 * model.summary.logLikelihood + free * np.log(n)
-        if best is None or bic < best[0]:
-            best = bic, k, model
-    _, k, model = best
-    parts = model.gaussiansDF.collect()  # k rows
-    return k, np.array([p["mean"].toArray() for p in parts]), np.array([p["cov"].toArray() for p in parts]), np.array(model.weights)
-
-
 def walk_forward(panel: DataFrame, features: list[str], target: str, folds: DataFrame, rules: Rules = Rules(), cut: float = 0.01) -> DataFrame:
     """(ts, symbol, fold, score, outcome): each fold's test rows, scored by boosted trees trained on the sessions before its embargo.
 

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import bands
 from tidemark.functions import windows as win
-from tidemark.operators import audit, boosting, features, inference, labels, panel, screen, selection, state
+from tidemark.operators import audit, boosting, features, inference, labels, mixture, panel, screen, selection, state
 from tidemark.plans import sql as S
 from tidemark.sources.bars import clean, event_bars, sessions, table, trade_bars, with_sessions
+from tidemark.sources.tables import materialised
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rounds of boosting in the query; the library's rule is 200.
@@ -609,6 +611,55 @@ def i26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.stock_state(df, (("a", "volume", False), ("b", "move", True)), 2).select("symbol", "ts", *rs(["st_a", "st_b"]))
 
 
+# A mixture of independent dimensions over the state columns, whose posterior SQL can write out.
+_WEIGHTS, _CENTRES, _SPREADS = (0.5, 0.3, 0.2), ((-0.2, -0.2, -0.3), (0.2, 0.0, 0.1), (0.1, 0.3, 0.4)), ((0.2, 0.3, 0.2), (0.3, 0.2, 0.3), (0.25, 0.25, 0.15))
+_STATES = {"st_size": "volume", "st_month": f"(close / {S.shifted('close', 4)} - 1)", "st_quarter": f"(close / {S.shifted('close', 13)} - 1)"}
+
+
+def _state_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three state columns; the first sessions of a symbol lack two, then one of them."""
+    df = trade_bars(spark, sf_dir).withColumns({"month": win.ratio("close", win.lag("close", 4)) - 1, "quarter": win.ratio("close", win.lag("close", 13)) - 1})
+    return state.stock_state(df, (("size", "volume", False), ("month", "month", False), ("quarter", "quarter", False)), 3).select("symbol", "ts", *_STATES)
+
+
+def _log_density(k: int) -> str:
+    return " + ".join([f"ln({_WEIGHTS[k]})", *(f"coalesce(-0.5 * (({c} - {_CENTRES[k][i]}) / {_SPREADS[k][i]}) ** 2 - ln({_SPREADS[k][i]}), 0)" for i, c in enumerate(_STATES))])
+
+
+@register("i23_posterior", S.query(
+    "SELECT symbol, ts, " + S.rounded({f"p{k}": f"exp(l{k} - top) / (exp(l0 - top) + exp(l1 - top) + exp(l2 - top))" for k in range(3)}) + " FROM (SELECT *, greatest(l0, l1, l2) AS top FROM (SELECT symbol, ts, " + ", ".join(f"{_log_density(k)} AS l{k}" for k in range(3)) + " FROM ranked))",
+    "moves AS (SELECT symbol, ts, " + ", ".join(f"{x} AS v_{c}" for c, x in _STATES.items()) + " FROM bars)", "ranked AS (SELECT symbol, ts, " + ", ".join(f"{S.percent_rank(f'v_{c}')} - 0.5 AS {c}" for c in _STATES) + " FROM moves)",
+))
+def i23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = mixture.Mixture(np.array(_WEIGHTS), np.array(_CENTRES), np.stack([np.diag(np.square(s)) for s in _SPREADS]))
+    df = mixture.add_posterior(_state_columns(spark, sf_dir), list(_STATES), model)
+    return df.select("symbol", "ts", *(r(F.get("posterior", k)).alias(f"p{k}") for k in range(3)))
+
+
+@register("i24_components")
+def i24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _state_columns(spark, sf_dir)
+    return mixture.choices_table(df, mixture.fit(df, list(_STATES), range(1, 7), rounds=30))
+
+
+@register("i25_carried_components")
+def i25b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit on the sessions before the last fold's training end less a year and one on all before it: per component, its share of all rows under both, and the rows that it keeps."""
+    df = materialised(_state_columns(spark, sf_dir))
+    ends = selection.tested_folds(sessions(df)).agg(F.max("train_end").alias("late"), F.add_months(F.max("train_end"), -12).alias("early")).first()
+    fits = [mixture.fit(df.filter(F.col("ts") <= F.lit(ends[e])), list(_STATES), [3], rounds=30) for e in ("early", "late")]
+    if not all(fits):
+        return spark.createDataFrame([], "component int, rows long, before double, carried double, kept long")
+    early, late = (f[3].mixture for f in fits)
+    order, _ = state.align_components(early.means, late.means)
+    both = state.carried(mixture.add_posterior(mixture.add_posterior(df, list(_STATES), early, "first"), list(_STATES), late), order)
+    likeliest = lambda c: F.array_position(c, F.array_max(c)).cast("int") - 1
+    rows = both.withColumns({"component": likeliest("first"), "new": likeliest("posterior")})
+    shares = rows.select(F.posexplode(F.arrays_zip("first", "posterior")).alias("component", "p"), "component", "new").toDF("place", "p", "component", "new")
+    kept = F.col("component") == F.col("place")
+    return shares.groupBy(F.col("place").alias("component")).agg(F.sum(kept.cast("long")).alias("rows"), F.avg("p.first").alias("before"), F.avg("p.posterior").alias("carried"), F.sum((kept & (F.col("new") == F.col("place"))).cast("long")).alias("kept"))
+
+
 @register("l13_timing_contract", S.query(f"SELECT round(corr(ky, ks), 6) + 0.0 AS rho_same, round(corr(ky, kn), 6) + 0.0 AS rho_next, count(*) AS n, abs(corr(ky, ks)) <= 0.1 AND corr(ky, kn) >= 0.15 AS ok FROM (SELECT {S.rank('y', 'one')} AS ky, {S.rank('s', 'one')} AS ks, {S.rank('x', 'one')} AS kn FROM (SELECT *, 1 AS one FROM (SELECT {_LEAD('close', -5)} / close - 1 AS y, close / {S.shifted('close')} - 1 AS s, {_LEAD('close', -1)} / close - 1 AS x FROM bars) WHERE y IS NOT NULL AND s IS NOT NULL AND x IS NOT NULL))"))
 def l13(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = state.timing(trade_bars(spark, sf_dir), win.ratio(win.lead("close", 5), "close") - 1)
