@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -17,10 +17,11 @@ def is_fund(symbol: Column, extra: list[str] | None = None) -> Column:
     return by_name | F.upper(symbol).isin([s.upper() for s in extra]) if extra else by_name
 
 
-def classify(symbols: DataFrame, isin: DataFrame) -> DataFrame:
-    """Adds is_fund and where that is known from: the ISIN where there is one, else the name."""
+def classify(symbols: DataFrame, isin: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Adds is_fund and where that is known from: the ISIN where there is one, else the user's list, else the name."""
     joined = symbols.join(isin, "symbol", "left")
-    return joined.withColumns({"is_fund": F.when(F.col("isin").isNotNull(), F.col("isin").startswith("INF")).otherwise(is_fund(F.col("symbol"))), "source": F.when(F.col("isin").isNotNull(), "isin").otherwise("name")})
+    known, named = F.col("isin").isNotNull(), F.upper("symbol").isin([s.upper() for s in extra or []])
+    return joined.withColumns({"is_fund": F.when(known, F.col("isin").startswith("INF")).otherwise(is_fund(F.col("symbol"), extra)), "source": F.when(known, "isin").when(named, "user_list").otherwise("name")})
 
 
 def dedupe_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -88,14 +89,9 @@ def universe_hash(symbols: DataFrame) -> DataFrame:
 def upsert_tail(old: DataFrame, new: DataFrame, calendar: DataFrame, rebuild: int) -> DataFrame:
     """Replaces the last ``rebuild`` sessions, and whatever symbols are gone, by the new rows.
 
-    On a table partitioned by date, writing the result's tail with dynamic partition overwriting
-    touches those dates only.
+    ``tidemark.sources.store`` commits such a result to a panel kept by months.
     """
     first = calendar.orderBy(F.desc("ts")).limit(rebuild).agg(F.min("ts").alias("first"))
     kept = old.join(F.broadcast(first), F.col("ts") < F.col("first")).drop("first").join(new.select("symbol").distinct(), "symbol", "left_semi")
     tail = new.join(F.broadcast(first), F.col("ts") >= F.col("first")).drop("first")
     return kept.unionByName(tail)
-
-
-def write_tail(spark: SparkSession, tail: DataFrame, path: str) -> None:
-    tail.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts").parquet(path)

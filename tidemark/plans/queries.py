@@ -5,9 +5,13 @@ The name begins with the operator's place in the inventory.
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,8 +20,9 @@ from tidemark.functions import bands
 from tidemark.functions import windows as win
 from tidemark.operators import audit, boosting, features, inference, labels, mixture, panel, screen, selection, state
 from tidemark.plans import sql as S
+from tidemark.sources import listings, store
 from tidemark.sources.bars import clean, event_bars, sessions, table, trade_bars, with_sessions
-from tidemark.sources.tables import materialised
+from tidemark.sources.tables import materialised, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rounds of boosting in the query; the library's rule is 200.
@@ -425,6 +430,53 @@ def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.classify(part.select("symbol"), isin).select("symbol", "is_fund", "source")
 
 
+_EXTRA = ["P30", "P60"]
+
+
+def _packed(part: DataFrame) -> DataFrame:
+    """(path, content): the parts' listings as ZIP archives of two CSV files each, of 500 parts at most, as an exchange would send them."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        content, number = io.BytesIO(), rows["number"][0].as_py()
+        heads = ("Symbol , ISIN Number,Series", "series,TckrSymb,ISIN_CODE")
+        with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, head in enumerate(heads):
+                lines = [f" {r['symbol'].lower()},{r['isin']} ,{r['series']}" if k == 0 else f'"{r["series"]}",{r["symbol"]},{r["isin"]}' for r in rows.to_pylist() if r["side"] == k]
+                z.writestr(f"list_{k}.csv", "\n".join([head, *lines, ""]))
+        return pa.table({"path": [f"listing_{number}.zip"], "content": [content.getvalue()]})
+
+    return part.groupBy("number").applyInArrow(pack, "path string, content binary")
+
+
+@register("s08_packed_listings", "SELECT symbol, isin, series, CASE WHEN isin IS NULL THEN symbol IN ('P30', 'P60') OR symbol LIKE '%ETF' ELSE isin LIKE 'INF%' END AS is_fund, CASE WHEN isin IS NOT NULL THEN 'isin' WHEN symbol IN ('P30', 'P60') THEN 'user_list' ELSE 'name' END AS source "
+    f"FROM (SELECT {_PARTS} AS symbol, CASE WHEN p_partkey % 3 > 0 THEN CASE WHEN p_size % 5 = 0 AND p_partkey % 2 = 0 THEN 'INF' ELSE 'INE' END || lpad(p_partkey::VARCHAR, 9, '0') END AS isin, CASE WHEN p_partkey % 3 > 0 THEN 'EQ' END AS series FROM part)")
+def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each listed part stands in its archive twice, with an EQ line and a later one of another series and a smaller ISIN; one in three has a broken ISIN only."""
+    part = table(spark, sf_dir, "part").withColumn("symbol", F.expr(_PARTS))
+    key, whole = F.col("p_partkey"), F.col("p_partkey") % 3 > 0
+    own = F.concat(F.when((F.col("p_size") % 5 == 0) & (key % 2 == 0), F.lit("INF")).otherwise(F.lit("INE")), F.lpad(key.cast("string"), 9, "0"))
+    lines = F.array(
+        F.struct(F.when(whole, own).otherwise(F.lit("INE1")).alias("isin"), F.lit("EQ").alias("series"), (key % 2).cast("int").alias("side")),
+        F.struct(F.when(whole, F.concat(F.lit("IND"), F.lpad(key.cast("string"), 9, "0"))).otherwise(F.lit("")).alias("isin"), F.lit("BE").alias("series"), F.lit(1).alias("side")),
+    )
+    rows = part.select("symbol", F.floor(key / 500).alias("number"), F.explode(lines).alias("l")).select("symbol", "number", "l.*")
+    best = listings.best_listing(listings.unpacked(_packed(rows))).drop("source")
+    return panel.classify(part.select("symbol"), best, _EXTRA).select("symbol", "isin", "series", "is_fund", "source")
+
+
+@register("k01_committed_tail", S.query("SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE symbol <> 'Brand#11'"))
+def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel without its last four sessions, and wrong in the six before, committed; then its last ten, without a symbol; read back."""
+    bars = materialised(trade_bars(spark, sf_dir))
+    calendar = sessions(bars)
+    back = F.broadcast(calendar.withColumn("back", F.max("session_idx").over(W.partitionBy(F.lit(1))) - F.col("session_idx")).select("ts", "back"))  # a row per session
+    stale = bars.join(back, "ts").filter("back >= 4").withColumn("close", F.when(F.col("back") < 10, F.col("close") * 2).otherwise(F.col("close"))).select(*bars.columns)
+    path = f"{shared_folder(spark)}/panel_{uuid.uuid4().hex}"
+    store.commit_all(stale, path)
+    store.commit_tail(bars.filter("symbol <> 'Brand#11'"), path, calendar, 10)
+    return store.read(spark, path)
+
+
 @register("i25_missing_report", S.query("SELECT 'move' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE r IS NULL) AS missing FROM b UNION ALL SELECT 'turnover', count(*), count(*) FILTER (WHERE tv IS NULL) FROM b UNION ALL SELECT 'month', count(*), count(*) FILTER (WHERE idx <= 4) FROM b", S.BASE))
 def i25(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features.base(trade_bars(spark, sf_dir)).withColumns({"move": F.col("r"), "turnover": F.col("tv"), "month": win.lag("close", 4)})

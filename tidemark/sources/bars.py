@@ -55,18 +55,3 @@ def symbol_list(spark: SparkSession, path: str) -> DataFrame:
     """One symbol a line; blank lines and comments after # go."""
     line = F.upper(F.trim(F.split("value", "#")[0]))
     return spark.read.text(path).select(line.alias("symbol")).filter("symbol <> ''").distinct()
-
-
-def isin_table(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(symbol, isin) from CSV files of differing headers; series EQ first, then the smallest isin."""
-    parts = []
-    for path in paths:
-        raw = spark.read.option("header", True).csv(path)
-        found = {c.strip().upper().replace("_", " "): c for c in raw.columns}
-        pick = lambda *names: next((F.upper(F.trim(F.col(f"`{found[n]}`"))) for n in names if n in found), F.lit(None).cast("string"))  # noqa: E731, B023
-        parts.append(raw.select(pick("SYMBOL", "TCKRSYMB").alias("symbol"), pick("ISIN", "ISIN NUMBER", "ISIN CODE").alias("isin"), pick("SERIES", "SCTYSRS").alias("series")))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    first = W.partitionBy("symbol").orderBy(F.when(F.col("series") == "EQ", 0).otherwise(1), "isin")
-    return both.filter("symbol IS NOT NULL AND length(isin) = 12").withColumn("n", F.row_number().over(first)).filter("n = 1").select("symbol", "isin")

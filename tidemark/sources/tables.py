@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the session's checkpoint folder, so that a lost executor loses none and nothing is worked out twice."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one where none is set and all runs in one process, as in tests."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tables-')}"
     if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            found = f"file://{tempfile.mkdtemp(prefix='tables-')}"
         spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the session's checkpoint folder, so that a lost executor loses none and nothing is worked out twice."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
