@@ -671,6 +671,21 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("largest", "kind"), [(100, "smallint"), (-40_000, "int"), (2**33, "bigint")])
+def test_topk_sends_components_in_the_type_that_holds_them(spark, largest, kind):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-100, 100, (60, 70))  # more components than WIDTH
+    x[8, 3] = largest
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert topk._fits(topk.integers(df, 1)) == kind and topk._fits(topk.integers(df.limit(0), 1)) == "smallint"
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, df.filter("vec_id % 7 = 0"), k=3, scale=1).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(0, 60, 7):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(x[q], x[k], strict=True)), k) for k in range(60) if k != q)[:3]
+        assert got[q] == [(k, -s) for s, k in want]
+
+
 def test_topk_of_large_components_is_exact():
     big = 2**30
     a = np.array([[big, 1], [big, 0]], np.int64)
@@ -907,7 +922,7 @@ def test_topk_in_small_cells_and_with_repeated_rows(spark, monkeypatch):
 def test_registry_and_sql(spark, tmp_path):
     import duckdb
 
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 14))
     rng = np.random.default_rng(0)
     rows = [(k, [float(np.float32(v)) for v in rng.normal(0, 1, 8)], 0) for k in range(200)] + [(300, None, 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")

@@ -31,8 +31,9 @@ from tidemark.llm.shared import Tables
 #: Vectors in a run of a cell; longest vectors that give the first thresholds.
 BUCKET = 2048
 SEED = 2048
-#: Vectors and queries in a cell, as expected at most.
-VECTORS, QUERIES = 32_768, 4096
+#: Vectors and queries in a cell, as expected at most, for up to ``WIDTH`` components; fewer in proportion for more. As many of both send the
+#: fewest rows for the work of a cell: a vector goes to one cell for each ``QUERIES`` queries, a query to one for each ``VECTORS`` vectors.
+VECTORS, QUERIES, WIDTH = 65_536, 65_536, 64
 #: Length buckets in a doubling of length, and the bucket of length 0.
 STEPS, ZERO = 16, -1
 #: Parts of the first step of merging.
@@ -55,12 +56,27 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of exactly ``width`` components."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten(), np.int64).reshape(-1, width)
+    return np.asarray(column.flatten()).reshape(-1, width)
+
+
+def _fits(values: DataFrame) -> str:
+    """The narrowest type that holds all components; they are sent in it, 16 bits each as a rule."""
+    low, high = values.agg(F.min(F.array_min("ints")), F.max(F.array_max("ints"))).first()
+    return next((kind for kind, bits in (("smallint", 15), ("int", 31)) if low is None or -(1 << bits) <= low and high < 1 << bits), "bigint")
+
+
+def _largest(a: np.ndarray) -> float:
+    return max(float(a.max()), -float(a.min())) if a.size else 0.0
+
+
+def _small(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether inner products of rows of both are exact in floating point, whatever the order of adding up."""
+    return _largest(a) * _largest(b) * a.shape[-1] < _EXACT
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of a with the row b, exact."""
-    if a.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= _EXACT:
+    if not _small(a, b):
         exact = a.astype(object) @ b.astype(object)
         if max(map(abs, exact)) >= 1 << 63:
             raise OverflowError("a score does not fit into 64 bits")
@@ -87,10 +103,12 @@ def first_floor(ids: np.ndarray, ints: np.ndarray, own: int, query: np.ndarray,
 def search(ids: np.ndarray, ints: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, ids, scores) of what a cell's vectors may add to each query's best k."""
     floor = floor.copy()  # rises as the search goes on
+    small = _small(ints, queries)
     norm, size = (np.sqrt((x.astype(float) ** 2).sum(1)) for x in (ints, queries))
     order = np.argsort(-norm, kind="stable")
     ids, ints, norm = ids[order], ints[order], norm[order]
-    unit = ints.astype(float) / np.maximum(norm, 1e-300)[:, None]
+    real = ints.astype(float)  # turned once for all queries
+    unit = real / np.maximum(norm, 1e-300)[:, None]
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for begin in range(0, len(ids), BUCKET):
         at = slice(begin, begin + BUCKET)
@@ -115,7 +133,7 @@ def search(ids: np.ndarray, ints: np.ndarray, asked: np.ndarray, queries: np.nda
                 # Lengths fall along the run: a prefix can reach the threshold.
                 enough = int(np.searchsorted(-norm[at], -(least / size[q]) * (1 - 1e-9) + 1e-9, "right"))
                 pick = slice(begin, begin + enough)
-            score = _products(ints[pick], queries[q])
+            score = (real[pick] @ queries[q].astype(float)).astype(np.int64) if small else _products(ints[pick], queries[q])
             found = ids[pick]
             use = (score >= least) & (found != asked[q])
             if not use.any():
@@ -159,6 +177,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
 
 def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tables) -> DataFrame:
     spark = base.sparkSession
+    kind = _fits(base.select("ints").unionByName(mine.select("ints")))
+    most, asked_most = (max(1, x * WIDTH // max(width, WIDTH)) for x in (VECTORS, QUERIES))
+    base, mine = (x.withColumn("ints", F.col("ints").cast(f"array<{kind}>")) for x in (base, mine))
     longest = base.orderBy(F.desc("norm"), "vec_id").limit(SEED).select("vec_id", "ints").toArrow()
     sent = spark.sparkContext.broadcast((np.asarray(longest["vec_id"], np.int64), _matrix(longest["ints"], width)))
 
@@ -169,7 +190,7 @@ def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tabl
             floor = [first_floor(ids, ints, a, q, k) for a, q in zip(own, asked, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(floor, pa.float64())], ["number", "query_id", "ints", "norm", "floor"])
 
-    asked = mine.select("number", F.col("vec_id").alias("query_id"), "ints", "norm").mapInArrow(seeded, "number long, query_id long, ints array<long>, norm double, floor double")
+    asked = mine.select("number", F.col("vec_id").alias("query_id"), "ints", "norm").mapInArrow(seeded, f"number long, query_id long, ints array<{kind}>, norm double, floor double")
     # Queries without a positive threshold ask every bucket; rounding is outwards by a bucket.
     need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), _bucket(F.col("floor") / F.col("norm")) - 1).otherwise(ZERO)
     asked = tables.write(f"asked_{width}", asked.withColumn("need", F.greatest(need, F.lit(ZERO))))
@@ -178,8 +199,8 @@ def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tabl
     own = base.withColumn("bucket", _bucket(F.col("norm")))
     lengths = own.groupBy("bucket").count().collect()
     wants = asked.groupBy("need").count().collect()
-    parts = {r["bucket"]: -(-r["count"] // VECTORS) for r in lengths}
-    sides = {r["need"]: -(-r["count"] // QUERIES) for r in wants}
+    parts = {r["bucket"]: -(-r["count"] // most) for r in lengths}
+    sides = {r["need"]: -(-r["count"] // asked_most) for r in wants}
     if not parts or not sides:
         return spark.createDataFrame([], "number long, query_id long, rank int, vec_id long, score long")
     split = spark.createDataFrame(list(parts.items()), "bucket int, parts int")
