@@ -3,8 +3,8 @@
 Vectors are grouped by length: a bucket holds lengths within a factor of 2 ** (1 / 16), split into
 parts of bounded size.  A query first gets the k-th best score among the longest vectors of the
 whole table; that score, over the query's own length, is the least length that can still
-matter, so the query asks only the buckets from there on.  Queries are grouped by that bucket in
-the same way, and every (part of vectors, part of queries) that remains is one task's work.
+matter, so the query asks only the buckets from there on.  The queries that ask a bucket are split
+into parts too, and every (part of vectors, part of queries) of a bucket is one task's work.
 
 In a cell the k-th best score becomes a local cosine threshold for each run of vectors of similar
 length: a run whose longest vector cannot reach it is skipped; with a low threshold it is pruned
@@ -200,18 +200,18 @@ def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tabl
     lengths = own.groupBy("bucket").count().collect()
     wants = asked.groupBy("need").count().collect()
     parts = {r["bucket"]: -(-r["count"] // most) for r in lengths}
-    sides = {r["need"]: -(-r["count"] // asked_most) for r in wants}
-    if not parts or not sides:
+    # A bucket's cells are shared by all queries that ask it, whatever the least length that each of them needs.
+    sides = {b: -(-sum(r["count"] for r in wants if r["need"] <= b) // asked_most) for b in parts}
+    if not any(sides.values()):
         return spark.createDataFrame([], "number long, query_id long, rank int, vec_id long, score long")
-    split = spark.createDataFrame(list(parts.items()), "bucket int, parts int")
-    sided = spark.createDataFrame(list(sides.items()), "need int, sides int")
-    # Both sides of a cell are sent to it: vectors once for each part of queries that asks them, and the other way round.
-    asks = [(b, n) for b in parts for n in sides if b >= n]
-    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    asking = spark.createDataFrame([(b, n, sides[n]) for b, n in asks], "bucket int, need int, n int").select("bucket", "need", every.alias("side"))
-    asked_of = spark.createDataFrame([(b, n, parts[b]) for b, n in asks], "bucket int, need int, n int").select("bucket", "need", every.alias("part"))
-    left = own.join(F.broadcast(split), "bucket").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).join(F.broadcast(asking), "bucket").select("bucket", "part", "need", "side", "vec_id", "ints")
-    right = asked.join(F.broadcast(sided), "need").withColumn("side", F.pmod(F.xxhash64("number"), "sides").cast("int")).join(F.broadcast(asked_of), "need").select("bucket", "part", "need", "side", "number", "query_id", "ints", "floor")
+    split = spark.createDataFrame([(b, parts[b], sides[b]) for b in parts if sides[b]], "bucket int, parts int, sides int")
+    asks = [(r["need"], b, parts[b], sides[b]) for r in wants for b in parts if r["need"] <= b]
+    asked_of = spark.createDataFrame(asks, "need int, bucket int, parts int, sides int")
+    # Vectors go once to each part of the queries that ask their bucket, and queries once to each part of its vectors.
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = own.join(F.broadcast(split), "bucket").withColumn("part", dealt("row", "parts")).select("bucket", "part", every("sides").alias("side"), "vec_id", "ints")
+    right = asked.join(F.broadcast(asked_of), "need").withColumn("side", dealt("number", "sides")).select("bucket", every("parts").alias("part"), "side", "number", "query_id", "ints", "floor")
 
     def cell(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         number, found, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -224,7 +224,7 @@ def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tabl
         rows = queries.select(["number", "query_id"]).take(pa.array(np.concatenate(number)))
         return rows.append_column("vec_id", pa.array(np.concatenate(found))).append_column("score", pa.array(np.concatenate(score)))
 
-    cells = ["bucket", "part", "need", "side"]
+    cells = ["bucket", "part", "side"]
     near = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, "number long, query_id long, vec_id long, score long")
     near = near.withColumn("turn", F.pmod(F.xxhash64("vec_id", "score"), F.lit(MERGE)))
     for keys in (["number", "turn"], ["number"]):
