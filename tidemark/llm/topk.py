@@ -36,6 +36,8 @@ SEED = 2048
 VECTORS, QUERIES, WIDTH = 65_536, 65_536, 64
 #: Length buckets in a doubling of length, and the bucket of length 0.
 STEPS, ZERO = 16, -1
+#: Tasks that the cells of a width are dealt to at most.
+MOST_TASKS = 20_000
 #: Parts of the first step of merging.
 MERGE = 16
 #: Local cosine threshold from which coordinates prune better than lengths.
@@ -225,6 +227,9 @@ def _of_width(base: DataFrame, mine: DataFrame, width: int, k: int, tables: Tabl
         return rows.append_column("vec_id", pa.array(np.concatenate(found))).append_column("score", pa.array(np.concatenate(score)))
 
     cells = ["bucket", "part", "side"]
+    # A cell's work does not follow its bytes, so cells are not put together by these: a task for each, as far as hashes allow.
+    tasks = min(MOST_TASKS, sum(parts[b] * sides[b] for b in parts))
+    left, right = left.repartition(tasks, *cells), right.repartition(tasks, *cells)
     near = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, "number long, query_id long, vec_id long, score long")
     near = near.withColumn("turn", F.pmod(F.xxhash64("vec_id", "score"), F.lit(MERGE)))
     for keys in (["number", "turn"], ["number"]):
