@@ -285,6 +285,45 @@ def test_jaccard_dealt_lists_give_brute_force_components(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == slow_components(rows)
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_jaccard_lists_cut_by_a_second_ngram_give_brute_force_components(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 1 << 40)  # no n-gram is put last, so common ones come early
+    cut = []
+    seconds = jaccard._seconds
+
+    def watched(lists, *more):
+        cut.append(lists.select("token").distinct().count())
+        return seconds(lists, *more)
+
+    monkeypatch.setattr(jaccard, "_seconds", watched)
+    passage, other = prose(77, 24), prose(78, 9)
+    texts = [f"{passage} {prose(k % 29, 4 + k % 7)}" for k in range(150)] + [edited(f"{passage} {prose(k, 6)}", k % 3, k) for k in range(90)]
+    texts += [f"{other} {prose(1000 + k, 9)}" for k in range(120)] + [f"{other} {prose(1000 + k, 9)} {prose(k, 1)}" for k in range(40)]
+    rows = [doc(k, t) for k, t in enumerate(texts)]
+    got = jaccard.join(frame(spark, rows))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == slow_components(rows)
+    assert cut and cut[0] > 0
+
+
+def test_jaccard_sends_few_rows_where_unlike_sets_have_one_early_ngram_in_common(spark):
+    """50,000 sets of 36 n-grams, all of which have n-gram 7 first; sets 2k and 2k + 1 have another one in common where k < 100."""
+    many, n = 50_000, 36
+    own = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda j: F.col("node") * 100 + j + 1000)
+    second = F.when(F.col("node") < 200, -1 - F.floor(F.col("node") / 2)).otherwise(-1000 - F.col("node"))
+    sets = spark.range(many).select(F.col("id").alias("node")).withColumn("prefix", F.concat(F.array(F.lit(7).cast("long"), second), own))
+    lists = sets.select(F.lit(7).cast("long").alias("token"), "node", F.lit(n).alias("n"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("hub"), F.col("node").alias("label"))
+    assert [tuple(r) for r in lists.groupBy("token").agg(jaccard.often()).collect()] == [(7, True)]
+    blocks = jaccard._dealt(lists.select("token", "node", "n"), shared.Tables(spark)).count()
+    left = jaccard._seconds(lists, sets, shared.Tables(spark))
+    pairs = collections.defaultdict(set)
+    for r in jaccard._dealt(left, shared.Tables(spark)).collect():
+        pairs[r["token"]].add(r["node"])
+    assert sorted(map(sorted, pairs.values())) == [[2 * k, 2 * k + 1] for k in range(100)]
+    assert blocks > 2_000_000 and left.count() == 200
+
+
 def test_jaccard_keeps_rows_without_text_or_id(spark):
     rows = [doc(None, "a b c d e f"), doc(7, "a b c d e f"), doc(3, None), doc(4, None), doc(7, "a b c d e f")]
     got = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, rows)).collect())

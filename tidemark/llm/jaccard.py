@@ -16,6 +16,8 @@ link, so entries that stay below that are discarded before they are complete:
    only between rows of different components, since a link inside one changes nothing.  These
    products are added to those of the short lists.  As two sets have no more in common than their
    prefixes have and the longer rest of the two holds, most sums are too small and are discarded.
+   A list too long for blocks (see ``often``) is first cut by a second n-gram: linked sets share
+   two n-grams of their prefixes and the next one, so those that share a single one need not meet.
 5. What remains is multiplied in all columns, blockwise, which gives exact overlaps.
 
 No pair, list or text is cut off.  N-grams and sets are told apart by hashes of 64 and 128 bits;
@@ -41,6 +43,13 @@ WIDTH = 5
 _TIMES, _OVER = 7, 3
 #: Texts of a block, so that their numbers fit into 16 bits.
 _TEXTS = 1 << 13
+
+
+def _prefix(n: Column) -> Column:
+    """How many n-grams of a set's order make its prefix; a signature holds one more, where there is one."""
+    return n - F.ceil(n * 3 / 4).cast("int") + 1
+
+
 #: A set's parity bitmap has a power of two of bits, at least this many and at least twice its n-grams.
 _BITMAP = 128
 #: The commonest n-grams that are put last, as many at most; those seen less often are left in place.
@@ -49,6 +58,8 @@ HOT_MOST, HOT_LEAST, HOT_LOCAL = 1 << 17, 64, 4
 MOST_IDS = 2_000_000
 #: Lists up to SHORT are multiplied with themselves at once.  Longer ones are dealt in blocks of about BLOCK classes, and SLAB pairs are looked at together.
 SHORT, BLOCK, SLAB = 6, 1024, 1 << 16
+#: Rows of lists that a task multiplies together.
+GATHERED = 1 << 20
 #: N-grams that so many classes of one in SAMPLE have are not gathered by n-gram; this only sets the way, never a result.
 SAMPLE, SEEN = 64, 8
 
@@ -124,7 +135,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix, bitmap) of every document with an id."""
+    """(doc_id, n, f1, f2, prefix, bitmap) of every document with an id; prefix goes on for one n-gram, where there is one."""
     sent = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +152,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                     rank = np.where(hot[at] == token, hot_rank[at], 0)
                     token = token[np.argsort(owner * (HOT_MOST + 1) + rank, kind="stable")]
-                size = np.where(n > 0, n - -(-3 * n // 4) + 1, 0)
+                size = np.minimum(n, n - -(-3 * n // 4) + 2)
                 edge = np.append(0, np.cumsum(size))
                 pick = np.repeat(start - edge[:-1], size) + np.arange(edge[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(token[pick]))
@@ -169,11 +180,6 @@ def _sums(x: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (total[start + n] - total[start]).view(np.int64)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
-    parts = [[np.asarray(b.column(k)) for k in range(columns)] for b in batches]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(columns)]
-
-
 def _fits(n: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether two sizes alone leave room for a link."""
     return _TIMES * np.minimum(n, other) >= _OVER * (n + other)
@@ -193,8 +199,22 @@ def _listed(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndar
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block of n-grams: products of short lists and with the hubs of long ones, each added up over the block, and the long lists."""
-    token, node, n, pos = _gather(batches, 4)
+    """Products of short lists and with the hubs of long ones, and the long lists; rows come by n-gram, and about a million are held."""
+    held: list[pa.Table] = []
+    rows = 0
+    for table in _keyed(batches, 1):
+        held.append(table)
+        rows += table.num_rows
+        if rows >= GATHERED:
+            yield from _multiplied(pa.concat_tables(held))
+            held, rows = [], 0
+    if held:
+        yield from _multiplied(pa.concat_tables(held))
+
+
+def _multiplied(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of whole lists: the products, each added up over all of them, and the long lists."""
+    token, node, n, pos = (table.column(k).to_numpy() for k in range(4))
     order = np.lexsort((node, pos, token))
     token, node, n, pos = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
@@ -244,7 +264,7 @@ def _met(listed: DataFrame, tables: Tables) -> DataFrame:
     """First products and long lists of all prefixes (token, node, n, pos); the longest lists stay where their rows are."""
     seen = listed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("token").count().filter(F.col("count") >= SEEN).select("token")
     wide = _sent(tables.write("wide", seen))
-    rest = listed.join(wide, "token", "left_anti").repartition("token").mapInArrow(_lists, _LISTED)
+    rest = listed.join(wide, "token", "left_anti").repartition("token").sortWithinPartitions("token").mapInArrow(_lists, _LISTED)
     members = listed.join(wide, "token")
     hubs = _sent(tables.write("hubs", members.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))))
     room = _TIMES * F.least("n", "hub.n") >= _OVER * (F.col("n") + F.col("hub.n"))
@@ -257,6 +277,35 @@ def _met(listed: DataFrame, tables: Tables) -> DataFrame:
     return rest.unionByName(near).unionByName(listed)
 
 
+def _mixed(lists: DataFrame, *more: Column) -> DataFrame:
+    """The n-grams, and more about their lists, whose classes are of several components."""
+    return lists.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), *more).filter("_low < _high").drop("_low", "_high")
+
+
+def often() -> Column:
+    """Whether blocks would send a list's rows more often than second n-grams do."""
+    return F.count("*") * F.count("*") > BLOCK * F.sum(F.least(_prefix(F.col("n")) + 1, "n"))
+
+
+def _seconds(lists: DataFrame, prefixes: DataFrame, tables: Tables) -> DataFrame:
+    """Lists (token, node, n, label, ...) cut by a second n-gram of (node, prefix), as far as several components meet in one.
+
+    In the order that all sets share, the k-th n-gram that two linked sets have in common is among
+    the first n - ceil(0.75 n) + k of each.  So if they meet in an n-gram of their prefixes, another
+    one that both have is in the prefix or next after it, and they meet again in the list of both.
+    What two linked sets have in common is never counted too low: every n-gram of both prefixes gives
+    one product or more.  The work is a row per member and n-gram of its prefix, not the list's square.
+    """
+
+    def both() -> DataFrame:
+        met = lists.join(prefixes, "node").select("token", "node", "n", "label", F.explode("prefix").alias("_second")).filter("_second <> token")
+        return met.select(F.xxhash64("token", "_second").alias("token"), "node", "n", "label")
+
+    met = both().join(_sent(tables.write("both", _mixed(both()))), "token", "left_semi")
+    # Each list is a key of its own: lists of one hub would all meet in one task.
+    return tables.write("seconds", met.select("token", "node", "n", F.lit(0).alias("run"), F.col("token").alias("hub"), "label"))
+
+
 def _dealt(lists: DataFrame, tables: Tables) -> DataFrame:
     """Adds i, j and own to the lists' rows (token, node, n, ...): pairs of blocks of a list in size order, and the row's own block.
 
@@ -269,9 +318,10 @@ def _dealt(lists: DataFrame, tables: Tables) -> DataFrame:
     placed = lists.join(_sent(tables.write("sizes", sizes)), ["token", "n"], "left")
     # Rows of one size are put in the order of a hash.
     placed = placed.withColumn("own", F.coalesce(F.floor((F.col("_less") + F.pmod(F.xxhash64("node"), "_many")) / BLOCK), F.lit(0)).cast("int"))
-    ranges = placed.filter("_many IS NOT NULL").groupBy("token", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ranges = tables.write("ranges", placed.filter("_many IS NOT NULL").groupBy("token", "own").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    few = ranges.count() <= MOST_IDS  # blocks, not lists: a list's row grows with its blocks
     ranges = ranges.groupBy("token").agg(F.collect_list(F.struct("own", "low", "high")).alias("_blocks"))
-    placed = placed.drop("_many", "_less").join(_sent(tables.write("ranges", ranges)), "token", "left")
+    placed = placed.drop("_many", "_less").join(F.broadcast(ranges) if few else ranges, "token", "left")
     fits = lambda x: (4 * x["high"] >= 3 * F.col("n")) & (3 * x["low"] <= 4 * F.col("n"))
     other = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.filter("_blocks", fits), lambda x: x["own"]))
     placed = placed.withColumn("_other", F.explode(other))
@@ -458,9 +508,10 @@ def join(docs: DataFrame) -> DataFrame:
     classes = tables.write("classes", picked.select("n", "f1", "f2", "rep", "it.prefix", "it.bitmap"))
     tables.drop("signed")
 
-    listed = classes.select(F.col("rep").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", "pos")
+    listed = classes.select(F.col("rep").alias("node"), "n", F.posexplode(F.slice("prefix", F.lit(1), _prefix(F.col("n")))).alias("pos", "token")).select("token", "node", "n", "pos")
     met = tables.write("met", _met(listed, tables))
     small = tables.write("small", classes.select("rep", "n", "f1", "f2", "bitmap"))
+    prefixes = tables.write("prefixes", classes.select(F.col("rep").alias("node"), "prefix"))
     tables.drop("classes")
 
     # Short lists with themselves, long ones with their hubs.
@@ -475,8 +526,12 @@ def join(docs: DataFrame) -> DataFrame:
     # Long lists with themselves, across components; a list whose members are all of one has nothing left to say.
     own = F.coalesce("label", "node").alias("label")
     lists = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("nb").alias("run"), F.col("c").alias("hub")).join(label, "node", "left").select("token", "node", "n", "run", "hub", own)
-    mixed = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    lists = tables.write("lists", lists.join(_sent(tables.write("mixed", mixed)), "token", "left_semi"))
+    mixed = tables.write("mixed", _mixed(lists, often().alias("often")))
+    lists = tables.write("lists", lists.join(_sent(mixed), "token"))
+    if mixed.filter("often").limit(1).count():
+        short, long = (lists.filter(x).drop("often") for x in ("NOT often", "often"))
+        lists = short.unionByName(_seconds(long, prefixes, tables))
+    tables.drop("prefixes")
     dealt = _dealt(lists, tables).join(small.select(F.col("rep").alias("node"), "bitmap"), "node").select("token", "i", "j", "own", "node", "n", "label", "bitmap", "run", "hub")
     # Lists of one hub have much the same classes, so a few of them meet in a task, and their products are added there.
     parts = dealt.repartition("hub", "run", "i", "j").sortWithinPartitions("token", "i", "j").drop("run", "hub").mapInArrow(_cross_products, _PAIR)
