@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.selection import drawn
+
 CHECK = "check string, failed long, seen long"
 
 
@@ -242,8 +244,8 @@ def winsor_cuts(panel: DataFrame, target: str, folds: DataFrame, share: float =
 
 
 def sample_table(bars: DataFrame, horizon: int, n: int = 25) -> DataFrame:
-    """A fixed draw of rows with prices, outcome and the arithmetic in words."""
+    """A fixed draw of rows with prices, outcome and the arithmetic in words; the same rows on every run and partitioning."""
     order = W.partitionBy("symbol").orderBy("ts")
     df = bars.withColumns({"entry": F.lead("open").over(order), "exit": F.lead("close", horizon).over(order)}).filter("entry > 0 AND exit IS NOT NULL")
-    formula = F.format_string("%.4f / %.4f - 1", F.col("exit"), F.col("entry"))
-    return df.orderBy(F.xxhash64("symbol", "ts"), "symbol", "ts").limit(n).select("symbol", "ts", "entry", "exit", (F.col("exit") / F.col("entry") - 1).alias("outcome"), formula.alias("formula"))
+    formula = F.format_string("%.8f / %.8f - 1", F.col("exit"), F.col("entry"))
+    return drawn(df, ["symbol", "ts"], n, 7).select("symbol", "ts", "entry", "exit", (F.col("exit") / F.col("entry") - 1).alias("outcome"), formula.alias("formula"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from tidemark.functions import windows as win
 from tidemark.operators import audit, evidence, labels, selection
 from tidemark.plans import sql as S
-from tidemark.plans.queries import _FEATURES, _FOLDS, _PANEL, _SCORED, _SCREEN, _oc, r, register, rs, scored, screen_panel
+from tidemark.plans.queries import _FEATURES, _FOLDS, _PANEL, _SCORED, _SCREEN, _draw, _oc, r, register, rs, scored, screen_panel
 from tidemark.sources import files
 from tidemark.sources.bars import sessions, table, trade_bars, with_sessions
 
@@ -155,7 +155,7 @@ def q06e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.winsor_cuts(labels.open_to_close(bars), "label_oc_5", selection.tested_folds(sessions(bars))).select("fold", "rows", r("low").alias("low"), r("high").alias("high"))
 
 
-@register("q07_sample_table")
+@register("q07_sample_table", S.query(f"SELECT symbol, ts, entry, exit, exit / entry - 1 AS outcome, printf('%.8f / %.8f - 1', exit, entry) AS formula FROM (SELECT symbol, ts, {S.shifted('open', -1)} AS entry, {S.shifted('close', -5)} AS exit FROM bars) WHERE entry > 0 AND exit IS NOT NULL ORDER BY {_draw('symbol', 'ts', seed=7)}, symbol, ts LIMIT 25"))
 def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.sample_table(trade_bars(spark, sf_dir), 5)
 

@@ -113,7 +113,10 @@ def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded(spark, sf_dir).select("symbol", "ts", "rank", *rs(["mfe", "mae", "mfe_w", "close_1", "close_7"]), "hit_5", "touch_3", "day_mfe")
 
 
-@register("e15_path_targets")
+_TARGET_ROWS = "t AS (" + " UNION ALL ".join(f"SELECT {v} AS level, px.price / entry - 1 AS final, h FROM (SELECT symbol, ts, rank, any_value(entry) AS entry, min(k) FILTER (WHERE k <= 10 AND h >= entry * (1 + {v / 100}::DOUBLE)) AS h FROM w WHERE rank <= 3 GROUP BY 1, 2, 3) JOIN px USING (symbol, ts)" for v in HITS) + ")"
+
+
+@register("e15_path_targets", S.query("SELECT level, " + S.rounded({"hit_within_hold": "avg(coalesce(h <= 5, false)::INT)", "hit_within_window": "avg((h IS NOT NULL)::INT)", "median_sessions_to_hit": "quantile_cont(h, 0.5)", "hit_on_session_1": "avg(coalesce(h = 1, false)::INT)", "final_net_if_hit_bp": "(avg(final) FILTER (h <= 5) - 0.0035) * 1e4", "final_net_if_not_bp": "(avg(final) FILTER (h IS NULL OR h > 5) - 0.0035) * 1e4"}, 4) + " FROM t GROUP BY level", *_EXIT_CTES, f"px AS {_plain(5)}", _TARGET_ROWS))
 def e15b(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = performance.path_summary(recorded(spark, sf_dir), HITS, TOUCHES)["targets"]
     return df.select("level", *rs([c for c in df.columns if c != "level"], 4))

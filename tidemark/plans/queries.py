@@ -898,7 +898,7 @@ def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.compare(bars.filter("symbol <> 'Brand#11'"), new, ["symbol", "ts"], "close")
 
 
-@register("q04_rederived_outcomes")
+@register("q04_rederived_outcomes", S.query(f"SELECT count(*) AS picks, avg(found::INT) AS share, coalesce(avg(found::INT) >= 0.995, false) AS ok FROM (SELECT coalesce(abs(a.outcome - t.outcome) <= 1e-6, a.outcome IS NULL AND t.outcome IS NULL) AS found FROM ({_top('scored', 3)}) a LEFT JOIN (SELECT x.symbol, x.ts, z.close / nullif(y.open, 0) - 1 AS outcome FROM b x LEFT JOIN b y ON y.symbol = x.symbol AND y.idx = x.idx + 1 LEFT JOIN b z ON z.symbol = x.symbol AND z.idx = x.idx + 2) t USING (symbol, ts))", S.BASE, _SCORED))
 def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = labels.locked_exit(trade_bars(spark, sf_dir), 2)
     return audit.rederived(selection.picks(scored(spark, sf_dir), 3), truth, ["symbol", "ts"])
