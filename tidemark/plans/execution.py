@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as win
 from tidemark.operators import book, labels, performance, selection, simulate
 from tidemark.plans import sql as S
-from tidemark.plans.queries import _SCORED, _top, r, register, rs, scored
+from tidemark.plans.queries import _SCORED, _top, r, register, rs, scores
 from tidemark.sources.bars import sessions, trade_bars
+from tidemark.sources.tables import materialised
 
 DEPTH = 20
 
 
-def lists(spark: SparkSession, sf_dir: str, engines: set[str]) -> DataFrame:
+def made_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from a table, so that the line items are read once, however often a query asks for bars."""
+    return materialised(trade_bars(spark, sf_dir))
+
+
+def lists(bars: DataFrame, engines: set[str]) -> DataFrame:
     """The engines' lists with the turnover known on the day: two scores, and random orders of the same names."""
-    bars = trade_bars(spark, sf_dir)
     adv = bars.withColumn("tv", F.col("close") * F.col("volume")).select("symbol", "ts", win.roll("tv", 60, "median", least=40).alias("adv"))
-    parts = [selection.picks(scored(spark, sf_dir, by), DEPTH).select(F.lit(name).alias("engine"), "ts", "rank", "symbol") for name, by in (("main", "volume"), ("second", "close")) if name in engines]
+    parts = [selection.picks(scores(bars, by), DEPTH).select(F.lit(name).alias("engine"), "ts", "rank", "symbol") for name, by in (("main", "volume"), ("second", "close")) if name in engines]
     parts += [selection.random_lists(bars.select("symbol", "ts"), int(e[7:]), DEPTH).select(F.lit(e).alias("engine"), "ts", "rank", "symbol") for e in sorted(engines) if e.startswith("random_")]
     out = parts[0]
     for p in parts[1:]:
@@ -26,10 +31,9 @@ def lists(spark: SparkSession, sf_dir: str, engines: set[str]) -> DataFrame:
     return out.join(adv, ["symbol", "ts"], "left")
 
 
-def entries(spark: SparkSession, sf_dir: str, ahead: int = 30) -> DataFrame:
+def entries(bars: DataFrame, ahead: int = 30) -> DataFrame:
     """The main list of a session as entries on the next one, with their path; names without a bar there drop out."""
-    bars = trade_bars(spark, sf_dir)
-    chosen = selection.picks(scored(spark, sf_dir), DEPTH).select("symbol", "ts", "rank")
+    chosen = selection.picks(scores(bars), DEPTH).select("symbol", "ts", "rank")
     wanted = book.on_next_session(chosen, sessions(bars))
     return simulate.path_at(wanted.select("symbol", "ts").distinct(), bars, ahead).join(wanted, ["symbol", "ts"])
 
@@ -59,7 +63,7 @@ _STOP = "s AS (SELECT symbol, ts, arg_min(CASE WHEN k > 1 AND o <= entry * 0.92
 # Prices are exact quotients that may end in a five at any digit, so they are compared as they are.
 @register("l09_time_and_stop_exits", S.query("SELECT symbol, ts, rank, px.day, px.kind, px.price AS price, coalesce(s.kind, px.kind) AS stop_kind, coalesce(s.price, px.price) AS stop_price FROM (SELECT DISTINCT symbol, ts, rank FROM w) JOIN px USING (symbol, ts) LEFT JOIN s USING (symbol, ts)", *_EXIT_CTES, f"px AS {_plain(5)}", _STOP))
 def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = entries(spark, sf_dir).withColumns({"plain": simulate.plan_exit(5), "stopped": simulate.plan_exit(5, 0.08)})
+    df = entries(made_bars(spark, sf_dir)).withColumns({"plain": simulate.plan_exit(5), "stopped": simulate.plan_exit(5, 0.08)})
     return df.select("symbol", "ts", "rank", F.col("plain.day").alias("day"), F.col("plain.kind").alias("kind"), F.col("plain.price").alias("price"), F.col("stopped.kind").alias("stop_kind"), F.col("stopped.price").alias("stop_price"))
 
 
@@ -69,8 +73,9 @@ TARGETS, STOPS, ATR_TARGETS, ATR_STOPS, TRAILING = (0.02, 0.03, 0.05, 0.08, 0.10
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of the first three entries of a session under every bracket: rule, year, base, ret, kind, best."""
-    atr = labels.with_atr(trade_bars(spark, sf_dir)).select("symbol", F.col("ts").alias("signal"), F.col("atr_pct").alias("atr_frac"))
-    df = entries(spark, sf_dir).filter("rank <= 3").join(atr, ["symbol", "signal"], "left")
+    bars = made_bars(spark, sf_dir)
+    atr = labels.with_atr(bars).select("symbol", F.col("ts").alias("signal"), F.col("atr_pct").alias("atr_frac"))
+    df = entries(bars).filter("rank <= 3").join(atr, ["symbol", "signal"], "left")
     base = F.try_divide(simulate.plan_exit(5)["price"], F.col("open")) - 1
     name = lambda unit, t, s: f"{unit}_{t:g}_{s:g}"
     rules = {name("pct", t, s): (F.lit(t), F.lit(s)) for t in TARGETS for s in STOPS} | {name("atr", t, s): (t * F.col("atr_frac"), s * F.col("atr_frac")) for t in ATR_TARGETS for s in ATR_STOPS}
@@ -103,8 +108,9 @@ HITS, TOUCHES = (2, 3, 5, 8, 10, 15, 20), (3, 5, 8, 10)
 
 
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atr = labels.with_atr(trade_bars(spark, sf_dir)).select("symbol", F.col("ts").alias("signal"), F.col("atr_pct").alias("atr_frac"))
-    df = entries(spark, sf_dir).filter("rank <= 3").join(atr, ["symbol", "signal"], "left")
+    bars = made_bars(spark, sf_dir)
+    atr = labels.with_atr(bars).select("symbol", F.col("ts").alias("signal"), F.col("atr_pct").alias("atr_frac"))
+    df = entries(bars).filter("rank <= 3").join(atr, ["symbol", "signal"], "left")
     return simulate.path_record(df, levels=tuple(v / 100 for v in HITS), stops=tuple(v / 100 for v in TOUCHES)).drop("path")
 
 
@@ -162,15 +168,17 @@ _ANY = ("primary", "second", "flat", "stress", "once", "stop_8", "random_0")
 
 def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Candidates, bars, calendar and scenarios."""
-    bars, plans = trade_bars(spark, sf_dir), book.scenario_set(spark)
+    bars, plans = made_bars(spark, sf_dir), book.scenario_set(spark)
     plans = plans if names is None else plans.filter(F.col("scenario").isin(*names))
     calendar = sessions(bars)
     engines = {r["engine"] for r in plans.select("engine").distinct().collect()}  # a few dozen
-    return book.orders(lists(spark, sf_dir, engines), bars, calendar, plans), bars, calendar, plans
+    return book.orders(lists(bars, engines), bars, calendar, plans), bars, calendar, plans
 
 
 def books(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY) -> DataFrame:
-    return book.simulate(*orders(spark, sf_dir, names))
+    """The books from a table: candidates are asked for twice, and days, trades and counts several times."""
+    candidates, *rest = orders(spark, sf_dir, names)
+    return materialised(book.simulate(materialised(candidates), *rest))
 
 
 @register("e17_candidates", S.query("SELECT e.signal, e.ts, e.rank, e.symbol, round(x.open, 6) + 0.0 AS open, px.day, px.kind FROM wanted e LEFT JOIN bars x USING (symbol, ts) LEFT JOIN px USING (symbol, ts)", *_EXIT_CTES, f"px AS {_plain(5)}"))
@@ -180,8 +188,8 @@ def e17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e13_picks_with_replacement", S.query("SELECT signal, ts, symbol, (row_number() OVER (PARTITION BY ts ORDER BY rank))::INT AS place FROM wanted WHERE EXISTS (SELECT 1 FROM bars x WHERE x.symbol = wanted.symbol AND x.ts = wanted.ts) QUALIFY place <= 3", *_EXIT_CTES))
 def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = trade_bars(spark, sf_dir)
-    wanted = book.on_next_session(selection.picks(scored(spark, sf_dir), DEPTH).select("symbol", "ts", "rank"), sessions(bars))
+    bars = made_bars(spark, sf_dir)
+    wanted = book.on_next_session(selection.picks(scores(bars), DEPTH).select("symbol", "ts", "rank"), sessions(bars))
     return selection.with_replacement(wanted, bars, 3).select("signal", "ts", "symbol", "place")
 
 
@@ -224,7 +232,7 @@ _BENCH = "bench AS (SELECT s.ts, coalesce(avg(a.close / p.close - 1), 0) AS ret
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = trade_bars(spark, sf_dir)
+    bars = made_bars(spark, sf_dir)
     return performance.benchmark(bars, bars.select("symbol", "ts"), sessions(bars))
 
 

@@ -226,7 +226,10 @@ _SCORED_B = f"other AS (SELECT symbol, ts, {S.percent_rank('close')} AS score, o
 
 
 def scored(spark: SparkSession, sf_dir: str, by: str = "volume") -> DataFrame:
-    bars = trade_bars(spark, sf_dir)
+    return scores(trade_bars(spark, sf_dir), by)
+
+
+def scores(bars: DataFrame, by: str = "volume") -> DataFrame:
     return bars.select("symbol", "ts", win.percent_rank(by).alias("score"), (win.ratio(win.lead("close", 2), win.lead("open")) - 1).alias("outcome"))
 
 
