@@ -304,6 +304,19 @@ def unpacked(data: bytes, fields: tuple = _FIELDS) -> dict[str, np.ndarray]:
     return out
 
 
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Each column of all parts; the parts are emptied as they are taken, so that one column at most is there twice."""
+    out = {name: np.concatenate([p.pop(name) for p in parts]) for name, _ in _FIELDS}
+    parts.clear()
+    return out
+
+
+def _bucket(x: dict[str, np.ndarray], some: slice, buckets: int) -> np.ndarray:
+    word, before = x["word"][some], x["before"][some]
+    key = np.where(x["mw"][some] > 0, _pair(before, word), fmix(word))
+    return (key % np.uint64(buckets)).astype(np.int32)
+
+
 def _at_home(models: NgramModels, block: TextBlock, good: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Number of words of each text, the losses [2, texts] that can be told here, and the other occurrences."""
     word, before, text = _tokens(block)
@@ -404,12 +417,14 @@ def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str
         types: list[pa.DataType] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            x = {name: np.concatenate([h[name] for h in held]) for name, _ in _FIELDS}
+            x = _joined(held)
             # A common word's pairs are dealt by pair, another word's by word.
-            key = np.where(x["mw"] > 0, _pair(x["before"], x["word"]), fmix(x["word"]))
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            bucket = np.concatenate([_bucket(x, slice(a, a + (1 << 16)), buckets) for a in range(0, len(x["word"]), 1 << 16)])
             order = np.lexsort((x["word"], bucket))
-            bucket, x = bucket[order], {name: v[order] for name, v in x.items()}
+            bucket = bucket[order]
+            for name in x:
+                x[name] = x[name][order]  # one at a time, so that only one is there twice
+            del order
             edge = np.append(_groups(bucket), len(bucket))
             for some in range(0, len(edge) - 1, 256):
                 spans = list(zip(edge[some : some + 256], edge[some + 1 : some + 257], strict=False))
@@ -428,11 +443,11 @@ def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str
                 yield pa.RecordBatch.from_arrays([bucket, pa.array(np.full(block.n, task, np.int32)), pa.nulls(block.n, pa.binary()), pa.array(row), pa.array(n), *map(pa.array, sums), *(batch.column(k).slice(begin, end - begin) for k in range(2, batch.num_columns))], names)
                 first += block.n
                 if len(rest["word"]):
-                    held.append(rest)
+                    held.append({name: rest[name].astype(kind) for name, kind in _FIELDS})
                     kept += len(rest["word"])
                 if kept > KEEP:
                     yield from flush()
-                    held, kept = [], 0
+                    kept = 0
         if held:
             yield from flush()
 
@@ -447,8 +462,8 @@ def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str
         def bucket_done() -> None:
             x = [unpacked(data) for _, data in held]
             task = np.repeat([t for t, _ in held], [len(p["word"]) for p in x])
-            done.append(_away(models, task, {name: np.concatenate([p[name] for p in x]) for name, _ in _FIELDS}))
             held.clear()
+            done.append(_away(models, task, _joined(x)))
             if sum(len(d[0]) for d in done) > KEEP:
                 done[:] = [_added(done)]
 
