@@ -979,3 +979,31 @@ def test_digest_queries(spark, tables):
     ids = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode("Hello there, world")
     assert got[1]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert got[2]["n_tokens"] == 0 and got[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_fit_of_quality_takes_little_memory_and_does_not_follow_its_pieces(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(600)]
+    good = rng.integers(0, 2, 600).astype(float)
+    tracemalloc.start()
+    a = quality.fit(texts, good, epochs=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 55 << 20, peak
+    monkeypatch.setattr(quality, "PIECE", 1 << 14)
+    monkeypatch.setattr(quality, "STEP", 1000)
+    b = quality.fit(texts, good, epochs=3)
+    assert (a.weights == b.weights).all() and (a.bias, a.slope, a.shift) == (b.bias, b.slope, b.shift)
+
+
+def test_occurrences_are_sent_a_few_at_a_time():
+    edge = np.array([0, 10, 20, lmscore.SENT, 3 * lmscore.SENT, 3 * lmscore.SENT + 5])
+    sent = list(lmscore._sent(edge))
+    assert [s for some in sent for s in some] == list(zip(edge[:-1], edge[1:], strict=True))
+    assert [len(s) for s in sent] == [3, 1, 1]
+    parts = [{name: np.arange(3).astype(kind) for name, kind in lmscore._FIELDS} for _ in range(2)]
+    joined = lmscore._joined(parts)
+    assert not parts and joined["row"].tolist() == [0, 1, 2, 0, 1, 2] and joined["row"].dtype == np.uint32

@@ -45,6 +45,8 @@ HOT_WORDS, HOT_PAIRS, SAMPLE = 1 << 16, 1 << 18, 16
 HOT_LEAST = 4
 #: Occurrences in a bucket, as expected at most, and in a block of a task before it is passed on.
 BUCKET, KEEP = 1 << 20, 1 << 20
+#: Occurrences that a task sends at once, in blocks.
+SENT = 1 << 17
 #: Words of a task whose hashes are sorted out together before they are passed on to be counted.
 DISTINCT = 1 << 20
 UNIT = float(1 << 30)
@@ -84,6 +86,16 @@ def _numbered(edge: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(edge)), np.diff(np.append(edge, n)))
 
 
+def _sent(edge: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """The spans between edges, as many at once as have about SENT values, and 256 at most: what is sent at once is there several times."""
+    begin = 0
+    while begin < len(edge) - 1:
+        end = int(np.searchsorted(edge, edge[begin] + SENT, "right")) - 1
+        end = min(max(end, begin + 1), begin + 256, len(edge) - 1)
+        yield list(zip(edge[begin:end], edge[begin + 1 : end + 1], strict=True))
+        begin = end
+
+
 def _places(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in an ascending array, and -1 where it is not there."""
     if not len(ordered):
@@ -203,11 +215,10 @@ def train(docs: DataFrame, good: DataFrame) -> NgramModels:
             order = np.lexsort((key, bucket))
             key, bucket = key[order], bucket[order]
             edge = np.append(_groups(bucket), len(bucket))
-            for some in range(0, len(edge) - 1, 256):
-                spans = list(zip(edge[some : some + 256], edge[some + 1 : some + 257], strict=False))
+            for spans in _sent(edge):
                 data = [packed({"word": key[a:b]}, _WORDS) for a, b in spans]
                 zero = pa.array(np.zeros(len(spans), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spans), 3, np.int32)), pa.array(bucket[edge[some : some + len(spans)]]), zero, zero, pa.array(data, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spans), 3, np.int32)), pa.array(bucket[[a for a, _ in spans]]), zero, zero, pa.array(data, pa.binary())], names)
 
         for batch in batches:
             good = batch.column(1).to_numpy(zero_copy_only=False)
@@ -426,8 +437,7 @@ def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str
                 x[name] = x[name][order]  # one at a time, so that only one is there twice
             del order
             edge = np.append(_groups(bucket), len(bucket))
-            for some in range(0, len(edge) - 1, 256):
-                spans = list(zip(edge[some : some + 256], edge[some + 1 : some + 257], strict=False))
+            for spans in _sent(edge):
                 data = [packed({name: v[a:b] for name, v in x.items()}) for a, b in spans]
                 none = pa.nulls(len(spans), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([task] * len(spans), pa.int32()), pa.array(data, pa.binary()), none, none, none, none, *(pa.nulls(len(spans), t) for t in types)], names)
@@ -473,8 +483,7 @@ def score(docs: DataFrame, models: NgramModels, good: DataFrame, carry: list[str
             done.clear()
             part = row // PART
             edge = np.append(_groups(task, part), len(task))
-            for some in range(0, len(edge) - 1, 256):
-                spans = list(zip(edge[some : some + 256], edge[some + 1 : some + 257], strict=False))
+            for spans in _sent(edge):
                 data = [packed({"row": row[a:b] % PART, "t": loss[0][a:b], "b": loss[1][a:b]}, _SUMS) for a, b in spans]
                 none = pa.nulls(len(spans), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([int(task[a]) for a, _ in spans], pa.int32()), pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array(data, pa.binary()), none, none, none, none, *(pa.nulls(len(spans), kind) for kind in types)], names)

@@ -8,7 +8,7 @@ in Arrow batches over whole texts against the fixed threshold ``KEEP``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,10 @@ SLOTS = 1 << 18
 _GRAMS = (2, 4)
 #: Mean relative frequency under which a feature counts as rare and is not scaled up further.
 FLOOR = 1e-2
+#: Cells of the sparse matrix that are multiplied at once.
+STEP = 1 << 18
+#: Bytes of texts whose features are made at once for the fit.
+PIECE = 1 << 18
 SYMBOL = _is(b"#*$%&|<>")
 
 
@@ -119,17 +123,32 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(block) + self.shift, -40, 40)))
 
 
-def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse matrix of relative frequencies as (row, column, value), cells merged."""
-    row, col, val = [], [], []
-    for begin, _, block in blocks(pa.array(texts, pa.large_string())):
-        for slot, text in feature_groups(block):
-            cell, count = np.unique(text * SLOTS + slot, return_counts=True)
-            owner = cell // SLOTS
-            row.append((begin + owner).astype(np.int32))
-            col.append((cell % SLOTS).astype(np.int32))
-            val.append((count / np.bincount(text, minlength=block.n)[owner]).astype(np.float32))
-    return np.concatenate(row), np.concatenate(col), np.concatenate(val)
+def _rows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse matrix of relative frequencies as parts of (row, column, value), cells merged.
+
+    Features are made of ``PIECE`` bytes at a time; parts come as from whole blocks, one kind of feature after the other.
+    """
+    every = pa.array(texts, pa.large_string())
+    number = np.min_scalar_type(len(texts))
+    for begin, end, _ in blocks(every):
+        kinds: dict[int, list] = {}
+        for first, _, block in blocks(every.slice(begin, end - begin), PIECE):
+            for kind, (slot, text) in enumerate(feature_groups(block)):
+                cell, count = np.unique(text * SLOTS + slot, return_counts=True)
+                owner = cell // SLOTS
+                share = (count / np.bincount(text, minlength=block.n)[owner]).astype(np.float32)
+                kinds.setdefault(kind, []).append(((begin + first + owner).astype(number), (cell % SLOTS).astype(np.int32), share))
+        for parts in kinds.values():
+            yield from parts
+
+
+def _add(total: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], to: int, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Adds the values of all cells to their row (``to`` 0) or column (1), in order and a few at a time: no more memory than ``STEP`` cells take."""
+    for part in parts:
+        for begin in range(0, len(part[0]), STEP):
+            some = tuple(x[begin : begin + STEP] for x in part)
+            np.add.at(total, some[to].astype(np.intp), value(*some))
+    return total
 
 
 def fit(texts: list[str], good: np.ndarray, epochs: int = 80) -> QualityModel:
@@ -137,26 +156,27 @@ def fit(texts: list[str], good: np.ndarray, epochs: int = 80) -> QualityModel:
     y = np.asarray(good, float)
     if len(y) < 10 or y.min() == y.max():
         return QualityModel(np.zeros(SLOTS, np.float32), 0.0, 0.0, 10.0 if not len(y) or y.mean() >= 0.5 else -10.0)
-    row, col, val = _rows(texts)
     held = np.arange(len(y)) % 5 == 4
     share = max(y[~held].mean(), 1e-3)
     weight = np.where(held, 0, np.where(y > 0, 0.5 / share, 0.5 / max(1 - share, 1e-3)))
     w, b, m, v = np.zeros(SLOTS), 0.0, np.zeros(SLOTS), np.zeros(SLOTS)
-    used = ~held[row]
-    r, c, x = row[used], col[used], val[used]
+    used, kept = [], []  # what is fitted, and what is calibrated on
+    for part in _rows(texts):
+        out = held[part[0]]
+        used.append(tuple(a[~out] for a in part))
+        kept.append(tuple(a[out] for a in part))
     # Common features have small relative spread; scaling by the root of their mean evens that out.
-    scale = 1 / np.sqrt(np.bincount(c, x, minlength=SLOTS) / max((~held).sum(), 1) + FLOOR)
-    xs = x * scale[c]
+    scale = 1 / np.sqrt(_add(np.zeros(SLOTS), used, 1, lambda r, c, x: x.astype(float)) / max((~held).sum(), 1) + FLOOR)
     for step in range(1, epochs + 1):
-        z = np.bincount(r, xs * w[c], minlength=len(y)) + b
+        z = _add(np.zeros(len(y)), used, 0, lambda r, c, x: x * scale[c] * w[c]) + b
         error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / (~held).sum()
-        g = np.bincount(c, xs * error[r], minlength=SLOTS) + 1e-6 * w
+        g = _add(np.zeros(SLOTS), used, 1, lambda r, c, x: x * scale[c] * error[r]) + 1e-6 * w
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         b -= 0.5 * error.sum()
     w *= scale
-    z = np.bincount(row, val * w[col], minlength=len(y)) + b
+    z = _add(np.zeros(len(y)), kept, 0, lambda r, c, x: x * w[c]) + b
     slope, shift = _platt(z[held], y[held])
     return QualityModel(w.astype(np.float32), float(b), slope, shift)
 
