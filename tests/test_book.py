@@ -1,6 +1,7 @@
 """The cash book by hand, and the statistics of equity and trades against pandas."""
 
 import datetime
+import os
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, performance, simulate
+from tidemark.plans import execution
+from tidemark.plans.catalog import QUERIES
 
 BAR = "symbol string, ts date, open double, high double, low double, close double, volume double"
 LIST = "engine string, ts date, rank int, symbol string, adv double"
@@ -201,3 +204,14 @@ def test_paths_only_of_entries_equal_those_of_all_bars(spark):
     got = {r["ts"]: [b["o"] for b in r["path"]] for r in simulate.path_at(some, df, 7).collect()}
     want = {r["ts"]: [b["o"] for b in r["path"]] for r in simulate.with_path(df, 7).join(some, ["symbol", "ts"]).collect()}
     assert got == want and len(got) == some.count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["e16_summary", "e11_regime_table"])
+def test_line_items_are_read_once(spark, name, monkeypatch):
+    made = []
+    found = execution.trade_bars
+    monkeypatch.setattr(execution, "trade_bars", lambda *a: made.append(a) or found(*a))
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString().lower() and "l_shipdate" not in df._jdf.queryExecution().optimizedPlan().toString()

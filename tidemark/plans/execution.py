@@ -166,18 +166,18 @@ def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANY = ("primary", "second", "flat", "stress", "once", "stop_8", "random_0")
 
 
-def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY, bars: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Candidates, bars, calendar and scenarios."""
-    bars, plans = made_bars(spark, sf_dir), book.scenario_set(spark)
+    bars, plans = bars or made_bars(spark, sf_dir), book.scenario_set(spark)
     plans = plans if names is None else plans.filter(F.col("scenario").isin(*names))
     calendar = sessions(bars)
     engines = {r["engine"] for r in plans.select("engine").distinct().collect()}  # a few dozen
     return book.orders(lists(bars, engines), bars, calendar, plans), bars, calendar, plans
 
 
-def books(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY) -> DataFrame:
+def books(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = _ANY, bars: DataFrame | None = None) -> DataFrame:
     """The books from a table: candidates are asked for twice, and days, trades and counts several times."""
-    candidates, *rest = orders(spark, sf_dir, names)
+    candidates, *rest = orders(spark, sf_dir, names, bars)
     return materialised(book.simulate(materialised(candidates), *rest))
 
 
@@ -231,8 +231,8 @@ def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BENCH = "bench AS (SELECT s.ts, coalesce(avg(a.close / p.close - 1), 0) AS ret FROM sess s LEFT JOIN (SELECT * FROM bars JOIN sess USING (ts)) a ON a.session_idx = s.session_idx LEFT JOIN (SELECT * FROM bars JOIN sess USING (ts) WHERE close > 0) p ON p.symbol = a.symbol AND p.session_idx = s.session_idx - 1 GROUP BY s.ts), grown AS (SELECT ts, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY ts)) AS growth FROM bench)"
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = made_bars(spark, sf_dir)
+def market(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    bars = bars or made_bars(spark, sf_dir)
     return performance.benchmark(bars, bars.select("symbol", "ts"), sessions(bars))
 
 
@@ -295,7 +295,8 @@ def w27(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e11_regime_table")
 def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return performance.regime_table(book.days(books(spark, sf_dir)), performance.regime_labels(market(spark, sf_dir)))
+    bars = made_bars(spark, sf_dir)
+    return performance.regime_table(book.days(books(spark, sf_dir, bars=bars)), performance.regime_labels(market(spark, sf_dir, bars)))
 
 
 @register("e12_monthly_returns")
