@@ -2,13 +2,14 @@
 
 import datetime
 import gzip
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import panel
-from tidemark.sources import listings, store
+from tidemark.sources import bars, listings, store
 
 
 def test_listings_of_all_kinds_of_files(spark, tmp_path):
@@ -127,3 +128,48 @@ def test_empty_panels_and_no_panel(spark, tmp_path):
     assert store.commit_tail(empty, path, empty.select("ts"), 5) == 1
     full = spark.createDataFrame(rows(2), PANEL)
     assert store.commit_tail(full, path, full.select("ts"), 5) == 2 and store.read(spark, path).count() == 6
+
+
+ITEMS = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+
+
+def item(order, part, line, quantity, price, day, supplier=1, discount=0.0):
+    return order, part, supplier, line, quantity, price, discount, 0.0, day and datetime.datetime.fromisoformat(day)
+
+
+def test_bars_of_odd_line_items(spark, tables):
+    """One order on several days, weeks and brands, unknown orders, days and brands, equal orders down to the discount, hours, no quantity."""
+    rows = [item(k % 7 if k % 11 else None, k % 5, k % 3, float(k % 4), 100.0 + k * 37 % 101, f"2024-01-{1 + k * 5 % 23:02d} {k % 2 * 9:02d}:00:00" if k % 13 else None, k % 2, k % 3 / 10) for k in range(400)]
+    rows += [item(-1, 1, 1, 1.0, 5000.0, "2024-01-08"), item(None, 1, 1, 1.0, 6000.0, "2024-01-08"), item(3, 9, 1, 1.0, 1.0, "2024-01-09"), item(900, 0, 2, 2.0, 7.0, "2024-03-04")]
+    sf_dir = tables("lineitem", rows, ITEMS)
+    tables("part", [(0, "A"), (1, "B"), (2, "A"), (3, None), (4, "C")], "p_partkey long, p_brand string")
+    got = {(r["symbol"], r["ts"]): (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in bars.trade_bars(spark, sf_dir).collect()}
+    brands, groups = {0: "A", 1: "B", 2: "A", 3: None, 4: "C"}, {}
+    for o, part, supplier, line, q, price, discount, tax, day in rows:
+        if part in brands:
+            week = day and day.date() - datetime.timedelta(day.weekday())
+            key = [(x is not None, x or 0) if not isinstance(x, datetime.datetime) else (True, x) for x in (day, o)] + [line, part, supplier, price, q, discount, tax]
+            groups.setdefault((brands[part], week), []).append((key, price / q if q else None, q))
+    want = {}
+    for k, found in groups.items():
+        found.sort(key=lambda x: x[0])
+        known = [p for _, p, _ in found if p is not None]
+        want[k] = (found[0][1], max(known, default=None), min(known, default=None), found[-1][1], sum(q for *_, q in found))
+    assert len(got) == len(want) > 15 and got == want
+
+
+def test_bars_do_not_sort_all_line_items(spark, tables):
+    sf_dir = tables("lineitem", [item(1, 1, 1, 1.0, 2.0, "2024-01-08")], ITEMS)
+    tables("part", [(1, "B")], "p_partkey long, p_brand string")
+    plan = bars.trade_bars(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    place = lambda line: re.search(r"[A-Z]", line).start()
+    scans = [k for k, line in enumerate(plan) if "FileScan" in line and "l_orderkey" in line]
+    assert scans
+    for k in scans:
+        above, at = [], place(plan[k])
+        for line in reversed(plan[:k]):
+            if re.search(r"[A-Z]", line) and place(line) < at:
+                above.append(line)
+                at = place(line)
+        first = next(x for x in above if "Aggregate" in x or "Sort" in x or "BroadcastHashJoin [coalesce(l_orderkey" in x)
+        assert "Sort" not in first

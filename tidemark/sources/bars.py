@@ -20,17 +20,43 @@ def clean(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def trade_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame:
-    """Weekly bars (symbol, ts, open, high, low, close, volume) of the line items of each brand."""
-    part = table(spark, sf_dir, "part").select("p_partkey", symbol)
-    trades = table(spark, sf_dir, "lineitem").select(*TRADE_ORDER).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    """Weekly bars (symbol, ts, open, high, low, close, volume) of the line items of each brand.
+
+    A hash aggregate cannot hold a struct's minimum, and sorting all line items would be most of the work. So numbers alone give each
+    bar's first and last order, and only the bar's trades of these two orders are compared in full.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col(symbol).alias("symbol"))
+    trades = table(spark, sf_dir, "lineitem").select(*TRADE_ORDER)
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    key = F.struct(*TRADE_ORDER)
-    return trades.groupBy(F.col(symbol).alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("ts")).agg(
-        F.min_by(price, key).alias("open"),
+    on_part = F.col("l_partkey") == F.col("p_partkey")
+    day, order = F.col("l_shipdate"), F.col("l_orderkey")
+    days = trades.join(part, on_part).groupBy("symbol", "l_shipdate").agg(
         F.max(price).alias("high"),
         F.min(price).alias("low"),
-        F.max_by(price, key).alias("close"),
         F.sum("l_quantity").alias("volume"),
+        F.when(~F.max(order.isNull()), F.min(order)).alias("least"),  # an unknown order comes before all others
+        F.max(order).alias("most"),
+    )
+    week = days.groupBy("symbol", F.date_trunc("week", day).cast("date").alias("ts")).agg(
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.sum("volume").alias("volume"),
+        F.min(F.struct(day.alias("day"), F.col("least").alias("order"))).alias("first"),
+        F.max(F.struct(day.alias("day"), F.col("most").alias("order"))).alias("last"),
+    )
+    ends = week.select("*", F.explode(F.array("first.order", "last.order")).alias("order"))  # two rows a bar
+    # One number is the key; an unknown order may meet others here, as all trades of a bar may be compared.
+    known = lambda c: F.coalesce(c, F.lit(-1))
+    inside = day.between(F.col("first.day"), F.col("last.day")) | (day.isNull() & F.col("first.day").isNull())
+    found = trades.join(F.broadcast(ends), (known(order) == known(F.col("order"))) & inside)
+    found = found.join(part.withColumnRenamed("symbol", "_symbol"), on_part).filter(F.col("symbol").eqNullSafe(F.col("_symbol")))
+    key = F.struct(*TRADE_ORDER)
+    return found.groupBy("symbol", "ts").agg(
+        F.min_by(price, key).alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by(price, key).alias("close"),
+        F.max("volume").alias("volume"),
     )
 
 
