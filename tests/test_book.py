@@ -215,3 +215,14 @@ def test_line_items_are_read_once(spark, name, monkeypatch):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
     assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString().lower() and "l_shipdate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_trades_do_not_sort_all_line_items(spark, monkeypatch):
+    made = []
+    found = execution.materialised
+    monkeypatch.setattr(execution, "materialised", lambda df: made.append(df._jdf.queryExecution().executedPlan().toString()) or found(df))
+    QUERIES["e04_trades"](spark, "/root/testdata/sf0.001")
+    over_items = [p for p in made if "l_orderkey" in p]
+    assert len(over_items) == 1
+    assert "HashAggregate(keys=[symbol#" in over_items[0] and ", l_shipdate#" in over_items[0].split("HashAggregate(keys=[symbol#")[1].split("]")[0]
