@@ -517,3 +517,12 @@ def test_components_are_aligned():
 def test_stock_state_refuses_too_few_inputs(spark):
     with pytest.raises(ValueError):
         state.stock_state(spark.createDataFrame([("a", 1, 1.0)], "symbol string, ts int, adx14 double"))
+
+
+def test_correlations_that_cancel_have_no_sign(spark):
+    """0.1, 0.2 and -0.3 add up to 3e-17 or 6e-17, by their order."""
+    day = lambda k: datetime.date(2024, 1, k)
+    daily = spark.createDataFrame([("f", "t", day(k), ic) for k, ic in enumerate((0.1, 0.2, -0.3, 0.4, 0.4, 0.4), 1)], "feature string, target string, ts date, ic double")
+    folds = spark.createDataFrame([(1, day(1), day(3)), (2, day(4), day(6))], "fold int, test_start date, test_end date")
+    got = screen.fold_signs(daily, folds).first()
+    assert (got["same_sign"], got["n_folds"]) == (1, 2)

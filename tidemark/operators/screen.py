@@ -122,12 +122,17 @@ def quintiles(rows: DataFrame, least: int = LEAST_NAMES, cost: float = COST) ->
     return economics(daily_cells(rows, least), cost)
 
 
+def mean_sign(c: str) -> Column:
+    """Sign of a mean of correlations. Correlations of ranks often cancel; what their sum's order then leaves, some 1e-17, is no sign."""
+    return F.signum(F.round(c, 12))
+
+
 def fold_signs(daily: DataFrame, folds: DataFrame) -> DataFrame:
     """Per cell: in how many folds the mean IC has the sign of the pooled mean."""
     inside = daily.join(F.broadcast(folds.select("fold", "test_start", "test_end")), F.col("ts").between(F.col("test_start"), F.col("test_end")))  # a handful of folds
     per_fold = inside.groupBy(*CELL, "fold").agg(F.avg("ic").alias("fold_ic"))
     pooled = inside.groupBy(*CELL).agg(F.avg("ic").alias("pooled_ic"))
-    same = F.sum((F.signum("fold_ic") == F.signum("pooled_ic")).cast("int"))
+    same = F.sum((mean_sign("fold_ic") == mean_sign("pooled_ic")).cast("int"))
     return per_fold.join(pooled, list(CELL)).groupBy(*CELL).agg(same.alias("same_sign"), F.count("*").alias("n_folds"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions.ranks import pooled_rank
 from tidemark.functions.windows import percent_rank, ratio, session_runs
-from tidemark.operators.screen import CELL, LEAST_DATES, LEAST_NAMES, MARKET_SHARE, bh_q, cells, constant_dates, daily_ic, families_of, family_pairs, hac_t, ranked, spearman, two_sided_p
+from tidemark.operators.screen import CELL, LEAST_DATES, LEAST_NAMES, MARKET_SHARE, bh_q, cells, constant_dates, daily_ic, families_of, family_pairs, hac_t, mean_sign, ranked, spearman, two_sided_p
 from tidemark.sources.tables import materialised
 
 #: Dimension, the column that gives it, and whether its size counts, not its sign.
@@ -97,7 +97,7 @@ def nested_screen(panel: DataFrame, features: list[str], targets: list[str], fol
     signs = train.join(F.broadcast(runs), ["fold", "ts"])
     per_run = signs.groupBy(*by, "run").agg(F.avg("ic").alias("run_ic"))
     pooled = signs.groupBy(*by).agg(F.avg("ic").alias("pooled_ic"))
-    same = per_run.join(pooled, list(by)).groupBy(*by).agg(F.sum((F.signum("run_ic") == F.signum("pooled_ic")).cast("int")).alias("same_sign"))
+    same = per_run.join(pooled, list(by)).groupBy(*by).agg(F.sum((mean_sign("run_ic") == mean_sign("pooled_ic")).cast("int")).alias("same_sign"))
     stats = hac_t(train, by=by).filter(F.col("n") >= least_dates).withColumn("p", two_sided_p(F.col("t")))
     met = bh_q(stats, by=("fold",)).join(same, list(by), "left")
     stable = F.coalesce(F.col("same_sign") >= least_sign, F.lit(False))
