@@ -173,3 +173,21 @@ def test_bars_do_not_sort_all_line_items(spark, tables):
                 at = place(line)
         first = next(x for x in above if "Aggregate" in x or "Sort" in x or "BroadcastHashJoin [coalesce(l_orderkey" in x)
         assert "Sort" not in first
+
+
+def test_bars_of_more_parts_than_are_sent(spark, tables):
+    """As on large tables, where the line items are shuffled to their parts: the same bars, and still numbers alone in a hash aggregate."""
+    rows = [item(k % 7, k % 5, k % 3, float(k % 4), 100.0 + k * 37 % 101, f"2024-01-{1 + k * 5 % 23:02d}") for k in range(200)]
+    sf_dir = tables("lineitem", rows, ITEMS)
+    tables("part", [(k, "ABABC"[k]) for k in range(5)], "p_partkey long, p_brand string")
+    want = sorted(bars.trade_bars(spark, sf_dir).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = bars.trade_bars(spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(df.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan
+    assert re.findall(r"(\w+Aggregate)\(keys=\[symbol#\d+, l_shipdate#", plan) == ["HashAggregate", "HashAggregate"]
+    assert got == want and len(got) > 5
