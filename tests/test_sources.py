@@ -191,3 +191,16 @@ def test_bars_of_more_parts_than_are_sent(spark, tables):
     assert "Join [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan
     assert re.findall(r"(\w+Aggregate)\(keys=\[symbol#\d+, l_shipdate#", plan) == ["HashAggregate", "HashAggregate"]
     assert got == want and len(got) > 5
+
+
+def test_unknown_orders_meet_only_bars_of_their_week(spark, tables):
+    """Where every bar starts with an unknown order, a trade without one is compared with its week's bars, not with those of all weeks."""
+    days = [f"2024-{1 + k % 12:02d}-{1 + k % 28:02d}" for k in range(84)]
+    sf_dir = tables("lineitem", [item(None if k % 3 else k, k % 2, k % 4, 1.0 + k % 5, 10.0 + k * 7 % 31, day) for k, day in enumerate(days)], ITEMS)
+    tables("part", [(0, "A"), (1, "B")], "p_partkey long, p_brand string")
+    df = bars.trade_bars(spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    join = next(line for line in plan.toString().splitlines() if "Join" in line and "coalesce(l_orderkey" in line)
+    left = re.search(r"coalesce\(l_orderkey#\d+L, (.*?)\) = ", join)[1]
+    assert "unix_date(" in left and "l_shipdate" in left
+    assert df.count() == len({(k % 2, datetime.date.fromisoformat(day).isocalendar()[:2]) for k, day in enumerate(days)})

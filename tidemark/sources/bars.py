@@ -30,6 +30,7 @@ def trade_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> Dat
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     on_part = F.col("l_partkey") == F.col("p_partkey")
     day, order = F.col("l_shipdate"), F.col("l_orderkey")
+    monday = F.date_trunc("week", day).cast("date")
     days = trades.join(part, on_part).groupBy("symbol", "l_shipdate").agg(
         F.max(price).alias("high"),
         F.min(price).alias("low"),
@@ -37,7 +38,7 @@ def trade_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> Dat
         F.when(~F.max(order.isNull()), F.min(order)).alias("least"),  # an unknown order comes before all others
         F.max(order).alias("most"),
     )
-    week = days.groupBy("symbol", F.date_trunc("week", day).cast("date").alias("ts")).agg(
+    week = days.groupBy("symbol", monday.alias("ts")).agg(
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.sum("volume").alias("volume"),
@@ -45,10 +46,11 @@ def trade_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> Dat
         F.max(F.struct(day.alias("day"), F.col("most").alias("order"))).alias("last"),
     )
     ends = week.select("*", F.explode(F.array("first.order", "last.order")).alias("order"))  # two rows a bar
-    # One number is the key; an unknown order may meet others here, as all trades of a bar may be compared.
-    known = lambda c: F.coalesce(c, F.lit(-1))
+    # One number is the key, of an unknown order that of its week, so that those of a week meet only its bars; it may meet others too, as
+    # all trades of a bar may be compared.
+    known = lambda c, ts: F.coalesce(c, -1 - F.unix_date(ts), F.lit(-1))
     inside = day.between(F.col("first.day"), F.col("last.day")) | (day.isNull() & F.col("first.day").isNull())
-    found = trades.join(F.broadcast(ends), (known(order) == known(F.col("order"))) & inside)
+    found = trades.join(F.broadcast(ends), (known(order, monday) == known(F.col("order"), F.col("ts"))) & inside)
     found = found.join(part.withColumnRenamed("symbol", "_symbol"), on_part).filter(F.col("symbol").eqNullSafe(F.col("_symbol")))
     key = F.struct(*TRADE_ORDER)
     return found.groupBy("symbol", "ts").agg(
